@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,3 +163,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         place = place[~(head & tail)]
         depth *= 2
     return order
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """The rows written as a table in the cluster's shared checkpoint folder and read from there: cuts the lineage and survives
+    lost executors. The folder is the caller's to clear."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza.llm.chat import digest, expand_prefix_targets
 from cadenza.llm.common import table
+from cadenza.llm.decontaminate import contamination_digest, find_contamination
+from cadenza.llm.line_dedup import dedup_lines
+from cadenza.llm.packing import pack
+from cadenza.llm.quality_model import score_quality
 from cadenza.llm.quality_rules import repetition_rules
 from cadenza.llm.urls import judge_urls
 
@@ -15,12 +20,24 @@ from cadenza.llm.urls import judge_urls
 SAMPLE_TEXT = "\\### Assistant: </turn> ok"
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file, which every machine of the cluster has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role").selectExpr("*", f"r'{SAMPLE_TEXT}' as text")
     return digest(expand_prefix_targets(turns.unionByName(extra)))
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination_digest(find_contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents")).drop("line_share", "ngram_shares")
 
@@ -29,10 +46,28 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_formatting,
+    "op2_decontamination": decontamination,
     "op6_quality_rules": quality_rules,
+    "op7_packing": packing,
     "op8_url_filters": url_filters,
+    "op9_line_dedup": line_dedup,
+    "op10_quality_classifier": quality_classifier,
 }
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\s'), '</turn>', '\e'), '### ', '\h')"
