@@ -12,8 +12,10 @@ from cadenza.llm.common import table
 from cadenza.llm.decontaminate import contamination_digest, find_contamination
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.packing import pack
+from cadenza.llm.probminhash import near_duplicates
 from cadenza.llm.quality_model import score_quality
 from cadenza.llm.quality_rules import repetition_rules
+from cadenza.llm.substring_dedup import remove_repeated
 from cadenza.llm.urls import judge_urls
 
 #: Fixed extra conversation of the chat query.
@@ -46,6 +48,14 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated(table(spark, sf_dir, "documents"))
+
+
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -63,6 +73,8 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_formatting,
     "op2_decontamination": decontamination,
+    "op3_substring_dedup": substring_dedup,
+    "op5_near_dedup": near_dedup,
     "op6_quality_rules": quality_rules,
     "op7_packing": packing,
     "op8_url_filters": url_filters,
