@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.chat import digest, expand_prefix_targets
 from cadenza.llm.common import table
 from cadenza.llm.decontaminate import contamination_digest, find_contamination
+from cadenza.llm.html_extract import extract_text
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.packing import pack
 from cadenza.llm.probminhash import near_duplicates
@@ -52,8 +53,12 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(table(spark, sf_dir, "documents"))
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_formatting,
     "op2_decontamination": decontamination,
     "op3_substring_dedup": substring_dedup,
+    "op4_html_extraction": html_extraction,
     "op5_near_dedup": near_dedup,
     "op6_quality_rules": quality_rules,
     "op7_packing": packing,
