@@ -13,6 +13,8 @@ from cadenza.llm.common import materialize, mix, powers, text_of
 
 #: Shorter lines (code points) are left alone.
 MIN_CHARS = 10
+#: Lines that share half a line and are still joined in one place; and characters that are joined at once.
+GROUP_LINES, PLACE_CHARS = 5_000, 500_000
 
 _PRIME = 0xD6E8FEB86659FD93
 
@@ -43,35 +45,128 @@ def half_keys(line: Column) -> Column:
     return F.array(*out)
 
 
-def _numbered(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc).alias("doc"), text_of(text).alias("text")).withColumn("tie", F.xxhash64("text"))
-
-
-def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Lines to remove: doc, tie (a hash of the text) and line (number from 0).
+def within_one_edit(a: str, b: str) -> bool:
+    """Are two different texts one insertion, deletion or substitution apart?"""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    low, high = 0, len(a)
+    while low < high:  # longest common prefix by halving
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    return a[low + 1 :] == b[low + 1 :] if len(a) == len(b) else a[low:] == b[low + 1 :]
+
+
+def earliest_neighbours(lines: list[str], rank: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """Deletion-neighbourhood join inside groups: each line with the least-ranked one within one edit, if that ranks lower."""
+    keys, owner, gap = [], [], []
+    for k, line in enumerate(lines):
+        own, gone = variant_keys(line)
+        keys.append(np.concatenate([[own], gone]))
+        owner.append(np.full(len(gone) + 1, k))
+        gap.append(np.arange(-1, len(gone)))
+    owner, gap = np.concatenate(owner), np.concatenate(gap)
+    key = mix(np.concatenate(keys).view(np.uint64) ^ mix(group.view(np.uint64)[owner]))
+    best = np.arange(len(lines))
+
+    def offer(to: np.ndarray, by: np.ndarray) -> None:
+        order = np.argsort(-rank[by], kind="stable")  # the least rank is written last
+        to, by = to[order], by[order]
+        better = rank[by] < rank[best[to]]
+        best[to[better]] = by[better]
+
+    def least_of(place: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """For each of the ordered places, the owner of least rank among those between two fresh starts."""
+        ranks = np.minimum.reduceat(rank[owner[place]], np.flatnonzero(fresh))
+        return by_rank[ranks][np.cumsum(fresh) - 1]
+
+    by_rank = np.empty(len(rank), np.int64)
+    by_rank[rank] = np.arange(len(rank))
+    place = np.lexsort((gap, key))
+    fresh = np.concatenate([[True], (key[place][1:] != key[place][:-1]) | (gap[place][1:] != gap[place][:-1])])
+    swapped = gap[place] >= 0
+    offer(owner[place][swapped], least_of(place, fresh)[swapped])  # same variant, same gap: one substitution
+    whole = np.flatnonzero(gap < 0)
+    whole = whole[np.argsort(key[whole], kind="stable")]
+    gone = np.flatnonzero(gap >= 0)
+    at = np.searchsorted(key[whole], key[gone])
+    meets = (at < len(whole)) & (key[whole][np.minimum(at, len(whole) - 1)] == key[gone])
+    a, b = owner[whole[at[meets]]], owner[gone[meets]]  # a variant of b is all of a: one insertion
+    offer(b, a)
+    offer(a, b)
+    return [(k, int(best[k])) for k in np.flatnonzero(best != np.arange(len(best))).tolist()]
+
+
+def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Lines to remove from rows of doc, tie (tells texts of one doc apart) and text: doc, tie and line (number from 0).
 
     A line goes if an equal line, or one within one insertion, deletion or substitution, stands earlier (smaller doc, or same
     document and smaller line); lines are judged on the input, not on what is left. Steps:
 
     1. Equal lines: the earliest place of every distinct line, by an aggregate.
-    2. Distinct lines that share half a line with another one (pigeonhole): only these can have a partner.
-    3. Their deletion neighbourhoods as hashed keys. Equal variants with the same gap are one substitution apart; a variant
-       that equals a whole line is one insertion or deletion away. Both relations hold for every pair that meets, so the least
-       place of a key is a witness for all others, an aggregate again: no pairs are made inside a key.
-    4. The witness is verified by its edit distance.
+    2. Distinct lines that share half a line with another one (pigeonhole): only these can have a partner, and only among those
+       they share it with. Their texts are fetched.
+    3. Their deletion neighbourhoods as hashed keys. Equal variants with the same gap are one substitution apart; a variant that
+       equals a whole line is one insertion or deletion away. Both hold for every pair that meets, so the earliest line of a key is
+       a witness for all others, and no pairs are made inside a key. Lines sharing a half are joined where they meet; if very many
+       share it, their variants are spread over the cluster and joined by aggregates instead.
+    4. Witnesses are verified by their edit distance.
     """
-    rows = _numbered(docs, doc, text)
     cut = rows.select("doc", "tie", F.posexplode(F.split("text", "\n", -1)).alias("line", "s")).where(F.length("s") >= min_chars)
     lines = cut.select(F.struct("doc", "tie", "line").alias("at"), F.xxhash64("s").alias("h1"), F.xxhash64("s", F.lit(1)).alias("h2"), half_keys(F.col("s")).alias("halves"))
-    first = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n"))
+    first = materialize(lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")))
     copies = lines.select("h1", "h2", "at").join(first.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where("at > first").select("at.*")
 
-    keys = first.select("first", "h1", F.explode(F.array_distinct("halves")).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    maybe = keys.join(shared, "key").select("first.*").distinct().groupBy("doc", "tie").agg(F.collect_list("line").alias("wanted"))
-    found = rows.dropDuplicates(["doc", "tie"]).join(maybe, rows["tie"].eqNullSafe(maybe["tie"]) & rows["doc"].eqNullSafe(maybe["doc"])).select(rows["doc"], rows["tie"], F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("line"))
-    candidates = materialize(found.select(F.struct("doc", "tie", "line").alias("at"), F.element_at("all", F.col("line") + 1).alias("s")))
-
+    keys = first.select("first", F.explode(F.array_distinct("halves")).alias("key"))
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    maybe = keys.join(shared, "key").groupBy("first.doc", "first.tie").agg(F.collect_list(F.struct("first.line", "key", "n")).alias("wanted"))
+    maybe = maybe.select(F.col("doc").alias("d"), F.col("tie").alias("t"), "wanted")
+    held = rows.select("doc", "tie", "text").join(maybe, F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
+    held = held.select("doc", "tie", F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
+    fetched = held.select(F.struct("doc", "tie", "w.line").alias("at"), "w.key", "w.n", F.element_at("all", F.col("w.line") + 1).alias("s"))
+    near = _joined_in_place(fetched.where(F.col("n") <= GROUP_LINES))
+    if not shared.where(F.col("n") > GROUP_LINES).isEmpty():
+        near = near.unionByName(_joined_by_variant(materialize(fetched.where(F.col("n") > GROUP_LINES).select("at", "s").distinct())))
+    return copies.unionByName(near)
+
+
+def _joined_in_place(fetched: DataFrame) -> DataFrame:
+    """Lines (at, key, s) that have an earlier neighbour among those of the same key, joined key by key."""
+    kind = fetched.schema["at"].dataType["doc"].dataType.simpleString()
+    names = ["doc", "tie", "line"]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, tuple, str]] = []
+        size, arrow = 0, None
+
+        def found() -> pa.RecordBatch:
+            order = sorted({x[1] for x in held}, key=lambda at: (at[0] is not None, at))
+            number = {at: k for k, at in enumerate(order)}
+            rank = np.array([number[x[1]] for x in held])
+            rank[np.argsort(rank, kind="stable")] = np.arange(len(rank))  # a line may stand in several groups
+            texts = [x[2] for x in held]
+            pairs = earliest_neighbours(texts, rank, np.array([x[0] for x in held], np.int64))
+            gone = sorted({number[held[k][1]] for k, by in pairs if texts[k] != texts[by] and within_one_edit(texts[k], texts[by])})
+            columns = list(zip(*(order[k] for k in gone))) if gone else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], arrow), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], names)
+
+        for batch in batches:
+            arrow = batch.column("doc").type
+            for key, doc, tie, line, s in zip(*(batch.column(c).to_pylist() for c in ("key", *names, "s"))):
+                if size > PLACE_CHARS and held[-1][0] != key:
+                    yield found()
+                    held, size = [], 0
+                held.append((key, (doc, tie, line), s))
+                size += len(s)
+        if held:
+            yield found()
+
+    ranged = fetched.select("key", "at.*", "s").repartition("key").sortWithinPartitions("key")
+    return ranged.mapInArrow(join, f"doc {kind}, tie long, line int").distinct()
+
+
+def _joined_by_variant(candidates: DataFrame) -> DataFrame:
+    """The same among all of the lines (at, s), with one row for each variant."""
     where = candidates.schema["at"].dataType.simpleString()
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +183,6 @@ def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min
                     yield pa.RecordBatch.from_arrays([part.column("at").take(pa.array(np.concatenate(row))), pa.array(np.concatenate(key)), pa.array(np.concatenate(gap), pa.int32())], ["at", "key", "gap"])
 
     spread = candidates.mapInArrow(variants, f"at {where}, key long, gap int")
-    # one aggregate for both relations: whole line, and for every gap the least deleter
     per_gap = spread.groupBy("key", "gap").agg(F.min("at").alias("least"), F.max("at").alias("most"))
     per_key = per_gap.groupBy("key").agg(
         F.min(F.when(F.col("gap") < 0, F.col("least"))).alias("whole"),
@@ -100,8 +194,7 @@ def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min
     witness = F.when(F.col("gap") < 0, F.col("deleter")).otherwise(F.least("whole", "least"))
     pairs = near.select("at", witness.alias("by")).where("by < at").groupBy("at").agg(F.min("by").alias("by"))
     a, b = candidates.select("at", F.col("s").alias("mine")), candidates.select(F.col("at").alias("by"), F.col("s").alias("theirs"))
-    checked = pairs.join(a, "at").join(b, "by").where(F.levenshtein("mine", "theirs", 1).between(0, 1))
-    return copies.unionByName(checked.select("at.*"))
+    return pairs.join(a, "at").join(b, "by").where(F.levenshtein("mine", "theirs", 1).between(0, 1)).select("at.*")
 
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -111,8 +204,11 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_ch
     rows with a null id come first in the order. Null texts stay null and have no lines; a line of any length is compared
     whole; an empty table gives no rows. The new columns replace columns of the same names.
     """
-    gone = repeated_lines(docs, doc, text, min_chars).groupBy("doc", "tie").agg(F.collect_set("line").alias("gone"))
-    rows = docs.drop("n_lines", "n_removed").withColumn("__tie", F.xxhash64(text_of(text)))
+    rows = docs.drop("n_lines", "n_removed")
+    single = rows.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    rows = rows.withColumn("__tie", F.lit(0).cast("long") if single else F.xxhash64(text_of(text)))
+    plain = rows.select(F.col(doc).alias("doc"), F.col("__tie").alias("tie"), text_of(text).alias("text"))
+    gone = repeated_lines(plain if single else plain.dropDuplicates(["doc", "tie"]), min_chars).groupBy("doc", "tie").agg(F.collect_set("line").alias("gone"))
     gone = gone.select(F.col("doc").alias("__doc"), F.col("tie").alias("__gone_tie"), F.col("gone").alias("__gone"))
     joined = rows.join(gone, rows[doc].eqNullSafe(gone["__doc"]) & (rows["__tie"] == gone["__gone_tie"]), "left").drop("__doc", "__tie", "__gone_tie")
     wanted = joined.selectExpr("*", "0L as n_lines", "0L as n_removed")

@@ -2,7 +2,8 @@
 
 import random
 
-from cadenza.llm.line_dedup import dedup_lines, variant_keys
+import cadenza.llm.line_dedup as module
+from cadenza.llm.line_dedup import dedup_lines, variant_keys, within_one_edit
 
 
 def near(a, b):
@@ -35,7 +36,14 @@ def test_variants():
     assert len(variant_keys("")[1]) == 0 and variant_keys("a")[1].tolist() == [variant_keys("")[0]]
 
 
-def test_line_dedup(spark):
+def test_within_one_edit():
+    rng = random.Random(8)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 6))) for _ in range(2))
+        assert a == b or within_one_edit(a, b) == near(a, b)
+
+
+def test_line_dedup(spark, monkeypatch):
     rng = random.Random(2)
     base = ["".join(rng.choice("abcé ") for _ in range(rng.randint(8, 40))) for _ in range(30)]
 
@@ -49,3 +57,7 @@ def test_line_dedup(spark):
     want = {(d, t) for d, t in by_hand(docs)}
     assert {(r["doc_id"], r["text"]) for r in dedup_lines(frame).collect()} == want
     assert dedup_lines(frame.limit(0)).count() == 0
+    monkeypatch.setattr(module, "GROUP_LINES", 2)  # most groups are spread by variant
+    assert {(r["doc_id"], r["text"]) for r in dedup_lines(frame).collect()} == want
+    single = spark.createDataFrame(docs[:60], "doc_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in dedup_lines(single).collect()} == set(by_hand(docs[:60]))
