@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ SEQUENCE = 4096
 #: Remainders of documents are cut at multiples of this; what is shorter packs by itself.
 UNIT = 32
 END_TOKEN = 2
-#: Entries that a task's memo of encoded words may hold before it starts anew.
-MEMO_ENTRIES = 400_000
+#: Entries that a Python worker's memo of encoded chunks may hold (about 200 bytes each) before it starts anew.
+MEMO_ENTRIES = 1_200_000
 
 
 class WordEncoder:
@@ -44,12 +45,22 @@ class WordEncoder:
         new = [c for c in {c for cs in chunks for c in cs} if c not in self.memo]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.memo[chunk] = np.array(e.ids, "<u4").tobytes()
+            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.memo[chunk] = array("I", e.ids).tobytes()
         ids = self.memo.__getitem__
         return [b"".join(map(ids, cs)) for cs in chunks]
 
 
+#: A worker process keeps its encoders from task to task.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def cut_lengths(n: int, sequence: int = SEQUENCE, unit: int = UNIT) -> list[int]:
     """Whole sequences, then a multiple of the unit, then the rest."""
     rest = n % sequence
@@ -65,7 +76,7 @@ def tokenize_and_cut(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text:
     end = np.array([end_token], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, made, part = WordEncoder(tokenizer), np.zeros(sequence + 1, np.int64), TaskContext.get().partitionId()
+        encoder, made, part = encoder_for(tokenizer), np.zeros(sequence + 1, np.int64), TaskContext.get().partitionId()
         for rows in steps(batches, "text", 2 << 20):
             out: list[tuple[int, ...]] = []
             cuts: list[bytes] = []
