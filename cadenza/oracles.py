@@ -160,7 +160,7 @@ ORACLES: dict[str, str] = {
 }
 
 FRAMES = f"""{EV}, tones AS (
-  SELECT song_id, pos AS frame, pc, CASE WHEN pc = k % 12 THEN value WHEN pc = (k % 12 + 7) % 12 THEN value * 0.5 WHEN pc = (k % 12 + 4) % 12 THEN value * 0.25 ELSE 0 END AS raw
+  SELECT song_id, pos AS frame, pc, CASE WHEN pc = k % 12 THEN value WHEN pc = (k % 12 + 7) % 12 THEN value * 0.51::DOUBLE WHEN pc = (k % 12 + 4) % 12 THEN value * 0.23::DOUBLE ELSE 0 END AS raw
   FROM ev, (SELECT unnest(range(12)) AS pc)
 ), scaled AS (SELECT *, raw / sum(raw) OVER (PARTITION BY song_id, frame) AS x FROM tones
 ), sizes AS (SELECT song_id, max(pos) + 1 AS n FROM ev GROUP BY song_id)"""
@@ -253,3 +253,156 @@ ORACLES |= {
       SELECT song_id, CASE WHEN theirs > mine + 0.05 THEN {RELATIVE} ELSE tonic END AS tonic, CASE WHEN theirs > mine + 0.05 THEN {OTHER} ELSE mode END AS mode, round(score, 6) AS confidence, 0.0::DOUBLE AS margin, theirs > mine + 0.05 AS mode_corrected_by_chords
       FROM best JOIN rated USING (song_id)""",
 }
+
+SERIES = f"""{EV}, beats AS (SELECT song_id, pos AS beat, pos * 20 + k % 5 AS frame, t AS time, value AS low, value + k AS "full", k / 100.0::DOUBLE AS nov FROM ev
+), scored AS (SELECT *, {", ".join(f"CASE WHEN stddev_pop({c}) OVER s > 1e-12 THEN ({c} - avg({c}) OVER s) / stddev_pop({c}) OVER s ELSE 0 END AS {n}" for c, n in (("low", "low_z"), ('"full"', "full_z"), ("nov", "nov_z")))} FROM beats WINDOW s AS (PARTITION BY song_id))"""
+
+
+def every(n: int = 5) -> str:
+    return f"grid AS (SELECT song_id, pos // {n} AS beat, pos AS frame FROM ev WHERE pos % {n} = 0)"
+
+
+def acf(column: str, name: str) -> str:
+    return f"""{name}_c AS (SELECT song_id, beat, {column} - avg({column}) OVER (PARTITION BY song_id) AS x FROM beats
+), {name}_e AS (SELECT song_id, sum(x * x) AS e FROM {name}_c GROUP BY song_id
+), {name} AS (
+  SELECT c.song_id, lag, CASE WHEN any_value(e) > 1e-12 THEN coalesce(sum(c.x * d.x), 0) / any_value(e) ELSE 0 END AS acf
+  FROM {name}_c c CROSS JOIN (SELECT CAST(unnest(range(17)) AS INT) AS lag) LEFT JOIN {name}_c d ON d.song_id = c.song_id AND d.beat = c.beat + lag JOIN {name}_e e ON e.song_id = c.song_id GROUP BY c.song_id, lag
+)"""
+
+
+def strength(ac: str, b: int) -> str:
+    peak = lambda k: f"greatest(0, {ac}[{k + 1}] - 0.5 * ({ac}[{k}] + {ac}[{k + 2}]))"
+    return f"(0.65::DOUBLE * {peak(b)} + 0.35::DOUBLE * {peak(2 * b)})"
+
+
+METER = f"""{SERIES}, {acf("low", "acl")}, {acf("nov", "acn")}, wide AS (SELECT song_id, (SELECT list(acf ORDER BY lag) FROM acl WHERE acl.song_id = s.song_id) AS a, (SELECT list(acf ORDER BY lag) FROM acn WHERE acn.song_id = s.song_id) AS n, song_id % 8 / 50.0::DOUBLE + 0.40::DOUBLE AS tri FROM (SELECT DISTINCT song_id FROM beats) s
+), strong AS (SELECT song_id, {", ".join(f"0.6::DOUBLE * {strength('a', b)} + 0.4::DOUBLE * {strength('n', b)} AS s{b}" for b in (2, 3, 4, 6))}, CASE WHEN tri >= 0.52::DOUBLE THEN 1.0::DOUBLE WHEN tri >= 0.45::DOUBLE THEN (tri - 0.45::DOUBLE) / 0.07::DOUBLE ELSE 0 END AS c FROM wide
+), scores AS (SELECT song_id, unnest([
+    {{'o': 0, 'label': '4/4', 'bpb': 4, 'score': s4 * (1 - c)}}, {{'o': 1, 'label': '3/4', 'bpb': 3, 'score': s3 * (1 - c) * 0.90::DOUBLE}}, {{'o': 2, 'label': '2/4', 'bpb': 2, 'score': s2 * (1 - c) * 0.45::DOUBLE}},
+    {{'o': 3, 'label': '12/8', 'bpb': 4, 'score': s4 * c * 0.90::DOUBLE}}, {{'o': 4, 'label': '9/8', 'bpb': 3, 'score': s3 * c * 0.55::DOUBLE}},
+    {{'o': 5, 'label': '6/8', 'bpb': 2, 'score': CASE WHEN c > 0 AND s6 > greatest(s2, s4) THEN greatest(greatest(s2, 0.8::DOUBLE * s6) * c * 0.85::DOUBLE, s6 * c) ELSE greatest(s2, 0.8::DOUBLE * s6) * c * 0.85::DOUBLE END}}
+  ], recursive := true) FROM strong
+), ordered AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY score DESC, o) AS nth, sum(score) OVER (PARTITION BY song_id) AS total FROM scores
+), meter AS (
+  SELECT song_id, CASE WHEN max(score) > 0 THEN first(label ORDER BY nth) ELSE '4/4' END AS label, CASE WHEN max(score) > 0 THEN first(bpb ORDER BY nth) ELSE 4 END AS bpb,
+    CASE WHEN max(score) > 0 THEN max(score) / (any_value(total) + 1e-9) ELSE 0 END AS confidence, string_agg(label, ' ' ORDER BY nth) FILTER (nth <= 3) AS best FROM ordered GROUP BY song_id
+)"""
+
+PHASE = f"""{METER}, means AS (SELECT song_id, bpb, beat % bpb AS p, avg(low_z) + 0.7::DOUBLE * avg(nov_z) + 0.3::DOUBLE * avg(full_z) AS score, count(*) AS n FROM scored JOIN meter USING (song_id) GROUP BY song_id, bpb, beat % bpb
+), tempo AS (SELECT song_id, bpb, p AS phase FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY round(score, 9) DESC, p) AS nth FROM means WHERE n >= 2) WHERE nth = 1)"""
+
+FOLD = f"""{EV}, beats AS (SELECT song_id, pos AS beat, t / CASE song_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 12.0::DOUBLE ELSE 40.0::DOUBLE END AS time, value + value + k AS accent FROM ev
+), gaps AS (SELECT *, lead(time) OVER (PARTITION BY song_id ORDER BY beat) AS nxt FROM beats
+), about AS (SELECT song_id, 60 / quantile_cont(nxt - time, 0.5) AS bpm, CASE WHEN avg(accent) FILTER (beat % 2 = 0) >= avg(accent) FILTER (beat % 2 = 1) THEN 0 ELSE 1 END AS side FROM gaps GROUP BY song_id
+), folded AS (SELECT *, CASE WHEN bpm >= 160 THEN 0.5::DOUBLE WHEN bpm < 50 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS fold FROM gaps JOIN about USING (song_id)
+), times AS (SELECT song_id, bpm, fold, unnest(CASE WHEN fold = 2 AND nxt IS NOT NULL THEN [time, (time + nxt) / 2] ELSE [time] END) AS time FROM folded WHERE fold <> 0.5 OR beat % 2 = side)"""
+
+STATES = f"""states AS (
+  SELECT root, q, quality, pc, w / sqrt(sum(w * w) OVER (PARTITION BY root, q)) AS w, CASE quality WHEN 'major7' THEN -0.045::DOUBLE WHEN 'major' THEN 0 WHEN 'minor' THEN 0 ELSE -0.035::DOUBLE END AS bias FROM (
+    SELECT root, q, quality, pc, CAST(CASE {" ".join(f"WHEN quality = '{q}' AND (pc - root + 12) % 12 = {s} THEN {w}" for q, tones in T.QUALITY_TONES.items() for s, w in tones.items())} ELSE 0 END AS DOUBLE) AS w
+    FROM (SELECT unnest(range(12)) AS root), (SELECT unnest(range(5)) AS q, unnest({listed(T.STATE_QUALITIES)}) AS quality), (SELECT unnest(range(12)) AS pc)))"""
+
+_IN = lambda table: tuple(f"{d}{q}" for d, qs in table.items() for q in qs)
+HEARD = f"""{FRAMES}, {STATES}, norms AS (SELECT song_id, frame AS beat, sqrt(sum(raw * raw)) AS norm, sum(raw) AS total FROM tones GROUP BY song_id, frame
+), scores AS (
+  SELECT t.song_id, t.frame AS beat, root * 5 + q AS state, root, quality, sum(raw * w) / any_value(norm) + CASE WHEN root = any_value(e.k) % 12 THEN 0.08::DOUBLE ELSE 0 END + any_value(bias) AS score
+  FROM tones t JOIN states s USING (pc) JOIN norms n ON n.song_id = t.song_id AND n.beat = t.frame JOIN ev e ON e.song_id = t.song_id AND e.pos = t.frame GROUP BY t.song_id, t.frame, root, q, quality
+), keyed AS (SELECT song_id, pos AS beat, t AS time, CASE WHEN t < 300 THEN song_id % 12 ELSE (song_id + 7) % 12 END AS key_tonic, CASE WHEN t < 300 THEN 'major' ELSE 'minor' END AS key_mode FROM ev
+), degrees AS (SELECT k.*, s.state, s.score, s.quality, (s.root - key_tonic + 12) % 12 AS d FROM keyed k JOIN scores s USING (song_id, beat)
+), priors AS (
+  SELECT *, CAST(CASE WHEN key_mode = 'major' THEN CASE WHEN d || quality = '0dominant7' THEN 0.3 WHEN d || quality IN {_IN(T.MAJOR_DIATONIC)} THEN 0.7 WHEN d || quality IN {_IN(T.MAJOR_BORROWED)} THEN 0.3 WHEN d IN (0, 2, 4, 5, 7, 9, 10) THEN 0.25 ELSE 0 END
+    ELSE CASE WHEN d || quality IN {_IN(T.MINOR_DIATONIC)} THEN 0.7 WHEN d IN (0, 3, 5, 7, 8, 10) THEN 0.25 ELSE 0 END END AS DOUBLE) AS prior FROM degrees
+), medians AS (SELECT song_id, quantile_cont(total, 0.5) AS middle FROM norms GROUP BY song_id
+), heard AS (
+  SELECT p.*, CASE WHEN n.total < 0.05::DOUBLE * m.middle THEN 0 ELSE (score - max(score) OVER (PARTITION BY p.song_id, p.beat)) / 0.04::DOUBLE + prior END AS emission,
+    CASE WHEN (p.beat - p.song_id % 3 + 4) % 4 = 0 THEN 0.45::DOUBLE WHEN (p.beat - p.song_id % 3 + 4) % 4 = 2 THEN 0.12::DOUBLE ELSE 0.02::DOUBLE END AS p_change
+  FROM priors p JOIN norms n USING (song_id, beat) JOIN medians m USING (song_id)
+)"""
+
+CHORD_PATH = f"""{HEARD}, walk AS (
+  SELECT song_id, beat, state, emission AS total, [state] AS path FROM heard WHERE beat = 0
+  UNION ALL
+  SELECT h.song_id, h.beat, h.state, CASE WHEN moved THEN w.top ELSE w.total END + CASE WHEN moved THEN ln(p_change / 59) ELSE ln(1 - p_change) END + emission, list_append(CASE WHEN moved THEN w.top_path ELSE w.path END, h.state)
+  FROM (SELECT *, max(total) OVER s AS top, first(state) OVER (PARTITION BY song_id ORDER BY total DESC, state) AS top_state, first(path) OVER (PARTITION BY song_id ORDER BY total DESC, state) AS top_path FROM walk WINDOW s AS (PARTITION BY song_id)) w
+  JOIN heard h ON h.song_id = w.song_id AND h.beat = w.beat + 1 AND h.state = w.state, LATERAL (SELECT w.state <> w.top_state AND w.top + ln(p_change / 59) > w.total + ln(1 - p_change) AS moved)
+), ends AS (SELECT song_id, path FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY beat DESC, total DESC, state) AS nth FROM walk) WHERE nth = 1 AND len(path) >= 4
+), chosen AS (SELECT song_id, CAST(unnest(range(len(path))) AS INT) AS beat, CAST(unnest(path) AS INT) AS state FROM ends)"""
+
+SEGMENTS = f"""{CHORD_PATH}, timed AS (SELECT c.*, h.time, h.score, lead(h.time) OVER w AS nxt, h.time - lag(h.time) OVER w AS gap, CASE WHEN c.state = lag(c.state) OVER w THEN 0 ELSE 1 END AS f FROM chosen c JOIN heard h USING (song_id, beat, state) WINDOW w AS (PARTITION BY song_id ORDER BY beat)
+), runs AS (SELECT *, sum(f) OVER (PARTITION BY song_id ORDER BY beat) AS g FROM timed
+), segments AS (
+  SELECT song_id, CAST(g - 1 AS INT) AS pos, any_value(state) // 5 AS root_pc, {pick(T.STATE_QUALITIES, "any_value(state) % 5")} AS quality, min(time) AS start, last(coalesce(nxt, time + gap) ORDER BY beat) AS stop, min(beat) AS beat_start, max(beat) + 1 AS beat_end, avg(score) AS confidence
+  FROM runs GROUP BY song_id, g)"""
+
+FOUND = f"""{chords()}, found AS (SELECT song_id, start + 0.5::DOUBLE AS a, stop + 0.5::DOUBLE AS b, CASE WHEN pos % 5 = 0 THEN 1 ELSE root_pc END AS root, quality FROM chords
+), accuracy AS (
+  SELECT c.song_id, sum(CASE WHEN f.root = c.root_pc AND (f.quality LIKE 'min%') = (c.quality LIKE 'min%') THEN least(b, stop) - greatest(a, start) ELSE 0 END) / sum(least(b, stop) - greatest(a, start)) AS accuracy
+  FROM chords c JOIN found f ON f.song_id = c.song_id AND f.a < c.stop AND c.start < f.b GROUP BY c.song_id)"""
+
+ORACLES |= {
+    "beat_accents": f"""WITH {EV}, f AS (SELECT song_id, pos, max(value * k / 100.0::DOUBLE) OVER w AS l, max(value) OVER w AS o FROM ev WINDOW w AS (PARTITION BY song_id ORDER BY pos RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+      SELECT song_id, pos // 5 AS beat, l AS acc_low_env, o AS acc_onset_env FROM f WHERE pos % 5 = 0""",
+    "beat_chroma": f"""WITH {FRAMES}, {every()}, spans AS (SELECT song_id, beat, frame, least(coalesce(lead(frame) OVER w, frame + coalesce(frame - lag(frame) OVER w, 1)), n) AS stop FROM grid JOIN sizes USING (song_id) WINDOW w AS (PARTITION BY song_id ORDER BY beat))
+      SELECT s.song_id, s.beat, pc, round(CASE WHEN count(*) > 2 THEN quantile_cont(raw, 0.5) ELSE avg(raw) END, 6) AS x FROM spans s JOIN tones t ON t.song_id = s.song_id AND t.frame >= s.frame AND t.frame < s.stop GROUP BY s.song_id, s.beat, pc""",
+    "beat_novelty": f"""WITH {FRAMES}, pairs AS (SELECT a.song_id, a.frame, sum(a.raw * b.raw) / (sqrt(sum(a.raw * a.raw)) * sqrt(sum(b.raw * b.raw))) AS c FROM tones a JOIN tones b ON b.song_id = a.song_id AND b.frame = a.frame - 1 AND b.pc = a.pc GROUP BY a.song_id, a.frame)
+      SELECT e.song_id, e.pos AS beat, round(coalesce(0.5 * (1 - c) + 0.5 * CASE WHEN e.k % 12 = p.k % 12 THEN 0 ELSE 1 END, 0), 6) AS novelty FROM ev e LEFT JOIN pairs ON pairs.song_id = e.song_id AND pairs.frame = e.pos LEFT JOIN ev p ON p.song_id = e.song_id AND p.pos = e.pos - 1""",
+    "zscore": f"WITH {SERIES} SELECT song_id, beat, round(low_z, 6) AS low_z, round(full_z, 6) AS full_z, round(nov_z, 6) AS nov_z FROM scored",
+    "grid_coverage": f"""WITH {EV}, {every()}, points AS (SELECT song_id, frame * 3 AS f FROM grid), onsets AS (SELECT song_id, pos * 3 AS f FROM ev WHERE value * k / 100.0::DOUBLE > 40),
+      d AS (SELECT o.song_id, o.f, min(abs(o.f - p.f)) AS d FROM onsets o JOIN points p USING (song_id) GROUP BY o.song_id, o.f)
+      SELECT song_id, round(avg(CASE WHEN d <= greatest(1, 0.12 * 15) THEN 1.0 ELSE 0 END), 6) AS coverage FROM d GROUP BY song_id""",
+    "tempo_fold": f"WITH {FOLD} SELECT song_id, round(bpm, 6) AS measured_bpm, fold, round(time, 6) AS time, row_number() OVER (PARTITION BY song_id ORDER BY time) - 1 AS beat, round(bpm * fold / 2, 6) AS tempo_half, round(bpm * fold * 2, 6) AS tempo_double FROM times",
+    "extend_grid": f"""WITH {SERIES}, own AS (SELECT * FROM beats WHERE beat > 6), gaps AS (SELECT song_id, frame, lead(frame) OVER (PARTITION BY song_id ORDER BY frame) - frame AS g FROM own),
+      about AS (SELECT song_id, quantile_cont(g, 0.5) AS iv, min(frame) AS a, max(frame) AS z FROM gaps GROUP BY song_id), sizes AS (SELECT song_id, max(frame) + 70 AS n FROM beats GROUP BY song_id),
+      steps AS (SELECT *, unnest(range(1, 60)) AS s FROM about JOIN sizes USING (song_id)),
+      extra AS (SELECT song_id, greatest(0, round_even(a - s * iv, 0)) AS frame FROM steps WHERE a - s * iv >= -0.25 * iv UNION ALL SELECT song_id, round_even(z + s * iv, 0) FROM steps WHERE z + s * iv <= n - 1 - 0.25 * iv UNION ALL SELECT song_id, frame FROM own)
+      SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY frame) - 1 AS beat, CAST(frame AS INT) AS frame FROM extra""",
+    "tempo_stability": f"WITH {SERIES}, g AS (SELECT song_id, lead(time) OVER (PARTITION BY song_id ORDER BY beat) - time AS g FROM beats) SELECT song_id, round(stddev_pop(g) / avg(g), 6) AS stability FROM g GROUP BY song_id",
+    "triplet_feel": f"""WITH {EV}, {every(7)}, spans AS (SELECT song_id, frame, lead(frame) OVER (PARTITION BY song_id ORDER BY beat) - frame AS span FROM grid),
+      points AS (SELECT song_id, unnest(['third', 'third', 'half']) AS kind, unnest([frame + round_even(span / 3.0, 0), frame + round_even(span * 2 / 3.0, 0), frame + round_even(span / 2.0, 0)]) AS at FROM spans WHERE span >= 6),
+      peak AS (SELECT song_id, pos, max(value) OVER (PARTITION BY song_id ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM ev),
+      m AS (SELECT p.song_id, avg(x) FILTER (kind = 'third') AS a, avg(x) FILTER (kind = 'half') AS b FROM points p JOIN peak ON peak.song_id = p.song_id AND peak.pos = p.at GROUP BY p.song_id)
+      SELECT song_id, round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0 END, 6) AS triplet FROM m""",
+    "autocorrelation": f"WITH {SERIES}, {acf('low', 'acl')} SELECT song_id, lag, round(acf, 6) AS acf FROM acl",
+    "estimate_meter": f"WITH {METER} SELECT song_id, label, bpb, round(confidence, 6) AS confidence, best FROM meter",
+    "downbeat_phase": f"WITH {PHASE} SELECT song_id, bpb, phase FROM tempo",
+    "build_bars": f"""WITH {PHASE}, ends AS (SELECT song_id, max(beat) AS last FROM beats GROUP BY song_id),
+      starts AS (SELECT b.song_id, (b.beat - phase) // bpb AS index, time AS start, b.beat AS beat_start, least(b.beat + bpb, last) AS beat_end FROM beats b JOIN tempo USING (song_id) JOIN ends USING (song_id) WHERE b.beat >= phase AND (b.beat - phase) % bpb = 0 AND b.beat < last)
+      SELECT s.song_id, index, round(start, 6) AS start, round(e.time, 6) AS "end", beat_start, beat_end FROM starts s JOIN beats e ON e.song_id = s.song_id AND e.beat = s.beat_end""",
+    "harmonic_novelty": f"""WITH {FRAMES}, u AS (SELECT song_id, frame, pc, raw / sqrt(sum(raw * raw) OVER (PARTITION BY song_id, frame)) AS x FROM tones),
+      s AS (SELECT song_id, frame, pc, avg(x) OVER b AS b, avg(x) OVER a AS a, count(*) OVER b AS nb, count(*) OVER a AS na FROM u WINDOW b AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
+      SELECT song_id, frame, round(CASE WHEN any_value(nb) = 4 AND any_value(na) = 4 THEN 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) ELSE 0 END, 6) AS novelty FROM s GROUP BY song_id, frame""",
+    "chord_template_scores": f"WITH {HEARD} SELECT song_id, beat, round(sum(score * (state + 1)), 4) AS x FROM heard GROUP BY song_id, beat",
+    "key_prior": f"WITH {HEARD} SELECT song_id, beat, any_value(key_tonic) AS key_tonic, any_value(key_mode) AS key_mode, round(sum(prior * (state + 1)), 4) AS x FROM heard GROUP BY song_id, beat",
+    "chord_emission": f"WITH {HEARD} SELECT song_id, beat, round(sum(emission * (state + 1)), 4) AS x FROM heard GROUP BY song_id, beat",
+    "change_probability": f"WITH {HEARD} SELECT DISTINCT song_id, beat, p_change FROM heard",
+    "chord_path": f"WITH RECURSIVE {CHORD_PATH} SELECT song_id, beat, state FROM chosen",
+    "chord_segments": f"""WITH RECURSIVE {SEGMENTS} SELECT song_id, pos, root_pc, quality, round(start, 6) AS start, round(stop, 6) AS "end", round(stop - start, 6) AS duration, beat_start, beat_end, round(confidence, 6) AS confidence,
+      CASE WHEN beat_start >= song_id % 3 THEN (beat_start - song_id % 3) // 4 ELSE -1 END AS bar FROM segments""",
+    "spell_chords": f"""WITH RECURSIVE {SEGMENTS}, mid AS (SELECT *, CASE WHEN (start + stop) / 2 < 300 THEN song_id % 12 ELSE (song_id + 7) % 12 END AS key_tonic, CASE WHEN (start + stop) / 2 < 300 THEN 'major' ELSE 'minor' END AS key_mode FROM segments)
+      SELECT song_id, pos, {spelled("root_pc", "key_tonic", "key_mode")} AS root, quality, key_tonic, key_mode FROM mid""",
+    "chord_accuracy": f"WITH {FOUND} SELECT song_id, round(accuracy, 6) AS accuracy FROM accuracy",
+    "regression_report": f"""WITH {FOUND}, f AS (SELECT * FROM ev WHERE pos = 0) SELECT song_id, k % 7 > 0 AND k % 12 = k % 11 AS key_ok, k % 7 > 0 AND abs((k * 1.02::DOUBLE + 60) / (k + 60) - 1) < 0.04 AS tempo_ok, k % 7 > 0 AND k % 2 = 0 AS meter_ok, round(accuracy, 6) AS chord_accuracy FROM f JOIN accuracy USING (song_id)""",
+}
+
+_TURN = "list_concat(({0})[t + 1:], ({0})[:t])"
+BAR_FEATURES = f"""{FRAMES}, rows AS (SELECT t.song_id, t.frame // 4 AS bar, t.pc, quantile_cont(raw, 0.5) AS c, avg(CASE WHEN pc = k % 12 THEN value ELSE 0 END) AS b FROM tones t JOIN ev e ON e.song_id = t.song_id AND e.pos = t.frame GROUP BY t.song_id, t.frame // 4, t.pc
+), bars AS (SELECT song_id, pos // 4 AS bar, CASE WHEN min(t) < 300 THEN song_id % 12 ELSE (song_id + 7) % 12 END AS tonic, avg(value) AS rms FROM ev GROUP BY song_id, pos // 4
+), turned AS (SELECT song_id, bar, (pc - tonic + 12) % 12 AS p, c / coalesce(nullif(sqrt(sum(c * c) OVER w), 0), 1) AS c, b / coalesce(nullif(sqrt(sum(b * b) OVER w), 0), 1) AS b, rms FROM rows JOIN bars USING (song_id, bar) WINDOW w AS (PARTITION BY song_id, bar))"""
+
+BAR_VECTORS = """own AS (SELECT label AS song_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS bar, embedding FROM embeddings
+), placed AS (SELECT *, ([0, 1, 0, 1, 2, 1, 3, 3])[bar // 8 % 8 + 1] * 8 + bar % 8 AS source FROM own
+), cells AS (SELECT p.song_id, p.bar, unnest(range(64)) AS i, unnest(p.embedding) AS mine, unnest(coalesce(o.embedding, p.embedding)) AS form FROM placed p LEFT JOIN own o ON o.song_id = p.song_id AND o.bar = p.source
+), mixed AS (SELECT song_id, bar, i, CAST(form AS DOUBLE) + CAST(mine AS DOUBLE) * 0.05::DOUBLE AS x FROM cells
+), loud AS (SELECT song_id, bar, sqrt(sum(x * x)) AS e FROM mixed WHERE i BETWEEN 36 AND 39 GROUP BY song_id, bar
+), harmony AS (SELECT song_id, bar, i, x / sqrt(sum(x * x) OVER (PARTITION BY song_id, bar, i // 12)) * CASE WHEN i >= 12 THEN 0.5::DOUBLE ELSE 1 END AS x FROM mixed WHERE i < 24
+), timbre AS (SELECT song_id, bar, i, (x - avg(x) OVER w) / stddev_pop(x) OVER w * 0.2::DOUBLE / sqrt(12) AS x FROM mixed WHERE i BETWEEN 24 AND 35 WINDOW w AS (PARTITION BY song_id, i)
+), v AS (SELECT song_id, bar, sum(x * (i + 1)) AS v FROM (SELECT * FROM harmony UNION ALL SELECT * FROM timbre) GROUP BY song_id, bar
+), z AS (SELECT song_id, bar, 37 * 0.2::DOUBLE * greatest(-2.5, least(2.5, (e - avg(e) OVER w) / stddev_pop(e) OVER w)) AS z FROM loud WINDOW w AS (PARTITION BY song_id))"""
+
+ORACLES |= {
+    "bar_features": f"WITH {BAR_FEATURES} SELECT song_id, bar, round(sum(c * (p + 1)), 4) AS chroma, round(sum(b * (p + 1)), 4) AS bass, round(any_value(rms), 6) AS rms FROM turned GROUP BY song_id, bar",
+    "bar_vectors": f"WITH {BAR_VECTORS} SELECT song_id, bar, round(v, 4) AS v, round(v + z, 4) AS w FROM v JOIN z USING (song_id, bar)",
+    "merge_parts": f"""WITH {chords()}, f AS (SELECT *, CASE WHEN root_pc = lag(root_pc) OVER (PARTITION BY song_id ORDER BY pos) THEN 0 ELSE 1 END AS f FROM chords), g AS (SELECT *, sum(f) OVER (PARTITION BY song_id ORDER BY pos) AS g FROM f)
+      SELECT song_id, CAST(g - 1 AS INT) AS part, any_value(root_pc) AS cluster, min(pos) * 4 AS a, max(pos) * 4 + 4 AS b, CAST(count(*) AS INT) AS blocks FROM g GROUP BY song_id, g""",
+}

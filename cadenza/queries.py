@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import names as N
+from cadenza.operators import beats as B
+from cadenza.operators import chords as C
+from cadenza.operators import evaluate as E
 from cadenza.operators import key as K
 from cadenza.operators import progression as P
+from cadenza.operators import structure as S
 from cadenza.sources import adapters as A
 from cadenza.sources import requests as R
 
@@ -286,3 +290,292 @@ def endpoint_evidence(spark, sf_dir):
 def refine_key_mode(spark, sf_dir):
     best = _candidates(spark, sf_dir).where("rank = 1").select("song_id", "tonic", "mode", F.col("score").alias("confidence"), F.lit(0.0).alias("margin"))
     return rounded(K.refine_key_mode(best, A.chords(spark, sf_dir), A.frames(spark, sf_dir), 1.0), "confidence")
+
+
+# beats: one event a beat; where frames matter, every fifth note is a beat
+
+
+def _every(spark, sf_dir, n=5):
+    return A.song_events(spark, sf_dir).where(F.col("pos") % n == 0).select("song_id", (F.col("pos") / n).cast("int").alias("beat"), F.col("pos").alias("frame"), F.col("t").alias("time"))
+
+
+def _series(spark, sf_dir):
+    return B.zscore(A.beat_series(spark, sf_dir), {"low": "low_z", "full": "full_z", "nov": "nov_z"})
+
+
+def _n_frames(spark, sf_dir):
+    return A.beat_series(spark, sf_dir).groupBy("song_id").agg((F.max("frame") + 70).alias("n"))
+
+
+@query
+def beat_accents(spark, sf_dir):
+    return B.beat_accents(A.frames(spark, sf_dir), _every(spark, sf_dir)).select("song_id", "beat", "acc_low_env", "acc_onset_env")
+
+
+@query
+def beat_chroma(spark, sf_dir):
+    return _spread(B.beat_chroma(A.frames(spark, sf_dir), _every(spark, sf_dir)), "chroma", "song_id", "beat")
+
+
+@query
+def beat_novelty(spark, sf_dir):
+    rows = A.frames(spark, sf_dir).withColumnRenamed("frame", "beat")
+    return rounded(B.beat_novelty(rows), "novelty").select("song_id", "beat", "novelty")
+
+
+@query
+def zscore(spark, sf_dir):
+    return rounded(_series(spark, sf_dir), "low_z", "full_z", "nov_z").select("song_id", "beat", "low_z", "full_z", "nov_z")
+
+
+@query
+def onset_peaks(spark, sf_dir):
+    return B.onset_peaks(A.frames(spark, sf_dir))
+
+
+@query
+def grid_coverage(spark, sf_dir):
+    onsets = A.frames(spark, sf_dir).where("low_env > 40").select("song_id", (F.col("frame") * 3).alias("frame"))
+    return rounded(B.grid_coverage(onsets, _every(spark, sf_dir).select("song_id", (F.col("frame") * 3).alias("frame"))), "coverage")
+
+
+@query
+def tempo_fold(spark, sf_dir):
+    speed = F.pmod("song_id", F.lit(3))
+    rows = A.beat_series(spark, sf_dir).withColumn("time", F.col("time") / F.when(speed == 0, 1.0).when(speed == 1, 12.0).otherwise(40.0))
+    return rounded(B.tempo_fold(rows), "measured_bpm", "time", "tempo_half", "tempo_double")
+
+
+@query
+def extend_grid(spark, sf_dir):
+    return B.extend_grid(A.beat_series(spark, sf_dir).where("beat > 6"), _n_frames(spark, sf_dir))
+
+
+@query
+def tempo_stability(spark, sf_dir):
+    return rounded(B.tempo_stability(A.beat_series(spark, sf_dir)), "stability")
+
+
+@query
+def triplet_feel(spark, sf_dir):
+    return rounded(B.triplet_feel(A.frames(spark, sf_dir), _every(spark, sf_dir, 7)), "triplet")
+
+
+@query
+def autocorrelation(spark, sf_dir):
+    return rounded(B.autocorrelation(A.beat_series(spark, sf_dir), "low"), "acf")
+
+
+def _meter(spark, sf_dir):
+    beats = A.beat_series(spark, sf_dir)
+    feel = beats.where("beat = 0").select("song_id", (F.pmod("song_id", F.lit(8)) / 50 + 0.40).alias("triplet"))
+    return B.estimate_meter(B.autocorrelation(beats, "low"), B.autocorrelation(beats, "nov"), feel)
+
+
+@query
+def estimate_meter(spark, sf_dir):
+    found = rounded(_meter(spark, sf_dir), "confidence")
+    return found.select("song_id", "label", "bpb", "confidence", F.array_join(F.transform("alternatives", lambda a: a["label"]), " ").alias("best"))
+
+
+def _tempo(spark, sf_dir):
+    return B.downbeat_phase(_series(spark, sf_dir), _meter(spark, sf_dir))
+
+
+@query
+def downbeat_phase(spark, sf_dir):
+    return _tempo(spark, sf_dir)
+
+
+@query
+def build_bars(spark, sf_dir):
+    return rounded(B.build_bars(A.beat_series(spark, sf_dir), _tempo(spark, sf_dir)), "start", "end")
+
+
+@query
+def harmonic_novelty(spark, sf_dir):
+    return rounded(B.harmonic_novelty(A.frames(spark, sf_dir), 4), "novelty")
+
+
+# chords: one note a beat; two stretches of key in every song
+
+
+def _chord_beats(spark, sf_dir):
+    times = A.song_events(spark, sf_dir).select("song_id", F.col("pos").alias("frame"), F.col("t").alias("time"))
+    return A.frames(spark, sf_dir).join(times, ["song_id", "frame"]).withColumnRenamed("frame", "beat").select("song_id", "beat", "time", "chroma", "bass")
+
+
+def _two_keys(spark, sf_dir):
+    songs = A.song_events(spark, sf_dir).where("pos = 0").select("song_id")
+    one = songs.select("song_id", F.lit(0).alias("seg"), F.lit(0.0).alias("start"), F.lit(300.0).alias("end"), F.pmod("song_id", F.lit(12)).cast("int").alias("tonic"), F.lit("major").alias("mode"))
+    two = songs.select("song_id", F.lit(1), F.lit(299.5), F.lit(600.0), F.pmod(F.col("song_id") + 7, F.lit(12)).cast("int"), F.lit("minor"))
+    return one.union(two), one.select("song_id", "tonic", "mode"), songs.select("song_id", F.pmod("song_id", F.lit(3)).cast("int").alias("phase"), F.lit(4).alias("bpb"))
+
+
+def _heard(spark, sf_dir):
+    timeline, key, tempo = _two_keys(spark, sf_dir)
+    scored = C.chord_template_scores(_chord_beats(spark, sf_dir))
+    return C.change_probability(C.chord_emission(C.key_prior(scored, timeline, key)), tempo)
+
+
+def _segments(spark, sf_dir):
+    beats = _heard(spark, sf_dir)
+    return C.chord_segments(C.chord_path(beats), beats, _two_keys(spark, sf_dir)[2])
+
+
+def _weighed(column):
+    """One number for an array of sixty: each entry times its place."""
+    return F.round(F.aggregate(F.transform(column, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4)
+
+
+@query
+def chord_template_scores(spark, sf_dir):
+    return C.chord_template_scores(_chord_beats(spark, sf_dir)).select("song_id", "beat", _weighed("scores").alias("x"))
+
+
+@query
+def key_prior(spark, sf_dir):
+    timeline, key, _ = _two_keys(spark, sf_dir)
+    return C.key_prior(_chord_beats(spark, sf_dir), timeline, key).select("song_id", "beat", "key_tonic", "key_mode", _weighed("prior").alias("x"))
+
+
+@query
+def chord_emission(spark, sf_dir):
+    return _heard(spark, sf_dir).select("song_id", "beat", _weighed("emission").alias("x"))
+
+
+@query
+def change_probability(spark, sf_dir):
+    return _heard(spark, sf_dir).select("song_id", "beat", "p_change")
+
+
+@query
+def chord_path(spark, sf_dir):
+    return C.chord_path(_heard(spark, sf_dir))
+
+
+@query
+def chord_segments(spark, sf_dir):
+    return rounded(_segments(spark, sf_dir), "start", "end", "duration", "confidence")
+
+
+@query
+def spell_chords(spark, sf_dir):
+    timeline, key, _ = _two_keys(spark, sf_dir)
+    return C.spell_chords(_segments(spark, sf_dir), timeline, key).select("song_id", "pos", "root", "quality", "key_tonic", "key_mode")
+
+
+# evaluation: narrow chords as truth, the same with other roots now and then as found
+
+
+def _found_and_true(spark, sf_dir):
+    rows = A.chords(spark, sf_dir)
+    found = rows.select("song_id", (F.col("start") + 0.5).alias("start"), (F.col("end") + 0.5).alias("end"), F.when(F.col("pos") % 5 == 0, 1).otherwise(F.col("root_pc")).alias("root_pc"), "quality")
+    return found, rows.select("song_id", F.col("start").alias("t0"), F.col("end").alias("t1"), F.col("root_pc").alias("root"), "quality")
+
+
+@query
+def chord_accuracy(spark, sf_dir):
+    return rounded(E.chord_accuracy(*_found_and_true(spark, sf_dir)), "accuracy")
+
+
+@query
+def regression_report(spark, sf_dir):
+    first = A.song_events(spark, sf_dir).where("pos = 0")
+    meter = N.entry(("4/4", "3/4"), F.pmod("k", F.lit(2)))
+    truth = first.select("song_id", F.pmod("k", F.lit(12)).alias("tonic"), (F.col("k") + 60.0).alias("bpm"), meter.alias("meter"))
+    found = first.where("k % 7 > 0").select("song_id", F.pmod("k", F.lit(11)).alias("tonic"), (F.col("k") * 1.02 + 60).alias("bpm"), F.lit("4/4").alias("meter"))
+    return rounded(E.regression_report(found, truth, E.chord_accuracy(*_found_and_true(spark, sf_dir))), "chord_accuracy")
+
+
+# structure: bars of one song per label, two seconds each
+
+
+def _vector_bars(spark, sf_dir):
+    v = A.bar_vectors(spark, sf_dir)
+    length = F.sqrt(F.aggregate(F.slice("v", 37, 4), F.lit(0.0), lambda a, x: a + x * x))
+    part = lambda k: F.slice("v", k, 12)
+    return v.select("song_id", "bar", S.unit(part(1)).alias("chroma"), S.unit(part(13)).alias("bass"), part(25).alias("timbre"), length.alias("rms"), (F.col("bar") * 2.0).alias("start"), (F.col("bar") * 2.0 + 2).alias("end"))
+
+
+def _bars(spark, sf_dir):
+    return S.bar_vectors(_vector_bars(spark, sf_dir))
+
+
+def _parts(spark, sf_dir):
+    bars = _bars(spark, sf_dir)
+    blocks = S.block_clusters(bars)
+    parts = S.settle_parts(S.merge_parts(blocks), bars, blocks)
+    return S.name_vamps(S.name_parts(parts, bars), S.line_clusters(bars))
+
+
+def _sections(spark, sf_dir):
+    rows = sequence(spark, sf_dir).where("song_id < 10").select("song_id", "pos", "chord", "nashville", (F.col("start") / 6).alias("start"))
+    return S.sections(_parts(spark, sf_dir), rows, _vector_bars(spark, sf_dir))
+
+
+@query
+def bar_features(spark, sf_dir):
+    timeline, key, _ = _two_keys(spark, sf_dir)
+    events = A.song_events(spark, sf_dir)
+    bars = events.groupBy("song_id", F.floor(F.col("pos") / 4).cast("int").alias("bar")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("t").alias("start"))
+    found = S.bar_features(A.frames(spark, sf_dir), bars, timeline, key)
+    return found.select("song_id", "bar", _weighed("chroma").alias("chroma"), _weighed("bass").alias("bass"), F.round("rms", 6).alias("rms"))
+
+
+@query
+def bar_vectors(spark, sf_dir):
+    return _bars(spark, sf_dir).select("song_id", "bar", _weighed("v").alias("v"), _weighed("w").alias("w"))
+
+
+@query
+def choose_tiling(spark, sf_dir):
+    return rounded(S.choose_tiling(_bars(spark, sf_dir)), "score")
+
+
+@query
+def block_clusters(spark, sf_dir):
+    return S.block_clusters(_bars(spark, sf_dir))
+
+
+@query
+def merge_parts(spark, sf_dir):
+    return S.merge_parts(A.chords(spark, sf_dir).select("song_id", (F.col("pos") * 4).alias("a"), (F.col("pos") * 4 + 4).alias("b"), F.col("root_pc").alias("cluster")))
+
+
+@query
+def settle_parts(spark, sf_dir):
+    bars = _bars(spark, sf_dir)
+    blocks = S.block_clusters(bars)
+    return S.settle_parts(S.merge_parts(blocks), bars, blocks)
+
+
+@query
+def line_clusters(spark, sf_dir):
+    return S.line_clusters(_bars(spark, sf_dir))
+
+
+@query
+def name_parts(spark, sf_dir):
+    return _parts(spark, sf_dir)
+
+
+@query
+def song_sections(spark, sf_dir):
+    return _sections(spark, sf_dir).select("song_id", "part", "label", "name", "instance", "of", "start", "end", joined("chords").alias("chords"), joined("nashville").alias("nashville"))
+
+
+@query
+def structure_repeats(spark, sf_dir):
+    found = S.structure_repeats(_sections(spark, sf_dir), _bars(spark, sf_dir))
+    return found.select("song_id", "label", "name", "occurrences", F.size("instances").alias("n"), joined("chords").alias("chords"), "loudness")
+
+
+@query
+def line_repeats(spark, sf_dir):
+    return S.line_repeats(S.line_clusters(_bars(spark, sf_dir)), _sections(spark, sf_dir)).select("song_id", "line", "occurrences", joined("parts").alias("parts"))
+
+
+@query
+def form_string(spark, sf_dir):
+    return S.form_string(_sections(spark, sf_dir))

@@ -59,9 +59,9 @@ def chords(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature frames: song_id, frame, chroma and bass (12 each), onset_env, low_env, rms. A note sounds with a fifth and a third."""
     note = F.pmod("k", F.lit(12))
-    tone = lambda pc, gain: F.when(F.lit(pc) == note, F.col("value")).when(F.pmod(note + 7, F.lit(12)) == pc, F.col("value") * 0.5).when(F.pmod(note + 4, F.lit(12)) == pc, F.col("value") * gain).otherwise(0.0)
+    tone = lambda pc, gain: F.when(F.lit(pc) == note, F.col("value")).when(F.pmod(note + 7, F.lit(12)) == pc, F.col("value") * 0.51).when(F.pmod(note + 4, F.lit(12)) == pc, F.col("value") * gain).otherwise(0.0)
     return song_events(spark, sf_dir).select(
-        "song_id", F.col("pos").alias("frame"), F.array(*(tone(p, 0.25) for p in range(12))).alias("chroma"),
+        "song_id", F.col("pos").alias("frame"), F.array(*(tone(p, 0.23) for p in range(12))).alias("chroma"),
         F.array(*(F.when(note == p, F.col("value")).otherwise(0.0) for p in range(12))).alias("bass"),
         F.col("value").alias("onset_env"), (F.col("value") * F.col("k") / 100.0).alias("low_env"), F.col("value").alias("rms"),
     )
