@@ -406,3 +406,7 @@ ORACLES |= {
     "merge_parts": f"""WITH {chords()}, f AS (SELECT *, CASE WHEN root_pc = lag(root_pc) OVER (PARTITION BY song_id ORDER BY pos) THEN 0 ELSE 1 END AS f FROM chords), g AS (SELECT *, sum(f) OVER (PARTITION BY song_id ORDER BY pos) AS g FROM f)
       SELECT song_id, CAST(g - 1 AS INT) AS part, any_value(root_pc) AS cluster, min(pos) * 4 AS a, max(pos) * 4 + 4 AS b, CAST(count(*) AS INT) AS blocks FROM g GROUP BY song_id, g""",
 }
+
+ORACLES["song_document"] = f"""WITH {PATTERNS}, kept AS (SELECT * FROM patterns p WHERE NOT EXISTS (SELECT 1 FROM patterns q WHERE q.song_id = p.song_id AND q.length > p.length AND contains(' ' || q.pattern || ' ', ' ' || p.pattern || ' '))),
+  n AS (SELECT song_id, CAST(count(*) AS INT) AS n FROM kept GROUP BY song_id), c AS (SELECT song_id, CAST(count(*) AS INT) AS n_chords, string_agg(chord, ' ' ORDER BY pos) AS chords FROM seq GROUP BY song_id)
+  SELECT song_id, n_chords, coalesce(n, 0) AS n_patterns, chords FROM c LEFT JOIN n USING (song_id)"""

@@ -13,7 +13,9 @@ from cadenza.operators import chords as C
 from cadenza.operators import evaluate as E
 from cadenza.operators import key as K
 from cadenza.operators import progression as P
+from cadenza.operators import rescue as X
 from cadenza.operators import structure as S
+from cadenza.plans import document as D
 from cadenza.sources import adapters as A
 from cadenza.sources import requests as R
 
@@ -579,3 +581,38 @@ def line_repeats(spark, sf_dir):
 @query
 def form_string(spark, sf_dir):
     return S.form_string(_sections(spark, sf_dir))
+
+
+# second thoughts, and the whole document
+
+
+@query
+def refine_pulse(spark, sf_dir):
+    beats = A.song_events(spark, sf_dir).where("pos % 4 = 0").select("song_id", (F.col("pos") / 4).cast("int").alias("beat"), (F.col("pos") * 10).cast("int").alias("frame"))
+    onsets = A.frames(spark, sf_dir).where("low_env > 20").select("song_id", (F.col("frame") * 10).alias("frame"))
+    return X.refine_pulse(beats, onsets)
+
+
+def _periods(spark, sf_dir):
+    frames = A.frames(spark, sf_dir)
+    return X.bar_period(frames.join(B.harmonic_novelty(frames, 2), ["song_id", "frame"]), 0.2)
+
+
+@query
+def bar_period(spark, sf_dir):
+    return rounded(_periods(spark, sf_dir).select("song_id", "bar_s", "strength"), "bar_s", "strength")
+
+
+@query
+def rescue_meter(spark, sf_dir):
+    bars = A.song_events(spark, sf_dir).where("pos < 5").select("song_id", (F.col("pos") * 1.3).alias("start"), (F.col("pos") * 1.3 + 1.3).alias("end"))
+    return rounded(X.rescue_meter(_periods(spark, sf_dir), bars, 0.2), "bpm", "share")
+
+
+@query
+def song_document(spark, sf_dir):
+    songs = A.song_events(spark, sf_dir).where("pos = 0").select("song_id")
+    chords = sequence(spark, sf_dir).select("song_id", "pos", "chord", "nashville")
+    patterns = P.maximal_patterns(P.repeated_patterns(sequence(spark, sf_dir))).select("song_id", "first_pos", "length", "occurrences")
+    out = D.song_document(songs, {"chords": (chords, "pos"), "patterns": (patterns, "first_pos")})
+    return out.select("song_id", F.size("chords").alias("n_chords"), F.when(F.col("patterns").isNull(), 0).otherwise(F.size("patterns")).alias("n_patterns"), F.array_join(F.transform("chords", lambda c: c["chord"]), " ").alias("chords"))
