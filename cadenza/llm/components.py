@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import shared_dir
 
+#: Edges that one task of a round handles.
+EDGES_PER_TASK = 200_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Component of every node that has an edge: columns node and component (its least node).
@@ -18,21 +21,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Loops, repeated edges and edges with a null end are allowed; the latter are ignored.
     """
     shared_dir(edges.sparkSession)
-    low, high = F.least("a", "b"), F.greatest("a", "b")
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    now = now.select(low.alias("u"), high.alias("v")).distinct().checkpoint()  # u < v
-    if now.isEmpty():
-        return now.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+    now = now.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().checkpoint()  # u < v
+    state = _state(now)
+    while state[0]:
+        # as many tasks as the edges are worth, so that a small graph doesn't leave a file for each of many empty partitions
+        tasks = state[0] // EDGES_PER_TASK + 1
+        now = now.coalesce(tasks)
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").coalesce(tasks)
         # from here on every edge points from a smaller node to a larger one; a node keeps only its least neighbour
-        lowest = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(lowest, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct().checkpoint()
-        changed = small.exceptAll(now).limit(1).count() + now.exceptAll(small).limit(1).count()
-        now = small
-        if not changed:
+        lowest = large.groupBy("v").agg(F.min("u").alias("m")).coalesce(tasks)
+        small = large.join(lowest, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e"))
+        now = small.coalesce(tasks).select("e.*").where("u <> v").distinct().coalesce(tasks).checkpoint()
+        before, state = state, _state(now)
+        if state == before:
             break
     members = now.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return members.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple[int, int, int]:
+    """Number of edges and two sums of their hashes: equal for equal sets of edges."""
+    h = lambda seed: F.sum(F.xxhash64("u", "v", F.lit(seed)) % (1 << 40))
+    r = edges.agg(F.count(F.lit(1)).alias("n"), h(1).alias("x"), h(2).alias("y")).first()
+    return r["n"], r["x"] or 0, r["y"] or 0
