@@ -410,3 +410,11 @@ ORACLES |= {
 ORACLES["song_document"] = f"""WITH {PATTERNS}, kept AS (SELECT * FROM patterns p WHERE NOT EXISTS (SELECT 1 FROM patterns q WHERE q.song_id = p.song_id AND q.length > p.length AND contains(' ' || q.pattern || ' ', ' ' || p.pattern || ' '))),
   n AS (SELECT song_id, CAST(count(*) AS INT) AS n FROM kept GROUP BY song_id), c AS (SELECT song_id, CAST(count(*) AS INT) AS n_chords, string_agg(chord, ' ' ORDER BY pos) AS chords FROM seq GROUP BY song_id)
   SELECT song_id, n_chords, coalesce(n, 0) AS n_patterns, chords FROM c LEFT JOIN n USING (song_id)"""
+
+#: Columns that the queries return as 32-bit integers.
+_INTEGERS = {
+    "maximal_patterns": ("length",), "key_candidates": ("tonic", "rank"), "key_windows": ("win", "pc"), "region_scores": ("win", "pc"), "key_runner_up": ("tonic",), "endpoint_evidence": ("tonic",), "refine_key_mode": ("tonic",),
+    "beat_chroma": ("pc",), "tempo_fold": ("beat",), "extend_grid": ("beat",), "key_prior": ("key_tonic",), "chord_segments": ("bar",), "spell_chords": ("key_tonic",), "bar_vectors": ("bar",),
+}
+for _name, _columns in _INTEGERS.items():
+    ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in _columns)}) FROM ({ORACLES[_name]})"
