@@ -504,10 +504,14 @@ def _bars(spark, sf_dir):
     return S.bar_vectors(_vector_bars(spark, sf_dir))
 
 
-def _parts(spark, sf_dir):
+def _settled(spark, sf_dir, **steps):
     bars = _bars(spark, sf_dir)
     blocks = S.block_clusters(bars)
-    parts = S.settle_parts(S.merge_parts(blocks), bars, blocks)
+    return S.settle_parts(S.merge_parts(blocks), bars, blocks, **steps), bars
+
+
+def _parts(spark, sf_dir):
+    parts, bars = _settled(spark, sf_dir)
     return S.name_vamps(S.name_parts(parts, bars), S.line_clusters(bars))
 
 
@@ -546,10 +550,18 @@ def merge_parts(spark, sf_dir):
 
 
 @query
-def settle_parts(spark, sf_dir):
-    bars = _bars(spark, sf_dir)
-    blocks = S.block_clusters(bars)
-    return S.settle_parts(S.merge_parts(blocks), bars, blocks)
+def attach_fragments(spark, sf_dir):
+    return S.block_clusters(_bars(spark, sf_dir)).where("b - a < length")
+
+
+@query
+def merge_inseparable(spark, sf_dir):
+    return _settled(spark, sf_dir, split=False)[0]
+
+
+@query
+def split_long_parts(spark, sf_dir):
+    return _settled(spark, sf_dir)[0]
 
 
 @query
@@ -559,11 +571,16 @@ def line_clusters(spark, sf_dir):
 
 @query
 def name_parts(spark, sf_dir):
+    return S.name_parts(*_settled(spark, sf_dir))
+
+
+@query
+def name_vamps(spark, sf_dir):
     return _parts(spark, sf_dir)
 
 
 @query
-def song_sections(spark, sf_dir):
+def sections(spark, sf_dir):
     return _sections(spark, sf_dir).select("song_id", "part", "label", "name", "instance", "of", "start", "end", joined("chords").alias("chords"), joined("nashville").alias("nashville"))
 
 
