@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import RangeHash, materialize, mix, runs, steps, text_of, utf8
 from cadenza.llm.r_index import RunLengthIndex
 
-WINDOW, GRAM = 100, 16
+#: Bytes of a window, and of the gram that anchors it: long enough that unrelated texts seldom share one.
+WINDOW, GRAM = 100, 32
 #: Passages around one anchor that go into one index; anchors with more are compared window by window.
 INDEX_PASSAGES = 20_000
 #: Bytes that one index holds, but for a single anchor's passages.
