@@ -346,7 +346,7 @@ ORACLES |= {
     "beat_chroma": f"""WITH {FRAMES}, {every()}, spans AS (SELECT song_id, beat, frame, least(coalesce(lead(frame) OVER w, frame + coalesce(frame - lag(frame) OVER w, 1)), n) AS stop FROM grid JOIN sizes USING (song_id) WINDOW w AS (PARTITION BY song_id ORDER BY beat))
       SELECT s.song_id, s.beat, pc, round(CASE WHEN count(*) > 2 THEN quantile_cont(raw, 0.5) ELSE avg(raw) END, 6) AS x FROM spans s JOIN tones t ON t.song_id = s.song_id AND t.frame >= s.frame AND t.frame < s.stop GROUP BY s.song_id, s.beat, pc""",
     "beat_novelty": f"""WITH {FRAMES}, pairs AS (SELECT a.song_id, a.frame, sum(a.raw * b.raw) / (sqrt(sum(a.raw * a.raw)) * sqrt(sum(b.raw * b.raw))) AS c FROM tones a JOIN tones b ON b.song_id = a.song_id AND b.frame = a.frame - 1 AND b.pc = a.pc GROUP BY a.song_id, a.frame)
-      SELECT e.song_id, e.pos AS beat, round(coalesce(0.5 * (1 - c) + 0.5 * CASE WHEN e.k % 12 = p.k % 12 THEN 0 ELSE 1 END, 0), 6) AS novelty FROM ev e LEFT JOIN pairs ON pairs.song_id = e.song_id AND pairs.frame = e.pos LEFT JOIN ev p ON p.song_id = e.song_id AND p.pos = e.pos - 1""",
+      SELECT e.song_id, e.pos AS beat, round(coalesce(0.5 * (1 - c) + 0.5 * CASE WHEN e.k % 12 = p.k % 12 THEN 0 ELSE 1 END, 0), 6) + 0.0::DOUBLE AS novelty FROM ev e LEFT JOIN pairs ON pairs.song_id = e.song_id AND pairs.frame = e.pos LEFT JOIN ev p ON p.song_id = e.song_id AND p.pos = e.pos - 1""",
     "zscore": f"WITH {SERIES} SELECT song_id, beat, round(low_z, 6) AS low_z, round(full_z, 6) AS full_z, round(nov_z, 6) AS nov_z FROM scored",
     "grid_coverage": f"""WITH {EV}, {every()}, points AS (SELECT song_id, frame * 3 AS f FROM grid), onsets AS (SELECT song_id, pos * 3 AS f FROM ev WHERE value * k / 100.0::DOUBLE > 40),
       d AS (SELECT o.song_id, o.f, min(abs(o.f - p.f)) AS d FROM onsets o JOIN points p USING (song_id) GROUP BY o.song_id, o.f)
@@ -371,7 +371,7 @@ ORACLES |= {
       SELECT s.song_id, index, round(start, 6) AS start, round(e.time, 6) AS "end", beat_start, beat_end FROM starts s JOIN beats e ON e.song_id = s.song_id AND e.beat = s.beat_end""",
     "harmonic_novelty": f"""WITH {FRAMES}, u AS (SELECT song_id, frame, pc, raw / sqrt(sum(raw * raw) OVER (PARTITION BY song_id, frame)) AS x FROM tones),
       s AS (SELECT song_id, frame, pc, avg(x) OVER b AS b, avg(x) OVER a AS a, count(*) OVER b AS nb, count(*) OVER a AS na FROM u WINDOW b AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
-      SELECT song_id, frame, round(CASE WHEN any_value(nb) = 4 AND any_value(na) = 4 THEN 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) ELSE 0 END, 6) AS novelty FROM s GROUP BY song_id, frame""",
+      SELECT song_id, frame, round(CASE WHEN any_value(nb) = 4 AND any_value(na) = 4 THEN 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) ELSE 0 END, 6) + 0.0::DOUBLE AS novelty FROM s GROUP BY song_id, frame""",
     "chord_template_scores": f"WITH {HEARD} SELECT song_id, beat, round(sum(score * (state + 1)), 4) AS x FROM heard GROUP BY song_id, beat",
     "key_prior": f"WITH {HEARD} SELECT song_id, beat, any_value(key_tonic) AS key_tonic, any_value(key_mode) AS key_mode, round(sum(prior * (state + 1)), 4) AS x FROM heard GROUP BY song_id, beat",
     "chord_emission": f"WITH {HEARD} SELECT song_id, beat, round(sum(emission * (state + 1)), 4) AS x FROM heard GROUP BY song_id, beat",

@@ -191,7 +191,7 @@ WINDOW, HOP = 12, 3
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
-        df = df.withColumn(c, F.round(c, 6))
+        df = df.withColumn(c, F.round(c, 6) + F.lit(0.0))  # no negative zero
     return df
 
 

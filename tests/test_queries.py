@@ -23,7 +23,7 @@ def duck():
 def plain(value):
     if value is None or isinstance(value, float) and math.isnan(value):
         return None
-    return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else value
+    return float(value) + 0.0 if isinstance(value, (int, float)) and not isinstance(value, bool) else value
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
