@@ -86,7 +86,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, WIDTH))
-        for part in steps(batches, "text"):
+        for part in steps(batches, "text", 2 << 20):
             hashes, doc = tokens(*utf8(part.column("text")))
             if len(hashes):
                 total += context_sums(hashes, doc)
