@@ -236,7 +236,9 @@ def extract_text(pages: DataFrame, page: str = "page_id", url: str = "url", html
     give repeated results, null ids and addresses stay null, an empty table gives no rows, other columns are ignored.
     """
     rows = pages.select(F.col(page).alias("page_id"), F.col(url).alias("url"), text_of(html).alias("html"))
-    sample = rows.select(F.xxhash64("page_id", "url").alias("k"), F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy("k", "html").limit(sample_pages).collect()
+    hashed = rows.select(F.xxhash64("page_id", "url").alias("k"), F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    least = [r["k"] for r in hashed.select("k").distinct().orderBy("k").limit(sample_pages).collect()]  # numbers only, then the chosen texts
+    sample = hashed.where(F.col("k").isin(least)).groupBy("k").agg(F.min("html").alias("html")).orderBy("k").collect()
     shared = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in sample]))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
