@@ -48,8 +48,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about `limit` bytes of the text column, and one row at least."""
+#: What a worker process keeps from task to task of one operator.
+KEPT: dict[str, object] = {}
+
+
+def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds about `limit` bytes of the text column, and one row at least.
+
+    Forgets what tasks of other operators kept in this process: all but the entry named `keep`."""
+    for name in [k for k in KEPT if k != keep]:
+        del KEPT[name]
     for batch in batches:
         if not batch.num_rows:
             continue

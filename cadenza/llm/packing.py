@@ -13,15 +13,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize, steps, text_of
+from cadenza.llm.common import KEPT, materialize, steps, text_of
 from cadenza.llm.cutting_stock import plan
 
 SEQUENCE = 4096
 #: Remainders of documents are cut at multiples of this; what is shorter packs by itself.
 UNIT = 32
 END_TOKEN = 2
-#: Entries that a Python worker's memo of encoded chunks may hold (about 200 bytes each) before it starts anew.
-MEMO_ENTRIES = 1_200_000
+#: Entries that a worker's memo of encoded chunks may hold (about 200 bytes each) before it starts anew.
+MEMO_ENTRIES = 1_000_000
 
 
 class WordEncoder:
@@ -51,14 +51,11 @@ class WordEncoder:
         return [b"".join(map(ids, cs)) for cs in chunks]
 
 
-#: A worker process keeps its encoders from task to task.
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder_for(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder, kept from task to task until another operator runs there."""
+    if not isinstance(kept := KEPT.get(path), WordEncoder):
+        kept = KEPT[path] = WordEncoder(path)
+    return kept
 
 
 def cut_lengths(n: int, sequence: int = SEQUENCE, unit: int = UNIT) -> list[int]:
@@ -77,7 +74,7 @@ def tokenize_and_cut(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, made, part = encoder_for(tokenizer), np.zeros(sequence + 1, np.int64), TaskContext.get().partitionId()
-        for rows in steps(batches, "text", 2 << 20):
+        for rows in steps(batches, "text", 2 << 20, keep=tokenizer):
             out: list[tuple[int, ...]] = []
             cuts: list[bytes] = []
             for row, raw in enumerate(encoder.encode(rows.column("text").to_pylist())):
