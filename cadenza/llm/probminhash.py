@@ -18,6 +18,8 @@ BANDS, PER_BAND = 24, 5
 REGISTERS = BANDS * PER_BAND
 #: How often every shared band draws a new centre, and how many of its centres a document is compared with each time.
 ROUNDS, CENTRES = 3, 2
+#: Band members that are compared as rows of pairs; larger bands are cut into blocks of about so many nodes and shingles.
+FEW, BLOCK_NODES, BLOCK_SHINGLES = 32, 500, 1_000_000
 
 #: Bytes of text that one numpy step sketches, and rows of small tables for one task.
 STEP, ROWS_PER_TASK = 1 << 20, 200_000
@@ -136,20 +138,21 @@ def _sketch(docs: DataFrame) -> DataFrame:
 
 
 def _weighted(texts: DataFrame) -> DataFrame:
-    """node, its sorted shingles and their counts."""
+    """node, its sorted shingles, their counts and their number."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text", STEP):
             owner, hashes, count, sequence = shingles(*utf8(part.column("text")))
             bounds = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)), pa.int32())
-            made = pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(bounds, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(count.astype(np.int32)))], ["node", "shingles", "counts"])
+            size = pa.array(np.diff(bounds.to_numpy()), pa.int32())
+            made = pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(bounds, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(count.astype(np.int32))), size], ["node", "shingles", "counts", "size"])
             yield made.filter(pa.array(sequence.view(np.int64) == part.column("node").to_numpy()))  # an id may have several texts
 
-    return texts.mapInArrow(make, "node long, shingles array<long>, counts array<int>")
+    return texts.mapInArrow(make, "node long, shingles array<long>, counts array<int>, size int")
 
 
 def _verified(pairs: DataFrame, weighted: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b whose similarity is at least the threshold."""
+    """The pairs a, b and whether their similarity is at least the threshold (near)."""
     one = weighted.select(F.col("node").alias("a"), F.col("shingles").alias("s"), F.col("counts").alias("x"))
     two = weighted.select(F.col("node").alias("b"), F.col("shingles").alias("t"), F.col("counts").alias("y"))
 
@@ -159,9 +162,102 @@ def _verified(pairs: DataFrame, weighted: DataFrame, threshold: float) -> DataFr
                 part = batch.slice(at, 200)
                 columns = [[np.asarray(v.values) for v in part.column(c)] for c in ("s", "x", "t", "y")]
                 keep = [probability_jaccard(s.view(np.uint64), x, t.view(np.uint64), y) >= threshold for s, x, t, y in zip(*columns)]
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "near"])
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long, near boolean")
+
+
+def block_links(key: int, part: np.ndarray, label: np.ndarray, bands: np.ndarray, size: np.ndarray, hashes: np.ndarray, counts: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join the classes of one block of a band, or of two blocks (part 0 and 1), as pairs of positions.
+
+    Every pair of different classes is compared in the first band that it shares. The common mass of two sets, each of mass 1, is
+    never less than their similarity, so the exact one is taken only where that mass reaches the threshold.
+    """
+    n = len(label)
+    owner = np.repeat(np.arange(n), size)
+    end = np.cumsum(size)
+    share = counts / np.bincount(owner, counts, n)[owner]
+    known, ids = np.unique(hashes, return_inverse=True)
+    mine = np.zeros(len(known))
+    label, order = label.copy(), np.arange(n)
+    band = int(np.argmax(bands[0] == key))
+    first = part == 0
+    across = not first.all()
+    out = []
+    for i in np.flatnonzero(first).tolist():
+        others = (label != label[i]) & (~first if across else order > i)
+        if not others.any():
+            continue
+        others &= (bands == bands[i]).argmax(axis=1) == band
+        if not others.any():
+            continue
+        at = slice(end[i] - size[i], end[i])
+        mine[ids[at]] = share[at]
+        mass = np.bincount(owner, np.minimum(mine[ids], share), n)
+        mine[ids[at]] = 0
+        for j in np.flatnonzero(others & (mass >= threshold - 1e-9)).tolist():
+            to = slice(end[j] - size[j], end[j])
+            if label[i] != label[j] and probability_jaccard(ids[at], counts[at], ids[to], counts[to]) >= threshold:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _linked_in_blocks(cells: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b of all cells: rows of key, low and high (two blocks of a band, or one twice), part, node, label, bands, shingles, counts."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        cell = None
+
+        def found() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=sum(b.num_rows for b in held))[0]
+            node, label, part = (rows.column(c).to_numpy() for c in ("node", "label", "part"))
+            lists = rows.column("shingles")
+            bands = rows.column("bands").flatten().to_numpy().reshape(len(node), -1)
+            pairs = block_links(cell[0], part, label, bands, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().view(np.uint64), rows.column("counts").flatten().to_numpy(), threshold)
+            i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")], axis=1)
+            starts = np.concatenate([[0], np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1, [len(names)]]).tolist()
+            for start, stop in zip(starts, starts[1:]):
+                if held and cell != tuple(names[start].tolist()):
+                    yield found()
+                    held = []
+                cell = tuple(names[start].tolist())
+                held.append(batch.slice(start, stop - start))
+        if held:
+            yield found()
+
+    at = ["key", "low", "high"]
+    return cells.repartition(*at).sortWithinPartitions(*at).mapInArrow(join, "a long, b long")
+
+
+def _links_left(members: DataFrame, sketch: DataFrame, weighted: DataFrame, label: DataFrame | None, tried: DataFrame | None, threshold: float, tasks: int) -> DataFrame:
+    """Links a, b among all members of a band that are still in different classes, without those tried."""
+    here = members.select("key", "node").coalesce(tasks)
+    here = here.withColumn("label", F.col("node")) if label is None else here.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).coalesce(tasks)
+    mixed = here.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("key", "n").coalesce(tasks)
+    apart = materialize(here.join(mixed, "key").select("key", "node", "label", "n").coalesce(tasks))
+    few = apart.where(F.col("n") <= FEW)
+    one, two = (few.select("key", F.col("node").alias(x), F.col("label").alias(y)) for x, y in (("a", "p"), ("b", "q")))
+    pairs = one.join(two, "key").where("a < b and p <> q").select("a", "b").distinct().coalesce(tasks)
+    if tried is not None:
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").coalesce(tasks)
+    links = _verified(pairs, weighted, threshold).where("near").select("a", "b")
+    many = apart.where(F.col("n") > FEW)
+    if many.isEmpty():
+        return links
+    sizes = many.join(weighted.select("node", "size"), "node").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = many.join(sizes, "key").select("key", "node", "label", "blocks", F.pmod(F.xxhash64("node", "key"), "blocks").cast("int").alias("own"))
+    cells = own.select("key", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("key", "node", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("part"))
+    bands = sketch.join(many.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bands").alias("bands"))
+    return links.unionByName(_linked_in_blocks(cells.join(bands, "node").join(weighted.drop("size"), "node"), threshold))
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rounds: int = ROUNDS, centres: int = CENTRES) -> DataFrame:
@@ -171,10 +267,12 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     similarity of at least the threshold.
 
     1. Texts of equal word sequence are one node, found by an aggregate; later steps see each text once.
-    2. Nodes that share a band are candidates. No pairs are made inside a band: each time, every band draws a centre by hash, and a
-       member that is not yet in the centre's class is compared with those of its centres that it shares most bands with. As each of
-       the 24 bands draws its own centre, and draws again for those who are still apart, a link has many ways to be found.
+    2. Nodes that share a band are candidates. First without pairs inside a band: each time, every band draws a centre by hash, and a
+       member that is not yet in the centre's class is compared with those of its centres that it shares most bands with. That joins
+       dense classes.
     3. Compared pairs are verified by their exact similarity; classes are joined by connected components.
+    4. Members of a band that are still in different classes are then all compared: as pairs in small bands, block against block in
+       large ones. So every two nodes that share a band are compared or already in one class, and rounds and centres only save work.
 
     Null texts and texts without a word are in no class but their own, which has their own id; rows with a null id have the class of
     their text, or a null one if it is theirs alone. Repeated rows each return their class; an empty table gives no rows; other
@@ -191,8 +289,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     wanted = members.select("node", "doc").distinct().select(F.col("node").alias("want"), F.col("doc").alias("d"))
     texts = rows.join(wanted, F.col("doc").eqNullSafe(F.col("d"))).select(F.col("want").alias("node"), "text")
     weighted = materialize(_weighted(texts).dropDuplicates(["node"]))
-    edges = None
-    label = None
+    edges = tried = label = None
     tasks = members.count() // ROWS_PER_TASK + 1  # small tables stay in few partitions
     for turn in range(rounds):
         here = members.select("key", "node").coalesce(tasks)
@@ -201,11 +298,16 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
         tries = here.join(centre, "key").where("label <> of").groupBy("node", "c").agg(F.count(F.lit(1)).alias("n")).coalesce(tasks)
         best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), F.xxhash64("node", "c")))
         pairs = tries.withColumn("k", best).where(F.col("k") <= centres).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).coalesce(tasks).distinct()
-        found = materialize(_verified(pairs, weighted, threshold))
+        checked = materialize(_verified(pairs, weighted, threshold))
+        tried = checked if tried is None else tried.unionByName(checked)
+        found = checked.where("near").select("a", "b")
         if found.isEmpty():
             break
         edges = found if edges is None else edges.unionByName(found)
         label = materialize(connected_components(edges).withColumnRenamed("component", "label"))
+    left = materialize(_links_left(members, sketch, weighted, label, tried, threshold, tasks))
+    if not left.isEmpty():
+        label = materialize(connected_components(left if edges is None else edges.unionByName(left)).withColumnRenamed("component", "label"))
     if label is None:
         label = named.select("node", F.col("node").alias("label")).limit(0)
     classes = nodes.join(label, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))

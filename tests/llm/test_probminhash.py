@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+import cadenza.llm.probminhash as module
 from cadenza.llm.components import connected_components
 from cadenza.llm.probminhash import keep_representatives, near_duplicates, probability_jaccard, signatures
 
@@ -91,3 +92,36 @@ def test_near_duplicates(spark):
     classes = {c for d, c in got if c is not None and c not in (9000, 9001, 9002)}
     assert sorted({d for d, _ in kept} - {None, 9000, 9001, 9002}) == sorted(classes) and len(kept) == len(classes) + 4
     assert near_duplicates(frame.limit(0)).count() == 0
+
+
+def template_family(rng, number, first):
+    """Texts of one template with two or three words replaced each: most pairs lie just above or below 0.8."""
+    base = [f"t{first}w{k}" for k in range(200)]
+    docs = []
+    for k in range(number):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([2, 3, 3, 3, 4])):
+            words[at] = f"x{first + k}y{at}"
+        docs.append((first + k, " ".join(words)))
+    return docs
+
+
+def classes_of_sets(docs):
+    """Like classes_by_hand, for texts without repeated shingles, where the similarity is that of sets."""
+    bags = [set(bag(t)[1]) for _, t in docs]
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if label[i] != label[j] and len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return sorted((d, docs[label[i]][0]) for i, (d, _) in enumerate(docs))
+
+
+def test_template_family(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [d for k in range(6) for d in template_family(rng, 12, 1000 * k)] + template_family(rng, 300, 10_000)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = classes_of_sets(docs)
+    assert sorted((r["doc_id"], r["class_id"]) for r in near_duplicates(frame).collect()) == want
+    monkeypatch.setattr(module, "BLOCK_NODES", 20)  # blocks against blocks
+    assert sorted((r["doc_id"], r["class_id"]) for r in near_duplicates(frame, rounds=1).collect()) == want
