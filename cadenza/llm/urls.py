@@ -52,18 +52,49 @@ def verdict_of(rule: Column, rules: tuple[tuple[str, str, str], ...] = RULES) ->
     return said
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path with its segments ``.`` and ``..`` resolved; ``..`` at the top goes."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    inner = F.slice(parts, 2, F.size(parts) - 1)
+    kept = F.aggregate(inner, F.array().cast("array<string>"), lambda done, p: F.when(p == ".", done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def _dotted(path: Column) -> Column:
+    return F.when(path.rlike(r"/\.\.?(/|$)"), _without_dots(path)).otherwise(path)
+
+
+def resolve(base: Column, to: Column) -> Column:
+    """The absolute address of a reference on the page `base`; null where it names no other page (empty, fragment only, ``mailto:``)."""
+    scheme, site = F.substring_index(base, "://", 1), F.concat(F.substring_index(base, "://", 1), F.lit("://"), host_of(base))
+    path = F.regexp_extract(to, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    own = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    folder = F.regexp_extract(own, r"(?s)^(.*/)", 1)
+    return (
+        F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when((to == "") | to.startswith("#") | to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+        .when(to.startswith("?"), F.concat(site, own, to))
+        .when(to.startswith("/"), F.concat(site, _dotted(path), rest))
+        .otherwise(F.concat(site, _dotted(F.concat(folder, path)), rest))
+    )
+
+
 def named_targets(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """source and target: the absolute address that a page names by canonical link, else by meta refresh, where it names one.
+    """source and target: every absolute address that a page names by a canonical link or a meta refresh, one row each.
 
-    Character references for ``&`` are decoded; addresses relative to the host or the scheme are completed.
+    Character references for ``&`` are decoded; addresses relative to the scheme, the host, the path or the query are resolved
+    against the page's own.
     """
     rows = pages.select(F.col(url).alias("u"), F.col(html).alias("h")).where(F.col("h").rlike(r"(?i)canonical|refresh"))
-    rows = rows.select("u", F.regexp_extract("h", CANONICAL_TAG, 0).alias("link"), F.regexp_extract(F.regexp_extract("h", REFRESH_TAG, 0), REFRESH_URL, 1).alias("fresh"))
-    rows = rows.select("u", "fresh", *(F.regexp_extract("link", HREF, i).alias(f"h{i}") for i in (1, 2, 3)))
-    rows = rows.select("u", "fresh", F.concat("h1", "h2", "h3").alias("href"))
-    rows = rows.select("u", F.replace(F.trim(F.when(F.col("href") != "", F.col("href")).otherwise(F.col("fresh"))), F.lit("&amp;"), F.lit("&")).alias("to"), F.concat(F.substring_index("u", "://", 1), F.lit(":")).alias("scheme"), host_of(F.col("u")).alias("host"))
-    full = F.when(F.col("to").startswith("//"), F.concat("scheme", "to")).when(F.col("to").startswith("/"), F.concat("scheme", F.lit("//"), "host", "to")).otherwise(F.col("to"))
-    return rows.select(F.col("u").alias("source"), full.alias("target")).where("instr(target, '://') > 0")
+    tags = lambda pattern: F.regexp_extract_all("h", F.lit(pattern), F.lit(0))
+    links = F.transform(tags(CANONICAL_TAG), lambda t: F.concat(*(F.regexp_extract(t, HREF, i) for i in (1, 2, 3))))
+    fresh = F.transform(tags(REFRESH_TAG), lambda t: F.regexp_extract(t, REFRESH_URL, 1))
+    rows = rows.select("u", F.explode(F.concat(links, fresh)).alias("to"))
+    rows = rows.select("u", F.replace(F.trim("to"), F.lit("&amp;"), F.lit("&")).alias("to")).where("instr(u, '://') > 0 or instr(to, '://') > 0")
+    return rows.select(F.col("u").alias("source"), resolve(F.col("u"), F.col("to")).alias("target")).where("target is not null")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, page: str = "page_id", url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:

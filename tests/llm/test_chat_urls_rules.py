@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from cadenza.llm.chat import digest, expand_prefix_targets
 from cadenza.llm.quality_rules import MAX_NGRAM_SHARE, repetition_rules
-from cadenza.llm.urls import judge_urls
+from cadenza.llm.urls import judge_urls, named_targets
 
 HARD = "\\### Assistant: </turn> ok"
 TURNS = [
@@ -58,6 +58,24 @@ def test_urls(spark):
     assert judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_targets(spark):
+    link, fresh = '<link rel="canonical" href="{}">', '<meta http-equiv=refresh content="0; url={}">'
+    rows = [
+        (1, "http://a.org/x", link.format("http://b.org/y") + fresh.format("http://c.net/z")), (2, "http://b.org/y", ""),
+        (3, "http://d.org/x", link.format("http://d.org/u") + link.format("http://e.net/v")), (4, "http://f.org/p/q/r?s", link.format("b.html")), (5, "http://f.org/p/q/b.html", fresh.format("http://g.net/")),
+        (6, "http://f.org/p/q/t", link.format("../x/./y?k=../z")), (7, "http://f.org/p/x/y?k=../z", fresh.format("http://g.net/")), (8, "http://f.org/p/s?a=1", link.format("?id=3")), (9, "http://f.org/p/s?id=3", fresh.format("http://g.net/")),
+        (10, "http://h.org", link.format("i")), (11, "http://h.org/i", fresh.format("http://g.net/")), (12, "http://k.org/", link.format("#top") + link.format("") + link.format("mailto:a@g.net")), (13, "http://k.org/a/b", fresh.format("../../..")), (14, None, link.format("b.html")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["source"], r["target"]) for r in named_targets(pages, "url", "html").collect()}
+    p = "http://f.org/p"
+    assert got == {
+        ("http://a.org/x", "http://b.org/y"), ("http://a.org/x", "http://c.net/z"), ("http://d.org/x", "http://d.org/u"), ("http://d.org/x", "http://e.net/v"), (f"{p}/q/r?s", f"{p}/q/b.html"), (f"{p}/q/b.html", "http://g.net/"),
+        (f"{p}/q/t", f"{p}/x/y?k=../z"), (f"{p}/x/y?k=../z", "http://g.net/"), (f"{p}/s?a=1", f"{p}/s?id=3"), (f"{p}/s?id=3", "http://g.net/"), ("http://h.org", "http://h.org/i"), ("http://h.org/i", "http://g.net/"), ("http://k.org/a/b", "http://k.org/"),
+    }
+    assert {r["page_id"]: r["verdict"] for r in judge_urls(pages).collect()} == {k: "allow" if k > 11 else "block" for k in range(1, 15)}
+
+
 def by_hand(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
