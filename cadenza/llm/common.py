@@ -29,11 +29,36 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def shared_dir(spark: SparkSession, fallback: str = "/tmp/checkpoints") -> None:
-    """Make checkpoint() usable: the cluster's folder if it names one, else a fallback for local runs."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one under /tmp where driver and executors are one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> None:
+    """Make checkpoint() usable."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+#: A key is hot if it has more than one in so many of all rows; so there are never more than so many hot keys.
+HOT_SHARE = 2000
+#: Rows that are joined in a moment, however they are dealt.
+FEW_ROWS = 1_000_000
+
+
+def join_per_key(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """`total` rows with the columns of `one`, which has a row of fixed size per key and in n how many of the rows have it.
+
+    Hot keys, of which there are HOT_SHARE at most, come by broadcast, so that their rows stay where they are.
+    """
+    if total <= FEW_ROWS:
+        return rows.join(one.drop("n"), key)
+    hot = one.where(F.col("n") * HOT_SHARE > total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col("n") * HOT_SHARE <= total).drop("n"), key)
+    return rest.unionByName(rows.join(F.broadcast(hot.drop("n")), key))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +202,6 @@ def materialize(df: DataFrame) -> DataFrame:
     """The rows written as a table in the cluster's shared checkpoint folder and read from there: cuts the lineage and survives
     lost executors. The folder is the caller's to clear."""
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

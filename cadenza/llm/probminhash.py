@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import RangeHash, materialize, mix, steps, text_of, utf8
+from cadenza.llm.common import FEW_ROWS, HOT_SHARE, RangeHash, join_per_key, materialize, mix, steps, text_of, utf8
 from cadenza.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -151,10 +151,24 @@ def _weighted(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(make, "node long, shingles array<long>, counts array<int>, size int")
 
 
-def _verified(pairs: DataFrame, weighted: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b and whether their similarity is at least the threshold (near)."""
-    one = weighted.select(F.col("node").alias("a"), F.col("shingles").alias("s"), F.col("counts").alias("x"))
-    two = weighted.select(F.col("node").alias("b"), F.col("shingles").alias("t"), F.col("counts").alias("y"))
+def _with_shingles(pairs: DataFrame, total: int, weighted: DataFrame, side: str, other: str, names: tuple[str, str]) -> DataFrame:
+    """`total` pairs with shingles and counts of one side. A node with more than one in HOT_SHARE of the pairs, of which there are HOT_SHARE
+    at most, has its shingles repeated as often as that is exceeded, and its pairs are dealt over the copies."""
+    one = weighted.select(F.col("node").alias(side), F.col("shingles").alias(names[0]), F.col("counts").alias(names[1]))
+    if total <= FEW_ROWS:
+        return pairs.join(one, side)
+    hot = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE > total)
+    hot = F.broadcast(hot.select(side, F.ceil(F.col("n") * HOT_SHARE / total).cast("int").alias("times")))
+    dealt = pairs.join(hot, side, "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64(other), "times").cast("int"), F.lit(0))).drop("times")
+    copies = one.join(hot, side, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("times", F.lit(1)) - 1))).drop("times")
+    return dealt.join(copies, [side, "copy"]).drop("copy")
+
+
+def _verified(pairs: DataFrame, most: int, weighted: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b (`most` at most) and whether their similarity is at least the threshold (near)."""
+    if most > FEW_ROWS:
+        pairs = materialize(pairs)
+        most = pairs.count()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +178,8 @@ def _verified(pairs: DataFrame, weighted: DataFrame, threshold: float) -> DataFr
                 keep = [probability_jaccard(s.view(np.uint64), x, t.view(np.uint64), y) >= threshold for s, x, t, y in zip(*columns)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "near"])
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long, near boolean")
+    sides = _with_shingles(_with_shingles(pairs, most, weighted, "a", "b", ("s", "x")), most, weighted, "b", "a", ("t", "y"))
+    return sides.mapInArrow(check, "a long, b long, near boolean")
 
 
 def block_links(key: int, part: np.ndarray, label: np.ndarray, bands: np.ndarray, size: np.ndarray, hashes: np.ndarray, counts: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -237,23 +252,25 @@ def _linked_in_blocks(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.repartition(*at).sortWithinPartitions(*at).mapInArrow(join, "a long, b long")
 
 
-def _links_left(members: DataFrame, sketch: DataFrame, weighted: DataFrame, label: DataFrame | None, tried: DataFrame | None, threshold: float, tasks: int) -> DataFrame:
+def _links_left(members: DataFrame, sketch: DataFrame, weighted: DataFrame, label: DataFrame | None, tried: DataFrame | None, threshold: float, total: int) -> DataFrame:
     """Links a, b among all members of a band that are still in different classes, without those tried."""
+    tasks = total // ROWS_PER_TASK + 1
     here = members.select("key", "node").coalesce(tasks)
     here = here.withColumn("label", F.col("node")) if label is None else here.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).coalesce(tasks)
     mixed = here.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("key", "n").coalesce(tasks)
-    apart = materialize(here.join(mixed, "key").select("key", "node", "label", "n").coalesce(tasks))
+    sized = mixed.withColumn("size", F.col("n"))
+    apart = materialize(join_per_key(here, sized, "key", total).select("key", "node", "label", F.col("size").alias("n")).coalesce(tasks))
     few = apart.where(F.col("n") <= FEW)
     one, two = (few.select("key", F.col("node").alias(x), F.col("label").alias(y)) for x, y in (("a", "p"), ("b", "q")))
     pairs = one.join(two, "key").where("a < b and p <> q").select("a", "b").distinct().coalesce(tasks)
     if tried is not None:
         pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").coalesce(tasks)
-    links = _verified(pairs, weighted, threshold).where("near").select("a", "b")
+    links = _verified(pairs, total * FEW // 2, weighted, threshold).where("near").select("a", "b")
     many = apart.where(F.col("n") > FEW)
     if many.isEmpty():
         return links
-    sizes = many.join(weighted.select("node", "size"), "node").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    own = many.join(sizes, "key").select("key", "node", "label", "blocks", F.pmod(F.xxhash64("node", "key"), "blocks").cast("int").alias("own"))
+    sizes = many.join(weighted.select("node", "size"), "node").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    own = join_per_key(many.drop("n"), sizes, "key", total).select("key", "node", "label", "blocks", F.pmod(F.xxhash64("node", "key"), "blocks").cast("int").alias("own"))
     cells = own.select("key", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("key", "node", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("part"))
     bands = sketch.join(many.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bands").alias("bands"))
@@ -281,33 +298,36 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     rows = docs.select(F.col(doc).alias("doc"), text_of(text).alias("text"))
     sketch = materialize(_sketch(rows.withColumn("tie", F.xxhash64("text"))))
     named = sketch.where("node is not null")
-    nodes = named.groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
+    nodes = materialize(named.groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands")))
     keys = nodes.select("node", "doc", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialize(keys.join(shared, "key").select("key", "node", "doc"))
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = shared.agg(F.sum("n").alias("n")).first()["n"] or 0
+    members = materialize(join_per_key(keys, shared, "key", total).select("key", "node", "doc"))
     # one text of every node that has a candidate
     wanted = members.select("node", "doc").distinct().select(F.col("node").alias("want"), F.col("doc").alias("d"))
     texts = rows.join(wanted, F.col("doc").eqNullSafe(F.col("d"))).select(F.col("want").alias("node"), "text")
     weighted = materialize(_weighted(texts).dropDuplicates(["node"]))
-    edges = tried = label = None
-    tasks = members.count() // ROWS_PER_TASK + 1  # small tables stay in few partitions
+    tried = label = None
+    tasks = total // ROWS_PER_TASK + 1  # small tables stay in few partitions
     for turn in range(rounds):
         here = members.select("key", "node").coalesce(tasks)
         here = here.withColumn("label", F.col("node")) if label is None else here.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).coalesce(tasks)
-        centre = here.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), F.col("node").alias("c"), F.col("label").alias("of"))).alias("m")).select("key", "m.c", "m.of").coalesce(tasks)
-        tries = here.join(centre, "key").where("label <> of").groupBy("node", "c").agg(F.count(F.lit(1)).alias("n")).coalesce(tasks)
+        centre = here.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), F.col("node").alias("c"), F.col("label").alias("of"))).alias("m"), F.count(F.lit(1)).alias("n")).select("key", "m.c", "m.of", "n").coalesce(tasks)
+        tries = join_per_key(here, centre, "key", total).where("label <> of").groupBy("node", "c").agg(F.count(F.lit(1)).alias("n")).coalesce(tasks)
         best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), F.xxhash64("node", "c")))
-        pairs = tries.withColumn("k", best).where(F.col("k") <= centres).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).coalesce(tasks).distinct()
-        checked = materialize(_verified(pairs, weighted, threshold))
+        pairs = tries.withColumn("k", best).where(F.col("k") <= centres).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
+        checked = materialize(_verified(pairs, total * centres, weighted, threshold))
         tried = checked if tried is None else tried.unionByName(checked)
         found = checked.where("near").select("a", "b")
         if found.isEmpty():
             break
-        edges = found if edges is None else edges.unionByName(found)
-        label = materialize(connected_components(edges).withColumnRenamed("component", "label"))
-    left = materialize(_links_left(members, sketch, weighted, label, tried, threshold, tasks))
+        # a class is as good as a star for the next turn, and has as many edges as nodes
+        stars = None if label is None else label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        label = materialize(connected_components(found if stars is None else stars.unionByName(found)).withColumnRenamed("component", "label"))
+    left = materialize(_links_left(members, sketch, weighted, label, tried, threshold, total))
     if not left.isEmpty():
-        label = materialize(connected_components(left if edges is None else edges.unionByName(left)).withColumnRenamed("component", "label"))
+        stars = None if label is None else label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        label = materialize(connected_components(left if stars is None else stars.unionByName(left)).withColumnRenamed("component", "label"))
     if label is None:
         label = named.select("node", F.col("node").alias("label")).limit(0)
     classes = nodes.join(label, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))

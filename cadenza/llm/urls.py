@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import shared_dir
+from cadenza.llm.common import join_per_key, shared_dir
 from cadenza.llm.components import connected_components
 
 #: (verdict, host, path): fixed rules of the registered query.
@@ -120,9 +120,11 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     ends = ends.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("said", verdict_of(F.col("rule"), rules))
     members = connected_components(sides, "s", "t")
     named = members.join(ends, "node").select("node", "component", "said")
-    says = named.groupBy("component").agg(F.max((F.col("said") == "allow").cast("int")).alias("allows"), F.max((F.col("said") == "block").cast("int")).alias("blocks"))
-    inherited = named.join(says, "component").select("node", F.when(F.col("allows") == 1, "allow").when(F.col("blocks") == 1, "block").alias("inherited"))
+    says = named.groupBy("component").agg(F.max((F.col("said") == "allow").cast("int")).alias("allows"), F.max((F.col("said") == "block").cast("int")).alias("blocks"), F.count(F.lit(1)).alias("n"))
+    inherited = join_per_key(named, says, "component", named.count()).select("node", F.when(F.col("allows") == 1, "allow").when(F.col("blocks") == 1, "block").alias("inherited"))
     judged = rows.select("page_id", node_of(F.col("u")).alias("node"), host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
+    # a page without an address has no alias; a name of its own keeps such pages from meeting in one task
+    judged = judged.withColumn("node", F.coalesce("node", F.concat(F.lit("/"), F.xxhash64("page_id", F.monotonically_increasing_id()).cast("string"))))
     judged = judged.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(verdict_of(F.col("rule"), rules), F.col("inherited"), F.lit("allow"))
     return judged.join(inherited, "node", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))

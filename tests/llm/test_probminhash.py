@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+import cadenza.llm.common as common
 import cadenza.llm.probminhash as module
 from cadenza.llm.components import connected_components
 from cadenza.llm.probminhash import keep_representatives, near_duplicates, probability_jaccard, signatures
@@ -117,6 +118,17 @@ def classes_of_sets(docs):
     return sorted((d, docs[label[i]][0]) for i, (d, _) in enumerate(docs))
 
 
+def test_boilerplate_families(spark):
+    """Pairs of similarity 0.85 that all share boilerplate, with 0.78 between the pairs: no link is lost, none is added."""
+    common_part = [f"boiler{k}" for k in range(176)]
+    own = lambda k, c: [f"own{k}x{j}" for j in range(8)] + [f"one{k}y{c}z{j}" for j in range(16)]
+    docs = [(2 * k + c, " ".join(common_part + own(k, c))) for k in range(150) for c in (0, 1)]
+    want = classes_of_sets(docs)
+    assert [c for _, c in want] == [2 * (d // 2) for d, _ in want]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"]) for r in near_duplicates(frame).collect()) == want
+
+
 def test_template_family(spark, monkeypatch):
     rng = random.Random(5)
     docs = [d for k in range(6) for d in template_family(rng, 12, 1000 * k)] + template_family(rng, 300, 10_000)
@@ -124,4 +136,8 @@ def test_template_family(spark, monkeypatch):
     want = classes_of_sets(docs)
     assert sorted((r["doc_id"], r["class_id"]) for r in near_duplicates(frame).collect()) == want
     monkeypatch.setattr(module, "BLOCK_NODES", 20)  # blocks against blocks
+    monkeypatch.setattr(common, "FEW_ROWS", 0)  # hot keys apart
+    monkeypatch.setattr(common, "HOT_SHARE", 60)
+    monkeypatch.setattr(module, "FEW_ROWS", 0)
+    monkeypatch.setattr(module, "HOT_SHARE", 60)
     assert sorted((r["doc_id"], r["class_id"]) for r in near_duplicates(frame, rounds=1).collect()) == want
