@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import tables as T
 from cadenza.functions.names import lookup
-from cadenza.operators.progression import by
+from cadenza.operators.progression import by, song_by_song
 
 MAX_LAG = 16
 
@@ -32,10 +32,12 @@ def beat_intervals(beats: DataFrame, n_frames: DataFrame) -> DataFrame:
 def beat_chroma(frames: DataFrame, beats: DataFrame, column: str = "chroma") -> DataFrame:
     """Twelve numbers per beat: the median of its frames if there are more than two, else the mean.
 
-    Intervals become frame numbers and join by equality, so a long song spreads over tasks.
+    Intervals become frame numbers and join by equality, so a long song spreads over tasks. An empty one takes the frame it starts at,
+    the song's last one if it starts beyond.
     """
     n = frames.groupBy("song_id").agg((F.max("frame") + 1).alias("n"))
-    spans = beat_intervals(beats, n).where(F.col("from") < F.col("to"))
+    first = F.greatest(F.lit(0), F.least(F.col("from"), F.col("n") - 1))
+    spans = beat_intervals(beats, n).withColumn("from", first).withColumn("to", F.greatest(F.col("from") + 1, F.least("to", "n")))
     each = spans.select("song_id", "beat", F.explode(F.sequence("from", F.col("to") - 1)).alias("frame"))
     rows = each.join(frames.select("song_id", "frame", column), ["song_id", "frame"])
     pick = lambda i: F.when(F.count(F.lit(1)) > 2, F.percentile(F.col(column)[i], F.lit(0.5))).otherwise(F.avg(F.col(column)[i]))
@@ -68,7 +70,6 @@ def onset_peaks(frames: DataFrame) -> DataFrame:
     frames apart (the tallest stay), of these the upper three tenths. Only two numbers a frame reach the call."""
 
     def peaks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
         x = sum((v - v.mean()) / v.std() if v.std() > 0 else v * 0 for v in (pdf["low_env"].to_numpy(), pdf["onset_env"].to_numpy()))
         edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))  # plateaus count as one, at their middle
         level, last = x[edge], np.concatenate([edge[1:], [len(x)]]) - 1
@@ -88,13 +89,19 @@ def onset_peaks(frames: DataFrame) -> DataFrame:
         return pd.DataFrame({"song_id": pdf["song_id"].iloc[0], "frame": pdf["frame"].to_numpy()[at]})
 
     kind = frames.schema["song_id"].dataType.simpleString()
-    return frames.select("song_id", "frame", "low_env", "onset_env").groupBy("song_id").applyInPandas(peaks, f"song_id {kind}, frame int")
+    return song_by_song(frames.select("song_id", "frame", "low_env", "onset_env"), "frame", peaks, f"song_id {kind}, frame int")
 
 
-def grid_coverage(onsets: DataFrame, grid: DataFrame, share: float = 0.12) -> DataFrame:
-    """Share of the onsets (song_id, frame) whose nearest grid point (song_id, frame as a number) is within a tolerance of the median period."""
+def median_gap(grid: DataFrame) -> DataFrame:
+    """song_id and period: the median distance of neighbouring grid points in frames."""
     gap = F.col("frame") - F.lag("frame").over(by("frame"))
-    period = grid.withColumn("gap", gap).groupBy("song_id").agg(F.percentile("gap", F.lit(0.5)).alias("period"))
+    return grid.withColumn("gap", gap).groupBy("song_id").agg(F.percentile("gap", F.lit(0.5)).alias("period"))
+
+
+def grid_coverage(onsets: DataFrame, grid: DataFrame, share: float = 0.12, period: DataFrame | None = None) -> DataFrame:
+    """Share of the onsets (song_id, frame) whose nearest grid point (song_id, frame as a number) is within a tolerance of the period:
+    the grid's median one unless it is given (song_id, period)."""
+    period = median_gap(grid) if period is None else period
     both = onsets.select("song_id", F.col("frame").cast("double").alias("frame"), F.lit(True).alias("onset")).unionByName(grid.select("song_id", F.col("frame").cast("double").alias("frame"), F.lit(False).alias("onset")))
     point = F.when(~F.col("onset"), F.col("frame"))
     before = F.last(point, ignorenulls=True).over(by("frame").rangeBetween(Window.unboundedPreceding, 0))
@@ -104,21 +111,24 @@ def grid_coverage(onsets: DataFrame, grid: DataFrame, share: float = 0.12) -> Da
     return rows.groupBy("song_id").agg(F.avg(F.when(near, 1.0).otherwise(0.0)).alias("coverage"))
 
 
-def tempo_fold(beats: DataFrame) -> DataFrame:
-    """Beats halved above 160 a minute (the half with the larger mean low + full stays, the even one on ties) or doubled by
-    midpoints below 50; with measured bpm, the fold, and half and double tempo of what is left."""
-    gap = F.lead("time").over(by("beat")) - F.col("time")
-    median = beats.withColumn("gap", gap).groupBy("song_id").agg((60.0 / F.percentile("gap", F.lit(0.5))).alias("measured_bpm"))
-    accent = F.col("low") + F.col("full")
-    halves = beats.groupBy("song_id").agg(F.avg(F.when(F.col("beat") % 2 == 0, accent)).alias("even"), F.avg(F.when(F.col("beat") % 2 == 1, accent)).alias("odd"))
-    rows = beats.join(median, "song_id").join(halves, "song_id").withColumn("next", F.lead("time").over(by("beat")))
-    fold = F.when(F.col("measured_bpm") >= 160, 0.5).when(F.col("measured_bpm") < 50, 2.0).otherwise(1.0)
+def tempo_fold(beats: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> DataFrame:
+    """Beats (frame, low, full; keep: leave this song's grid alone) halved from 160 a minute on (the half with the larger mean low plus
+    mean full stays, the even one on ties) or doubled by whole-frame midpoints below 50; with the tempo measured again afterwards."""
+    gap = lambda: F.lead("frame").over(by("beat")) - F.col("frame")
+    bpm = lambda column: 60.0 / (F.percentile(column, F.lit(0.5)) * frame_s)
+    keep = F.coalesce("keep", F.lit(False)) if "keep" in beats.columns else F.lit(False)
+    rows = beats.withColumn("next", F.lead("frame").over(by("beat"))).withColumn("keep", keep)
+    half = lambda side: F.avg(F.when(F.col("beat") % 2 == side, F.col("low"))) + F.avg(F.when(F.col("beat") % 2 == side, F.col("full")))
+    about = rows.groupBy("song_id").agg(bpm(F.col("next") - F.col("frame")).alias("bpm"), half(0).alias("even"), half(1).alias("odd"))
+    fold = F.when(F.col("keep"), 1.0).when(F.col("bpm") >= 160, 0.5).when(F.col("bpm") < 50, 2.0).otherwise(1.0)
     side = F.when(F.col("even") >= F.col("odd"), 0).otherwise(1)
-    rows = rows.withColumn("fold", fold).where((F.col("fold") != 0.5) | (F.col("beat") % 2 == side))
-    times = F.when((F.col("fold") == 2) & F.col("next").isNotNull(), F.array(F.col("time"), (F.col("time") + F.col("next")) / 2)).otherwise(F.array("time"))
-    out = rows.select("song_id", "measured_bpm", "fold", F.explode(times).alias("time"))
-    tempo = F.col("measured_bpm") * F.col("fold")
-    return out.withColumn("beat", F.row_number().over(by("time")) - 1).withColumn("tempo_half", tempo / 2).withColumn("tempo_double", tempo * 2)
+    rows = rows.join(about, "song_id").withColumn("fold", fold).where((F.col("fold") != 0.5) | (F.col("beat") % 2 == side))
+    frames = F.when((F.col("fold") == 2) & F.col("next").isNotNull(), F.array(F.col("frame"), F.expr("(frame + next) div 2").cast("int"))).otherwise(F.array("frame"))
+    out = rows.select("song_id", "fold", F.posexplode(frames).alias("half", "frame"), F.col("beat").alias("was"))
+    out = out.withColumn("beat", F.row_number().over(Window.partitionBy("song_id").orderBy("was", "half")) - 1)
+    measured = out.withColumn("gap", gap()).groupBy("song_id").agg(bpm("gap").alias("tempo"))
+    out = out.select("song_id", "beat", "frame", "fold").join(measured, "song_id")
+    return out.withColumn("tempo_half", F.col("tempo") / 2).withColumn("tempo_double", F.col("tempo") * 2)
 
 
 def extend_grid(beats: DataFrame, n_frames: DataFrame) -> DataFrame:
@@ -142,15 +152,19 @@ def tempo_stability(beats: DataFrame) -> DataFrame:
 
 
 def triplet_feel(frames: DataFrame, beats: DataFrame, column: str = "onset_env", least: int = 6) -> DataFrame:
-    """How strong the thirds of a beat sound next to its half: mean third over mean third plus mean half, beats of six frames or more."""
+    """How strong the thirds of a beat sound next to its half: mean third over mean third plus mean half, beats of six frames or more.
+
+    The places are cut down to whole frames. Songs without a long beat have 0.
+    """
     following = F.lead("frame").over(by("beat"))
     rows = beats.withColumn("span", following - F.col("frame")).where(F.col("span") >= least)
-    points = F.array(*(F.struct(F.lit(kind).alias("kind"), (F.col("frame") + F.bround(F.col("span") * share)).cast("int").alias("at")) for kind, share in (("third", 1 / 3), ("third", 2 / 3), ("half", 0.5))))
+    points = F.array(*(F.struct(F.lit(kind).alias("kind"), (F.col("frame") + F.floor(part)).cast("int").alias("at")) for kind, part in (("third", F.col("span") / 3), ("third", F.col("span") * 2 / 3), ("half", F.col("span") / 2))))
     points = rows.select("song_id", F.explode(points).alias("p")).select("song_id", "p.kind", F.col("p.at").alias("frame"))
     peak = frames.select("song_id", "frame", F.max(column).over(by("frame").rangeBetween(-1, 1)).alias("x"))
     sums = points.join(peak, ["song_id", "frame"]).groupBy("song_id").agg(*(F.avg(F.when(F.col("kind") == k, F.col("x"))).alias(k) for k in ("third", "half")))
     total = F.col("third") + F.col("half")
-    return sums.select("song_id", F.when(total > 0, F.col("third") / total).otherwise(0.0).alias("triplet"))
+    found = sums.select("song_id", F.when(total > 0, F.col("third") / total).otherwise(0.0).alias("triplet"))
+    return beats.select("song_id").distinct().join(found, "song_id", "left").select("song_id", F.coalesce("triplet", F.lit(0.0)).alias("triplet"))
 
 
 def autocorrelation(series: DataFrame, column: str, max_lag: int = MAX_LAG) -> DataFrame:
@@ -167,6 +181,14 @@ def _period_strength(ac: str, beats: int, lags: int = MAX_LAG) -> Column:
     return 0.65 * peak(beats) + 0.35 * peak(2 * beats) if 2 * beats + 1 <= lags else peak(beats)
 
 
+def forced_meter(meter: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The listener's time signature (song_id, forced_meter) in place of the estimated one, which keeps its confidence; with user_forced."""
+    wish = overrides.select("song_id", "forced_meter").where(F.col("forced_meter").isin(*T.METER_BEATS))
+    rows = meter.join(wish, "song_id", "left")
+    label = F.coalesce("forced_meter", "label")
+    return rows.withColumn("label", label).withColumn("bpb", F.coalesce(lookup(T.METER_BEATS, F.col("forced_meter")), "bpb")).withColumn("user_forced", F.col("forced_meter").isNotNull()).drop("forced_meter")
+
+
 def estimate_meter(accents: DataFrame, novelty: DataFrame, triplet: DataFrame) -> DataFrame:
     """Time signature by song: label, beats per bar, confidence and the three best with their shares.
 
@@ -209,10 +231,10 @@ def build_bars(beats: DataFrame, tempo: DataFrame) -> DataFrame:
 
 
 def harmonic_novelty(frames: DataFrame, width: int) -> DataFrame:
-    """Per frame, one less the cosine of the mean unit chroma before and after it; 0 where either side is not whole."""
+    """Per frame, one less the cosine of the mean unit chroma before and after it; 0 for the first and the last `width` frames."""
     norm = F.sqrt(F.aggregate("chroma", F.lit(0.0), lambda a, x: a + x * x))
     unit = frames.select("song_id", "frame", F.when(norm > 0, F.transform("chroma", lambda x: x / norm)).otherwise(F.col("chroma")).alias("u"))
     before, after = by("frame").rowsBetween(-width, -1), by("frame").rowsBetween(0, width - 1)
-    sides = unit.select("song_id", "frame", *(F.array(*(F.avg(F.col("u")[i]).over(w) for i in range(12))).alias(n) for n, w in (("b", before), ("a", after))), F.count("u").over(before).alias("nb"), F.count("u").over(after).alias("na"))
-    whole = (F.col("nb") == width) & (F.col("na") == width)
+    sides = unit.select("song_id", "frame", *(F.array(*(F.avg(F.col("u")[i]).over(w) for i in range(12))).alias(n) for n, w in (("b", before), ("a", after))), F.count("u").over(before).alias("nb"), F.lead("frame", width).over(by("frame")).alias("ahead"))
+    whole = (F.col("nb") == width) & F.col("ahead").isNotNull()
     return sides.select("song_id", "frame", F.when(whole, 1 - cosine(F.col("b"), F.col("a"))).otherwise(0.0).alias("novelty"))

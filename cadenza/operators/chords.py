@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import tables as T
 from cadenza.functions.names import entry, spell_pitch
 from cadenza.operators.key import key_at
-from cadenza.operators.progression import by, islands
+from cadenza.operators.progression import by, islands, song_by_song
 
 #: State number = 5 * root + quality.
 STATES = [(root, quality) for root in range(12) for quality in T.STATE_QUALITIES]
@@ -46,17 +46,16 @@ def _literal(values: list[float]) -> Column:
 
 
 def chord_template_scores(beats: DataFrame) -> DataFrame:
-    """song_id, beat and sixty scores: cosine of the chroma with each template, a share for the bass at the root, the quality's bias.
+    """Beats with sixty cosines of the chroma with the templates, and scores: cosine, a share for the bass at the root, the quality's bias.
 
     Arrays in, one array out: no row is made per state.
     """
     norm = F.sqrt(F.aggregate("chroma", F.lit(0.0), lambda a, x: a + x * x))
     low = F.aggregate("bass", F.lit(0.0), lambda a, x: a + x)
     rows = beats.withColumn("__n", F.when(norm > 0, norm).otherwise(1.0)).withColumn("__b", F.when(low > 0, low).otherwise(1.0))
-    scores = []
-    for (root, quality), template in zip(STATES, templates()):
-        dot = sum((F.col("chroma")[i] * float(w) for i, w in enumerate(template) if w), F.lit(0.0))
-        scores.append(dot / F.col("__n") + T.BASS_WEIGHT * F.col("bass")[root] / F.col("__b") + T.QUALITY_BIAS[quality])
+    dots = [sum((F.col("chroma")[i] * float(w) for i, w in enumerate(template) if w), F.lit(0.0)) / F.col("__n") for template in templates()]
+    rows = rows.withColumn("cosines", F.array(*dots))
+    scores = [F.col("cosines")[k] + T.BASS_WEIGHT * F.col("bass")[root] / F.col("__b") + T.QUALITY_BIAS[quality] for k, (root, quality) in enumerate(STATES)]
     return rows.withColumn("scores", F.array(*scores)).drop("__n", "__b")
 
 
@@ -92,7 +91,6 @@ def chord_path(beats: DataFrame) -> DataFrame:
     """
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("beat")
         if len(pdf) < 4:
             return pdf[["song_id", "beat"]].iloc[:0].assign(state=pd.Series(dtype="int32"))
         emission, p = np.stack(pdf["emission"].to_numpy()), pdf["p_change"].to_numpy()
@@ -111,14 +109,14 @@ def chord_path(beats: DataFrame) -> DataFrame:
         return pd.DataFrame({"song_id": pdf["song_id"], "beat": pdf["beat"], "state": state[::-1]})
 
     kind = beats.schema["song_id"].dataType.simpleString()
-    return beats.select("song_id", "beat", "emission", "p_change").groupBy("song_id").applyInPandas(best, f"song_id {kind}, beat int, state int")
+    return song_by_song(beats.select("song_id", "beat", "emission", "p_change"), "beat", best, f"song_id {kind}, beat int, state int")
 
 
 def chord_segments(path: DataFrame, beats: DataFrame, tempo: DataFrame) -> DataFrame:
-    """Runs of equal state as chords: beats, times, mean score as confidence, bar. The last one lasts as long as the beat before it."""
-    rows = path.join(beats.select("song_id", "beat", "time", "scores"), ["song_id", "beat"]).join(tempo.select("song_id", "phase", "bpb"), "song_id")
+    """Runs of equal state as chords: beats, times, mean cosine as confidence, bar. The last one lasts as long as the beat before it."""
+    rows = path.join(beats.select("song_id", "beat", "time", "cosines"), ["song_id", "beat"]).join(tempo.select("song_id", "phase", "bpb"), "song_id")
     gap = F.col("time") - F.lag("time").over(by("beat"))
-    rows = rows.withColumn("next", F.coalesce(F.lead("time").over(by("beat")), F.col("time") + F.coalesce(gap, F.lit(0.0)))).withColumn("own", F.get("scores", F.col("state")))
+    rows = rows.withColumn("next", F.coalesce(F.lead("time").over(by("beat")), F.col("time") + F.coalesce(gap, F.lit(0.0)))).withColumn("own", F.get("cosines", F.col("state")))
     rows = islands(rows, F.col("state") == F.lag("state").over(by("beat")), "beat")
     out = rows.groupBy("song_id", "island").agg(
         F.first("state").alias("state"), F.min("time").alias("start"), F.max_by("next", "beat").alias("end"), F.min("beat").alias("beat_start"), (F.max("beat") + 1).alias("beat_end"), F.avg("own").alias("confidence"), F.first("phase").alias("phase"), F.first("bpb").alias("bpb")

@@ -22,8 +22,10 @@ def chord_accuracy(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def regression_report(found: DataFrame, truth: DataFrame, accuracy: DataFrame) -> DataFrame:
-    """Per song: key, tempo (within 4 percent) and meter right or wrong, and chord accuracy; songs that were not found have false."""
-    f = found.select("song_id", *(F.col(c).alias(f"found_{c}") for c in ("tonic", "bpm", "meter")))
+    """Per song: key, tempo (within 4 percent) and meter right or wrong, chord accuracy, and the found form and number of sections where
+    `found` has them; songs that were not found have false."""
+    more = [c for c in ("form", "n_sections") if c in found.columns]
+    f = found.select("song_id", *more, *(F.col(c).alias(f"found_{c}") for c in ("tonic", "bpm", "meter")))
     rows = truth.join(f, "song_id", "left").join(accuracy, "song_id", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    return rows.select("song_id", yes(F.col("found_tonic") == F.col("tonic")).alias("key_ok"), yes(F.abs(F.col("found_bpm") / F.col("bpm") - 1) < 0.04).alias("tempo_ok"), yes(F.col("found_meter") == F.col("meter")).alias("meter_ok"), F.coalesce("accuracy", F.lit(0.0)).alias("chord_accuracy"))
+    return rows.select("song_id", yes(F.col("found_tonic") == F.col("tonic")).alias("key_ok"), yes(F.abs(F.col("found_bpm") / F.col("bpm") - 1) < 0.04).alias("tempo_ok"), yes(F.col("found_meter") == F.col("meter")).alias("meter_ok"), F.coalesce("accuracy", F.lit(0.0)).alias("chord_accuracy"), *more)

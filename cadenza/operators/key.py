@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import tables as T
 from cadenza.functions.names import key_name, lookup, other_mode, relative_tonic
-from cadenza.operators.progression import by, islands
+from cadenza.operators.progression import by, islands, song_by_song
 
 STAY, NEAR, FAR = 0.0, 0.8, 1.2
 
@@ -36,19 +36,26 @@ def _centred(profile: tuple[float, ...], tonic: int) -> list[float]:
     return (turned / np.sqrt((turned * turned).sum())).tolist()
 
 
-def correlation(v: Column, profile: tuple[float, ...], tonic: int) -> Column:
-    """Pearson correlation of a chroma array with a key profile that starts at the tonic; 0 for a flat array."""
-    weights = _centred(profile, tonic)
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / 12.0
-    dot = sum(((v[i] - mean) * w for i, w in enumerate(weights)), F.lit(0.0))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)))
-    return F.when(norm > 0, dot / norm).otherwise(0.0)
+def with_length(rows: DataFrame, column: str = "chroma") -> DataFrame:
+    """Rows with the length of a chroma array's deviations from its mean, made once for all profiles."""
+    v = [F.col(column)[i] for i in range(12)]
+    rows = rows.withColumn("__mean", sum(v[1:], v[0]) / 12.0)
+    return rows.withColumn("__length", F.sqrt(sum(((x - F.col("__mean")) * (x - F.col("__mean")) for x in v), F.lit(0.0)))).drop("__mean")
+
+
+def correlation(profile: tuple[float, ...], tonic: int, column: str = "chroma") -> Column:
+    """Pearson correlation of a chroma array with a key profile that starts at the tonic; 0 for a flat array.
+
+    The profile's weights add up to 0, so the array's mean drops out of the dot product.
+    """
+    dot = sum((F.col(column)[i] * w for i, w in enumerate(_centred(profile, tonic))), F.lit(0.0))
+    return F.when(F.col("__length") > 1e-12, dot / F.col("__length")).otherwise(0.0)
 
 
 def key_candidates(chroma: DataFrame) -> DataFrame:
     """All 24 keys of every song with their score and rank; on ties (to nine places) C major, C minor, C# major and so on."""
-    each = [F.struct(F.lit(2 * t + m).alias("ordinal"), F.lit(t).alias("tonic"), F.lit(mode).alias("mode"), correlation(F.col("chroma"), profile, t).alias("score")) for t in range(12) for m, (mode, profile) in enumerate((("major", T.MAJOR_PROFILE), ("minor", T.MINOR_PROFILE)))]
-    rows = chroma.select("song_id", F.explode(F.array(*each)).alias("c")).select("song_id", "c.*")
+    each = [F.struct(F.lit(2 * t + m).alias("ordinal"), F.lit(t).alias("tonic"), F.lit(mode).alias("mode"), correlation(profile, t).alias("score")) for t in range(12) for m, (mode, profile) in enumerate((("major", T.MAJOR_PROFILE), ("minor", T.MINOR_PROFILE)))]
+    rows = with_length(chroma).select("song_id", F.explode(F.array(*each)).alias("c")).select("song_id", "c.*")
     rank = F.row_number().over(Window.partitionBy("song_id").orderBy(F.round("score", 9).desc(), "ordinal"))
     return rows.withColumn("rank", rank).drop("ordinal")
 
@@ -68,10 +75,10 @@ def key_windows(frames: DataFrame, window: int, hop: int) -> DataFrame:
 
 
 def region_scores(windows: DataFrame) -> DataFrame:
-    """For each of the twelve regions the better of its major key and the relative minor, as one array, to nine places so that ties are ties."""
-    v = F.col("chroma")
-    scores = [F.round(F.greatest(correlation(v, T.MAJOR_PROFILE, r), correlation(v, T.MINOR_PROFILE, (r + 9) % 12)), 9) for r in range(12)]
-    return windows.select("song_id", "win", F.array(*scores).alias("scores"))
+    """Windows with scores: for each of the twelve regions the better of its major key and the relative minor, to nine places so that
+    ties are ties."""
+    scores = [F.round(F.greatest(correlation(T.MAJOR_PROFILE, r), correlation(T.MINOR_PROFILE, (r + 9) % 12)), 9) for r in range(12)]
+    return with_length(windows).withColumn("scores", F.array(*scores)).drop("__length")
 
 
 def switch_costs() -> np.ndarray:
@@ -81,14 +88,13 @@ def switch_costs() -> np.ndarray:
 
 
 def key_path(scores: DataFrame) -> DataFrame:
-    """Region of every window on the path with the greatest sum of scores less switch costs; lower regions win ties.
+    """Region of every window on the path with the greatest sum of scores less switch costs; lower regions win ties. The chroma stays.
 
     A song's windows are few and go to one call; no frame does.
     """
     cost = switch_costs()
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("win")
         emission = np.stack(pdf["scores"].to_numpy())
         total, back = emission[0], []
         for row in emission[1:]:
@@ -99,29 +105,42 @@ def key_path(scores: DataFrame) -> DataFrame:
         state = [int(total.argmax())]
         for came in reversed(back):
             state.append(int(came[state[-1]]))
-        return pd.DataFrame({"song_id": pdf["song_id"], "win": pdf["win"], "region": state[::-1]})
+        return pd.DataFrame({"song_id": pdf["song_id"], "win": pdf["win"], "region": state[::-1], "chroma": pdf["chroma"]})
 
     kind = scores.schema["song_id"].dataType.simpleString()
-    return scores.groupBy("song_id").applyInPandas(best, f"song_id {kind}, win int, region int")
+    return song_by_song(scores.select("song_id", "win", "scores", "chroma"), "win", best, f"song_id {kind}, win int, region int, chroma array<double>")
+
+
+def key_votes(path: DataFrame) -> DataFrame:
+    """The path with the song's key on every row (tonic, mode, confidence, margin): its commonest region (lowest on ties); major or
+    relative minor by the mean chroma of that region's windows. Windows over a song's few rows, so that the path is made once."""
+    song = Window.partitionBy("song_id")
+    n = F.count(F.lit(1)).over(Window.partitionBy("song_id", "region"))
+    rows = path.withColumn("__n", n).withColumn("__main", F.max(F.struct("__n", (-F.col("region")).alias("r"))).over(song)["r"])
+    own = F.when(F.col("region") == -F.col("__main"), F.col("chroma"))
+    rows = rows.withColumn("__own", F.array(*(F.avg(own[i]).over(song) for i in range(12))))
+    rows = with_length(rows, "__own")
+    pick = lambda profile, shift: F.element_at(F.array(*(correlation(profile, (r + shift) % 12, "__own") for r in range(12))), 1 - F.col("__main"))
+    rows = rows.withColumn("__major", pick(T.MAJOR_PROFILE, 0)).withColumn("__minor", pick(T.MINOR_PROFILE, 9))
+    is_major = F.col("__major") >= F.col("__minor")
+    tonic = F.when(is_major, -F.col("__main")).otherwise(F.pmod(9 - F.col("__main"), F.lit(12)))
+    mode = F.when(is_major, "major").otherwise("minor")
+    return rows.select("song_id", "win", "region", tonic.cast("int").alias("tonic"), mode.alias("mode"), F.greatest("__major", "__minor").alias("confidence"), F.abs(F.col("__major") - F.col("__minor")).alias("margin"))
 
 
-def key_mode_vote(path: DataFrame, windows: DataFrame) -> DataFrame:
-    """Key of a song: its commonest region (lowest on ties); major or relative minor by the mean chroma of that region's windows."""
-    counts = path.groupBy("song_id", "region").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("song_id").agg(F.max(F.struct("n", -F.col("region"))).alias("m")).select("song_id", (-F.col("m.col2")).alias("region"))
-    own = mean_chroma(windows.join(path, ["song_id", "win"]).join(main, ["song_id", "region"]), ["song_id", "region"])
-    pick = lambda profile, shift: F.element_at(F.array(*(correlation(F.col("chroma"), profile, (r + shift) % 12) for r in range(12))), F.col("region") + 1)
-    rows = own.withColumn("major", pick(T.MAJOR_PROFILE, 0)).withColumn("minor", pick(T.MINOR_PROFILE, 9))
-    is_major = F.col("major") >= F.col("minor")
-    tonic = F.when(is_major, F.col("region")).otherwise(F.pmod(F.col("region") + 9, F.lit(12)))
-    return rows.select("song_id", tonic.cast("int").alias("tonic"), F.when(is_major, "major").otherwise("minor").alias("mode"), F.greatest("major", "minor").alias("confidence"), F.abs(F.col("major") - F.col("minor")).alias("margin"))
+def key_mode_vote(path: DataFrame) -> DataFrame:
+    """Key of a song: song_id, tonic, mode, confidence and margin."""
+    return key_votes(path).where("win = 0").drop("win", "region")
 
 
-def key_timeline(path: DataFrame, song_key: DataFrame, durations: DataFrame, window_s: float, hop_s: float) -> DataFrame:
-    """Stretches of equal tonic: every window owns half a hop around its centre, the first from 0, the last to the end."""
-    rows = path.join(song_key.select("song_id", "mode"), "song_id").join(durations, "song_id")
+def key_timeline(path: DataFrame, durations: DataFrame, hop: int, window_s: float = 12.0, hop_s: float = 3.0, frame_s: float = T.HOP / T.SAMPLE_RATE) -> DataFrame:
+    """Stretches of equal tonic: every window owns half a hop around its centre, the first from 0, the last to the end (song_id, duration).
+
+    Windows begin at whole frames, `hop` apart, while the stretch that one owns is hop_s long; so stretches may overlap a little.
+    """
+    rows = key_votes(path).join(durations, "song_id")
     tonic = F.when(F.col("mode") == "minor", F.pmod(F.col("region") + 9, F.lit(12))).otherwise(F.col("region")).cast("int")
-    centre = F.col("win") * hop_s + window_s / 2
+    centre = F.col("win") * hop * frame_s + window_s / 2
     last = F.max("win").over(Window.partitionBy("song_id"))
     rows = rows.withColumn("tonic", tonic).withColumn("start", F.when(F.col("win") == 0, 0.0).otherwise(centre - hop_s / 2)).withColumn("end", F.when(F.col("win") == last, F.col("duration")).otherwise(centre + hop_s / 2))
     rows = islands(rows, F.col("tonic") == F.lag("tonic").over(by("win")), "win")
@@ -129,6 +148,21 @@ def key_timeline(path: DataFrame, song_key: DataFrame, durations: DataFrame, win
     return out.select("song_id", (F.col("island") - 1).cast("int").alias("seg"), "start", "end", "tonic", "mode", key_name(F.col("tonic"), F.col("mode")).alias("key"))
 
 
+def forced_timeline(timeline: DataFrame, overrides: DataFrame, durations: DataFrame) -> DataFrame:
+    """The timeline, with one stretch in the listener's key for songs that have one (forced_tonic, forced_mode); so these have no change."""
+    wish = overrides.where("forced_tonic is not null").select("song_id", F.col("forced_tonic").cast("int").alias("tonic"), F.col("forced_mode").alias("mode"))
+    whole = wish.join(durations, "song_id").select("song_id", F.lit(0).alias("seg"), F.lit(0.0).alias("start"), F.col("duration").alias("end"), "tonic", "mode", key_name(F.col("tonic"), F.col("mode")).alias("key"))
+    return timeline.join(wish.select("song_id"), "song_id", "left_anti").select(whole.columns).unionByName(whole)
+
+
+def relabelled_timeline(timeline: DataFrame, song_key: DataFrame) -> DataFrame:
+    """Stretches in the mode of the song's refined key: each keeps its region and takes the relative tonic if the mode has changed."""
+    rows = timeline.join(song_key.select("song_id", F.col("mode").alias("__mode")), "song_id")
+    flips = F.col("mode") != F.col("__mode")
+    tonic = F.when(flips, relative_tonic(F.col("tonic"), F.col("mode"))).otherwise(F.col("tonic")).cast("int")
+    return rows.select("song_id", "seg", "start", "end", tonic.alias("tonic"), F.col("__mode").alias("mode"), key_name(tonic, F.col("__mode")).alias("key"))
+
+
 def modulations(timeline: DataFrame) -> DataFrame:
     """Changes from one stretch to the next: time, keys and the way up in semitones."""
     before = lambda c: F.lag(c).over(by("seg"))
@@ -146,7 +180,7 @@ def key_runner_up(candidates: DataFrame, song_key: DataFrame) -> DataFrame:
 
 
 def forced_key(song_key: DataFrame, candidates: DataFrame, overrides: DataFrame) -> DataFrame:
-    """The listener's key in place of the detected one: its candidate score as confidence, no margin."""
+    """The listener's key in place of the detected one: its candidate score as confidence, no margin. forced_timeline is its timeline."""
     wish = overrides.select("song_id", "forced_tonic", "forced_mode").where("forced_tonic is not null")
     score = candidates.select("song_id", F.col("tonic").alias("forced_tonic"), F.col("mode").alias("forced_mode"), "score")
     rows = song_key.join(wish.join(score, ["song_id", "forced_tonic", "forced_mode"]), "song_id", "left")
@@ -190,29 +224,40 @@ def key_chord_evidence(chords: DataFrame, keys: DataFrame) -> DataFrame:
     return out.withColumn("combined", 0.55 * F.col("diatonic_fit") + 0.35 * F.col("tonic_time") + 0.10 * moves).drop("n")
 
 
-def endpoint_evidence(frames: DataFrame, keys: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> DataFrame:
-    """Share of the tonic in the chroma of a song's beginning and end, the end counting more; 0 for songs of two seconds or less."""
+def _ends(frames: DataFrame, frame_s: float) -> DataFrame:
+    """Per song: number of frames, and the sums of the chroma at its beginning and at its end."""
     counts = frames.groupBy("song_id").agg((F.max("frame") + 1).alias("n"))
     length = F.col("n") * frame_s
     early = F.floor(F.least(F.lit(45.0), length * 0.12) / frame_s)
     late = F.floor(F.greatest(F.lit(0.0), length - F.least(F.lit(20.0), length * 0.08)) / frame_s)
     rows = frames.select("song_id", "frame", "chroma").join(counts, "song_id")
     rows = rows.withColumn("early", F.col("frame") < early).withColumn("late", F.col("frame") >= late)
-    sums = rows.groupBy("song_id").agg(F.first("n").alias("n"), *(F.array(*(F.sum(F.when(F.col(w), F.col("chroma")[i]).otherwise(0.0)) for i in range(12))).alias(w) for w in ("early", "late")))
+    return rows.groupBy("song_id").agg(F.first("n").alias("n"), *(F.array(*(F.sum(F.when(F.col(w), F.col("chroma")[i]).otherwise(0.0)) for i in range(12))).alias(w) for w in ("early", "late")))
+
+
+def _endpoint(frame_s: float) -> Column:
     share = lambda w: F.element_at(unit_sum(F.col(w)), F.col("tonic") + 1)
-    value = F.when(length <= 2.0, 0.0).otherwise(0.35 * share("early") + 0.65 * share("late"))
-    return keys.select("song_id", "tonic", "mode").join(sums, "song_id").select("song_id", "tonic", "mode", value.alias("endpoint"))
+    return F.when(F.col("n") * frame_s <= 2.0, 0.0).otherwise(0.35 * share("early") + 0.65 * share("late"))
+
+
+def endpoint_evidence(frames: DataFrame, keys: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> DataFrame:
+    """Share of the tonic in the chroma of a song's beginning and end, the end counting more; 0 for songs of two seconds or less."""
+    return keys.select("song_id", "tonic", "mode").join(_ends(frames, frame_s), "song_id").select("song_id", "tonic", "mode", _endpoint(frame_s).alias("endpoint"))
 
 
 def refine_key_mode(song_key: DataFrame, chords: DataFrame, frames: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> DataFrame:
-    """The song's key or its relative, whichever chords and endpoints favour; the relative needs a lead of 0.05. Songs without chords stay."""
-    own = song_key.select("song_id", "tonic", "mode")
-    other = own.select("song_id", relative_tonic(F.col("tonic"), F.col("mode")).cast("int").alias("tonic"), other_mode(F.col("mode")).alias("mode"))
-    both = own.withColumn("own", F.lit(True)).unionByName(other.withColumn("own", F.lit(False)))
-    scored = key_chord_evidence(chords, both).join(endpoint_evidence(frames, both, frame_s), ["song_id", "tonic", "mode"])
-    scored = scored.join(both, ["song_id", "tonic", "mode"]).withColumn("score", F.col("combined") + 0.35 * F.col("endpoint"))
-    pair = scored.groupBy("song_id").agg(F.max(F.when(F.col("own"), F.col("score"))).alias("mine"), F.max(F.when(~F.col("own"), F.col("score"))).alias("theirs"))
-    rows = song_key.join(pair, "song_id", "left").withColumn("flip", F.coalesce(F.col("theirs") > F.col("mine") + 0.05, F.lit(False)))
-    tonic = F.when(F.col("flip"), relative_tonic(F.col("tonic"), F.col("mode")).cast("int")).otherwise(F.col("tonic"))
-    mode = F.when(F.col("flip"), other_mode(F.col("mode"))).otherwise(F.col("mode"))
-    return rows.select("song_id", tonic.alias("tonic"), mode.alias("mode"), "confidence", "margin", F.col("flip").alias("mode_corrected_by_chords"))
+    """The song's key or its relative, whichever chords and endpoints favour; the relative needs a lead of 0.05.
+
+    Songs without chords stay, and so do those whose key the listener gave (user_forced, if there is that column).
+    """
+    other = F.struct(relative_tonic(F.col("tonic"), F.col("mode")).cast("int").alias("tonic"), other_mode(F.col("mode")).alias("mode"))
+    both = song_key.select("song_id", F.explode(F.array(F.struct(F.col("tonic").cast("int").alias("tonic"), "mode"), other)).alias("k")).select("song_id", "k.*")
+    # the evidence of both keys meets by song, and so do the ends of the song; the keys are made once for it and once for the result
+    scored = key_chord_evidence(chords, both).join(_ends(frames, frame_s), "song_id").withColumn("score", F.col("combined") + 0.35 * _endpoint(frame_s))
+    names = F.map_from_entries(F.collect_list(F.struct(F.concat(F.col("tonic").cast("string"), "mode"), "score")))
+    rows = song_key.join(scored.groupBy("song_id").agg(names.alias("scores")), "song_id", "left").withColumn("other", other)
+    mine, theirs = (F.get(F.transform(F.array(F.concat(t.cast("string"), m)), lambda k: F.element_at("scores", k)), F.lit(0)) for t, m in ((F.col("tonic"), F.col("mode")), (F.col("other.tonic"), F.col("other.mode"))))
+    free = ~F.coalesce("user_forced", F.lit(False)) if "user_forced" in song_key.columns else F.lit(True)
+    rows = rows.withColumn("flip", F.coalesce((theirs > mine + 0.05) & free, F.lit(False)))
+    pick = lambda c: F.when(F.col("flip"), F.col(f"other.{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select("song_id", pick("tonic"), pick("mode"), "confidence", "margin", F.col("flip").alias("mode_corrected_by_chords"))

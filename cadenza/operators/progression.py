@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -13,6 +16,32 @@ def by(order: str = "pos") -> WindowSpec:
     return Window.partitionBy("song_id").orderBy(order)
 
 
+def song_by_song(rows: DataFrame, order: str, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A call for each song's rows in order: songs are dealt and sorted by Spark, and a task walks through its songs batch by batch, so
+    that small songs cost no call of their own into Python; it holds one song and one batch at a time."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last: object = held  # no song
+        for batch in batches:
+            songs = [None if missing else s for s, missing in zip(batch["song_id"].tolist(), batch["song_id"].isna().tolist())]
+            starts = [k for k, s in enumerate(songs) if s != (songs[k - 1] if k else last)]
+            done = []
+            for start, stop in zip([0, *starts], [*starts, len(songs)]):
+                if start in starts and held:
+                    done.append(call(pd.concat(held)))
+                    held = []
+                if start < stop:
+                    held.append(batch.iloc[start:stop])
+            if done:
+                yield pd.concat(done)
+            last = songs[-1] if songs else last
+        if held:
+            yield call(pd.concat(held))
+
+    return rows.repartition("song_id").sortWithinPartitions("song_id", order).mapInPandas(walk, schema)
+
+
 def islands(rows: DataFrame, same: Column, order: str = "pos", name: str = "island") -> DataFrame:
     """Number the maximal runs of consecutive rows that are each `same` as the row before."""
     upto = by(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -48,19 +77,25 @@ def n_grams(sequence: DataFrame, lengths: range, symbol: str = "chord") -> DataF
 
 
 def repeated_patterns(sequence: DataFrame, shortest: int = 4, longest: int = 8, least: int = 2) -> DataFrame:
-    """Patterns that occur at least twice in a song (overlaps count): occurrences, first place, numbers there, all places."""
+    """Patterns that occur at least twice in a song (overlaps count): occurrences, first place, numbers there, all places with theirs."""
     grams = n_grams(sequence, range(shortest, longest + 1))
     found = grams.groupBy("song_id", "pattern").agg(
-        F.first("n").alias("length"), F.count(F.lit(1)).alias("occurrences"), F.min("pos").alias("first_pos"), F.min_by("numbers", "pos").alias("numbers"), F.sort_array(F.collect_list(F.struct("pos", "start", "stop"))).alias("locations")
+        F.first("n").alias("length"), F.count(F.lit(1)).alias("occurrences"), F.min("pos").alias("first_pos"), F.min_by("numbers", "pos").alias("numbers"), F.sort_array(F.collect_list(F.struct("pos", "start", "stop", "numbers"))).alias("locations")
     )
     return found.where(F.col("occurrences") >= least)
 
 
 def maximal_patterns(patterns: DataFrame) -> DataFrame:
-    """Repeated patterns that no longer repeated pattern contains. A contained one is the head or tail of one that is one longer."""
-    cut = F.explode(F.array(F.slice("pattern", 1, F.col("length") - 1), F.slice("pattern", 2, F.col("length") - 1)))
-    inner = patterns.select("song_id", cut.alias("pattern")).distinct()
-    return patterns.join(inner, ["song_id", "pattern"], "left_anti")
+    """Repeated patterns that no longer repeated pattern contains. A contained one is the head or tail of one that is one longer.
+
+    Every pattern goes out once as itself and twice as what it contains, so one grouping decides and the patterns are made once.
+    """
+    rest = [c for c in patterns.columns if c not in ("song_id", "pattern")]
+    own = F.struct(F.col("pattern").alias("p"), F.struct(*rest).alias("own"))
+    part = lambda first: F.struct(F.slice("pattern", F.lit(first), F.col("length") - 1).alias("p"), F.lit(None).cast(patterns.select(F.struct(*rest)).schema[0].dataType).alias("own"))
+    each = patterns.select("song_id", F.explode(F.array(own, part(1), part(2))).alias("e"))
+    found = each.groupBy("song_id", F.col("e.p").alias("pattern")).agg(F.first("e.own", ignorenulls=True).alias("own"), F.count(F.lit(1)).alias("n"))
+    return found.where("own is not null and n = 1").select("song_id", "pattern", "own.*")
 
 
 def stabilize_chords(sequence: DataFrame, shortest: float = 0.65) -> DataFrame:
@@ -87,7 +122,9 @@ def chord_statistics(sequence: DataFrame) -> DataFrame:
 
 
 def alternating_vamps(sequence: DataFrame, least: int = 4) -> DataFrame:
-    """Longest A-B-A-B runs of at least four items, none overlapping an earlier one: song_id, first_pos, length, a, b."""
+    """Longest A-B-A-B runs of at least four items, none overlapping an earlier one: song_id, first_pos, length, a, b. Items are
+    compared by their number, or by name where they have none."""
+    sequence = sequence.withColumn("chord", F.coalesce("nashville", "chord"))
     one, two = F.lag("chord", 1).over(by()), F.lag("chord", 2).over(by())
     rows = sequence.withColumn("goes", F.coalesce((F.col("chord") == two) & (F.col("chord") != one), F.lit(False)))
     rows = islands(rows, F.col("goes") == F.lag("goes").over(by())).where("goes")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import tables as T
-from cadenza.operators.beats import grid_coverage
-from cadenza.operators.progression import by
+from cadenza.operators.beats import grid_coverage, median_gap
+from cadenza.operators.progression import song_by_song
 
 LONGEST_LAG_S, SHORTEST_BAR_S, LONGEST_BAR_S, LEAST_GAP_S = 11.7, 1.4, 9.0, 0.15
 LEAST_STRENGTH, SAME_BAR, QUARTER_S = 0.18, 0.07, (0.40, 1.20)
@@ -18,23 +18,25 @@ LEAST_STRENGTH, SAME_BAR, QUARTER_S = 0.18, 0.07, (0.40, 1.20)
 def refine_pulse(beats: DataFrame, onsets: DataFrame, wider: float = 1.5, gain: float = 0.10) -> DataFrame:
     """The beats (song_id, beat, frame), or a grid with 1.5 times their spacing at the phase 0, 0.5 or 1 that catches at least a tenth more onsets.
 
-    Grid points between beats are interpolated: each finds the beat below and the one above by equality. A grid needs eight points.
+    A grid needs eight points before the last beat. Points between beats are interpolated: each finds the beat below and the one above by
+    equality. The best of three phases wins, the first on ties.
     """
     count = beats.groupBy("song_id").agg(F.max("beat").alias("last"))
-    phases = F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("phase")
-    places = count.select("song_id", "last", phases).where("last >= phase")
-    steps = F.floor((F.col("last") - F.col("phase")) / wider).cast("int")
-    places = places.where(steps >= 7).select("song_id", "phase", F.explode(F.transform(F.sequence(F.lit(0), steps), lambda k: F.struct(k.alias("nth"), (F.col("phase") + k * wider).alias("at")))).alias("p")).select("song_id", "phase", "p.*")
-    side = lambda f, name: beats.select("song_id", F.col("beat").alias(f"{name}_beat"), F.col("frame").alias(name))
+    places = count.select("song_id", "last", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("phase"))
+    n = F.ceil((F.col("last") - F.col("phase")) / wider).cast("int")
+    places = places.where(n >= 8).select("song_id", "phase", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.col("phase") + k * wider)).alias("nth", "at"))
+    side = lambda name: beats.select("song_id", F.col("beat").alias(f"{name}_beat"), F.col("frame").alias(name))
     low = places.withColumn("low_beat", F.floor("at").cast("int")).withColumn("high_beat", F.ceil("at").cast("int"))
-    grid = low.join(side(F.floor, "low"), ["song_id", "low_beat"]).join(side(F.ceil, "high"), ["song_id", "high_beat"])
+    grid = low.join(side("low"), ["song_id", "low_beat"]).join(side("high"), ["song_id", "high_beat"])
     grid = grid.select("song_id", "phase", "nth", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.col("low_beat"))).alias("frame"))
+    period = median_gap(beats)
+    wide = period.withColumn("period", F.col("period") * wider)
     rated = None
     for phase in (0.0, 0.5, 1.0):
-        one = grid_coverage(onsets, grid.where(F.col("phase") == phase).select("song_id", "frame")).withColumn("phase", F.lit(phase))
+        one = grid_coverage(onsets, grid.where(F.col("phase") == phase).select("song_id", "frame"), period=wide).withColumn("phase", F.lit(phase))
         rated = one if rated is None else rated.unionByName(one)
     best = rated.groupBy("song_id").agg(F.max(F.struct("coverage", (-F.col("phase")).alias("p"))).alias("m")).select("song_id", F.col("m.coverage").alias("found"), (-F.col("m.p")).alias("phase"))
-    base = grid_coverage(onsets, beats.select("song_id", F.col("frame").cast("double").alias("frame")))
+    base = grid_coverage(onsets, beats.select("song_id", F.col("frame").cast("double").alias("frame")), period=period)
     better = best.join(base, "song_id").where(F.col("found") >= F.col("coverage") + gain).select("song_id", "phase")
     swapped = grid.join(better, ["song_id", "phase"]).select("song_id", F.col("nth").alias("beat"), F.bround("frame").cast("int").alias("frame"), F.lit(True).alias("regridded"))
     same = beats.join(better, "song_id", "left_anti").select("song_id", "beat", "frame", F.lit(False).alias("regridded"))
@@ -57,7 +59,6 @@ def bar_period(frames: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> Dat
         return out / out[0] if len(out) and out[0] > 1e-12 else np.zeros(lags)
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
         low, onset, novelty = (z(pdf[c].to_numpy()) for c in ("low_env", "onset_env", "novelty"))
         lags = min(len(pdf), int(LONGEST_LAG_S / frame_s) + 1)
         ac, accent = correlate(low + onset + 2 * novelty, lags), correlate(low + onset, lags)
@@ -65,7 +66,7 @@ def bar_period(frames: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> Dat
         peaks = inner[(ac[inner] > ac[inner - 1]) & (ac[inner] >= ac[inner + 1])] if lags > 2 else inner[:0]
         kept: list[int] = []
         for k in peaks[np.argsort(-ac[peaks], kind="stable")].tolist():
-            if all(abs(k - other) >= LEAST_GAP_S / frame_s for other in kept):
+            if all(abs(k - other) >= max(1, int(LEAST_GAP_S / frame_s)) for other in kept):
                 kept.append(k)
         fits = sorted(k for k in kept if SHORTEST_BAR_S <= k * frame_s <= LONGEST_BAR_S)
         top = max((ac[k] for k in fits), default=0.0)
@@ -73,14 +74,17 @@ def bar_period(frames: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> Dat
         return pd.DataFrame([(pdf["song_id"].iloc[0], None if bar is None else bar * frame_s, 0.0 if bar is None else float(ac[bar]), accent.tolist())], columns=["song_id", "bar_s", "strength", "accent"])
 
     kind = frames.schema["song_id"].dataType.simpleString()
-    return frames.select("song_id", "frame", "low_env", "onset_env", "novelty").groupBy("song_id").applyInPandas(find, f"song_id {kind}, bar_s double, strength double, accent array<double>")
+    return song_by_song(frames.select("song_id", "frame", "low_env", "onset_env", "novelty"), "frame", find, f"song_id {kind}, bar_s double, strength double, accent array<double>")
 
 
-def rescue_meter(periods: DataFrame, bars: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> DataFrame:
+def rescue_meter(periods: DataFrame, bars: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE, overrides: DataFrame | None = None) -> DataFrame:
     """Songs (bar_s, strength, accent) whose tracked bars contradict the accents: label, bpm and share of the better of 4/4 and 3/4.
 
-    Bars of about the same, double, half, four times or a quarter the length agree; songs of two bars or fewer are left alone.
+    Bars of about the same, double, half, four times or a quarter the length agree; songs of two bars or fewer
+    are left alone, and so are those whose tempo the listener gave (song_id, forced_bpm).
     """
+    if overrides is not None:
+        periods = periods.join(overrides.where("forced_bpm is not null").select("song_id"), "song_id", "left_anti")
     tracked = bars.groupBy("song_id").agg(F.percentile(F.col("end") - F.col("start"), F.lit(0.5)).alias("tracked_s"), F.count(F.lit(1)).alias("n_bars")).where("n_bars > 2")
     rows = periods.join(tracked, "song_id").where((F.col("strength") >= LEAST_STRENGTH) & F.col("bar_s").isNotNull())
     for times in (1.0, 2.0, 0.5, 4.0, 0.25):

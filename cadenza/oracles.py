@@ -79,7 +79,7 @@ GRAMS = """, grams AS (
 ), cut AS (SELECT song_id, pos, n, array_to_string(c[1:n], ' ') AS pattern, array_to_string(m[1:n], ' ') AS numbers FROM grams WHERE len(c) >= n)"""
 
 PATTERNS = f"""{sequence()}{GRAMS.format(4, 9)}, patterns AS (
-  SELECT song_id, pattern, n AS length, count(*) AS occurrences, min(pos) AS first_pos, first(numbers ORDER BY pos) AS numbers, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS places
+  SELECT song_id, pattern, n AS length, count(*) AS occurrences, min(pos) AS first_pos, first(numbers ORDER BY pos) AS numbers, string_agg(pos || ':' || numbers, ',' ORDER BY pos) AS places
   FROM cut GROUP BY ALL HAVING count(*) >= 2
 )""".replace("GROUP BY ALL", "GROUP BY song_id, pattern, n")
 
@@ -94,8 +94,9 @@ STABLE = f"""{sequence()}, around AS (
 ), isl AS (SELECT *, sum(f2) OVER (PARTITION BY song_id ORDER BY pos) AS island FROM again
 ), stable AS (SELECT song_id, CAST(island - 1 AS INT) AS pos, first(chord ORDER BY pos) AS chord, min(start) AS start, last(stop ORDER BY pos) AS stop FROM isl GROUP BY song_id, island)"""
 
-VAMPS = f"""{sequence()}, steps AS (
-  SELECT *, coalesce(chord = lag(chord, 2) OVER w AND chord <> lag(chord) OVER w, false) AS goes FROM seq WINDOW w AS (PARTITION BY song_id ORDER BY pos)
+VAMPS = f"""{sequence()}, items AS (SELECT song_id, pos, coalesce(nashville, chord) AS chord FROM seq
+), steps AS (
+  SELECT *, coalesce(chord = lag(chord, 2) OVER w AND chord <> lag(chord) OVER w, false) AS goes FROM items WINDOW w AS (PARTITION BY song_id ORDER BY pos)
 ), marked AS (SELECT *, CASE WHEN goes = lag(goes) OVER (PARTITION BY song_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM steps
 ), grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY song_id ORDER BY pos) AS g FROM marked
 ), vamp AS (SELECT song_id, min(pos) - 2 AS first_pos, count(*) + 2 AS length, row_number() OVER (PARTITION BY song_id ORDER BY min(pos)) AS i FROM grouped WHERE goes GROUP BY song_id, g
@@ -107,7 +108,7 @@ VAMPS = f"""{sequence()}, steps AS (
   FROM (SELECT v.*, w.edge, CASE WHEN v.first_pos <= w.edge THEN 1 ELSE 0 END AS late FROM vamp v JOIN walk w ON v.song_id = w.song_id AND v.i = w.i + 1) v
 )
 SELECT walk.song_id, CAST(f AS INT) AS first_pos, CAST(n AS BIGINT) AS length, x.chord AS a, y.chord AS b FROM walk
-JOIN seq x ON x.song_id = walk.song_id AND x.pos = f JOIN seq y ON y.song_id = walk.song_id AND y.pos = f + 1 WHERE n >= 4"""
+JOIN items x ON x.song_id = walk.song_id AND x.pos = f JOIN items y ON y.song_id = walk.song_id AND y.pos = f + 1 WHERE n >= 4"""
 
 REGIONS = f"""{sequence()}{GRAMS.format(4, 5)}, regions AS (SELECT song_id, numbers AS signature, count(*) AS occurrences, min(pos) AS first_pos FROM cut GROUP BY song_id, numbers HAVING count(*) >= 2)"""
 
@@ -202,7 +203,7 @@ VOTES = f"""{PATHS}, tally AS (SELECT song_id, region, row_number() OVER (PARTIT
 
 TIMES = f"""{VOTES}, placed AS (
   SELECT p.song_id, p.win, k.mode, CASE k.mode WHEN 'minor' THEN (p.region + 9) % 12 ELSE p.region END AS tonic,
-    CASE WHEN p.win = 0 THEN 0 ELSE p.win * 3 + 4.5::DOUBLE END AS start, CASE WHEN p.win = max(p.win) OVER (PARTITION BY p.song_id) THEN CAST(n AS DOUBLE) ELSE p.win * 3 + 7.5::DOUBLE END AS stop
+    CASE WHEN p.win = 0 THEN 0 ELSE p.win * 3 + 4.625::DOUBLE END AS start, CASE WHEN p.win = max(p.win) OVER (PARTITION BY p.song_id) THEN CAST(n AS DOUBLE) ELSE p.win * 3 + 7.875::DOUBLE END AS stop
   FROM paths p JOIN song_key k USING (song_id) JOIN sizes USING (song_id)
 ), fresh AS (SELECT *, CASE WHEN tonic = lag(tonic) OVER (PARTITION BY song_id ORDER BY win) THEN 0 ELSE 1 END AS f FROM placed
 ), runs AS (SELECT *, sum(f) OVER (PARTITION BY song_id ORDER BY win) AS g FROM fresh
@@ -244,8 +245,14 @@ ORACLES |= {
     "key_at": f"""WITH RECURSIVE {TIMES}, points AS (SELECT song_id, pos, pos * 1.1::DOUBLE AS time FROM ev), ranked AS (
       SELECT p.song_id, p.pos, t.tonic, t.mode, row_number() OVER (PARTITION BY p.song_id, p.pos ORDER BY CASE WHEN start <= time AND time < stop THEN seg ELSE 1000000 - seg END) AS nth FROM points p JOIN timeline t USING (song_id))
       SELECT song_id, pos, tonic AS key_tonic, mode AS key_mode FROM ranked WHERE nth = 1""",
-    "key_chord_evidence": f"""WITH {chords()}, keys AS (SELECT DISTINCT song_id, k % 12 AS tonic, CASE WHEN k < 50 THEN 'major' ELSE 'minor' END AS mode FROM ev WHERE pos < 3), {EVIDENCE}
+    "key_chord_evidence": f"""WITH {CANDIDATES}{_CHORDS_ONLY}, keys AS (SELECT song_id, tonic, mode FROM candidates WHERE rank <= 3), {EVIDENCE}
       SELECT song_id, tonic, mode, round(diatonic_fit, 6) AS diatonic_fit, round(tonic_time, 6) AS tonic_time, resolutions, round(combined, 6) AS combined FROM combined""",
+    "forced_timeline": f"""WITH RECURSIVE {TIMES}, wish AS (SELECT song_id, k % 12 AS tonic, 'minor' AS mode FROM ev WHERE pos = 0 AND k % 3 = 0),
+      both_kinds AS (SELECT song_id, seg, start, stop, tonic, mode, key FROM named WHERE song_id NOT IN (SELECT song_id FROM wish) UNION ALL SELECT song_id, 0, 0, CAST(n AS DOUBLE), tonic, mode, {spelled("tonic", "tonic", "mode")} || ' ' || mode FROM wish JOIN sizes USING (song_id))
+      SELECT song_id, seg, start, stop AS "end", tonic, mode, key, count(*) OVER (PARTITION BY song_id) AS segments FROM both_kinds""",
+    "relabelled_timeline": f"""WITH RECURSIVE {TIMES}, wish AS (SELECT song_id, CASE WHEN k % 2 = 0 THEN 'major' ELSE 'minor' END AS other FROM ev WHERE pos = 0),
+      turned AS (SELECT song_id, seg, start, stop, other AS mode, CASE WHEN mode <> other THEN {RELATIVE} ELSE tonic END AS tonic FROM timeline JOIN wish USING (song_id))
+      SELECT song_id, seg, start, stop AS "end", tonic, mode, {spelled("tonic", "tonic", "mode")} || ' ' || mode AS key FROM turned""",
     "endpoint_evidence": f"WITH {CANDIDATES}, keys AS (SELECT * FROM candidates WHERE rank = 1), {ENDPOINTS} SELECT song_id, tonic, mode, round(endpoint, 6) AS endpoint FROM endpoints",
     "refine_key_mode": f"""WITH {CANDIDATES}{_CHORDS_ONLY}, best AS (SELECT * FROM candidates WHERE rank = 1),
       keys AS (SELECT song_id, tonic, mode, true AS own FROM best UNION ALL SELECT song_id, {RELATIVE}, {OTHER}, false FROM best), {EVIDENCE}, {ENDPOINTS},
@@ -292,11 +299,14 @@ METER = f"""{SERIES}, {acf("low", "acl")}, {acf("nov", "acn")}, wide AS (SELECT
 PHASE = f"""{METER}, means AS (SELECT song_id, bpb, beat % bpb AS p, avg(low_z) + 0.7::DOUBLE * avg(nov_z) + 0.3::DOUBLE * avg(full_z) AS score, count(*) AS n FROM scored JOIN meter USING (song_id) GROUP BY song_id, bpb, beat % bpb
 ), tempo AS (SELECT song_id, bpb, p AS phase FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY round(score, 9) DESC, p) AS nth FROM means WHERE n >= 2) WHERE nth = 1)"""
 
-FOLD = f"""{EV}, beats AS (SELECT song_id, pos AS beat, t / CASE song_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 12.0::DOUBLE ELSE 40.0::DOUBLE END AS time, value + value + k AS accent FROM ev
-), gaps AS (SELECT *, lead(time) OVER (PARTITION BY song_id ORDER BY beat) AS nxt FROM beats
-), about AS (SELECT song_id, 60 / quantile_cont(nxt - time, 0.5) AS bpm, CASE WHEN avg(accent) FILTER (beat % 2 = 0) >= avg(accent) FILTER (beat % 2 = 1) THEN 0 ELSE 1 END AS side FROM gaps GROUP BY song_id
-), folded AS (SELECT *, CASE WHEN bpm >= 160 THEN 0.5::DOUBLE WHEN bpm < 50 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS fold FROM gaps JOIN about USING (song_id)
-), times AS (SELECT song_id, bpm, fold, unnest(CASE WHEN fold = 2 AND nxt IS NOT NULL THEN [time, (time + nxt) / 2] ELSE [time] END) AS time FROM folded WHERE fold <> 0.5 OR beat % 2 = side)"""
+FOLD = f"""{EV}, beats AS (SELECT song_id, pos AS beat, pos * CASE song_id % 3 WHEN 0 THEN 20 WHEN 1 THEN 10 ELSE 61 END + k % 5 AS frame, value AS low, value + k AS "full" FROM ev
+), gaps AS (SELECT *, lead(frame) OVER (PARTITION BY song_id ORDER BY beat) AS nxt FROM beats
+), about AS (SELECT song_id, 60 / (quantile_cont(nxt - frame, 0.5) * ({T.HOP} / {T.SAMPLE_RATE}::DOUBLE)) AS bpm,
+    CASE WHEN avg(low) FILTER (beat % 2 = 0) + avg("full") FILTER (beat % 2 = 0) >= avg(low) FILTER (beat % 2 = 1) + avg("full") FILTER (beat % 2 = 1) THEN 0 ELSE 1 END AS side FROM gaps GROUP BY song_id
+), folded AS (SELECT *, CASE WHEN song_id % 7 = 0 THEN 1.0::DOUBLE WHEN bpm >= 160 THEN 0.5::DOUBLE WHEN bpm < 50 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS fold FROM gaps JOIN about USING (song_id)
+), places AS (SELECT song_id, fold, unnest(CASE WHEN fold = 2 AND nxt IS NOT NULL THEN [frame, (frame + nxt) // 2] ELSE [frame] END) AS frame FROM folded WHERE fold <> 0.5 OR beat % 2 = side
+), again AS (SELECT *, lead(frame) OVER (PARTITION BY song_id ORDER BY frame) - frame AS gap, row_number() OVER (PARTITION BY song_id ORDER BY frame) - 1 AS beat FROM places
+), measured AS (SELECT song_id, 60 / (quantile_cont(gap, 0.5) * ({T.HOP} / {T.SAMPLE_RATE}::DOUBLE)) AS tempo FROM again GROUP BY song_id)"""
 
 STATES = f"""states AS (
   SELECT root, q, quality, pc, w / sqrt(sum(w * w) OVER (PARTITION BY root, q)) AS w, CASE quality WHEN 'major7' THEN -0.045::DOUBLE WHEN 'major' THEN 0 WHEN 'minor' THEN 0 ELSE -0.035::DOUBLE END AS bias FROM (
@@ -306,10 +316,10 @@ STATES = f"""states AS (
 _IN = lambda table: tuple(f"{d}{q}" for d, qs in table.items() for q in qs)
 HEARD = f"""{FRAMES}, {STATES}, norms AS (SELECT song_id, frame AS beat, sqrt(sum(raw * raw)) AS norm, sum(raw) AS total FROM tones GROUP BY song_id, frame
 ), scores AS (
-  SELECT t.song_id, t.frame AS beat, root * 5 + q AS state, root, quality, sum(raw * w) / any_value(norm) + CASE WHEN root = any_value(e.k) % 12 THEN 0.08::DOUBLE ELSE 0 END + any_value(bias) AS score
+  SELECT t.song_id, t.frame AS beat, root * 5 + q AS state, root, quality, sum(raw * w) / any_value(norm) AS cosine, sum(raw * w) / any_value(norm) + CASE WHEN root = any_value(e.k) % 12 THEN 0.08::DOUBLE ELSE 0 END + any_value(bias) AS score
   FROM tones t JOIN states s USING (pc) JOIN norms n ON n.song_id = t.song_id AND n.beat = t.frame JOIN ev e ON e.song_id = t.song_id AND e.pos = t.frame GROUP BY t.song_id, t.frame, root, q, quality
 ), keyed AS (SELECT song_id, pos AS beat, t AS time, CASE WHEN t < 300 THEN song_id % 12 ELSE (song_id + 7) % 12 END AS key_tonic, CASE WHEN t < 300 THEN 'major' ELSE 'minor' END AS key_mode FROM ev
-), degrees AS (SELECT k.*, s.state, s.score, s.quality, (s.root - key_tonic + 12) % 12 AS d FROM keyed k JOIN scores s USING (song_id, beat)
+), degrees AS (SELECT k.*, s.state, s.score, s.cosine, s.quality, (s.root - key_tonic + 12) % 12 AS d FROM keyed k JOIN scores s USING (song_id, beat)
 ), priors AS (
   SELECT *, CAST(CASE WHEN key_mode = 'major' THEN CASE WHEN d || quality = '0dominant7' THEN 0.3 WHEN d || quality IN {_IN(T.MAJOR_DIATONIC)} THEN 0.7 WHEN d || quality IN {_IN(T.MAJOR_BORROWED)} THEN 0.3 WHEN d IN (0, 2, 4, 5, 7, 9, 10) THEN 0.25 ELSE 0 END
     ELSE CASE WHEN d || quality IN {_IN(T.MINOR_DIATONIC)} THEN 0.7 WHEN d IN (0, 3, 5, 7, 8, 10) THEN 0.25 ELSE 0 END END AS DOUBLE) AS prior FROM degrees
@@ -329,10 +339,10 @@ CHORD_PATH = f"""{HEARD}, walk AS (
 ), ends AS (SELECT song_id, path FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY beat DESC, total DESC, state) AS nth FROM walk) WHERE nth = 1 AND len(path) >= 4
 ), chosen AS (SELECT song_id, CAST(unnest(range(len(path))) AS INT) AS beat, CAST(unnest(path) AS INT) AS state FROM ends)"""
 
-SEGMENTS = f"""{CHORD_PATH}, timed AS (SELECT c.*, h.time, h.score, lead(h.time) OVER w AS nxt, h.time - lag(h.time) OVER w AS gap, CASE WHEN c.state = lag(c.state) OVER w THEN 0 ELSE 1 END AS f FROM chosen c JOIN heard h USING (song_id, beat, state) WINDOW w AS (PARTITION BY song_id ORDER BY beat)
+SEGMENTS = f"""{CHORD_PATH}, timed AS (SELECT c.*, h.time, h.cosine, lead(h.time) OVER w AS nxt, h.time - lag(h.time) OVER w AS gap, CASE WHEN c.state = lag(c.state) OVER w THEN 0 ELSE 1 END AS f FROM chosen c JOIN heard h USING (song_id, beat, state) WINDOW w AS (PARTITION BY song_id ORDER BY beat)
 ), runs AS (SELECT *, sum(f) OVER (PARTITION BY song_id ORDER BY beat) AS g FROM timed
 ), segments AS (
-  SELECT song_id, CAST(g - 1 AS INT) AS pos, any_value(state) // 5 AS root_pc, {pick(T.STATE_QUALITIES, "any_value(state) % 5")} AS quality, min(time) AS start, last(coalesce(nxt, time + gap) ORDER BY beat) AS stop, min(beat) AS beat_start, max(beat) + 1 AS beat_end, avg(score) AS confidence
+  SELECT song_id, CAST(g - 1 AS INT) AS pos, any_value(state) // 5 AS root_pc, {pick(T.STATE_QUALITIES, "any_value(state) % 5")} AS quality, min(time) AS start, last(coalesce(nxt, time + gap) ORDER BY beat) AS stop, min(beat) AS beat_start, max(beat) + 1 AS beat_end, avg(cosine) AS confidence
   FROM runs GROUP BY song_id, g)"""
 
 FOUND = f"""{chords()}, found AS (SELECT song_id, start + 0.5::DOUBLE AS a, stop + 0.5::DOUBLE AS b, CASE WHEN pos % 5 = 0 THEN 1 ELSE root_pc END AS root, quality FROM chords
@@ -351,7 +361,7 @@ ORACLES |= {
     "grid_coverage": f"""WITH {EV}, {every()}, points AS (SELECT song_id, frame * 3 AS f FROM grid), onsets AS (SELECT song_id, pos * 3 AS f FROM ev WHERE value * k / 100.0::DOUBLE > 40),
       d AS (SELECT o.song_id, o.f, min(abs(o.f - p.f)) AS d FROM onsets o JOIN points p USING (song_id) GROUP BY o.song_id, o.f)
       SELECT song_id, round(avg(CASE WHEN d <= greatest(1, 0.12 * 15) THEN 1.0 ELSE 0 END), 6) AS coverage FROM d GROUP BY song_id""",
-    "tempo_fold": f"WITH {FOLD} SELECT song_id, round(bpm, 6) AS measured_bpm, fold, round(time, 6) AS time, row_number() OVER (PARTITION BY song_id ORDER BY time) - 1 AS beat, round(bpm * fold / 2, 6) AS tempo_half, round(bpm * fold * 2, 6) AS tempo_double FROM times",
+    "tempo_fold": f"WITH {FOLD} SELECT song_id, beat, frame, fold, round(tempo, 6) AS tempo, round(tempo / 2, 6) AS tempo_half, round(tempo * 2, 6) AS tempo_double FROM again JOIN measured USING (song_id)",
     "extend_grid": f"""WITH {SERIES}, own AS (SELECT * FROM beats WHERE beat > 6), gaps AS (SELECT song_id, frame, lead(frame) OVER (PARTITION BY song_id ORDER BY frame) - frame AS g FROM own),
       about AS (SELECT song_id, quantile_cont(g, 0.5) AS iv, min(frame) AS a, max(frame) AS z FROM gaps GROUP BY song_id), sizes AS (SELECT song_id, max(frame) + 70 AS n FROM beats GROUP BY song_id),
       steps AS (SELECT *, unnest(range(1, 60)) AS s FROM about JOIN sizes USING (song_id)),
@@ -359,19 +369,22 @@ ORACLES |= {
       SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY frame) - 1 AS beat, CAST(frame AS INT) AS frame FROM extra""",
     "tempo_stability": f"WITH {SERIES}, g AS (SELECT song_id, lead(time) OVER (PARTITION BY song_id ORDER BY beat) - time AS g FROM beats) SELECT song_id, round(stddev_pop(g) / avg(g), 6) AS stability FROM g GROUP BY song_id",
     "triplet_feel": f"""WITH {EV}, {every(7)}, spans AS (SELECT song_id, frame, lead(frame) OVER (PARTITION BY song_id ORDER BY beat) - frame AS span FROM grid),
-      points AS (SELECT song_id, unnest(['third', 'third', 'half']) AS kind, unnest([frame + round_even(span / 3.0, 0), frame + round_even(span * 2 / 3.0, 0), frame + round_even(span / 2.0, 0)]) AS at FROM spans WHERE span >= 6),
+      points AS (SELECT song_id, unnest(['third', 'third', 'half']) AS kind, unnest([frame + floor(span / 3.0), frame + floor(span * 2 / 3.0), frame + floor(span / 2.0)]) AS at FROM spans WHERE span >= 6),
       peak AS (SELECT song_id, pos, max(value) OVER (PARTITION BY song_id ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM ev),
       m AS (SELECT p.song_id, avg(x) FILTER (kind = 'third') AS a, avg(x) FILTER (kind = 'half') AS b FROM points p JOIN peak ON peak.song_id = p.song_id AND peak.pos = p.at GROUP BY p.song_id)
-      SELECT song_id, round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0 END, 6) AS triplet FROM m""",
+      SELECT song_id, coalesce(round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0 END, 6), 0) AS triplet FROM (SELECT DISTINCT song_id FROM grid) LEFT JOIN m USING (song_id)""",
     "autocorrelation": f"WITH {SERIES}, {acf('low', 'acl')} SELECT song_id, lag, round(acf, 6) AS acf FROM acl",
     "estimate_meter": f"WITH {METER} SELECT song_id, label, bpb, round(confidence, 6) AS confidence, best FROM meter",
+    "forced_meter": f"""WITH {METER}, wish AS (SELECT song_id, {pick(("4/4", "5/4", "6/8", "3/4"), "k % 4")} AS wished FROM ev WHERE pos = 0),
+      asked AS (SELECT song_id, label, bpb, confidence, CASE WHEN wished IN {tuple(T.METER_BEATS)} THEN wished END AS wished FROM meter JOIN wish USING (song_id))
+      SELECT song_id, coalesce(wished, label) AS label, coalesce({look(T.METER_BEATS, "wished")}, bpb) AS bpb, round(confidence, 6) AS confidence, wished IS NOT NULL AS user_forced FROM asked""",
     "downbeat_phase": f"WITH {PHASE} SELECT song_id, bpb, phase FROM tempo",
     "build_bars": f"""WITH {PHASE}, ends AS (SELECT song_id, max(beat) AS last FROM beats GROUP BY song_id),
       starts AS (SELECT b.song_id, (b.beat - phase) // bpb AS index, time AS start, b.beat AS beat_start, least(b.beat + bpb, last) AS beat_end FROM beats b JOIN tempo USING (song_id) JOIN ends USING (song_id) WHERE b.beat >= phase AND (b.beat - phase) % bpb = 0 AND b.beat < last)
       SELECT s.song_id, index, round(start, 6) AS start, round(e.time, 6) AS "end", beat_start, beat_end FROM starts s JOIN beats e ON e.song_id = s.song_id AND e.beat = s.beat_end""",
     "harmonic_novelty": f"""WITH {FRAMES}, u AS (SELECT song_id, frame, pc, raw / sqrt(sum(raw * raw) OVER (PARTITION BY song_id, frame)) AS x FROM tones),
-      s AS (SELECT song_id, frame, pc, avg(x) OVER b AS b, avg(x) OVER a AS a, count(*) OVER b AS nb, count(*) OVER a AS na FROM u WINDOW b AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
-      SELECT song_id, frame, round(CASE WHEN any_value(nb) = 4 AND any_value(na) = 4 THEN 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) ELSE 0 END, 6) + 0.0::DOUBLE AS novelty FROM s GROUP BY song_id, frame""",
+      s AS (SELECT song_id, frame, pc, avg(x) OVER b AS b, avg(x) OVER a AS a, frame >= 4 AND frame < n - 4 AS whole FROM u JOIN sizes USING (song_id) WINDOW b AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
+      SELECT song_id, frame, round(CASE WHEN any_value(whole) THEN 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) ELSE 0 END, 6) + 0.0::DOUBLE AS novelty FROM s GROUP BY song_id, frame""",
     "chord_template_scores": f"WITH {HEARD} SELECT song_id, beat, round(sum(score * (state + 1)), 4) AS x FROM heard GROUP BY song_id, beat",
     "key_prior": f"WITH {HEARD} SELECT song_id, beat, any_value(key_tonic) AS key_tonic, any_value(key_mode) AS key_mode, round(sum(prior * (state + 1)), 4) AS x FROM heard GROUP BY song_id, beat",
     "chord_emission": f"WITH {HEARD} SELECT song_id, beat, round(sum(emission * (state + 1)), 4) AS x FROM heard GROUP BY song_id, beat",
@@ -387,10 +400,10 @@ ORACLES |= {
 
 _TURN = "list_concat(({0})[t + 1:], ({0})[:t])"
 BAR_FEATURES = f"""{FRAMES}, rows AS (SELECT t.song_id, t.frame // 4 AS bar, t.pc, quantile_cont(raw, 0.5) AS c, avg(CASE WHEN pc = k % 12 THEN value ELSE 0 END) AS b FROM tones t JOIN ev e ON e.song_id = t.song_id AND e.pos = t.frame GROUP BY t.song_id, t.frame // 4, t.pc
-), bars AS (SELECT song_id, pos // 4 AS bar, CASE WHEN min(t) < 300 THEN song_id % 12 ELSE (song_id + 7) % 12 END AS tonic, avg(value) AS rms FROM ev GROUP BY song_id, pos // 4
-), turned AS (SELECT song_id, bar, (pc - tonic + 12) % 12 AS p, c / coalesce(nullif(sqrt(sum(c * c) OVER w), 0), 1) AS c, b / coalesce(nullif(sqrt(sum(b * b) OVER w), 0), 1) AS b, rms FROM rows JOIN bars USING (song_id, bar) WINDOW w AS (PARTITION BY song_id, bar))"""
+), bars AS (SELECT song_id, pos // 4 AS bar, CASE WHEN (min(t) + max(t)) / 2 < 300 THEN song_id % 12 ELSE (song_id + 7) % 12 END AS tonic, avg(value) AS rms, {" + ".join(f"avg(value * (k * {i + 1} % 13)) * {i}" for i in range(1, 13))} AS timbre FROM ev GROUP BY song_id, pos // 4
+), turned AS (SELECT song_id, bar, (pc - tonic + 12) % 12 AS p, c / coalesce(nullif(sqrt(sum(c * c) OVER w), 0), 1) AS c, b / coalesce(nullif(sqrt(sum(b * b) OVER w), 0), 1) AS b, rms, timbre FROM rows JOIN bars USING (song_id, bar) WINDOW w AS (PARTITION BY song_id, bar))"""
 
-BAR_VECTORS = """own AS (SELECT label AS song_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS bar, embedding FROM embeddings
+BAR_VECTORS = """own AS (SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY vec_id) - 1 AS bar, embedding FROM (SELECT CAST(label + vec_id // 640 * (SELECT max(label) + 1 FROM embeddings) AS INTEGER) AS song_id, vec_id, embedding FROM embeddings)
 ), placed AS (SELECT *, ([0, 1, 0, 1, 2, 1, 3, 3])[bar // 8 % 8 + 1] * 8 + bar % 8 AS source FROM own
 ), cells AS (SELECT p.song_id, p.bar, unnest(range(64)) AS i, unnest(p.embedding) AS mine, unnest(coalesce(o.embedding, p.embedding)) AS form FROM placed p LEFT JOIN own o ON o.song_id = p.song_id AND o.bar = p.source
 ), mixed AS (SELECT song_id, bar, i, CAST(form AS DOUBLE) + CAST(mine AS DOUBLE) * 0.05::DOUBLE AS x FROM cells
@@ -401,20 +414,63 @@ BAR_VECTORS = """own AS (SELECT label AS song_id, row_number() OVER (PARTITION B
 ), z AS (SELECT song_id, bar, 37 * 0.2::DOUBLE * greatest(-2.5, least(2.5, (e - avg(e) OVER w) / stddev_pop(e) OVER w)) AS z FROM loud WINDOW w AS (PARTITION BY song_id))"""
 
 ORACLES |= {
-    "bar_features": f"WITH {BAR_FEATURES} SELECT song_id, bar, round(sum(c * (p + 1)), 4) AS chroma, round(sum(b * (p + 1)), 4) AS bass, round(any_value(rms), 6) AS rms FROM turned GROUP BY song_id, bar",
+    "bar_features": f"WITH {BAR_FEATURES} SELECT song_id, bar, round(sum(c * (p + 1)), 4) AS chroma, round(sum(b * (p + 1)), 4) AS bass, round(any_value(timbre), 4) AS timbre, round(any_value(rms), 6) AS rms FROM turned GROUP BY song_id, bar",
     "bar_vectors": f"WITH {BAR_VECTORS} SELECT song_id, bar, round(v, 4) AS v, round(v + z, 4) AS w FROM v JOIN z USING (song_id, bar)",
     "merge_parts": f"""WITH {chords()}, f AS (SELECT *, CASE WHEN root_pc = lag(root_pc) OVER (PARTITION BY song_id ORDER BY pos) THEN 0 ELSE 1 END AS f FROM chords), g AS (SELECT *, sum(f) OVER (PARTITION BY song_id ORDER BY pos) AS g FROM f)
       SELECT song_id, CAST(g - 1 AS INT) AS part, any_value(root_pc) AS cluster, min(pos) * 4 AS a, max(pos) * 4 + 4 AS b, CAST(count(*) AS INT) AS blocks FROM g GROUP BY song_id, g""",
 }
 
+#: Parts, bars and lines of the queries that name and list parts.
+PLAIN = f"""{sequence()}, coarse AS (SELECT song_id, pos, CASE WHEN pos < 9 THEN root_pc ELSE pos // 9 % 3 END AS c FROM chords
+), turns AS (SELECT *, CASE WHEN c = lag(c) OVER (PARTITION BY song_id ORDER BY pos) THEN 0 ELSE 1 END AS turn FROM coarse
+), counted AS (SELECT *, sum(turn) OVER (PARTITION BY song_id ORDER BY pos) AS g FROM turns
+), joint AS (SELECT song_id, CAST(g - 1 AS INT) AS part, any_value(c) AS c, min(pos) * 4 AS a, max(pos) * 4 + 4 AS b, CAST(count(*) AS INT) AS blocks FROM counted GROUP BY song_id, g
+), seen AS (SELECT *, min(part) OVER (PARTITION BY song_id, c) AS first FROM joint
+), parts AS (SELECT song_id, part, dense_rank() OVER (PARTITION BY song_id ORDER BY first) - 1 AS cluster, a, b, blocks FROM seen
+), lines AS (SELECT song_id, pos * 4 AS la, pos * 4 + 4 AS lb, CASE WHEN pos % 4 < 3 THEN 0 ELSE k % 3 END AS line FROM ev
+), loud AS (SELECT p.song_id, part, any_value(cluster) AS cluster, avg(value * (k % 5 + 1)) AS energy FROM parts p JOIN ev e ON e.song_id = p.song_id AND e.pos * 4 >= a AND e.pos * 4 < b GROUP BY p.song_id, part
+), totals AS (SELECT song_id, count(*) * 4 AS n FROM ev GROUP BY song_id
+), stats AS (
+  SELECT p.song_id, p.cluster, count(*) AS times, avg(energy) AS energy, min(part) AS first, min(b - a) AS size, avg((a + b) / 2) AS middle, any_value(n) AS n, any_value(last) AS last
+  FROM parts p JOIN loud USING (song_id, part) JOIN totals USING (song_id) JOIN (SELECT song_id, max(part) AS last FROM parts GROUP BY song_id) USING (song_id) GROUP BY p.song_id, p.cluster
+), ended AS (
+  SELECT *, CASE WHEN times = 1 AND last >= 2 AND first = 0 AND size <= greatest(8, 0.2::DOUBLE * n) THEN 'Intro' WHEN times = 1 AND last >= 2 AND first = last AND size <= greatest(12, 0.2::DOUBLE * n) THEN 'Outro' END AS edge FROM stats
+), sorted AS (SELECT *, edge IS NULL AND times >= 2 AS again, edge IS NULL AND times = 1 AND middle / n BETWEEN 0.4::DOUBLE AND 0.9::DOUBLE AS fits FROM ended
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY song_id, again ORDER BY energy DESC, cluster) AS loudness, row_number() OVER (PARTITION BY song_id, fits ORDER BY abs(middle / n - 0.7::DOUBLE), cluster) AS nearness,
+    again AND count(*) OVER w >= 2 AND max(energy) OVER w > 1.05::DOUBLE * min(energy) OVER w AS clear FROM sorted WINDOW w AS (PARTITION BY song_id, again)
+), called AS (SELECT song_id, cluster, CASE WHEN edge IS NOT NULL THEN edge WHEN clear AND loudness = 1 THEN 'Chorus' WHEN clear AND loudness = 2 THEN 'Verse' WHEN fits AND nearness = 1 THEN 'Bridge' ELSE 'Section ' || chr(CAST(65 + cluster % 26 AS INT)) END AS name FROM ranked
+), shares AS (SELECT song_id, part, max(n) / sum(n) AS share FROM (SELECT p.song_id, part, line, count(*) AS n FROM parts p JOIN lines l ON l.song_id = p.song_id AND la >= a AND lb <= b GROUP BY p.song_id, part, line) GROUP BY song_id, part
+), vamps AS (SELECT song_id, cluster, count(*) OVER (PARTITION BY song_id) AS of FROM (SELECT song_id, cluster FROM parts LEFT JOIN shares USING (song_id, part) GROUP BY song_id, cluster HAVING bool_and(b - a >= 16 AND coalesce(share, 0) >= 0.7::DOUBLE))
+), named AS (
+  SELECT p.*, coalesce(CASE WHEN v.of = 1 THEN 'Vamp' ELSE 'Vamp ' || chr(CAST(65 + v.cluster % 26 AS INT)) END, c.name) AS name FROM parts p JOIN called c USING (song_id, cluster) LEFT JOIN vamps v USING (song_id, cluster)
+), numbered AS (SELECT *, chr(CAST(65 + cluster % 26 AS INT)) AS label, row_number() OVER (PARTITION BY song_id, cluster ORDER BY part) AS instance, count(*) OVER (PARTITION BY song_id, cluster) AS of FROM named
+), said AS (SELECT n.song_id, part, string_agg(chord, ' ' ORDER BY pos) AS chords, string_agg(nashville, ' ' ORDER BY pos) AS nashville FROM numbered n JOIN seq s ON s.song_id = n.song_id AND s.pos * 8 >= a * 2 AND s.pos * 8 < b * 2 GROUP BY n.song_id, part
+), spelt AS (SELECT p.song_id, part, string_agg(chr(CAST(97 + line % 26 AS INT)), ' ' ORDER BY la) AS lines FROM parts p JOIN lines l ON l.song_id = p.song_id AND la >= a AND lb <= b GROUP BY p.song_id, part
+), sections AS (
+  SELECT n.*, a * 2.0::DOUBLE AS start, b * 2.0::DOUBLE AS stop, coalesce(chords, '') AS chords, coalesce(nashville, '') AS nashville, coalesce(s.lines, '') AS lines FROM numbered n LEFT JOIN said USING (song_id, part) LEFT JOIN spelt s USING (song_id, part))"""
+
+ORACLES |= {
+    "name_parts": f"WITH {PLAIN} SELECT song_id, part, cluster, a, b, blocks, name FROM parts JOIN called USING (song_id, cluster)",
+    "name_vamps": f"WITH {PLAIN} SELECT song_id, part, cluster, name FROM named",
+    "sections": f'WITH {PLAIN} SELECT song_id, part, label, name, instance, of, start, stop AS "end", chords, nashville, lines FROM sections',
+    "structure_repeats": f"""WITH {PLAIN} SELECT song_id, any_value(label) AS label, any_value(name) AS name, count(*) AS occurrences, CAST(count(*) AS INT) AS n, first(chords ORDER BY part) AS chords, round(round(avg(energy), 4), 3) AS loudness
+      FROM sections JOIN (SELECT song_id, part, energy FROM loud) USING (song_id, part) GROUP BY song_id, cluster HAVING count(*) >= 2""",
+    "line_repeats": f"""WITH {PLAIN}, placed AS (SELECT l.*, coalesce(label || instance, '-') AS p FROM lines l LEFT JOIN sections s ON s.song_id = l.song_id AND la >= a AND la < b),
+      again AS (SELECT song_id, line, count(*) AS occurrences, min(la) AS la, string_agg(la || ':' || p, ' ' ORDER BY la) AS places FROM placed GROUP BY song_id, line HAVING count(*) >= 2),
+      heard AS (SELECT g.song_id, line, string_agg(chord, ' ' ORDER BY pos) AS chords, string_agg(nashville, ' ' ORDER BY pos) AS nashville FROM again g JOIN seq s ON s.song_id = g.song_id AND s.pos * 8 >= la * 2 AND s.pos * 8 < la * 2 + 8 GROUP BY g.song_id, line)
+      SELECT song_id, line, occurrences, 4 AS bars, coalesce(chords, '') AS chords, coalesce(nashville, '') AS nashville, places FROM again LEFT JOIN heard USING (song_id, line)""",
+    "form_string": f"WITH {PLAIN} SELECT song_id, string_agg(CASE WHEN name LIKE 'Section %' THEN label ELSE name END, ' - ' ORDER BY part) AS form, string_agg(label, ' ' ORDER BY part) AS letters FROM sections GROUP BY song_id",
+}
+
 ORACLES["song_document"] = f"""WITH {PATTERNS}, kept AS (SELECT * FROM patterns p WHERE NOT EXISTS (SELECT 1 FROM patterns q WHERE q.song_id = p.song_id AND q.length > p.length AND contains(' ' || q.pattern || ' ', ' ' || p.pattern || ' '))),
   n AS (SELECT song_id, CAST(count(*) AS INT) AS n FROM kept GROUP BY song_id), c AS (SELECT song_id, CAST(count(*) AS INT) AS n_chords, string_agg(chord, ' ' ORDER BY pos) AS chords FROM seq GROUP BY song_id)
   SELECT song_id, n_chords, coalesce(n, 0) AS n_patterns, chords FROM c LEFT JOIN n USING (song_id)"""
 
 #: Columns that the queries return as 32-bit integers.
 _INTEGERS = {
-    "maximal_patterns": ("length",), "key_candidates": ("tonic", "rank"), "key_windows": ("win", "pc"), "region_scores": ("win", "pc"), "key_runner_up": ("tonic",), "endpoint_evidence": ("tonic",), "refine_key_mode": ("tonic",),
-    "beat_chroma": ("pc",), "tempo_fold": ("beat",), "extend_grid": ("beat",), "key_prior": ("key_tonic",), "chord_segments": ("bar",), "spell_chords": ("key_tonic",), "bar_vectors": ("bar",),
+    "maximal_patterns": ("length",), "repeated_patterns": ("length",), "key_chord_evidence": ("tonic",), "name_parts": ("cluster",), "name_vamps": ("cluster",), "sections": ("instance",), "key_candidates": ("tonic", "rank"), "key_windows": ("win", "pc"), "region_scores": ("win", "pc"), "key_runner_up": ("tonic",), "endpoint_evidence": ("tonic",), "refine_key_mode": ("tonic",),
+    "beat_chroma": ("pc",), "tempo_fold": ("beat", "frame"), "extend_grid": ("beat",), "key_prior": ("key_tonic",), "chord_segments": ("bar",), "spell_chords": ("key_tonic",), "bar_vectors": ("bar",),
 }
 for _name, _columns in _INTEGERS.items():
     ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in _columns)}) FROM ({ORACLES[_name]})"

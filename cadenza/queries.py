@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import names as N
@@ -15,6 +15,7 @@ from cadenza.operators import key as K
 from cadenza.operators import progression as P
 from cadenza.operators import rescue as X
 from cadenza.operators import structure as S
+from cadenza.plans import analysis as W
 from cadenza.plans import document as D
 from cadenza.sources import adapters as A
 from cadenza.sources import requests as R
@@ -138,7 +139,7 @@ def add_nashville(spark, sf_dir):
 @query
 def repeated_patterns(spark, sf_dir):
     found = P.repeated_patterns(sequence(spark, sf_dir))
-    places = F.array_join(F.transform("locations", lambda x: x["pos"].cast("string")), ",")
+    places = F.array_join(F.transform("locations", lambda x: F.concat(x["pos"].cast("string"), F.lit(":"), F.array_join(x["numbers"], " "))), ",")
     return found.select("song_id", joined("pattern").alias("pattern"), "length", "occurrences", "first_pos", joined("numbers").alias("numbers"), places.alias("places"))
 
 
@@ -184,9 +185,9 @@ def compress_runs(spark, sf_dir):
     return P.compress_runs(A.chords(spark, sf_dir).withColumn("chord", F.when(F.col("pos") % 9 > 0, N.chord_label(F.col("root"), F.col("quality")))))
 
 
-# keys: windows of 12 notes every 3 notes, one note a second
+# keys: windows of 12 notes every 3 notes, one note a second; the stretch that a window owns is a little longer than its hop
 
-WINDOW, HOP = 12, 3
+WINDOW, HOP, WINDOW_S, HOP_S = 12, 3, 12.5, 3.25
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -204,16 +205,23 @@ def _path(spark, sf_dir):
 
 
 def _key(spark, sf_dir):
-    return K.key_mode_vote(_path(spark, sf_dir), _windows(spark, sf_dir))
+    return K.key_mode_vote(_path(spark, sf_dir))
 
 
 def _candidates(spark, sf_dir):
     return K.key_candidates(K.global_chroma(A.frames(spark, sf_dir)))
 
 
+def _durations(spark, sf_dir):
+    return A.song_events(spark, sf_dir).groupBy("song_id").agg((F.max("pos") + 1.0).alias("duration"))
+
+
 def _timeline(spark, sf_dir):
-    durations = A.frames(spark, sf_dir).groupBy("song_id").agg((F.max("frame") + 1.0).alias("duration"))
-    return K.key_timeline(_path(spark, sf_dir), _key(spark, sf_dir), durations, float(WINDOW), float(HOP))
+    return K.key_timeline(_path(spark, sf_dir), _durations(spark, sf_dir), HOP, WINDOW_S, HOP_S, 1.0)
+
+
+def _forced(spark, sf_dir):
+    return A.song_events(spark, sf_dir).where("pos = 0 and k % 3 = 0").select("song_id", F.pmod("k", F.lit(12)).alias("forced_tonic"), F.lit("minor").alias("forced_mode"))
 
 
 def _spread(df, column, *keys):
@@ -242,7 +250,7 @@ def region_scores(spark, sf_dir):
 
 @query
 def key_path(spark, sf_dir):
-    return _path(spark, sf_dir)
+    return _path(spark, sf_dir).drop("chroma")
 
 
 @query
@@ -267,8 +275,20 @@ def key_runner_up(spark, sf_dir):
 
 @query
 def forced_key(spark, sf_dir):
-    wish = A.song_events(spark, sf_dir).where("pos = 0 and k % 3 = 0").select("song_id", F.pmod("k", F.lit(12)).alias("forced_tonic"), F.lit("minor").alias("forced_mode"))
-    return rounded(K.forced_key(_key(spark, sf_dir), _candidates(spark, sf_dir), wish), "confidence", "margin")
+    return rounded(K.forced_key(_key(spark, sf_dir), _candidates(spark, sf_dir), _forced(spark, sf_dir)), "confidence", "margin")
+
+
+@query
+def forced_timeline(spark, sf_dir):
+    """Also in it: forced songs have no modulation."""
+    timeline = K.forced_timeline(_timeline(spark, sf_dir), _forced(spark, sf_dir), _durations(spark, sf_dir))
+    return timeline.withColumn("segments", F.count(F.lit(1)).over(Window.partitionBy("song_id")))
+
+
+@query
+def relabelled_timeline(spark, sf_dir):
+    other = A.song_events(spark, sf_dir).where("pos = 0").select("song_id", F.when(F.col("k") % 2 == 0, "major").otherwise("minor").alias("mode"))
+    return K.relabelled_timeline(_timeline(spark, sf_dir), other)
 
 
 @query
@@ -279,7 +299,7 @@ def key_at(spark, sf_dir):
 
 @query
 def key_chord_evidence(spark, sf_dir):
-    keys = A.song_events(spark, sf_dir).where("pos < 3").select("song_id", F.pmod("k", F.lit(12)).alias("tonic"), F.when(F.col("k") < 50, "major").otherwise("minor").alias("mode")).distinct()
+    keys = _candidates(spark, sf_dir).where("rank <= 3").select("song_id", "tonic", "mode")
     return rounded(K.key_chord_evidence(A.chords(spark, sf_dir), keys), "diatonic_fit", "tonic_time", "combined")
 
 
@@ -343,9 +363,9 @@ def grid_coverage(spark, sf_dir):
 
 @query
 def tempo_fold(spark, sf_dir):
-    speed = F.pmod("song_id", F.lit(3))
-    rows = A.beat_series(spark, sf_dir).withColumn("time", F.col("time") / F.when(speed == 0, 1.0).when(speed == 1, 12.0).otherwise(40.0))
-    return rounded(B.tempo_fold(rows), "measured_bpm", "time", "tempo_half", "tempo_double")
+    pace = F.pmod("song_id", F.lit(3))
+    rows = A.beat_series(spark, sf_dir).withColumn("frame", (F.col("beat") * F.when(pace == 0, 20).when(pace == 1, 10).otherwise(61) + F.col("frame") % 5).cast("int"))
+    return rounded(B.tempo_fold(rows.withColumn("keep", F.col("song_id") % 7 == 0)), "tempo", "tempo_half", "tempo_double")
 
 
 @query
@@ -384,6 +404,13 @@ def _tempo(spark, sf_dir):
     return B.downbeat_phase(_series(spark, sf_dir), _meter(spark, sf_dir))
 
 
+@query
+def forced_meter(spark, sf_dir):
+    wish = A.song_events(spark, sf_dir).where("pos = 0").select("song_id", N.entry(("4/4", "5/4", "6/8", "3/4"), F.pmod("k", F.lit(4))).alias("forced_meter"))
+    found = rounded(B.forced_meter(_meter(spark, sf_dir), wish), "confidence")
+    return found.select("song_id", "label", "bpb", "confidence", "user_forced")
+
+
 @query
 def downbeat_phase(spark, sf_dir):
     return _tempo(spark, sf_dir)
@@ -510,23 +537,45 @@ def _settled(spark, sf_dir, **steps):
     return S.settle_parts(S.merge_parts(blocks), bars, blocks, **steps), bars
 
 
-def _parts(spark, sf_dir):
-    parts, bars = _settled(spark, sf_dir)
-    return S.name_vamps(S.name_parts(parts, bars), S.line_clusters(bars))
+def _plain_bars(spark, sf_dir):
+    """Bars of a song of events: four to a chord."""
+    rows = A.song_events(spark, sf_dir).select("song_id", "pos", "value", "k", F.explode(F.array(*(F.lit(i) for i in range(4)))).alias("i"))
+    bar = (F.col("pos") * 4 + F.col("i")).cast("int")
+    return rows.select("song_id", bar.alias("bar"), (F.col("value") * (F.pmod("k", F.lit(5)) + 1)).alias("energy"), (bar * 2.0).alias("start"), (bar * 2.0 + 2).alias("end"))
+
+
+def _plain_parts(spark, sf_dir):
+    """Parts of a song of events: equal neighbours among its first chords, then among the rest by threes; clusters by appearance."""
+    rows = A.chords(spark, sf_dir).select("song_id", (F.col("pos") * 4).cast("int").alias("a"), (F.col("pos") * 4 + 4).cast("int").alias("b"), F.when(F.col("pos") < 9, F.col("root_pc")).otherwise(F.floor(F.col("pos") / 9) % 3).cast("int").alias("cluster"))
+    parts = S.merge_parts(rows)
+    first = F.min("part").over(Window.partitionBy("song_id", "cluster"))
+    return parts.withColumn("first", first).withColumn("cluster", (F.dense_rank().over(Window.partitionBy("song_id").orderBy("first")) - 1).cast("int")).drop("first")
+
+
+def _plain_lines(spark, sf_dir):
+    rows = A.song_events(spark, sf_dir)
+    return rows.select("song_id", (F.col("pos") * 4).cast("int").alias("a"), (F.col("pos") * 4 + 4).cast("int").alias("b"), F.when(F.col("pos") % 4 < 3, 0).otherwise(F.pmod("k", F.lit(3))).cast("int").alias("cluster"))
+
+
+def _named(spark, sf_dir):
+    return S.name_vamps(S.name_parts(_plain_parts(spark, sf_dir), _plain_bars(spark, sf_dir)), _plain_lines(spark, sf_dir))
+
+
+def _said(spark, sf_dir):
+    return sequence(spark, sf_dir).select("song_id", "pos", "chord", "nashville", (F.col("pos") * 8.0).alias("start"))
 
 
 def _sections(spark, sf_dir):
-    rows = sequence(spark, sf_dir).where("song_id < 10").select("song_id", "pos", "chord", "nashville", (F.col("start") / 6).alias("start"))
-    return S.sections(_parts(spark, sf_dir), rows, _vector_bars(spark, sf_dir))
+    return S.sections(_named(spark, sf_dir), _said(spark, sf_dir), _plain_bars(spark, sf_dir), _plain_lines(spark, sf_dir))
 
 
 @query
 def bar_features(spark, sf_dir):
     timeline, key, _ = _two_keys(spark, sf_dir)
     events = A.song_events(spark, sf_dir)
-    bars = events.groupBy("song_id", F.floor(F.col("pos") / 4).cast("int").alias("bar")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("t").alias("start"))
+    bars = events.groupBy("song_id", F.floor(F.col("pos") / 4).cast("int").alias("bar")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("t").alias("start"), F.max("t").alias("end"))
     found = S.bar_features(A.frames(spark, sf_dir), bars, timeline, key)
-    return found.select("song_id", "bar", _weighed("chroma").alias("chroma"), _weighed("bass").alias("bass"), F.round("rms", 6).alias("rms"))
+    return found.select("song_id", "bar", _weighed("chroma").alias("chroma"), _weighed("bass").alias("bass"), _weighed("timbre").alias("timbre"), F.round("rms", 6).alias("rms"))
 
 
 @query
@@ -571,28 +620,30 @@ def line_clusters(spark, sf_dir):
 
 @query
 def name_parts(spark, sf_dir):
-    return S.name_parts(*_settled(spark, sf_dir))
+    return S.name_parts(_plain_parts(spark, sf_dir), _plain_bars(spark, sf_dir)).select("song_id", "part", "cluster", "a", "b", "blocks", "name")
 
 
 @query
 def name_vamps(spark, sf_dir):
-    return _parts(spark, sf_dir)
+    return _named(spark, sf_dir).select("song_id", "part", "cluster", "name")
 
 
 @query
 def sections(spark, sf_dir):
-    return _sections(spark, sf_dir).select("song_id", "part", "label", "name", "instance", "of", "start", "end", joined("chords").alias("chords"), joined("nashville").alias("nashville"))
+    return _sections(spark, sf_dir).select("song_id", "part", "label", "name", "instance", "of", "start", "end", joined("chords").alias("chords"), joined("nashville").alias("nashville"), joined("lines").alias("lines"))
 
 
 @query
 def structure_repeats(spark, sf_dir):
-    found = S.structure_repeats(_sections(spark, sf_dir), _bars(spark, sf_dir))
-    return found.select("song_id", "label", "name", "occurrences", F.size("instances").alias("n"), joined("chords").alias("chords"), "loudness")
+    found = rounded(S.structure_repeats(_sections(spark, sf_dir), _plain_bars(spark, sf_dir)), "loudness")
+    return found.select("song_id", "label", "name", "occurrences", F.size("instances").alias("n"), joined("chords").alias("chords"), F.round("loudness", 3).alias("loudness"))
 
 
 @query
 def line_repeats(spark, sf_dir):
-    return S.line_repeats(S.line_clusters(_bars(spark, sf_dir)), _sections(spark, sf_dir)).select("song_id", "line", "occurrences", joined("parts").alias("parts"))
+    found = S.line_repeats(_plain_lines(spark, sf_dir), _sections(spark, sf_dir), _said(spark, sf_dir), _plain_bars(spark, sf_dir))
+    places = F.array_join(F.transform("instances", lambda x: F.concat(x["a"].cast("string"), F.lit(":"), F.coalesce(x["in_part"], F.lit("-")))), " ")
+    return found.select("song_id", "line", "occurrences", "bars", joined("chords").alias("chords"), joined("nashville").alias("nashville"), places.alias("places"))
 
 
 @query
@@ -622,8 +673,9 @@ def bar_period(spark, sf_dir):
 
 @query
 def rescue_meter(spark, sf_dir):
-    bars = A.song_events(spark, sf_dir).where("pos < 5").select("song_id", (F.col("pos") * 1.3).alias("start"), (F.col("pos") * 1.3 + 1.3).alias("end"))
-    return rounded(X.rescue_meter(_periods(spark, sf_dir), bars, 0.2), "bpm", "share")
+    bars = B.build_bars(A.beat_series(spark, sf_dir), _tempo(spark, sf_dir))
+    wish = A.song_events(spark, sf_dir).where("pos = 0 and k % 5 = 0").select("song_id", (F.col("k") + 60.0).alias("forced_bpm"))
+    return rounded(X.rescue_meter(_periods(spark, sf_dir), bars, 0.2, wish), "bpm", "share")
 
 
 @query
@@ -633,3 +685,15 @@ def song_document(spark, sf_dir):
     patterns = P.maximal_patterns(P.repeated_patterns(sequence(spark, sf_dir))).select("song_id", "first_pos", "length", "occurrences")
     out = D.song_document(songs, {"chords": (chords, "pos"), "patterns": (patterns, "first_pos")})
     return out.select("song_id", F.size("chords").alias("n_chords"), F.when(F.col("patterns").isNull(), 0).otherwise(F.size("patterns")).alias("n_patterns"), F.array_join(F.transform("chords", lambda c: c["chord"]), " ").alias("chords"))
+
+
+@query
+def song_analysis(spark, sf_dir):
+    """Every step in a row: an event is a frame of a quarter second, every second one a tracked beat; some songs have wishes."""
+    frames, events = A.frames(spark, sf_dir), A.song_events(spark, sf_dir)
+    tracked = events.where("pos % 2 = 0").select("song_id", (F.col("pos") / 2).cast("int").alias("beat"), F.col("pos").alias("frame"))
+    first = events.where("pos = 0 and k % 4 = 0")
+    wish = first.select("song_id", N.entry(("4/4", "6/8", None), F.pmod("k", F.lit(3))).alias("forced_meter"), F.when(F.col("k") % 3 == 0, 120.0).alias("forced_bpm"), F.when(F.col("k") % 5 == 0, F.pmod("k", F.lit(12))).alias("forced_tonic"), F.when(F.col("k") % 5 == 0, "minor").alias("forced_mode"))
+    out = rounded(W.analyze(frames, tracked, wish, 0.25), "key_confidence", "meter_confidence", "tempo")
+    counts = (F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}") for c in ("key_timeline", "modulations", "bars", "chords", "patterns", "sections", "lines"))
+    return out.select("song_id", "key", "key_confidence", "mode_corrected_by_chords", "meter", "tempo", "fold", "form", *counts)

@@ -12,6 +12,8 @@ from cadenza.functions.tables import SHARP_NAMES
 NARROW = {"click": (0, "major"), "error": (7, "major"), "purchase": (9, "minor"), "signup": (5, "major"), "view": (2, "dominant7")}
 #: Quality of each event type where the root comes from the event's number.
 WIDE = {"click": "major", "error": "minor", "purchase": "dominant7", "signup": "major7", "view": "minor7"}
+#: Vector ids that make up one song of each label, about 64 bars.
+SONG_IDS = 640
 #: Which eight-vector stretch a bar takes, so that parts come back as in a song.
 FORM = (0, 1, 0, 1, 2, 1, 3, 3)
 
@@ -57,13 +59,14 @@ def chords(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature frames: song_id, frame, chroma and bass (12 each), onset_env, low_env, rms. A note sounds with a fifth and a third."""
+    """Feature frames: song_id, frame, chroma and bass (12 each), onset_env, low_env, rms, mfcc (13). A note sounds with a fifth and a third."""
     note = F.pmod("k", F.lit(12))
     tone = lambda pc, gain: F.when(F.lit(pc) == note, F.col("value")).when(F.pmod(note + 7, F.lit(12)) == pc, F.col("value") * 0.51).when(F.pmod(note + 4, F.lit(12)) == pc, F.col("value") * gain).otherwise(0.0)
     return song_events(spark, sf_dir).select(
         "song_id", F.col("pos").alias("frame"), F.array(*(tone(p, 0.23) for p in range(12))).alias("chroma"),
         F.array(*(F.when(note == p, F.col("value")).otherwise(0.0) for p in range(12))).alias("bass"),
         F.col("value").alias("onset_env"), (F.col("value") * F.col("k") / 100.0).alias("low_env"), F.col("value").alias("rms"),
+        F.array(*(F.pmod(F.col("k") * (i + 1), F.lit(13)) * F.col("value") for i in range(13))).alias("mfcc"),
     )
 
 
@@ -73,8 +76,13 @@ def beat_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of one song per label: song_id, bar and v (64 numbers), with parts that come back after the fixed form."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("song_id"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("bar"), F.transform("embedding", lambda x: x.cast("double")).alias("own"))
+    """Bars: song_id, bar and v (64 numbers), with parts that come back after the fixed form. A song is one label's vectors among
+    SONG_IDS neighbouring ids, so that songs have about as many bars whatever the table, and there are more of them if it grows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    labels = vectors.agg((F.coalesce(F.max("label"), F.lit(0)) + 1).alias("labels"))  # one number
+    song = (F.col("label") + F.expr(f"vec_id div {SONG_IDS}") * F.col("labels")).cast("int")
+    rows = vectors.crossJoin(F.broadcast(labels)).select(song.alias("song_id"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("own"))
+    rows = rows.select("song_id", (F.row_number().over(Window.partitionBy("song_id").orderBy("vec_id")) - 1).alias("bar"), "own")
     source = entry(FORM, F.pmod(F.floor(F.col("bar") / 8), F.lit(8))) * 8 + F.col("bar") % 8
     rows = rows.withColumn("from", source)
     other = rows.select("song_id", F.col("bar").alias("from"), F.col("own").alias("form"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from cadenza.operators import chords as C
 from cadenza.operators import evaluate as E
 from cadenza.operators import key as K
 from cadenza.operators import progression as P
+from cadenza.operators import rescue as X
 from cadenza.operators import structure as S
 from cadenza.sources import requests as R
 
@@ -138,7 +140,7 @@ def test_paths_against_all_sequences(spark):
     rng = np.random.default_rng(5)
     scores = rng.random((4, 12))
     cost = K.switch_costs()
-    frame = spark.createDataFrame([(1, k, s.tolist()) for k, s in enumerate(scores)], "song_id int, win int, scores array<double>")
+    frame = spark.createDataFrame([(1, k, s.tolist(), [float(k)]) for k, s in enumerate(scores)], "song_id int, win int, scores array<double>, chroma array<double>")
     got = [r["region"] for r in K.key_path(frame).orderBy("win").collect()]
     total = lambda p: sum(scores[k, s] for k, s in enumerate(p)) - sum(cost[a, b] for a, b in zip(p, p[1:]))
     every = np.stack(np.meshgrid(*[range(12)] * 4, indexing="ij"), axis=-1).reshape(-1, 4)
@@ -214,9 +216,98 @@ def test_linkage_against_definition():
     assert S.average_linkage(v[:1]) == [0]
 
 
+def as_parts(rows):
+    return pd.DataFrame(rows, columns=["cluster", "a", "b", "blocks"])
+
+
 def test_inseparable_parts():
-    assert S.merged_pairs([(0, 0, 8, 1), (1, 8, 16, 1), (2, 16, 24, 1), (0, 24, 32, 1), (1, 32, 40, 1)]) == [(0, 0, 16, 2), (2, 16, 24, 1), (0, 24, 40, 2)]
-    assert S.merged_pairs([(0, 0, 8, 1), (1, 8, 16, 1)]) == [(0, 0, 8, 1), (1, 8, 16, 1)]
+    merged = S.merged_pairs(as_parts([(0, 0, 8, 1), (1, 8, 16, 1), (2, 16, 24, 1), (0, 24, 32, 1), (1, 32, 40, 1)]))
+    assert merged.to_numpy().tolist() == [[0, 0, 16, 2], [2, 16, 24, 1], [0, 24, 40, 2]]
+    assert S.merged_pairs(as_parts([(0, 0, 8, 1), (1, 8, 16, 1)])).to_numpy().tolist() == [[0, 0, 8, 1], [1, 8, 16, 1]]
+    chain = as_parts([(c, k, k + 1, 1) for k, c in enumerate([0, 1, 2, 3, 0, 1, 2, 4])])  # three in a row that never come apart
+    assert S.merged_pairs(chain).to_numpy().tolist() == [[0, 0, 3, 3], [3, 3, 4, 1], [0, 4, 7, 3], [4, 7, 8, 1]]
+
+
+def test_long_parts_are_cut(spark):
+    rng = np.random.default_rng(7)
+    kinds = rng.normal(size=(4, 8, 36))
+    kinds[:, :, :24] = kinds[0, :, :24]  # the same harmony; timbre tells them apart
+    kinds[:, :, 24:] *= 0.6
+    order = [0, 1, 2, 1, 2, 0, 3]  # blocks of eight bars inside the long part
+    bars = [(s, k, v) for s in (1, 2) for k, v in enumerate([rng.normal(size=36).tolist() for _ in range(16)] + [row.tolist() for c in order for row in kinds[c]] + [[0.1] * 36] * 3)]
+    bars = spark.createDataFrame(bars, "song_id int, bar int, v array<double>")
+    parts = spark.createDataFrame([(s, 0, 0, 0, 8, 1) for s in (1, 2)] + [(s, 1, 1, 8, 16, 1) for s in (1, 2)] + [(s, 2, 2, 16, 75, 8) for s in (1, 2)], "song_id int, part int, cluster int, a int, b int, blocks int")
+    blocks = spark.createDataFrame([(1, 8), (2, 8)], "song_id int, length int")
+    got = S.settle_parts(parts, bars, blocks).orderBy("song_id", "part").collect()
+    want = [(0, 0, 0, 8, 1), (1, 1, 8, 16, 1), (2, 2, 16, 24, 1), (3, 3, 24, 40, 2), (4, 3, 40, 56, 2), (5, 2, 56, 64, 1), (6, 4, 64, 75, 2)]
+    for song_id in (1, 2):
+        assert [tuple(r)[1:] for r in got if r["song_id"] == song_id] == want
+    assert S.settle_parts(parts, bars, blocks, split=False).where("part = 2").first()["b"] == 75
+    assert S.settle_parts(parts.limit(0), bars, blocks).count() == 0
+
+
+def test_songs_walk_in_order(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = [(s, k) for s in (None, 1, 2, 3, 4) for k in range((s or 5) * 2)]
+        frame = spark.createDataFrame(rows[::-1], "song_id long, pos int")
+        walked = P.song_by_song(frame, "pos", lambda pdf: pdf.iloc[:1].assign(n=len(pdf), last=pdf["pos"].iloc[-1]), "song_id double, pos int, n int, last int").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((-1 if r["song_id"] is None or r["song_id"] != r["song_id"] else r["song_id"], r["pos"], r["n"], r["last"]) for r in walked) == [(-1, 0, 10, 9), (1, 0, 2, 1), (2, 0, 4, 3), (3, 0, 6, 5), (4, 0, 8, 7)]
+
+
+def test_values_by_hand(spark):
+    envelope = lambda n, at: spark.createDataFrame([(1, k, float(k == at)) for k in range(n)], "song_id int, frame int, onset_env double")
+    two = spark.createDataFrame([(1, 0, 10), (1, 1, 17)], "song_id int, beat int, frame int")
+    # places 12 (a third, cut down from 12.33), 14 (two thirds) and 13 (a half), each with its neighbours
+    assert B.triplet_feel(envelope(30, 12), two).first()["triplet"] == 0.5 / (0.5 + 1)
+    assert B.triplet_feel(envelope(30, 11), two).first()["triplet"] == 1.0
+    assert B.triplet_feel(envelope(30, 15), two).first()["triplet"] == 1.0
+    near = spark.createDataFrame([(1, 0, 10), (1, 1, 14)], "song_id int, beat int, frame int")
+    assert B.triplet_feel(envelope(30, 12), near).first()["triplet"] == 0.0  # no beat is long enough
+    # novelty: none in the first and the last six of twelve frames
+    chroma = [np.eye(12)[0 if k < 6 else 5].tolist() for k in range(13)]
+    flat = lambda n: {r["frame"]: r["novelty"] for r in B.harmonic_novelty(spark.createDataFrame([(1, k, chroma[k]) for k in range(n)], "song_id int, frame int, chroma array<double>"), 6).collect()}
+    assert set(flat(12).values()) == {0.0} and {k: v for k, v in flat(13).items() if v} == {6: 1.0}
+    # twelve beats: the grid at phase 0.5 has seven points before the last beat, one too few; at phase 0 it has eight
+    beats = lambda n: spark.createDataFrame([(1, k, 20 * k) for k in range(n)], "song_id int, beat int, frame int")
+    onsets = lambda phase, n: spark.createDataFrame([(1, int(20 * phase + 30 * k)) for k in range(n)], "song_id int, frame int")
+    assert not X.refine_pulse(beats(12), onsets(0.5, 7)).first()["regridded"]
+    wide = X.refine_pulse(beats(13), onsets(0.5, 8)).orderBy("beat").collect()
+    assert wide[0]["regridded"] and [r["frame"] for r in wide] == [10 + 30 * k for k in range(8)]
+    # bar period: peaks six frames apart are both kept where the least gap is 6.46 frames
+    rng = np.random.default_rng(1)
+    accents = np.tile([5.0, 0, 0, 0, 0, 0], 40) + rng.random(240) * 0.01
+    periods = X.bar_period(spark.createDataFrame([(1, k, float(x), float(x), float(x)) for k, x in enumerate(accents)], "song_id int, frame int, low_env double, onset_env double, novelty double"), 0.15 / 6.46)
+    assert periods.first()["bar_s"] is None or abs(periods.first()["bar_s"] / (0.15 / 6.46) % 6) < 1e-6
+    # fold: whole-frame midpoints, tempo measured again
+    slow = spark.createDataFrame([(1, k, 31 * k + k % 2, 1.0, 1.0) for k in range(9)], "song_id int, beat int, frame int, low double, full double")
+    folded = B.tempo_fold(slow, 0.05).orderBy("beat").collect()
+    assert [r["frame"] for r in folded][:5] == [0, 16, 32, 47, 62] and folded[0]["fold"] == 2.0 and abs(folded[0]["tempo"] - 60 / (15.5 * 0.05)) < 5
+    kept = B.tempo_fold(slow.selectExpr("*", "true as keep"), 0.05).collect()
+    assert len(kept) == 9 and kept[0]["fold"] == 1.0
+    # key stretches: windows begin at whole frames, 129 of them apart
+    path = spark.createDataFrame([(1, k, 0 if k < 5 else 4, np.eye(12)[0].tolist()) for k in range(9)], "song_id int, win int, region int, chroma array<double>")
+    durations = spark.createDataFrame([(1, 40.0)], "song_id int, duration double")
+    stretches = K.key_timeline(path, durations, 129).orderBy("seg").collect()
+    frame_s = T.HOP / T.SAMPLE_RATE
+    assert abs(stretches[0]["end"] - (4 * 129 * frame_s + 7.5)) < 1e-9 and abs(stretches[1]["start"] - (5 * 129 * frame_s + 4.5)) < 1e-9
+    # vamps go by their cluster's letter, and by number where a chord has one
+    parts = spark.createDataFrame([(1, 0, 0, 0, 16, "x"), (1, 1, 1, 16, 20, "y"), (1, 2, 2, 20, 36, "z")], "song_id int, part int, cluster int, a int, b int, name string")
+    lines = spark.createDataFrame([(1, 4 * k, 4 * k + 4, 0) for k in range(9)], "song_id int, a int, b int, cluster int")
+    assert [r["name"] for r in S.name_vamps(parts, lines).orderBy("part").collect()] == ["Vamp A", "y", "Vamp C"]
+    numbered = spark.createDataFrame([(1, k, c, n, float(k), k + 1.0) for k, (c, n) in enumerate([("A", "1"), ("B", "4"), ("A#", "1"), ("B", "4")])], "song_id int, pos int, chord string, nashville string, start double, end double")
+    assert [(r["first_pos"], r["length"], r["a"], r["b"]) for r in P.alternating_vamps(numbered).collect()] == [(0, 4, "1", "4")]
+
+
+def test_confidence_is_the_cosine(spark):
+    root = C.STATES.index((3, "minor"))
+    chroma = (C.templates()[root] * 7).tolist()
+    beats = spark.createDataFrame([(1, k, k * 0.5, chroma, np.eye(12)[3].tolist()) for k in range(6)], "song_id int, beat int, time double, chroma array<double>, bass array<double>")
+    tempo = spark.createDataFrame([(1, 0, 4)], "song_id int, phase int, bpb int")
+    path = spark.createDataFrame([(1, k, root) for k in range(6)], "song_id int, beat int, state int")
+    assert abs(C.chord_segments(path, C.chord_template_scores(beats), tempo).first()["confidence"] - 1) < 1e-9
 
 
 def test_flat_series_and_short_songs(spark):
