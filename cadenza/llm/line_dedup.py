@@ -13,8 +13,10 @@ from cadenza.llm.common import materialize, mix, powers, text_of
 
 #: Shorter lines (code points) are left alone.
 MIN_CHARS = 10
-#: Lines that share half a line and are still joined in one place; and characters that are joined at once.
-GROUP_LINES, PLACE_CHARS = 5_000, 500_000
+#: Characters of lines that are joined at once in one place; lines that share a half and hold more are joined by their variants.
+PLACE_CHARS = 500_000
+#: Variants of one line that travel as one batch.
+VARIANTS = 100_000
 
 _PRIME = 0xD6E8FEB86659FD93
 
@@ -108,25 +110,25 @@ def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
        they share it with. Their texts are fetched.
     3. Their deletion neighbourhoods as hashed keys. Equal variants with the same gap are one substitution apart; a variant that
        equals a whole line is one insertion or deletion away. Both hold for every pair that meets, so the earliest line of a key is
-       a witness for all others, and no pairs are made inside a key. Lines sharing a half are joined where they meet; if very many
-       share it, their variants are spread over the cluster and joined by aggregates instead.
+       a witness for all others, and no pairs are made inside a key. Lines sharing a half are joined where they meet; if those
+       hold very many characters, their variants are spread over the cluster and joined by aggregates instead.
     4. Witnesses are verified by their edit distance.
     """
     cut = rows.select("doc", "tie", F.posexplode(F.split("text", "\n", -1)).alias("line", "s")).where(F.length("s") >= min_chars)
-    lines = cut.select(F.struct("doc", "tie", "line").alias("at"), F.xxhash64("s").alias("h1"), F.xxhash64("s", F.lit(1)).alias("h2"), half_keys(F.col("s")).alias("halves"))
-    first = materialize(lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")))
+    lines = cut.select(F.struct("doc", "tie", "line").alias("at"), F.xxhash64("s").alias("h1"), F.xxhash64("s", F.lit(1)).alias("h2"), half_keys(F.col("s")).alias("halves"), F.length("s").alias("size"))
+    first = materialize(lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("halves").alias("halves"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
     copies = lines.select("h1", "h2", "at").join(first.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where("at > first").select("at.*")
 
-    keys = first.select("first", F.explode(F.array_distinct("halves")).alias("key"))
-    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    maybe = keys.join(shared, "key").groupBy("first.doc", "first.tie").agg(F.collect_list(F.struct("first.line", "key", "n")).alias("wanted"))
+    keys = first.select("first", "size", F.explode(F.array_distinct("halves")).alias("key"))
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).where("n > 1").select("key", "chars"))
+    maybe = keys.join(shared, "key").groupBy("first.doc", "first.tie").agg(F.collect_list(F.struct("first.line", "key", (F.col("chars") > PLACE_CHARS).alias("many"))).alias("wanted"))
     maybe = maybe.select(F.col("doc").alias("d"), F.col("tie").alias("t"), "wanted")
     held = rows.select("doc", "tie", "text").join(maybe, F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
     held = held.select("doc", "tie", F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
-    fetched = held.select(F.struct("doc", "tie", "w.line").alias("at"), "w.key", "w.n", F.element_at("all", F.col("w.line") + 1).alias("s"))
-    near = _joined_in_place(fetched.where(F.col("n") <= GROUP_LINES))
-    if not shared.where(F.col("n") > GROUP_LINES).isEmpty():
-        near = near.unionByName(_joined_by_variant(materialize(fetched.where(F.col("n") > GROUP_LINES).select("at", "s").distinct())))
+    fetched = held.select(F.struct("doc", "tie", "w.line").alias("at"), "w.key", "w.many", F.element_at("all", F.col("w.line") + 1).alias("s"))
+    near = _joined_in_place(fetched.where("not many"))
+    if not shared.where(F.col("chars") > PLACE_CHARS).isEmpty():
+        near = near.unionByName(_joined_by_variant(materialize(fetched.where("many").select("at", "s").distinct())))
     return copies.unionByName(near)
 
 
@@ -170,17 +172,25 @@ def _joined_by_variant(candidates: DataFrame) -> DataFrame:
     where = candidates.schema["at"].dataType.simpleString()
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, key, gap = [], [], []
+
+        def sent(whole: pa.RecordBatch) -> pa.RecordBatch:
+            made = [whole.column("at").take(pa.array(np.concatenate(row))), pa.array(np.concatenate(key)), pa.array(np.concatenate(gap), pa.int32())]
+            row.clear(), key.clear(), gap.clear()
+            return pa.RecordBatch.from_arrays(made, ["at", "key", "gap"])
+
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                part = whole.slice(start, 500)
-                row, key, gap = [], [], []
-                for k, s in enumerate(part.column("s").to_pylist()):
-                    own, gone = variant_keys(s)
-                    row.append(np.full(len(gone) + 1, k))
-                    key.append(np.concatenate([[own], gone]))
-                    gap.append(np.arange(-1, len(gone)))
-                if row:
-                    yield pa.RecordBatch.from_arrays([part.column("at").take(pa.array(np.concatenate(row))), pa.array(np.concatenate(key)), pa.array(np.concatenate(gap), pa.int32())], ["at", "key", "gap"])
+            for k, s in enumerate(whole.column("s")):
+                own, gone = variant_keys(s.as_py())
+                for start in range(-1, len(gone), VARIANTS):
+                    stop = min(start + VARIANTS, len(gone))
+                    gap.append(np.arange(start, stop))
+                    key.append(gone[start:stop] if start >= 0 else np.concatenate([[own], gone[:stop]]))
+                    row.append(np.full(stop - start, k))
+                    if sum(map(len, row)) >= VARIANTS:
+                        yield sent(whole)
+            if row:
+                yield sent(whole)
 
     spread = candidates.mapInArrow(variants, f"at {where}, key long, gap int")
     per_gap = spread.groupBy("key", "gap").agg(F.min("at").alias("least"), F.max("at").alias("most"))

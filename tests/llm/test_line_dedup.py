@@ -57,7 +57,8 @@ def test_line_dedup(spark, monkeypatch):
     want = {(d, t) for d, t in by_hand(docs)}
     assert {(r["doc_id"], r["text"]) for r in dedup_lines(frame).collect()} == want
     assert dedup_lines(frame.limit(0)).count() == 0
-    monkeypatch.setattr(module, "GROUP_LINES", 2)  # most groups are spread by variant
+    monkeypatch.setattr(module, "PLACE_CHARS", 60)  # most groups are spread by variant
+    monkeypatch.setattr(module, "VARIANTS", 7)
     assert {(r["doc_id"], r["text"]) for r in dedup_lines(frame).collect()} == want
     single = spark.createDataFrame(docs[:60], "doc_id long, text string")
     assert {(r["doc_id"], r["text"]) for r in dedup_lines(single).collect()} == set(by_hand(docs[:60]))
