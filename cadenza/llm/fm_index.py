@@ -60,14 +60,14 @@ class FMIndex:
         self.sample_rank = np.cumsum(self.sampled) - 1
         self.samples = order[self.sampled]
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Half-open range of suffixes that start with each pattern (rows padded on the right)."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.size, np.int64)
+    def search(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Half-open range of suffixes that start with each pattern flat[start : start + length]."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
         for step in range(1, int(lengths.max(initial=0)) + 1):
             live = np.flatnonzero((lengths >= step) & (low < high))
             if not len(live):
                 break
-            symbol = patterns[live, lengths[live] - step] + 1
+            symbol = flat[starts[live] + lengths[live] - step].astype(np.int64) + 1
             shift = self.first[symbol] - self.leaf[symbol]
             low[live] = self.tree.descend(symbol, low[live]) + shift
             high[live] = self.tree.descend(symbol, high[live]) + shift

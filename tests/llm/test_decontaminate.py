@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 from cadenza.llm.common import suffix_array
-from cadenza.llm.decontaminate import contamination_digest, find_contamination, remove_spans
+from cadenza.llm.decontaminate import Phrases, contamination_digest, find_contamination, remove_spans
 from cadenza.llm.fm_index import FMIndex
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -43,7 +43,7 @@ def test_suffix_array_and_index():
         index = FMIndex(text, k, sample=4)
         patterns = rng.integers(0, k, (40, 3))
         lengths = rng.integers(1, 4, 40)
-        low, high = index.search(patterns, lengths)
+        low, high = index.search(patterns.ravel(), np.arange(40) * 3, lengths)
         for p, m, a, b in zip(patterns.tolist(), lengths.tolist(), low, high):
             assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(n - m + 1) if t[i : i + m] == p[:m]]
 
@@ -62,8 +62,23 @@ def test_contamination(spark):
         got = sorted((tuple(r) for r in contamination_digest(found).collect()), key=str)
         assert got == by_hand(docs, items)
     clean = {r["doc_id"]: r["text"] for r in remove_spans(found).collect()}
+    assert clean == {r["doc_id"]: r["text"] for r in find_contamination(frame, bench, block_chars=100, remove=True).collect()}
     assert clean[102] == "x , y ." and clean[100] is None and clean[101] == "" and clean[103] == ""
     for d, t in docs:
         assert len(words(clean[d])) == len(words(t)) - {g[0]: g[2] for g in got}[d]
     assert contamination_digest(find_contamination(frame.limit(0), bench)).count() == 0
     assert not any(r["contaminated"] for r in contamination_digest(find_contamination(frame, bench.limit(0))).collect())
+
+
+def test_long_texts_and_size_of_phrases(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    item = text(12)
+    long = text(200_000) + " " + item + " " + text(1000)
+    docs = spark.createDataFrame([(1, long), (2, text(50)), (2, text(50))], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in contamination_digest(find_contamination(docs, spark.createDataFrame([(7, item), (7, item), (8, item)], "item_id long, text string"))).collect()}
+    assert (found[1]["n_hit"], found[1]["n_items"], found[2]["contaminated"]) == (12, 2, False) and found[1]["n_words"] == 201_012
+    phrases = Phrases([(str(k), text(3000)) for k in range(100)])
+    held = sum(getattr(phrases, name).nbytes for name in ("flat", "starts", "lengths", "owner", "owned"))
+    assert len(phrases.starts) > 290_000 and held < 25 * 300_000
