@@ -107,29 +107,47 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-_HOST = "translate(regexp_extract(coalesce({0}, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_PATH = "regexp_extract(coalesce({0}, ''), '://[^/?#]*([^?#]*)', 1)"
-_NODE = f"{_HOST} || regexp_extract(coalesce({{0}}, ''), '://[^/?#]*([^#]*)', 1)"
+_HOST = "translate(regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce({0}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+_NODE = f"{_HOST} || regexp_extract(coalesce({{0}}, ''), '(?s)^.*?://[^/?#]*([^#]*)', 1)"
 _RULE = """CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END"""
 _SAID = "CASE WHEN {0} IN ('net/', 'example.com/de/') THEN 'block' WHEN {0} IS NOT NULL THEN 'allow' END"
 
+#: A path without its segments . and .. (a .. at the top goes), where it has any.
+_DOTTED = """CASE WHEN regexp_matches({0}, '/\\.\\.?(/|$)') THEN (
+  WITH kept AS (SELECT list_reduce(list_concat([CAST([] AS VARCHAR[])], list_transform(string_split({0}, '/')[2:], lambda p: [p])),
+    lambda done, p: CASE p[1] WHEN '.' THEN done WHEN '..' THEN done[:greatest(len(done) - 1, 0)] ELSE list_concat(done, p) END) AS k)
+  SELECT '/' || array_to_string(k, '/') || CASE WHEN string_split({0}, '/')[-1] IN ('.', '..') AND len(k) > 0 THEN '/' ELSE '' END FROM kept
+) ELSE {0} END"""
+
 _URL_SQL = rf"""
 WITH RECURSIVE tags AS (
-  SELECT url AS source,
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^\s"''>]+)', 1) AS link,
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) AS fresh
-  FROM pages
-), found AS (
-  SELECT source, replace(trim(CASE WHEN link <> '' THEN link ELSE fresh END), '&amp;', '&') AS t FROM tags
+  SELECT DISTINCT url AS source, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical["''\s>/]')), lambda t:
+      regexp_extract(t, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(t, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(t, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh["''\s>/]')), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1))
+  )) AS t
+  FROM pages WHERE html IS NOT NULL
+), named AS (
+  SELECT source, replace(trim(t, ' '), '&amp;', '&') AS t, split_part(source, '://', 1) AS scheme, split_part(source, '://', 1) || '://' || {_HOST.format("source")} AS site,
+    CASE WHEN {_PATH.format("source")} = '' THEN '/' ELSE {_PATH.format("source")} END AS own
+  FROM tags
+), parts AS (
+  SELECT *, regexp_extract(t, '(?s)^([^?#]*)', 1) AS path, regexp_extract(own, '(?s)^(.*/)', 1) || regexp_extract(t, '(?s)^([^?#]*)', 1) AS beside, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS rest
+  FROM named WHERE contains(source, '://') OR contains(t, '://')
 ), edges AS (
-  SELECT source, CASE WHEN t LIKE '//%' THEN split_part(source, '://', 1) || ':' || t
-    WHEN t LIKE '/%' THEN split_part(source, '://', 1) || '://' || {_HOST.format("source")} || t ELSE t END AS target
-  FROM found
-), good AS (SELECT * FROM edges WHERE contains(target, '://') AND contains(source, '://')),
-ends AS (SELECT source AS u FROM good UNION SELECT target FROM good),
+  SELECT source, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+    WHEN t = '' OR t LIKE '#%' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN t LIKE '//%' THEN scheme || ':' || t
+    WHEN t LIKE '?%' THEN site || own || t
+    WHEN t LIKE '/%' THEN site || {_DOTTED.format("path")} || rest
+    ELSE site || {_DOTTED.format("beside")} || rest END AS target
+  FROM parts
+), good AS (SELECT * FROM edges WHERE {_HOST.format("source")} <> '' AND {_HOST.format("target")} <> ''),
+ends AS (SELECT source AS u FROM edges WHERE target IS NOT NULL AND {_HOST.format("source")} <> '' UNION SELECT target FROM edges WHERE {_HOST.format("target")} <> ''),
 nodes AS (SELECT DISTINCT node, {_SAID.format("rule")} AS said FROM (SELECT node, {_RULE} AS rule FROM (SELECT {_NODE.format("u")} AS node, {_HOST.format("u")} AS host, {_PATH.format("u")} AS path FROM ends))),
 links AS (SELECT {_NODE.format("source")} AS a, {_NODE.format("target")} AS b FROM good UNION SELECT {_NODE.format("target")}, {_NODE.format("source")} FROM good),
 reach AS (SELECT node, node AS other FROM nodes UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
@@ -137,8 +155,8 @@ inherited AS (
   SELECT reach.node, CASE WHEN bool_or(said = 'allow') THEN 'allow' WHEN bool_or(said = 'block') THEN 'block' END AS v
   FROM reach JOIN nodes ON nodes.node = reach.other GROUP BY reach.node
 ), judged AS (
-  SELECT page_id, node, host, path, {_RULE} AS rule
-  FROM (SELECT page_id, {_NODE.format("url")} AS node, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM pages)
+  SELECT page_id, CASE WHEN {_HOST.format("url")} <> '' THEN {_NODE.format("url")} END AS node, host, path, {_RULE} AS rule
+  FROM (SELECT page_id, url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM pages)
 )
 SELECT page_id, host, path, rule, coalesce({_SAID.format("rule")}, v, 'allow') AS verdict FROM judged LEFT JOIN inherited USING (node)
 """
