@@ -88,3 +88,28 @@ def test_stages(spark, corpus):
 def test_run(spark, corpus):
     assert corpus_pipeline.run(spark, corpus[0]).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_edges(spark, corpus):
+    """Nulls anywhere, empty and very long texts, repeated rows, columns of clashing names, empty tables."""
+    d, items, _ = corpus
+    rng = random.Random(9)
+    long = " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(60_000))
+    one = " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(40))
+    rows = [(1, long), (2, one), (2, one), (2, one + " tail"), (None, one + " other"), (3, None), (3, None), (4, ""), (5, "\n\n"), (6, items[0][1] + " " + one[::-1])]
+    docs = spark.createDataFrame([(k, t, None, None, None, 1, "x", 2.0, 3) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, tie int, node string, key double, label int")
+    before = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d).cache()
+        before[name] = out
+        if name == "packing":
+            assert sorted({(r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()}) == sorted({(k is None, k or 0) for k, _ in rows})
+        else:
+            assert out.columns == docs.columns and all(r["tie"] == 1 and r["node"] == "x" for r in out.collect())
+        assert stage(spark, docs.limit(0), d).count() == 0
+    lines, single, clean = (before[k] for k in ("line_dedup", "near_dedup", "decontamination"))
+    # the null id comes first, so its line stays; of the others only lines that no earlier document has
+    assert texts(lines) >= {(None, one + " other"), (1, long), (3, None), (4, ""), (5, "\n\n")}
+    kept = [(r["doc_id"], r["text"]) for r in single.collect()]
+    assert kept.count((2, one)) <= 1 and {k for k, _ in kept} >= {1, 3, 4, 5, 6}
+    assert dict(texts(clean))[6] != rows[-1][1] and dict(texts(clean))[1] == long and clean.count() == len(rows)
