@@ -1,4 +1,10 @@
-"""The corpus pipeline: score, deduplicate lines and documents, decontaminate, pack."""
+"""The corpus pipeline: score, deduplicate lines and documents, decontaminate, pack.
+
+All stages take nulls in any column, repeated rows, empty and very long texts, tables without rows and further columns of any name, which
+come out as they went in. Rows with a null text have no lines, words or classes: only the classifier can drop them, and they pack as one
+end token. Rows with a null id come first in every order and are judged by their text. Rows that repeat in id and text lose the same
+lines; of these, and of near-duplicates, one stays.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import materialize, table
-from cadenza.llm.decontaminate import find_contamination, remove_spans
+from cadenza.llm.decontaminate import find_contamination
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.packing import pack
 from cadenza.llm.probminhash import keep_representatives
@@ -35,9 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of the benchmark."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    cut = remove_spans(found.withColumn("n_chars", F.when(F.size("hit_spans") > 0, F.lit(None).cast("long")).otherwise(F.col("n_chars"))))
-    return cut.withColumn("n_chars", F.coalesce("n_chars", F.length("text").cast("long"))).select(*docs.columns)
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), remove=True)
+    n_chars = F.when(F.size("hit_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
