@@ -420,6 +420,17 @@ ORACLES |= {
       SELECT song_id, CAST(g - 1 AS INT) AS part, any_value(root_pc) AS cluster, min(pos) * 4 AS a, max(pos) * 4 + 4 AS b, CAST(count(*) AS INT) AS blocks FROM g GROUP BY song_id, g""",
 }
 
+ORACLES["refine_pulse"] = f"""WITH {EV}, beats AS (SELECT song_id, pos // 4 AS beat, pos * 10 AS frame FROM ev WHERE pos % 4 = 0), onsets AS (SELECT song_id, pos * 10 AS f FROM ev WHERE value * k / 100.0::DOUBLE > 20),
+  about AS (SELECT song_id, max(beat) AS last, quantile_cont(gap, 0.5) AS period FROM (SELECT song_id, beat, frame - lag(frame) OVER (PARTITION BY song_id ORDER BY frame) AS gap FROM beats) GROUP BY song_id),
+  places AS (SELECT song_id, period, phase, unnest(range(CAST(ceil((last - phase) / 1.5) AS INT))) AS nth FROM about, (SELECT unnest([0.0::DOUBLE, 0.5, 1.0]) AS phase) WHERE ceil((last - phase) / 1.5) >= 8),
+  spots AS (SELECT *, phase + nth * 1.5 AS spot FROM places),
+  grid AS (SELECT g.song_id, phase, nth, period, x.frame + (y.frame - x.frame) * (spot - x.beat) AS f FROM spots g JOIN beats x ON x.song_id = g.song_id AND x.beat = floor(spot) JOIN beats y ON y.song_id = g.song_id AND y.beat = ceil(spot)),
+  wide AS (SELECT song_id, phase, avg(CASE WHEN d <= greatest(1, 0.12::DOUBLE * 1.5 * period) THEN 1 ELSE 0 END) AS share FROM (SELECT o.song_id, phase, o.f, any_value(period) AS period, min(abs(o.f - g.f)) AS d FROM onsets o JOIN grid g USING (song_id) GROUP BY o.song_id, phase, o.f) GROUP BY song_id, phase),
+  base AS (SELECT song_id, avg(CASE WHEN d <= greatest(1, 0.12::DOUBLE * period) THEN 1 ELSE 0 END) AS share FROM (SELECT o.song_id, o.f, min(abs(o.f - b.frame)) AS d FROM onsets o JOIN beats b USING (song_id) GROUP BY o.song_id, o.f) JOIN about USING (song_id) GROUP BY song_id),
+  best AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY share DESC, phase) AS nth FROM wide), better AS (SELECT b.song_id, b.phase FROM best b JOIN base ON base.song_id = b.song_id WHERE nth = 1 AND b.share >= base.share + 0.1::DOUBLE)
+  SELECT song_id, CAST(beat AS INT) AS beat, CAST(frame AS INT) AS frame, false AS regridded FROM beats WHERE song_id NOT IN (SELECT song_id FROM better)
+  UNION ALL SELECT g.song_id, CAST(nth AS INT), CAST(round_even(f, 0) AS INT), true FROM grid g JOIN better USING (song_id, phase)"""
+
 #: Parts, bars and lines of the queries that name and list parts.
 PLAIN = f"""{sequence()}, coarse AS (SELECT song_id, pos, CASE WHEN pos < 9 THEN root_pc ELSE pos // 9 % 3 END AS c FROM chords
 ), turns AS (SELECT *, CASE WHEN c = lag(c) OVER (PARTITION BY song_id ORDER BY pos) THEN 0 ELSE 1 END AS turn FROM coarse
