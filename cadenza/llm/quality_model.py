@@ -182,8 +182,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
     labelled rows outside the held-out fold, those with the least hash of their id; their features are a bounded table that the
     driver holds, as it holds the model (about 4 MB). Scoring is one pass without a shuffle. Only the text enters a score.
 
-    Null and empty texts have zero features and a score as any other; rows with a null id are scored, never learnt from. Repeated
-    labels are each an example, null labels are left out; without labels of both kinds the score is one number for all. The new
+    Null and empty texts have zero features and a score as any other; rows with a null id are scored, never learnt from. Labels
+    and rows that repeat in id, label and text are one example, null labels are left out; without labels of both kinds the score is one number for all. The new
     columns replace columns of the same names.
     """
     spark = docs.sparkSession
@@ -193,22 +193,25 @@ def score_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
     taught = labels.select(F.col(doc).alias("id"), F.col(quality).cast("int").alias("y")).where(F.col("y").isNotNull() & (fold("id") != 2))
     taught = spark.createDataFrame(taught.orderBy(F.xxhash64("id"), "id", "y").limit(train_rows).collect(), taught.schema)
     examples = corpus.select(F.col(doc).alias("id"), text_of(text).alias("text")).join(F.broadcast(taught), "id")
+    # rows that repeat an id are examples too, each different text once; so many ids may repeat that the bound holds here again
+    examples = examples.withColumn("tie", F.xxhash64("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text", 1 << 20):
             made = pooled(*utf8(part.column("text")), shared.value)
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(list(made), pa.list_(pa.float32()))], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "y", "tie")), pa.array(list(made), pa.list_(pa.float32()))], ["id", "y", "tie", "x"])
 
     kind = examples.schema["id"].dataType.simpleString()
-    rows = sorted(tuple(r) for r in examples.mapInArrow(features, f"id {kind}, y int, x array<float>").collect())
-    net = fit(np.array([r[2] for r in rows], np.float32).reshape(len(rows), 2 * WIDTH + 3), np.array([r[1] for r in rows], np.int64))
+    made = examples.mapInArrow(features, f"id {kind}, y int, tie long, x array<float>").groupBy("id", "y", "tie").agg(F.count(F.lit(1)).alias("n"), F.first("x").alias("x"))
+    rows = made.orderBy(F.xxhash64("id"), "id", "y", "tie").limit(train_rows).collect()
+    net = fit(np.array([r["x"] for r in rows], np.float32).reshape(len(rows), 2 * WIDTH + 3), np.array([r["y"] for r in rows], np.int64))
     kept = docs.drop("held_out", "score", "predicted")
     wanted = kept.withColumn("score", F.lit(0.0))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text, 1 << 20):
             made = net.probabilities(pooled(*utf8(part.column(text)), shared.value))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made.astype(float))], part.schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.round(made.astype(float), 12))], part.schema.names)  # equal texts score alike, whatever stands around them
 
     out = wanted.mapInArrow(score, wanted.schema)
     return out.withColumn("held_out", F.coalesce(fold(doc) == 2, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,14 +1,17 @@
 """HTML extraction on pages with known text, and the classifier on held-out rows."""
 
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from cadenza.llm.boosting import fit_trees
+from cadenza.llm.common import mix, utf8
 from cadenza.llm.html_dom import Page
 from cadenza.llm.html_extract import decode, extract_text, features, layout, text_from, train
-from cadenza.llm.quality_model import fit, score_quality
+from cadenza.llm.quality_model import BUCKETS, NONZERO, REACH, WIDTH, context_sums, fit, pooled, score_quality, tokens
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 
@@ -101,3 +104,62 @@ def test_quality(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
     assert score_quality(frame.limit(0), taught).count() == 0
     assert score_quality(frame, taught.limit(0)).count() == len(docs)
+
+
+def test_decoding_against_all_labellings():
+    rng = np.random.default_rng(3)
+    for source in ("<div><p>a</p><p>b<b>c</b></p></div><p>d</p>", "<ul><li>a<i>b</i></li><li>c</li></ul><div><div><p>d</p></div></div>", "<p>a</p>", "<script>x</script><div>y<p>z</p></div>"):
+        page = Page(source)
+        n = len(page.parents)
+        for _ in range(5):
+            odds = rng.normal(size=n) * 2
+            best, found = -np.inf, None
+            for choice in itertools.product([False, True], repeat=n - 1):
+                kept = [True, *choice]
+                if any(kept[k] and (page.silent[k] or not kept[page.parents[k]]) for k in range(1, n)):
+                    continue
+                value = sum(-np.logaddexp(0, -odds[k]) if kept[k] else -np.logaddexp(0, odds[k]) for k in range(1, n))
+                if value > best:
+                    best, found = value, kept
+            assert decode(page, odds) == found
+
+
+def test_word_vectors_and_pooling_by_hand():
+    texts = ["aa bb aa cc", "", "bb 12!", "x"]
+    data, offsets = utf8(pa.array(texts))
+    hashes, doc = tokens(data, offsets)
+    assert doc.tolist() == [0, 0, 0, 0, 2, 2, 2, 3] and hashes[0] == hashes[2] and hashes[1] == hashes[4]
+
+    def drawn(h):
+        v = np.zeros(WIDTH)
+        for k in range(NONZERO):
+            m = int(mix(np.array([(int(h) + 0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64)], np.uint64))[0])
+            v[m % WIDTH] += 1 - 2 * (m >> 32 & 1)
+        return v
+
+    want = np.zeros((BUCKETS, WIDTH))
+    for i, h in enumerate(hashes):
+        for j in range(len(hashes)):
+            if i != j and abs(i - j) <= REACH and doc[i] == doc[j]:
+                want[int(h) % BUCKETS] += drawn(hashes[j])
+    assert np.allclose(context_sums(hashes, doc), want)
+    vectors = np.random.default_rng(1).normal(size=(BUCKETS, WIDTH)).astype(np.float32)
+    got = pooled(data, offsets, vectors)
+    for k in range(len(texts)):
+        own = np.array([vectors[int(h) % BUCKETS] for h, d in zip(hashes, doc) if d == k])
+        if not len(own):
+            assert not got[k].any()
+            continue
+        alike = sum(float(a @ b) for a, b in zip(own[1:], own)) / max(1, len(own) - 1)
+        mean = own.mean(axis=0)
+        assert np.allclose(got[k], [*mean, *own.std(axis=0), alike, np.sqrt(mean @ mean), np.log1p(len(own))], atol=1e-4)
+
+
+def test_repeated_ids_and_long_texts_of_the_classifier(spark):
+    rng = random.Random(2)
+    docs = [(k % 50, f"{paragraph(rng)} {k % 2 * 'bad!! '}") for k in range(400)] + [(999, "word " * 400_000), (None, "a"), (7, None), (7, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as score", "1 as id", "2 as tie")
+    taught = spark.createDataFrame([(k, k % 2) for k in range(50)] * 2 + [(None, 1), (3, None)], "doc_id long, quality int")
+    got = score_quality(frame, taught, train_rows=100).collect()
+    assert len(got) == len(docs) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["text"] is None}) == 1
