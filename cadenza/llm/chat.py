@@ -32,7 +32,7 @@ def expand_prefix_targets(turns: DataFrame, conv: str = "conv_id", turn: str = "
     nothing is lost. Returns conv_id, example (1, 2, ...), formatted, loss_start and loss_chars (code points).
 
     One conversation is one record here, as it is in training: its turns meet in one row, after one shuffle by its id. The
-    expansion itself is the product of turns and replies, which is what the format asks for.
+    expansion itself is the product of turns and replies, which is what the format asks for; each example is a row of its own.
     Null roles and texts count as empty; rows with a null id form one conversation with a null id; turns come in the order
     (turn, role, text) with nulls first, and repeated rows are kept. An empty table gives no rows. Other columns are ignored.
     """
@@ -52,16 +52,16 @@ def expand_prefix_targets(turns: DataFrame, conv: str = "conv_id", turn: str = "
     lines = F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE)))
     replies = F.filter(F.sequence(F.lit(1), F.size("parts")), lambda i: F.element_at("parts", i)["learn"])
     rest = F.when(~F.element_at("parts", -1)["learn"], F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    wanted = conversations.select("conv_id", "parts", lines.alias("lines"), F.concat(replies, rest).alias("ends"))
-    example = F.transform(
-        "ends",
-        lambda end, k: F.struct(
-            (k + 1).alias("example"),
-            F.array_join(F.when(end == 0, F.col("lines")).otherwise(F.slice("lines", 1, end)), "").alias("formatted"),
-            F.when(end == 0, F.lit(0)).otherwise(F.length(F.element_at("parts", F.greatest(end, F.lit(1)))["body"])).alias("loss_chars"),
-        ),
+    sizes = F.transform("parts", lambda p: F.length(p["body"]))
+    # one row for each example before its text is made, so that a row never holds more than one example
+    wanted = conversations.select("conv_id", lines.alias("lines"), sizes.alias("sizes"), F.concat(replies, rest).alias("ends"))
+    each = wanted.select("conv_id", "lines", "sizes", F.posexplode("ends").alias("k", "end"))
+    out = each.select(
+        "conv_id",
+        (F.col("k") + 1).alias("example"),
+        F.array_join(F.when(F.col("end") == 0, F.col("lines")).otherwise(F.slice("lines", F.lit(1), F.col("end"))), "").alias("formatted"),
+        F.when(F.col("end") == 0, F.lit(0)).otherwise(F.get("sizes", F.col("end") - 1)).alias("loss_chars"),
     )
-    out = wanted.select("conv_id", F.explode(example).alias("e")).select("conv_id", "e.*")
     # the mask ends where the closing mark of the last turn begins
     start = F.length("formatted") - F.lit(len(CLOSE)) - F.col("loss_chars")
     return out.select("conv_id", "example", "formatted", start.alias("loss_start"), "loss_chars")
