@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,7 +132,6 @@ def _met(rows: DataFrame, window: int) -> DataFrame:
             if len(known):
                 yield out(rows, known, place, True)
             heads = np.flatnonzero(~same & (what < REPEATED))
-            number = np.cumsum(~same_anchor[heads]) if len(heads) else heads
             # a scattered range can only stand between two anchors if it has the same key as one of them, so heads of an anchor are neighbours
             number = np.concatenate([[0], np.cumsum(anchor[heads][1:] != anchor[heads][:-1])]) if len(heads) else heads
             size = np.bincount(number) if len(heads) else heads
@@ -267,13 +267,13 @@ def repeated_ranges(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
                 continue
             anchor = batch.column("anchor").to_numpy()
             edges = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), batch.num_rows]
-            ends = batch.column("bytes").offsets.to_numpy() if hasattr(batch.column("bytes"), "offsets") else np.frombuffer(batch.column("bytes").buffers()[1], np.int32)[batch.column("bytes").offset :]
+            bytes_of = pc.binary_length(batch.column("bytes")).to_numpy()
             for a, b in zip(edges, edges[1:]):
                 if size > INDEX_BYTES and held[-1].column("anchor")[-1].as_py() != int(anchor[a]):
                     yield found()
                     held, size = [], 0
                 held.append(batch.slice(a, b - a))
-                size += int(ends[b] - ends[a])
+                size += int(bytes_of[a:b].sum())
         if held:
             yield found()
 
