@@ -26,7 +26,7 @@ def plain(value):
     return float(value) + 0.0 if isinstance(value, (int, float)) and not isinstance(value, bool) else value
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted({*QUERIES} - {"song_analysis"}))  # test_chain holds that one against known songs
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
