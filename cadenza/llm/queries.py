@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.chat import digest, expand_prefix_targets
 from cadenza.llm.common import table
 from cadenza.llm.decontaminate import contamination_digest, find_contamination
+from cadenza.llm.divergence import divergence
 from cadenza.llm.html_extract import extract_text
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.packing import pack
@@ -75,6 +76,10 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_formatting,
     "op2_decontamination": decontamination,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": url_filters,
     "op9_line_dedup": line_dedup,
     "op10_quality_classifier": quality_classifier,
+    "op12_source_divergence": source_divergence,
 }
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\s'), '</turn>', '\e'), '### ', '\h')"
@@ -161,4 +167,36 @@ inherited AS (
 SELECT page_id, host, path, rule, coalesce({_SAID.format("rule")}, v, 'allow') AS verdict FROM judged LEFT JOIN inherited USING (node)
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": _CHAT_SQL, "op8_url_filters": _URL_SQL}
+_SHARE = "CAST(1 + 1000000000::HUGEINT * ({0} + 2) // ({1} + 2 * {2}) AS BIGINT)"
+_GAP = "(({0} - {1}) * ({0} - {1})) // ({0} + {1})"
+
+_DIVERGENCE_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), held AS (SELECT d, lang, source, term, count(*) AS n FROM (SELECT d, lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM held GROUP BY ALL HAVING count(*) >= 10),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY ALL),
+cells AS (SELECT lang, source, term, sum(held.n)::HUGEINT AS n FROM held SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce(v, 0)::HUGEINT AS v, coalesce((SELECT sum(n) FROM cells WHERE cells.lang = g.lang AND cells.source = g.source), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN langs USING (lang)
+), whole AS (
+  SELECT lang, g.source, term, coalesce(c.n, 0) AS n, {_SHARE.format("coalesce(c.n, 0)", "g.total", "g.v")} AS p, kept.n AS in_lang
+  FROM groups g JOIN kept USING (lang) LEFT JOIN cells c USING (lang, source, term)
+), above AS (
+  SELECT lang, source, term, p, {_SHARE.format("in_lang", "langs.total", "langs.v")} AS q FROM whole JOIN langs USING (lang) WHERE n > 0
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, {_GAP.format("p", "q")} AS value FROM above WHERE p > q
+), far AS (
+  SELECT a.lang, a.source, b.source AS item, sum({_GAP.format("a.p", "b.p")})::BIGINT AS value FROM whole a JOIN whole b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM terms UNION ALL SELECT * FROM pairs) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": _CHAT_SQL, "op8_url_filters": _URL_SQL, "op12_source_divergence": _DIVERGENCE_SQL}
