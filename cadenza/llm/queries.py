@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.llm.alignment import align_tokenizers
 from cadenza.llm.chat import digest, expand_prefix_targets
 from cadenza.llm.common import table
 from cadenza.llm.decontaminate import contamination_digest, find_contamination
@@ -80,6 +81,10 @@ def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_formatting,
     "op2_decontamination": decontamination,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": line_dedup,
     "op10_quality_classifier": quality_classifier,
     "op12_source_divergence": source_divergence,
+    "op13_tokenizer_alignment": tokenizer_alignment,
 }
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\s'), '</turn>', '\e'), '### ', '\h')"
