@@ -15,13 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import join_per_key, materialize, steps, text_of
+from cadenza.llm.common import materialize, steps, text_of
 
-#: A term: letters of ASCII and everything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between terms, which are letters of ASCII and everything beyond ASCII.
+NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text in a block of documents; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 #: Documents of a language that must hold a term for it to count.
 MIN_DOCS = 10
 #: Terms listed for each group.
@@ -33,10 +32,15 @@ UNIT = 1_000_000_000
 
 
 def count_chunks(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Chunks of every block of documents: block, chunk, the numbers inside the block of the documents that hold it (docs), and how
-    often each does (n). One row of a block has no chunk, and the language and source of its documents by number."""
+    """Chunks of every block of documents: block, row (number of the chunk in the block) and chunk. A further row of each block has no
+    chunk but the rest: how many documents hold each chunk (sizes), which by their numbers in the block, as steps from one to the
+    next (docs), how often each does (times), and the documents' languages and sources by number."""
     rows = docs.select(text_of(text).alias("text"), text_of(lang).alias("lang"), text_of(source).alias("source"))
-    names = ["block", "chunk", "docs", "n", "langs", "sources"]
+    names = ["block", "row", "chunk", "sizes", "docs", "times", "langs", "sources"]
+    types = [pa.int64(), pa.int32(), pa.string(), *[pa.binary()] * 3, *[pa.list_(pa.string())] * 2]
+
+    def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, types)], names)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -46,25 +50,48 @@ def count_chunks(docs: DataFrame, text: str = "text", lang: str = "lang", source
             chunks = cut.flatten().dictionary_encode()
             place = np.sort((chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 32) | doc)
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(place)))
-            owner = place[first] >> 32
-            ends = pa.array(np.searchsorted(owner, np.arange(len(chunks.dictionary) + 1)), pa.int32())
-            held = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (place[first] & 0xFFFFFFFF, times)]
+            owner, held = place[first] >> 32, place[first] & 0xFFFFFFFF
+            step = np.diff(held, prepend=0)
+            fresh = np.diff(owner, prepend=-1) != 0
+            step[fresh] = held[fresh]
             size = len(chunks.dictionary)
-            none = pa.nulls(size, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), chunks.dictionary.cast(pa.string()), *held, none, none], names)
-            of = [pa.array([part.column(c).to_pylist()], pa.list_(pa.string())) for c in ("lang", "source")]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.list_(pa.int32()))] * 2, *of], names)
+            packed = {"sizes": np.bincount(owner, minlength=size), "docs": step, "times": np.diff(np.append(first, len(place)))}
+            yield batch(size, block=pa.array(np.full(size, block)), row=pa.array(np.arange(size), pa.int32()), chunk=chunks.dictionary.cast(pa.string()))
+            of = {f"{c}s": pa.array([part.column(c).to_pylist()], pa.list_(pa.string())) for c in ("lang", "source")}
+            yield batch(1, block=pa.array([block]), **{c: pa.array([squeeze(x)], pa.binary()) for c, x in packed.items()}, **of)
             block += 1
 
-    return rows.mapInArrow(postings, "block long, chunk string, docs array<int>, n array<int>, langs array<string>, sources array<string>")
+    return rows.mapInArrow(postings, "block long, row int, chunk string, sizes binary, docs binary, times binary, langs array<string>, sources array<string>")
+
+
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers under 2^32, compressed."""
+    raw = numbers.astype("<u4").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(packed: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True), "<u4").astype(np.int64)
 
 
 def chunk_terms(places: DataFrame) -> DataFrame:
-    """Each distinct chunk that has terms: chunk, terms (in order, with repeats) and in how many rows of places it stands (n)."""
-    distinct = places.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
-    terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return distinct.withColumn("terms", terms).where(F.size("terms") > 0)
+    """block, row and terms (lower case, separated by spaces) of every place of a chunk that has terms.
+
+    All places of a chunk stand one after the other in one task, and its terms are cut out once. A chunk has one place in a block, so
+    even the most frequent one is a small part of a partition.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            same = pc.run_end_encode(batch.column("chunk"))
+            length = np.diff(same.run_ends.to_numpy(), prepend=0)
+            terms = pc.utf8_trim(pc.replace_substring_regex(pc.ascii_lower(same.values), NO_TERM, " "), " ")
+            places = pa.RecordBatch.from_arrays([batch.column("block"), batch.column("row"), terms.take(pa.array(np.repeat(np.arange(len(length)), length)))], ["block", "row", "terms"])
+            yield places.filter(pc.not_equal(places.column("terms"), ""))
+
+    return places.select("block", "row", "chunk").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(cut, "block long, row int, terms string")
 
 
 def _sum_block(places: pa.Table, head: pa.Table) -> pa.Table:
@@ -72,20 +99,20 @@ def _sum_block(places: pa.Table, head: pa.Table) -> pa.Table:
     kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("documents", pa.int64())])
     if not places.num_rows:
         return kind.empty_table()
-    places, head = places.combine_chunks(), head.combine_chunks()
-    flat = {c: places.column(c).combine_chunks() for c in ("terms", "docs", "n")}
-    n_terms, n_docs = (pc.list_value_length(flat[c]).to_numpy() for c in ("terms", "docs"))
-    terms = flat["terms"].flatten().dictionary_encode()
-    docs, n = (flat[c].flatten().to_numpy() for c in ("docs", "n"))
-    row = np.repeat(np.arange(places.num_rows), n_terms)  # of each term of a chunk
-    width = n_docs[row]
-    start = (np.cumsum(n_docs) - n_docs)[row]
-    at = np.repeat(start - (np.cumsum(width) - width), width) + np.arange(width.sum())  # its documents
+    sizes, step, times = (unsqueeze(head.column(c)[0].as_py()) for c in ("sizes", "docs", "times"))
+    begin = np.cumsum(sizes) - sizes
+    total = np.cumsum(step)
+    docs = total - np.repeat(total[begin] - step[begin], sizes)
+    cut = pc.split_pattern(places.column("terms").combine_chunks(), " ")
+    terms = cut.flatten().dictionary_encode()
+    row = np.repeat(places.column("row").to_numpy(), pc.list_value_length(cut).to_numpy())  # of each term of a chunk
+    width = sizes[row]
+    at = np.repeat(begin[row] - (np.cumsum(width) - width), width) + np.arange(width.sum())  # its documents
     key = (np.repeat(terms.indices.to_numpy().astype(np.int64), width) << 32) | docs[at]
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.add.reduceat(n[at].astype(np.int64)[order], first)
+    count = np.add.reduceat(times[at][order], first)
     langs, sources = (head.column(c).combine_chunks().flatten().dictionary_encode() for c in ("langs", "sources"))
     n_sources = len(sources.dictionary)
     group = langs.indices.to_numpy().astype(np.int64) * n_sources + sources.indices.to_numpy()
@@ -100,16 +127,13 @@ def _sum_block(places: pa.Table, head: pa.Table) -> pa.Table:
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source, term, count (occurrences) and documents (that hold it) of every term of every group.
 
-    A block has one row per distinct chunk, so a frequent chunk is a small part of the rows wherever it goes; what a task holds at once
-    is one block.
+    Chunks leave their block and come back as terms without the documents that hold them; those wait, compressed, where the block
+    meets again. What a task holds at once is one block.
     """
     counted = materialize(count_chunks(docs, text, lang, source))
-    places = counted.where("chunk is not null").select("block", "chunk", "docs", "n")
-    terms = materialize(chunk_terms(places))
-    total = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = join_per_key(places, terms, "chunk", total).select("block", "terms", "docs", "n")
-    heads = counted.where("chunk is null").select(F.col("block").alias("of_block"), "langs", "sources")
-    summed = joined.groupBy("block").cogroup(heads.groupBy("of_block")).applyInArrow(_sum_block, "lang string, source string, term string, count long, documents long")
+    terms = chunk_terms(counted.where("row is not null"))
+    heads = counted.where("row is null").select(F.col("block").alias("of_block"), "sizes", "docs", "times", "langs", "sources")
+    summed = terms.groupBy("block").cogroup(heads.groupBy("of_block")).applyInArrow(_sum_block, "lang string, source string, term string, count long, documents long")
     return summed.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
 
 
