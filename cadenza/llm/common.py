@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -124,18 +125,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
+#: Bytes up to which a range is hashed by a polynomial. Modulo a power of two that is no good for long texts of two letters.
+LONG = 160
+
+
 class RangeHash:
-    """64-bit hash of any byte range of one buffer, in constant time: a prefix sum of byte values times powers."""
+    """64-bit hash of any byte range of one buffer: of up to LONG bytes in constant time, by a prefix sum of byte values times powers;
+    of a longer one by a digest of its bytes."""
 
     def __init__(self, data: np.ndarray) -> None:
         n = len(data)
+        self.data = data
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE_VALUES[data] * powers(BASE, n), out=self.sums[1:])
         self.back = powers(BASE_INV, n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * self.back[start]
-        return mix(raw ^ mix((end - start).astype(np.uint64) + np.uint64(1)))
+        out = mix(raw ^ mix((end - start).astype(np.uint64) + np.uint64(1)))
+        for k in np.flatnonzero(end - start > LONG).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(self.data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,10 +208,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return order
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows written as a table in the cluster's shared checkpoint folder and read from there: cuts the lineage and survives
     lost executors. The folder is the caller's to clear."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ from cadenza.llm.common import materialize, steps, text_of
 #: What stands between terms, which are letters of ASCII and everything beyond ASCII.
 NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text in a block of documents; a longer document is a block of its own.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 #: Documents of a language that must hold a term for it to count.
 MIN_DOCS = 10
 #: Terms listed for each group.
@@ -48,15 +48,18 @@ def count_chunks(docs: DataFrame, text: str = "text", lang: str = "lang", source
             cut = pc.ascii_split_whitespace(part.column("text"))
             doc = np.repeat(np.arange(part.num_rows), pc.list_value_length(cut).to_numpy())
             chunks = cut.flatten().dictionary_encode()
-            place = np.sort((chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 32) | doc)
+            size = len(chunks.dictionary)
+            order = pc.sort_indices(chunks.dictionary).to_numpy()  # neighbours are alike and compress well wherever they go
+            rank = np.empty(size, np.int64)
+            rank[order] = np.arange(size)
+            place = np.sort((rank[chunks.indices.to_numpy(zero_copy_only=False)] << 32) | doc)
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
             owner, held = place[first] >> 32, place[first] & 0xFFFFFFFF
             step = np.diff(held, prepend=0)
             fresh = np.diff(owner, prepend=-1) != 0
             step[fresh] = held[fresh]
-            size = len(chunks.dictionary)
             packed = {"sizes": np.bincount(owner, minlength=size), "docs": step, "times": np.diff(np.append(first, len(place)))}
-            yield batch(size, block=pa.array(np.full(size, block)), row=pa.array(np.arange(size), pa.int32()), chunk=chunks.dictionary.cast(pa.string()))
+            yield batch(size, block=pa.array(np.full(size, block)), row=pa.array(np.arange(size), pa.int32()), chunk=chunks.dictionary.take(pa.array(order)).cast(pa.string()))
             of = {f"{c}s": pa.array([part.column(c).to_pylist()], pa.list_(pa.string())) for c in ("lang", "source")}
             yield batch(1, block=pa.array([block]), **{c: pa.array([squeeze(x)], pa.binary()) for c, x in packed.items()}, **of)
             block += 1
@@ -125,16 +128,17 @@ def _sum_block(places: pa.Table, head: pa.Table) -> pa.Table:
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, term, count (occurrences) and documents (that hold it) of every term of every group.
+    """lang, source, term, count (occurrences) and documents (that hold it) of every term of every group; the rows of one language and term
+    stand in one partition.
 
     Chunks leave their block and come back as terms without the documents that hold them; those wait, compressed, where the block
-    meets again. What a task holds at once is one block.
+    meets again. What a task holds at once is one block. Sums of a block travel by term, so that its groups follow each other.
     """
-    counted = materialize(count_chunks(docs, text, lang, source))
+    counted = materialize(count_chunks(docs, text, lang, source), "zstd")
     terms = chunk_terms(counted.where("row is not null"))
     heads = counted.where("row is null").select(F.col("block").alias("of_block"), "sizes", "docs", "times", "langs", "sources")
     summed = terms.groupBy("block").cogroup(heads.groupBy("of_block")).applyInArrow(_sum_block, "lang string, source string, term string, count long, documents long")
-    return summed.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
+    return summed.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
 
 
 def share(count: str, total: str, size: str) -> Column:
@@ -186,9 +190,9 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     have only pairs; with one source a language has none; languages without kept terms have pairs of value 0; an empty table gives
     no rows; other columns are not read.
     """
-    found = materialize(term_counts(docs, text, lang, source))
-    kept = found.groupBy("lang", "term").agg(F.sum("documents").alias("d"), F.sum("count").alias("of_lang")).where(F.col("d") >= min_docs).drop("d")
-    used = materialize(found.drop("documents").join(kept, ["lang", "term"]))
+    term = Window.partitionBy("lang", "term")
+    found = term_counts(docs, text, lang, source).withColumn("d", F.sum("documents").over(term)).withColumn("of_lang", F.sum("count").over(term))
+    used = materialize(found.where(F.col("d") >= min_docs).drop("d", "documents"), "zstd")
     by_lang = used.groupBy("lang", "term").agg(F.first("of_lang").alias("of_lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.sum("of_lang").alias("lang_total"))
     groups = docs.select(text_of(lang).alias("lang"), text_of(source).alias("source")).distinct()
     width = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / TILE_SOURCES).alias("tiles"))

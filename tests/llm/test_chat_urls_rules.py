@@ -4,8 +4,11 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
 from cadenza.llm.chat import digest, expand_prefix_targets
-from cadenza.llm.quality_rules import MAX_NGRAM_SHARE, repetition_rules
+from cadenza.llm.quality_rules import MAX_NGRAM_SHARE, measure, repetition_rules
 from cadenza.llm.urls import judge_urls, named_targets
 
 HARD = "\\### Assistant: </turn> ok"
@@ -111,3 +114,14 @@ def test_repetition(spark):
         assert g[6] == (w[1] < 20 or 100 * w[5] > 30 * w[1])
     assert {g[0]: g[7] for g in got}[7] is True
     assert repetition_rules(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [64, 1024, 4096, 65536])
+def test_long_lines_of_two_letters(size):
+    """The Thue-Morse line and its complement differ, though polynomials modulo a power of two can't tell them apart."""
+    parity = np.array([bin(k).count("1") & 1 for k in range(size)], np.uint8)
+    one, other = (97 + parity).tobytes(), (98 - parity).tobytes()
+    for text, lines, words in ((one + b"\n" + other, 0, 0), (one + b"\n" + other + b"\n" + one, 1, 0), (b" ".join([one] * 8 + [other] * 8), 0, 0), (b" ".join([one] * 9), 0, 9)):
+        data = np.frombuffer(text, np.uint8)
+        got = measure(data, np.array([0, len(data)]), (5,))
+        assert got["n_dup_lines"].tolist() == [lines] and got["n_repeat_words"].tolist() == [words]
