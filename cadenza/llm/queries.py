@@ -19,6 +19,7 @@ from cadenza.llm.probminhash import near_duplicates
 from cadenza.llm.quality_model import score_quality
 from cadenza.llm.quality_rules import repetition_rules
 from cadenza.llm.substring_dedup import remove_repeated
+from cadenza.llm.toxicity import score_toxicity
 from cadenza.llm.urls import judge_urls
 
 #: Fixed extra conversation of the chat query.
@@ -77,6 +78,11 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": url_filters,
     "op9_line_dedup": line_dedup,
     "op10_quality_classifier": quality_classifier,
+    "op11_toxicity": toxicity,
     "op12_source_divergence": source_divergence,
     "op13_tokenizer_alignment": tokenizer_alignment,
 }
