@@ -50,7 +50,7 @@ HOT_SHARE = 2000
 FEW_ROWS = 1_000_000
 
 
-def join_per_key(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+def join_per_key(rows: DataFrame, one: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """`total` rows with the columns of `one`, which has a row of fixed size per key and in n how many of the rows have it.
 
     Hot keys, of which there are HOT_SHARE at most, come by broadcast, so that their rows stay where they are.
@@ -58,7 +58,7 @@ def join_per_key(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataF
     if total <= FEW_ROWS:
         return rows.join(one.drop("n"), key)
     hot = one.where(F.col("n") * HOT_SHARE > total)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col("n") * HOT_SHARE <= total).drop("n"), key)
+    rest = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(one.where(F.col("n") * HOT_SHARE <= total).drop("n"), key)
     return rest.unionByName(rows.join(F.broadcast(hot.drop("n")), key))
 
 

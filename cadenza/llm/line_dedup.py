@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize, mix, powers, text_of
+from cadenza.llm.common import join_per_key, materialize, mix, powers, text_of
 
-#: Shorter lines (code points) are left alone.
+#: Shorter lines (code points) go only if they equal an earlier one: one edit says little about them.
 MIN_CHARS = 10
 #: Characters of lines that are joined at once in one place; lines that share a half and hold more are joined by their variants.
 PLACE_CHARS = 500_000
@@ -102,36 +102,63 @@ def earliest_neighbours(lines: list[str], rank: np.ndarray, group: np.ndarray) -
 def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Lines to remove from rows of doc, tie (tells texts of one doc apart) and text: doc, tie and line (number from 0).
 
-    A line goes if an equal line, or one within one insertion, deletion or substitution, stands earlier (smaller doc, or same
-    document and smaller line); lines are judged on the input, not on what is left. Steps:
+    A line goes if an equal line stands earlier (smaller doc, or same document and smaller line), or one within one insertion, deletion
+    or substitution, both of `min_chars` at least; lines are judged on the input, not on what is left. Lines of white space stay. Steps:
 
     1. Equal lines: the earliest place of every distinct line, by an aggregate.
     2. Distinct lines that share half a line with another one (pigeonhole): only these can have a partner, and only among those
-       they share it with. Their texts are fetched.
+       they share it with. Their texts are fetched, each document's lines in one pass over its text.
     3. Their deletion neighbourhoods as hashed keys. Equal variants with the same gap are one substitution apart; a variant that
        equals a whole line is one insertion or deletion away. Both hold for every pair that meets, so the earliest line of a key is
        a witness for all others, and no pairs are made inside a key. Lines sharing a half are joined where they meet; if those
        hold very many characters, their variants are spread over the cluster and joined by aggregates instead.
     4. Witnesses are verified by their edit distance.
     """
-    cut = rows.select("doc", "tie", F.posexplode(F.split("text", "\n", -1)).alias("line", "s")).where(F.length("s") >= min_chars)
-    lines = cut.select(F.struct("doc", "tie", "line").alias("at"), F.xxhash64("s").alias("h1"), F.xxhash64("s", F.lit(1)).alias("h2"), half_keys(F.col("s")).alias("halves"), F.length("s").alias("size"))
+    cut = rows.select("doc", "tie", F.posexplode(F.split("text", "\n", -1)).alias("line", "s")).where(F.col("s").rlike(r"\S"))
+    halves = F.when(F.length("s") >= min_chars, half_keys(F.col("s")))
+    lines = cut.select(F.struct("doc", "tie", "line").alias("at"), F.xxhash64("s").alias("h1"), F.xxhash64("s", F.lit(1)).alias("h2"), halves.alias("halves"), F.length("s").alias("size"))
     first = materialize(lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("halves").alias("halves"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
-    copies = lines.select("h1", "h2", "at").join(first.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where("at > first").select("at.*")
+    repeated = first.where("n > 1").select("h1", "h2", "first", "n")
+    copies = join_per_key(lines.select("h1", "h2", "at"), repeated, ["h1", "h2"], _total(repeated)).where("at > first").select("at.*")
 
-    keys = first.select("first", "size", F.explode(F.array_distinct("halves")).alias("key"))
-    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).where("n > 1").select("key", "chars"))
-    maybe = keys.join(shared, "key").groupBy("first.doc", "first.tie").agg(F.collect_list(F.struct("first.line", "key", (F.col("chars") > PLACE_CHARS).alias("many"))).alias("wanted"))
+    keys = first.where("halves is not null").select("first", "size", F.explode(F.array_distinct("halves")).alias("key"))
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).where("n > 1"))
+    maybe = join_per_key(keys, shared, "key", _total(shared)).groupBy("first.doc", "first.tie").agg(F.collect_list(F.struct("first.line", "key", (F.col("chars") > PLACE_CHARS).alias("many"))).alias("wanted"))
     maybe = maybe.select(F.col("doc").alias("d"), F.col("tie").alias("t"), "wanted")
     held = rows.select("doc", "tie", "text").join(maybe, F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
-    held = held.select("doc", "tie", F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
-    fetched = held.select(F.struct("doc", "tie", "w.line").alias("at"), "w.key", "w.many", F.element_at("all", F.col("w.line") + 1).alias("s"))
+    fetched = _fetched(held)
     near = _joined_in_place(fetched.where("not many"))
     if not shared.where(F.col("chars") > PLACE_CHARS).isEmpty():
         near = near.unionByName(_joined_by_variant(materialize(fetched.where("many").select("at", "s").distinct())))
     return copies.unionByName(near)
 
 
+def _total(one: DataFrame) -> int:
+    return one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _fetched(held: DataFrame) -> DataFrame:
+    """The wanted lines of texts (doc, tie, text, wanted): at, key, many, s. A text is split once, however many of its lines are wanted."""
+    kind = held.schema["doc"].dataType.simpleString()
+    names = ["doc", "tie", "line", "key", "many", "s"]
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for k in range(part.num_rows):
+                wanted = part.column("wanted")[k].values
+                row = part.slice(k, 1)
+                lines = pa.array(row.column("text")[0].as_py().split("\n"))
+                columns = {c: wanted.field(c) for c in ("line", "key", "many")}
+                for low in range(0, len(wanted), VARIANTS):
+                    at = {c: x.slice(low, VARIANTS) for c, x in columns.items()}
+                    size = len(at["line"])
+                    own = [row.column(c).take(pa.array(np.zeros(size, np.int64))) for c in ("doc", "tie")]
+                    yield pa.RecordBatch.from_arrays([*own, *at.values(), lines.take(at["line"])], names)
+
+    made = held.select("doc", "tie", "text", "wanted").mapInArrow(fetch, f"doc {kind}, tie long, line int, key long, many boolean, s string")
+    return made.select(F.struct("doc", "tie", "line").alias("at"), "key", "many", "s")
+
+
 def _joined_in_place(fetched: DataFrame) -> DataFrame:
     """Lines (at, key, s) that have an earlier neighbour among those of the same key, joined key by key."""
     kind = fetched.schema["at"].dataType["doc"].dataType.simpleString()
@@ -193,14 +220,16 @@ def _joined_by_variant(candidates: DataFrame) -> DataFrame:
                 yield sent(whole)
 
     spread = candidates.mapInArrow(variants, f"at {where}, key long, gap int")
-    per_gap = spread.groupBy("key", "gap").agg(F.min("at").alias("least"), F.max("at").alias("most"))
+    per_gap = materialize(spread.groupBy("key", "gap").agg(F.min("at").alias("least"), F.max("at").alias("most"), F.count(F.lit(1)).alias("n")))
     per_key = per_gap.groupBy("key").agg(
+        F.sum("n").alias("n"),
         F.min(F.when(F.col("gap") < 0, F.col("least"))).alias("whole"),
         F.min(F.when(F.col("gap") >= 0, F.col("least"))).alias("deleter"),
         F.max((F.col("gap") >= 0) & (F.col("least") < F.col("most"))).alias("swaps"),
     )
     meets = per_key.where("swaps or (whole is not null and deleter is not null)")
-    near = spread.join(meets, "key").join(per_gap.select("key", "gap", "least"), ["key", "gap"])
+    total = _total(per_gap)
+    near = join_per_key(join_per_key(spread, meets, "key", total), per_gap.select("key", "gap", "least", "n"), ["key", "gap"], total)
     witness = F.when(F.col("gap") < 0, F.col("deleter")).otherwise(F.least("whole", "least"))
     pairs = near.select("at", witness.alias("by")).where("by < at").groupBy("at").agg(F.min("by").alias("by"))
     a, b = candidates.select("at", F.col("s").alias("mine")), candidates.select(F.col("at").alias("by"), F.col("s").alias("theirs"))
@@ -210,7 +239,7 @@ def _joined_by_variant(candidates: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """All rows of docs with the repeated lines taken out of the text, and n_lines and n_removed.
 
-    Lines of under `min_chars` code points stay. Rows equal in id and text count as one document and lose the same lines;
+    Lines of under `min_chars` code points go only if they are equal to an earlier one, lines of white space never. Rows equal in id and text count as one document and lose the same lines;
     rows with a null id come first in the order. Null texts stay null and have no lines; a line of any length is compared
     whole; an empty table gives no rows. The new columns replace columns of the same names.
     """

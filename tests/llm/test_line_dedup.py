@@ -1,6 +1,7 @@
 """Line deduplication against all pairs."""
 
 import random
+import time
 
 import cadenza.llm.line_dedup as module
 from cadenza.llm.line_dedup import dedup_lines, variant_keys, within_one_edit
@@ -22,10 +23,10 @@ def near(a, b):
 def by_hand(docs):
     places = sorted({(-1 if d is None else d, t, k) for d, t in docs if t is not None for k in range(t.count("\n") + 1)}, key=lambda x: (x[0], x[2]))
     lines = [(d, t, k, t.split("\n")[k]) for d, t, k in places]
-    lines = [x for x in lines if len(x[3]) >= 10]
+    lines = [x for x in lines if x[3].strip()]
     gone = set()
     for i, (d, t, k, s) in enumerate(lines):
-        if any(near(s, o[3]) for o in lines if (o[0], o[2]) < (d, k)):
+        if any(s == o[3] or (min(len(s), len(o[3])) >= 10 and near(s, o[3])) for o in lines if (o[0], o[2]) < (d, k)):
             gone.add((d, t, k))
     return [(d, None if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if (-1 if d is None else d, t, k) not in gone)) for d, t in docs]
 
@@ -52,6 +53,7 @@ def test_line_dedup(spark, monkeypatch):
         return rng.choice([s, s[:k] + "z" + s[k:], s[: max(0, k - 1)] + s[k:], s[: max(0, k - 1)] + "y" + s[k:], s[:k] + "zz" + s[k:]])
 
     docs = [(k, "\n".join(edit(rng.choice(base)) for _ in range(rng.randint(0, 9)))) for k in range(60)]
+    docs += [(2000, "Yes.\nNo\n \n"), (2001, "No\nYes!\nYes.\n \n"), (2002, "Yes.")]
     docs += [(1000, None), (1001, ""), (1002, "\n\n"), (None, base[0] + "\n" + base[1]), (1003, "q" * 20000), (1004, "q" * 20001), (1005, "same line here"), (1005, "same line here")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as line", "1 as n_lines", "2 as tie")
     want = {(d, t) for d, t in by_hand(docs)}
@@ -62,3 +64,22 @@ def test_line_dedup(spark, monkeypatch):
     assert {(r["doc_id"], r["text"]) for r in dedup_lines(frame).collect()} == want
     single = spark.createDataFrame(docs[:60], "doc_id long, text string")
     assert {(r["doc_id"], r["text"]) for r in dedup_lines(single).collect()} == set(by_hand(docs[:60]))
+
+
+def test_a_document_of_many_lines(spark):
+    """Half of its lines are near copies of another one; the time grows with their number, not with its square."""
+    rng = random.Random(4)
+    n = 20_000
+    base = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(40)) for _ in range(n // 2)]
+    lines = base + [s[:20] + "Z" + s[21:] for s in base]
+    rng.shuffle(lines)
+    start = time.time()
+    row = dedup_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
+    assert (row["n_lines"], row["n_removed"]) == (n, n // 2)
+    seen, kept = set(), []
+    for s in lines:
+        if s[:20] + s[21:] not in seen:
+            seen.add(s[:20] + s[21:])
+            kept.append(s)
+    assert row["text"] == "\n".join(kept)
+    assert time.time() - start < 90
