@@ -68,13 +68,14 @@ def count_chunks(docs: DataFrame, text: str = "text", lang: str = "lang", source
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
-    """Numbers under 2^32, compressed."""
-    raw = numbers.astype("<u4").tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Numbers under 2^32, compressed: all lowest bytes first, since most numbers are small."""
+    raw = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def unsqueeze(packed: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True), "<u4").astype(np.int64)
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def chunk_terms(places: DataFrame) -> DataFrame:
@@ -192,8 +193,9 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """
     term = Window.partitionBy("lang", "term")
     found = term_counts(docs, text, lang, source).withColumn("d", F.sum("documents").over(term)).withColumn("of_lang", F.sum("count").over(term))
+    found = found.withColumn("once", F.row_number().over(term.orderBy("source")) == 1)
     used = materialize(found.where(F.col("d") >= min_docs).drop("d", "documents"), "zstd")
-    by_lang = used.groupBy("lang", "term").agg(F.first("of_lang").alias("of_lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.sum("of_lang").alias("lang_total"))
+    by_lang = used.where("once").groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.sum("of_lang").alias("lang_total"))
     groups = docs.select(text_of(lang).alias("lang"), text_of(source).alias("source")).distinct()
     width = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / TILE_SOURCES).alias("tiles"))
     sums = used.groupBy("lang", "source").agg(F.sum("count").alias("total"))
