@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cadenza.functions import tables as T
@@ -12,12 +14,30 @@ from cadenza.functions.names import lookup
 from cadenza.operators.progression import by, song_by_song
 
 MAX_LAG = 16
+#: Frames of a song that one window holds besides the halo; longer songs spread over as many tasks.
+RANGE = 4096
+
+
+def ranged(frames: DataFrame, halo: int, size: int | None = None) -> DataFrame:
+    """Frames with the range that they stand in or lie within `halo` frames of, once for each, and whether it is their own.
+
+    A window over (song_id, range) that reaches no farther than the halo is right for the range's own frames.
+    """
+    size = size or RANGE
+    halo = F.lit(halo)
+    into = F.sequence(F.floor((F.col("frame") - halo) / size), F.floor((F.col("frame") + halo) / size))
+    return frames.withColumn("range", F.explode(into)).withColumn("own", F.floor(F.col("frame") / size) == F.col("range"))
+
+
+def near_frames() -> WindowSpec:
+    return Window.partitionBy("song_id", "range").orderBy("frame")
 
 
 def beat_accents(frames: DataFrame, beats: DataFrame, reach: int = 2, columns: tuple[str, ...] = ("low_env", "onset_env")) -> DataFrame:
-    """Beats with the largest value of each envelope within `reach` frames; one sort of the frames serves all columns."""
-    near = by("frame").rangeBetween(-reach, reach)
-    peaks = frames.select("song_id", "frame", *(F.max(c).over(near).alias(f"acc_{c}") for c in columns))
+    """Beats with the largest value of each envelope within `reach` frames; one sort of the frames, range by range, serves all columns."""
+    near = near_frames().rangeBetween(-reach, reach)
+    rows = ranged(frames.select("song_id", "frame", *columns), reach)
+    peaks = rows.select("song_id", "frame", "own", *(F.max(c).over(near).alias(f"acc_{c}") for c in columns)).where("own").drop("own")
     return beats.join(peaks, ["song_id", "frame"], "left")
 
 
@@ -65,31 +85,81 @@ def zscore(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df
 
 
+def frame_blocks(frames: DataFrame, columns: tuple[str, ...], before: int, after: int, size: int | None = None) -> DataFrame:
+    """One row per block of a song's frames: song_id, block, first (number of the first frame in it) and an array per column, with so
+    many frames more before and after; and of each column the song's mean and deviation (mean_, sd_), of the song its number of frames.
+
+    Frames move once, by song and block; what is known of a whole song meets blocks, not frames.
+    """
+    size = size or 2 * RANGE
+    into = F.sequence(F.greatest(F.lit(0), F.floor((F.col("frame") - after) / size)), F.floor((F.col("frame") + before) / size))
+    rows = frames.select("song_id", F.explode(into).alias("block"), F.struct("frame", *(F.col(c).cast("double").alias(c) for c in columns)).alias("x"))
+    blocks = rows.groupBy("song_id", "block").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    whole = frames.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}_{c}") for c in columns for f, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))), F.covar_pop(*columns[:2]).alias("both"))
+    arrays = (F.col(f"x.{c}").alias(c) for c in columns)
+    return blocks.select("song_id", "block", (F.col("block") * size).alias("begin"), ((F.col("block") + 1) * size).alias("end"), F.col("x")[0]["frame"].alias("first"), *arrays).join(whole, "song_id")
+
+
+def standard(row: pd.Series, column: str) -> np.ndarray:
+    """A block's column as z-scores of its song."""
+    x, sd = np.asarray(row[column], float), row[f"sd_{column}"]
+    return (x - row[f"mean_{column}"]) / sd if sd > 0 else np.zeros(len(x))
+
+
+def peaks_of(x: np.ndarray) -> np.ndarray:
+    """Places higher than both sides; a level counts as one place, in its middle."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    level, last = x[edge], np.concatenate([edge[1:], [len(x)]]) - 1
+    inner = np.arange(1, len(edge) - 1)
+    top = inner[(level[inner] > level[inner - 1]) & (level[inner] > level[inner + 1])]
+    return (edge[top] + last[top]) // 2
+
+
+def apart(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the ordered places stay if the tallest of those closer than the distance do; the later one on ties. Groups that lie
+    apart don't meet, so the work grows with the places."""
+    kept = np.ones(len(at), bool)
+    for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) >= distance) + 1):
+        for k in own[np.argsort(height[own], kind="stable")[::-1]] if len(own) > 1 else ():
+            if kept[k]:
+                close = np.abs(at[own] - at[k]) < distance
+                close[k - own[0]] = False
+                kept[own[close]] = False
+    return kept
+
+
 def onset_peaks(frames: DataFrame) -> DataFrame:
     """Strong onsets: song_id, frame. Peaks of the summed z-scores of both envelopes above mean + 0.8 deviations, at least five
-    frames apart (the tallest stay), of these the upper three tenths. Only two numbers a frame reach the call."""
-
-    def peaks(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = sum((v - v.mean()) / v.std() if v.std() > 0 else v * 0 for v in (pdf["low_env"].to_numpy(), pdf["onset_env"].to_numpy()))
-        edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))  # plateaus count as one, at their middle
-        level, last = x[edge], np.concatenate([edge[1:], [len(x)]]) - 1
-        inner = np.arange(1, len(edge) - 1)
-        top = inner[(level[inner] > level[inner - 1]) & (level[inner] > level[inner + 1])]
-        at = (edge[top] + last[top]) // 2
-        at = at[x[at] >= x.mean() + 0.8 * x.std()]
-        kept = np.ones(len(at), bool)
-        for k in np.argsort(x[at], kind="stable")[::-1]:
-            if kept[k]:
-                close = np.abs(at - at[k]) < 5
-                close[k] = False
-                kept &= ~close
-        at = at[kept]
-        if len(at):
-            at = at[x[at] >= np.quantile(x[at], 0.70)]
-        return pd.DataFrame({"song_id": pdf["song_id"].iloc[0], "frame": pdf["frame"].to_numpy()[at]})
+    frames apart (the tallest stay), of these the upper three tenths.
 
+    Peaks are found block by block, with a quarter of a block more at either side (a level held for longer is no peak); only peaks meet
+    by song.
+    """
+    guard = RANGE // 4
     kind = frames.schema["song_id"].dataType.simpleString()
-    return song_by_song(frames.select("song_id", "frame", "low_env", "onset_env"), "frame", peaks, f"song_id {kind}, frame int")
+
+    def peaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                x = standard(row, "low_env") + standard(row, "onset_env")
+                sd = [row[f"sd_{c}"] for c in ("low_env", "onset_env")]
+                spread = sum(s > 0 for s in sd) + (2 * row["both"] / (sd[0] * sd[1]) if min(sd) > 0 else 0)
+                at = peaks_of(x)
+                at = at[x[at] >= 0.8 * np.sqrt(max(0.0, spread))]
+                frame = at + row["first"]
+                mine = (frame >= row["begin"]) & (frame < row["end"])
+                yield pd.DataFrame({"song_id": [row["song_id"]] * int(mine.sum()), "frame": frame[mine].astype(np.int32), "height": x[at[mine]]})
+
+    def strong(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, height = pdf["frame"].to_numpy(), pdf["height"].to_numpy()
+        stay = apart(at, height, 5)
+        at, height = at[stay], height[stay]
+        return pd.DataFrame({"song_id": pdf["song_id"].iloc[0], "frame": at[height >= np.quantile(height, 0.70)]})
+
+    found = frame_blocks(frames, ("low_env", "onset_env"), guard, guard).mapInPandas(peaks, f"song_id {kind}, frame int, height double")
+    return song_by_song(found, "frame", strong, f"song_id {kind}, frame int")
 
 
 def median_gap(grid: DataFrame) -> DataFrame:
@@ -113,9 +183,9 @@ def grid_coverage(onsets: DataFrame, grid: DataFrame, share: float = 0.12, perio
 
 def tempo_fold(beats: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> DataFrame:
     """Beats (frame, low, full; keep: leave this song's grid alone) halved from 160 a minute on (the half with the larger mean low plus
-    mean full stays, the even one on ties) or doubled by whole-frame midpoints below 50; with the tempo measured again afterwards."""
+    mean full stays, the even one on ties) or doubled by whole-frame midpoints below 50; with the tempo measured again afterwards. Songs whose beats share a frame have no tempo and stay as they are."""
     gap = lambda: F.lead("frame").over(by("beat")) - F.col("frame")
-    bpm = lambda column: 60.0 / (F.percentile(column, F.lit(0.5)) * frame_s)
+    bpm = lambda column: F.try_divide(F.lit(60.0), F.percentile(column, F.lit(0.5)) * frame_s)
     keep = F.coalesce("keep", F.lit(False)) if "keep" in beats.columns else F.lit(False)
     rows = beats.withColumn("next", F.lead("frame").over(by("beat"))).withColumn("keep", keep)
     half = lambda side: F.avg(F.when(F.col("beat") % 2 == side, F.col("low"))) + F.avg(F.when(F.col("beat") % 2 == side, F.col("full")))
@@ -146,9 +216,9 @@ def extend_grid(beats: DataFrame, n_frames: DataFrame) -> DataFrame:
 
 
 def tempo_stability(beats: DataFrame) -> DataFrame:
-    """Population deviation of the beat intervals over their mean."""
+    """Population deviation of the beat intervals over their mean; none where that is 0."""
     gap = F.lead("time").over(by("beat")) - F.col("time")
-    return beats.withColumn("gap", gap).groupBy("song_id").agg((F.stddev_pop("gap") / F.avg("gap")).alias("stability"))
+    return beats.withColumn("gap", gap).groupBy("song_id").agg(F.try_divide(F.stddev_pop("gap"), F.avg("gap")).alias("stability"))
 
 
 def triplet_feel(frames: DataFrame, beats: DataFrame, column: str = "onset_env", least: int = 6) -> DataFrame:
@@ -160,7 +230,8 @@ def triplet_feel(frames: DataFrame, beats: DataFrame, column: str = "onset_env",
     rows = beats.withColumn("span", following - F.col("frame")).where(F.col("span") >= least)
     points = F.array(*(F.struct(F.lit(kind).alias("kind"), (F.col("frame") + F.floor(part)).cast("int").alias("at")) for kind, part in (("third", F.col("span") / 3), ("third", F.col("span") * 2 / 3), ("half", F.col("span") / 2))))
     points = rows.select("song_id", F.explode(points).alias("p")).select("song_id", "p.kind", F.col("p.at").alias("frame"))
-    peak = frames.select("song_id", "frame", F.max(column).over(by("frame").rangeBetween(-1, 1)).alias("x"))
+    near = ranged(frames.select("song_id", "frame", column), 1)
+    peak = near.select("song_id", "frame", "own", F.max(column).over(near_frames().rangeBetween(-1, 1)).alias("x")).where("own").drop("own")
     sums = points.join(peak, ["song_id", "frame"]).groupBy("song_id").agg(*(F.avg(F.when(F.col("kind") == k, F.col("x"))).alias(k) for k in ("third", "half")))
     total = F.col("third") + F.col("half")
     found = sums.select("song_id", F.when(total > 0, F.col("third") / total).otherwise(0.0).alias("triplet"))
@@ -221,20 +292,28 @@ def downbeat_phase(beats: DataFrame, meter: DataFrame) -> DataFrame:
 
 
 def build_bars(beats: DataFrame, tempo: DataFrame) -> DataFrame:
-    """Bars from the phase on: index, start and end, first beat and the beat after; the last one ends at the last beat."""
+    """Bars from the phase on: index, start and end, first beat and the beat after; the last one ends at the last beat. Where beats have
+    their frame, bars have that of both ends (frame_start, frame_end)."""
     last = F.max("beat").over(Window.partitionBy("song_id"))
-    rows = beats.select("song_id", "beat", "time").join(tempo.select("song_id", "phase", "bpb"), "song_id").withColumn("last", last)
+    framed = ["frame"] * ("frame" in beats.columns)
+    rows = beats.select("song_id", "beat", "time", *framed).join(tempo.select("song_id", "phase", "bpb"), "song_id").withColumn("last", last)
     index = F.floor((F.col("beat") - F.col("phase")) / F.col("bpb")).cast("int")
     starts = rows.where((F.col("beat") >= F.col("phase")) & ((F.col("beat") - F.col("phase")) % F.col("bpb") == 0) & (F.col("beat") < F.col("last")))
-    starts = starts.select("song_id", index.alias("index"), F.col("time").alias("start"), F.col("beat").alias("beat_start"), F.least(F.col("beat") + F.col("bpb"), F.col("last")).alias("beat_end"))
-    return starts.join(beats.select("song_id", F.col("beat").alias("beat_end"), F.col("time").alias("end")), ["song_id", "beat_end"]).select("song_id", "index", "start", "end", "beat_start", "beat_end")
+    starts = starts.select("song_id", index.alias("index"), F.col("time").alias("start"), F.col("beat").alias("beat_start"), F.least(F.col("beat") + F.col("bpb"), F.col("last")).alias("beat_end"), *(F.col(c).alias("frame_start") for c in framed))
+    ends = beats.select("song_id", F.col("beat").alias("beat_end"), F.col("time").alias("end"), *(F.col(c).alias("frame_end") for c in framed))
+    return starts.join(ends, ["song_id", "beat_end"]).select("song_id", "index", "start", "end", "beat_start", "beat_end", *(f"frame_{e}" for _ in framed for e in ("start", "end")))
 
 
 def harmonic_novelty(frames: DataFrame, width: int) -> DataFrame:
-    """Per frame, one less the cosine of the mean unit chroma before and after it; 0 for the first and the last `width` frames."""
+    """Per frame, one less the cosine of the mean unit chroma before and after it; 0 for the first and the last `width` frames.
+
+    A song's frames are numbered without gaps; a long song is cut into ranges, each with `width` frames of its neighbours.
+    """
     norm = F.sqrt(F.aggregate("chroma", F.lit(0.0), lambda a, x: a + x * x))
     unit = frames.select("song_id", "frame", F.when(norm > 0, F.transform("chroma", lambda x: x / norm)).otherwise(F.col("chroma")).alias("u"))
-    before, after = by("frame").rowsBetween(-width, -1), by("frame").rowsBetween(0, width - 1)
-    sides = unit.select("song_id", "frame", *(F.array(*(F.avg(F.col("u")[i]).over(w) for i in range(12))).alias(n) for n, w in (("b", before), ("a", after))), F.count("u").over(before).alias("nb"), F.lead("frame", width).over(by("frame")).alias("ahead"))
+    order = near_frames()
+    before, after = order.rowsBetween(-width, -1), order.rowsBetween(0, width - 1)
+    rows = ranged(unit, width)
+    sides = rows.select("song_id", "frame", "own", *(F.array(*(F.avg(F.col("u")[i]).over(w) for i in range(12))).alias(n) for n, w in (("b", before), ("a", after))), F.count("u").over(before).alias("nb"), F.lead("frame", width).over(order).alias("ahead"))
     whole = (F.col("nb") == width) & F.col("ahead").isNotNull()
-    return sides.select("song_id", "frame", F.when(whole, 1 - cosine(F.col("b"), F.col("a"))).otherwise(0.0).alias("novelty"))
+    return sides.where("own").select("song_id", "frame", F.when(whole, 1 - cosine(F.col("b"), F.col("a"))).otherwise(0.0).alias("novelty"))

@@ -63,15 +63,19 @@ def key_candidates(chroma: DataFrame) -> DataFrame:
 def key_windows(frames: DataFrame, window: int, hop: int) -> DataFrame:
     """Mean chroma of every full window of frames, at least one for a song; columns song_id, win, chroma.
 
-    A frame goes to the windows that hold it, window / hop of them at most, and tasks add up before the shuffle.
+    Frames add up once, into buckets of a hop: sum and number of all of a bucket's frames, and of the first few where the hop doesn't
+    divide the window. A window is its whole buckets and the beginning of the next one; it is full if as many frames as that
+    have come together, a song's frames being numbered without gaps.
     """
-    counts = frames.groupBy("song_id").agg((F.max("frame") + 1).alias("n"))
-    last = F.greatest(F.lit(0), F.floor((F.col("n") - window) / hop)).cast("int")
-    rows = frames.select("song_id", "frame", unit_sum(F.col("chroma")).alias("chroma")).join(counts, "song_id")
-    first = F.greatest(F.lit(0), F.ceil((F.col("frame") - window + 1) / hop)).cast("int")
-    until = F.least(F.floor(F.col("frame") / hop).cast("int"), last)
-    rows = rows.where(first <= until).select("song_id", F.explode(F.sequence(first, until)).alias("win"), "chroma")
-    return mean_chroma(rows, ["song_id", "win"])
+    whole, rest = divmod(window, hop)
+    rows = frames.select("song_id", F.floor(F.col("frame") / hop).alias("bucket"), (F.col("frame") % hop < rest).alias("early"), unit_sum(F.col("chroma")).alias("chroma"))
+    sums = lambda of: F.array(*(F.sum(F.when(of, F.col("chroma")[i]).otherwise(0.0)) for i in range(12)))
+    every = F.lit(True)
+    buckets = rows.groupBy("song_id", "bucket").agg(F.struct(sums(every).alias("s"), F.count(F.lit(1)).alias("n")).alias("all"), F.struct(sums(F.col("early")).alias("s"), F.count_if("early").alias("n")).alias("part"))
+    into = F.transform(F.sequence(F.greatest(F.lit(0), F.col("bucket") - whole), F.col("bucket")), lambda w: F.struct(w.alias("win"), F.when(F.col("bucket") - w < whole, F.col("all")).otherwise(F.col("part")).alias("x")))
+    parts = buckets.select("song_id", F.explode(into).alias("w")).select("song_id", F.col("w.win").cast("int").alias("win"), "w.x.s", "w.x.n")
+    added = parts.groupBy("song_id", "win").agg(F.array(*(F.sum(F.col("s")[i]) for i in range(12))).alias("s"), F.sum("n").alias("n"))
+    return added.where((F.col("n") == window) | (F.col("win") == 0)).select("song_id", "win", F.transform("s", lambda x: F.try_divide(x, F.col("n"))).alias("chroma"))
 
 
 def region_scores(windows: DataFrame) -> DataFrame:
@@ -225,14 +229,21 @@ def key_chord_evidence(chords: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _ends(frames: DataFrame, frame_s: float) -> DataFrame:
-    """Per song: number of frames, and the sums of the chroma at its beginning and at its end."""
+    """Per song: number of frames, and the sums of the chroma at its beginning and at its end.
+
+    Only the first 45 and the last 20 seconds can matter; they are equality joins of two short stretches of frame numbers.
+    """
     counts = frames.groupBy("song_id").agg((F.max("frame") + 1).alias("n"))
     length = F.col("n") * frame_s
-    early = F.floor(F.least(F.lit(45.0), length * 0.12) / frame_s)
-    late = F.floor(F.greatest(F.lit(0.0), length - F.least(F.lit(20.0), length * 0.08)) / frame_s)
-    rows = frames.select("song_id", "frame", "chroma").join(counts, "song_id")
-    rows = rows.withColumn("early", F.col("frame") < early).withColumn("late", F.col("frame") >= late)
-    return rows.groupBy("song_id").agg(F.first("n").alias("n"), *(F.array(*(F.sum(F.when(F.col(w), F.col("chroma")[i]).otherwise(0.0)) for i in range(12))).alias(w) for w in ("early", "late")))
+    early = F.floor(F.least(F.lit(45.0), length * 0.12) / frame_s).cast("int")
+    late = F.floor(F.greatest(F.lit(0.0), length - F.least(F.lit(20.0), length * 0.08)) / frame_s).cast("int")
+    spans = counts.withColumn("early", early).withColumn("late", late).withColumn("last", F.col("n").cast("int") - 1)
+    side = lambda name, a, b: spans.where(a <= b).select("song_id", F.explode(F.sequence(a, b)).alias("frame"), F.lit(name).alias("end"))
+    wanted = side("early", F.lit(0), F.col("early") - 1).unionByName(side("late", F.col("late"), F.col("last")))
+    rows = wanted.join(frames.select("song_id", "frame", "chroma"), ["song_id", "frame"])
+    sums = rows.groupBy("song_id").agg(*(F.array(*(F.sum(F.when(F.col("end") == w, F.col("chroma")[i]).otherwise(0.0)) for i in range(12))).alias(w) for w in ("early", "late")))
+    none = F.array(*(F.lit(0.0) for _ in range(12)))
+    return counts.join(sums, "song_id", "left").select("song_id", "n", *(F.coalesce(w, none).alias(w) for w in ("early", "late")))
 
 
 def _endpoint(frame_s: float) -> Column:

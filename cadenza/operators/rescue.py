@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import tables as T
-from cadenza.operators.beats import grid_coverage, median_gap
+from cadenza.operators.beats import apart, frame_blocks, grid_coverage, median_gap, peaks_of, standard
 from cadenza.operators.progression import song_by_song
 
 LONGEST_LAG_S, SHORTEST_BAR_S, LONGEST_BAR_S, LEAST_GAP_S = 11.7, 1.4, 9.0, 0.15
 LEAST_STRENGTH, SAME_BAR, QUARTER_S = 0.18, 0.07, (0.40, 1.20)
+#: Tempo that the tracker starts from, how far a grid's hint may be from a wished tempo, and beats that a song needs.
+START_BPM, GRID_FIT, LEAST_BEATS = 100.0, 0.07, 8
 
 
 def refine_pulse(beats: DataFrame, onsets: DataFrame, wider: float = 1.5, gain: float = 0.10) -> DataFrame:
@@ -46,39 +50,47 @@ def refine_pulse(beats: DataFrame, onsets: DataFrame, wider: float = 1.5, gain:
 def bar_period(frames: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> DataFrame:
     """Length of a bar by song (low_env, onset_env and novelty per frame): bar_s, strength and the accents' autocorrelation.
 
-    The shortest peak of the summed z-scores' autocorrelation that is nearly as high as the highest. Three numbers a frame reach the call.
+    The shortest peak of the summed z-scores' autocorrelation that is nearly as high as the highest. Every block of frames is multiplied
+    with itself and the longest lag of frames behind it; the products of a song's blocks add up to its autocorrelation.
     """
-
-    def z(x: np.ndarray) -> np.ndarray:
-        return (x - x.mean()) / x.std() if x.std() > 0 else np.zeros(len(x))
-
-    def correlate(x: np.ndarray, lags: int) -> np.ndarray:
-        size = 1 << int(2 * len(x) - 1).bit_length()
-        spectrum = np.fft.rfft(x - x.mean(), size)
-        out = np.fft.irfft(spectrum * spectrum.conj(), size)[:lags]
-        return out / out[0] if len(out) and out[0] > 1e-12 else np.zeros(lags)
+    kind = frames.schema["song_id"].dataType.simpleString()
+    columns = ("low_env", "onset_env", "novelty")
+    lags = int(LONGEST_LAG_S / frame_s) + 1
+
+    def products(own: np.ndarray, behind: np.ndarray) -> list[float]:
+        """Sums of own[t] * (own and behind)[t + lag]."""
+        both = np.concatenate([own, behind])
+        size = 1 << int(len(own) + len(both)).bit_length()
+        return np.fft.irfft(np.fft.rfft(both, size) * np.fft.rfft(own, size).conj(), size)[:lags].tolist()
+
+    def correlate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for _, row in batch.iterrows():
+                low, onset, novelty = (standard(row, c) for c in columns)
+                n = int(row["end"] - row["first"])
+                accent, every = low + onset, low + onset + 2 * novelty
+                rows.append((row["song_id"], row["block"], row["n"], products(every[:n], every[n : n + lags]), products(accent[:n], accent[n : n + lags])))
+            yield pd.DataFrame(rows, columns=["song_id", "block", "n", "every", "accent"])
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, onset, novelty = (z(pdf[c].to_numpy()) for c in ("low_env", "onset_env", "novelty"))
-        lags = min(len(pdf), int(LONGEST_LAG_S / frame_s) + 1)
-        ac, accent = correlate(low + onset + 2 * novelty, lags), correlate(low + onset, lags)
-        inner = np.arange(1, max(1, lags - 1))
-        peaks = inner[(ac[inner] > ac[inner - 1]) & (ac[inner] >= ac[inner + 1])] if lags > 2 else inner[:0]
-        kept: list[int] = []
-        for k in peaks[np.argsort(-ac[peaks], kind="stable")].tolist():
-            if all(abs(k - other) >= max(1, int(LEAST_GAP_S / frame_s)) for other in kept):
-                kept.append(k)
-        fits = sorted(k for k in kept if SHORTEST_BAR_S <= k * frame_s <= LONGEST_BAR_S)
+        some = min(lags, int(pdf["n"].iloc[0]))
+        every, accent = (np.sum(np.stack(pdf[c].to_numpy()), axis=0)[:some] for c in ("every", "accent"))
+        ac, accent = (x / x[0] if len(x) and x[0] > 1e-12 else np.zeros(some) for x in (every, accent))
+        peaks = peaks_of(ac)
+        kept = peaks[apart(peaks, ac[peaks], max(1, int(LEAST_GAP_S / frame_s)))]
+        fits = [k for k in kept.tolist() if SHORTEST_BAR_S <= k * frame_s <= LONGEST_BAR_S]
         top = max((ac[k] for k in fits), default=0.0)
         bar = next((k for k in fits if ac[k] >= 0.85 * top), None) if top > 0 else None
         return pd.DataFrame([(pdf["song_id"].iloc[0], None if bar is None else bar * frame_s, 0.0 if bar is None else float(ac[bar]), accent.tolist())], columns=["song_id", "bar_s", "strength", "accent"])
 
-    kind = frames.schema["song_id"].dataType.simpleString()
-    return song_by_song(frames.select("song_id", "frame", "low_env", "onset_env", "novelty"), "frame", find, f"song_id {kind}, bar_s double, strength double, accent array<double>")
+    blocks = frame_blocks(frames, columns, 0, lags).mapInPandas(correlate, f"song_id {kind}, block long, n long, every array<double>, accent array<double>")
+    return song_by_song(blocks, "block", find, f"song_id {kind}, bar_s double, strength double, accent array<double>")
 
 
 def rescue_meter(periods: DataFrame, bars: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE, overrides: DataFrame | None = None) -> DataFrame:
-    """Songs (bar_s, strength, accent) whose tracked bars contradict the accents: label, bpm and share of the better of 4/4 and 3/4.
+    """Songs (bar_s, strength, accent) whose tracked bars contradict the accents: label, bpm and share of the better of 4/4 and 3/4, and
+    what contradicts what (tracked_s, bar_s, strength).
 
     Bars of about the same, double, half, four times or a quarter the length agree; songs of two bars or fewer
     are left alone, and so are those whose tempo the listener gave (song_id, forced_bpm).
@@ -88,7 +100,7 @@ def rescue_meter(periods: DataFrame, bars: DataFrame, frame_s: float = T.HOP / T
     tracked = bars.groupBy("song_id").agg(F.percentile(F.col("end") - F.col("start"), F.lit(0.5)).alias("tracked_s"), F.count(F.lit(1)).alias("n_bars")).where("n_bars > 2")
     rows = periods.join(tracked, "song_id").where((F.col("strength") >= LEAST_STRENGTH) & F.col("bar_s").isNotNull())
     for times in (1.0, 2.0, 0.5, 4.0, 0.25):
-        rows = rows.where(F.abs(F.col("bar_s") / F.col("tracked_s") / times - 1) >= SAME_BAR)
+        rows = rows.where(F.abs(F.try_divide("bar_s", "tracked_s") / times - 1) >= SAME_BAR)
 
     def around(lag_s: Column) -> Column:
         """Largest accent correlation within three percent of a lag."""
@@ -103,4 +115,34 @@ def rescue_meter(periods: DataFrame, bars: DataFrame, frame_s: float = T.HOP / T
     rows = rows.withColumn("t", F.array_compact(F.array(*tries))).where(F.size("t") > 0)
     rows = rows.withColumn("best", F.array_max("t"))
     total = F.aggregate("t", F.lit(0.0), lambda s, x: s + F.greatest(x["score"], F.lit(1e-6)))
-    return rows.select("song_id", "best.label", "best.bpb", "best.bpm", (F.col("best.score") / total).alias("share"))
+    return rows.select("song_id", "best.label", "best.bpb", "best.bpm", (F.col("best.score") / total).alias("share"), "tracked_s", "bar_s", "strength")
+
+
+def usual_grids(tracked: DataFrame) -> DataFrame:
+    """Of a song's tracked grids (song_id, beat, frame, bpm_hint: the tempo that the tracker was asked for, null if for none) the one
+    without a hint, else that with the hint nearest to the tracker's own start; the slower on ties."""
+    far = F.when(F.col("bpm_hint").isNull(), -1.0).otherwise(F.abs(F.col("bpm_hint") - START_BPM))
+    return _picked(tracked, tracked.groupBy("song_id").agg(F.min_by("bpm_hint", F.struct(far.alias("far"), "bpm_hint")).alias("hint")))
+
+
+def grids_at(tracked: DataFrame, wishes: DataFrame) -> DataFrame:
+    """For songs with a wished tempo (song_id, bpm) the grid that was tracked nearest to it, if that is within GRID_FIT; the slower
+    on ties. Songs without one are missing: for them the tracker would have to run again."""
+    rows = tracked.select("song_id", "bpm_hint").where("bpm_hint is not null").distinct().join(wishes.select("song_id", "bpm"), "song_id")
+    far = F.abs(F.try_divide("bpm_hint", "bpm") - 1)
+    return _picked(tracked, rows.withColumn("far", far).where(F.col("far") <= GRID_FIT).groupBy("song_id").agg(F.min_by("bpm_hint", F.struct("far", "bpm_hint")).alias("hint")))
+
+
+def _picked(tracked: DataFrame, hints: DataFrame) -> DataFrame:
+    chosen = hints.select(F.col("song_id").alias("__song"), "hint")
+    return tracked.join(chosen, (F.col("song_id") == F.col("__song")) & F.col("bpm_hint").eqNullSafe(F.col("hint"))).select("song_id", "beat", "frame", "bpm_hint")
+
+
+def rejected_songs(frames: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Songs that can't be analysed, with the reason: no frames, fewer than LEAST_BEATS tracked beats, or beats that share a frame."""
+    have = frames.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))
+    gap = F.lead("frame").over(Window.partitionBy("song_id").orderBy("beat")) - F.col("frame")
+    grid = tracked.select("song_id", "beat", "frame", gap.alias("gap")).groupBy("song_id").agg(F.count(F.lit(1)).alias("beats"), F.percentile("gap", F.lit(0.5)).alias("median"))
+    beats = F.coalesce("beats", F.lit(0))
+    reason = F.when(F.col("n").isNull(), "no frames").when(beats < LEAST_BEATS, "no steady beat").when(F.col("median") <= 0, "beats share a frame")
+    return have.join(grid, "song_id", "full").select("song_id", reason.alias("reason"), beats.alias("beats")).where("reason is not null")

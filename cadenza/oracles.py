@@ -382,6 +382,9 @@ ORACLES |= {
     "build_bars": f"""WITH {PHASE}, ends AS (SELECT song_id, max(beat) AS last FROM beats GROUP BY song_id),
       starts AS (SELECT b.song_id, (b.beat - phase) // bpb AS index, time AS start, b.beat AS beat_start, least(b.beat + bpb, last) AS beat_end FROM beats b JOIN tempo USING (song_id) JOIN ends USING (song_id) WHERE b.beat >= phase AND (b.beat - phase) % bpb = 0 AND b.beat < last)
       SELECT s.song_id, index, round(start, 6) AS start, round(e.time, 6) AS "end", beat_start, beat_end FROM starts s JOIN beats e ON e.song_id = s.song_id AND e.beat = s.beat_end""",
+    "bar_frames": f"""WITH {PHASE}, ends AS (SELECT song_id, max(beat) AS last FROM beats GROUP BY song_id),
+      starts AS (SELECT b.song_id, (b.beat - phase) // bpb AS index, frame, least(b.beat + bpb, last) AS beat_end FROM beats b JOIN tempo USING (song_id) JOIN ends USING (song_id) WHERE b.beat >= phase AND (b.beat - phase) % bpb = 0 AND b.beat < last)
+      SELECT s.song_id, index, s.frame AS frame_start, e.frame AS frame_end FROM starts s JOIN beats e ON e.song_id = s.song_id AND e.beat = s.beat_end""",
     "harmonic_novelty": f"""WITH {FRAMES}, u AS (SELECT song_id, frame, pc, raw / sqrt(sum(raw * raw) OVER (PARTITION BY song_id, frame)) AS x FROM tones),
       s AS (SELECT song_id, frame, pc, avg(x) OVER b AS b, avg(x) OVER a AS a, frame >= 4 AND frame < n - 4 AS whole FROM u JOIN sizes USING (song_id) WINDOW b AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
       SELECT song_id, frame, round(CASE WHEN any_value(whole) THEN 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) ELSE 0 END, 6) + 0.0::DOUBLE AS novelty FROM s GROUP BY song_id, frame""",
@@ -479,6 +482,37 @@ ORACLES["song_document"] = f"""WITH {PATTERNS}, kept AS (SELECT * FROM patterns
   SELECT song_id, n_chords, coalesce(n, 0) AS n_patterns, chords FROM c LEFT JOIN n USING (song_id)"""
 
 #: Columns that the queries return as 32-bit integers.
+#: Bar lengths by a direct sum over all lags, frames of a fifth of a second: 59 of them.
+PERIODS = f"""{FRAMES}, u AS (SELECT song_id, frame, pc, raw / sqrt(sum(raw * raw) OVER (PARTITION BY song_id, frame)) AS x FROM tones),
+  s AS (SELECT song_id, frame, pc, avg(x) OVER b AS b, avg(x) OVER a AS a, frame >= 2 AND frame < n - 2 AS whole FROM u JOIN sizes USING (song_id) WINDOW b AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
+  nov AS (SELECT song_id, frame AS pos, CASE WHEN any_value(whole) THEN 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) ELSE 0 END AS nov FROM s GROUP BY song_id, frame),
+  three AS (SELECT song_id, pos, value * k / 100.0::DOUBLE AS low, value AS onset, nov FROM ev JOIN nov USING (song_id, pos)),
+  zs AS (SELECT song_id, pos, (low - avg(low) OVER w) / stddev_pop(low) OVER w + (onset - avg(onset) OVER w) / stddev_pop(onset) OVER w AS accent, accent + 2 * (nov - avg(nov) OVER w) / stddev_pop(nov) OVER w AS every FROM three WINDOW w AS (PARTITION BY song_id)),
+  sums AS (SELECT a.song_id, b.pos - a.pos AS lag, sum(a.every * b.every) AS e, sum(a.accent * b.accent) AS c FROM zs a JOIN zs b ON a.song_id = b.song_id AND b.pos BETWEEN a.pos AND a.pos + 58 GROUP BY ALL),
+  acs AS (SELECT song_id, lag, e / first(e) OVER w AS ac, c / first(c) OVER w AS accent FROM sums WINDOW w AS (PARTITION BY song_id ORDER BY lag)),
+  tops AS (SELECT song_id, lag, ac FROM (SELECT *, lag(ac) OVER w AS l, lead(ac) OVER w AS r FROM acs WINDOW w AS (PARTITION BY song_id ORDER BY lag)) WHERE ac > l AND ac > r AND lag * 0.2::DOUBLE BETWEEN 1.4 AND 9),
+  best AS (SELECT song_id, min(lag) AS lag FROM (SELECT *, max(ac) OVER (PARTITION BY song_id) AS top FROM tops) WHERE top > 0 AND ac >= 0.85::DOUBLE * top GROUP BY song_id),
+  periods AS (SELECT s.song_id, b.lag * 0.2::DOUBLE AS bar_s, coalesce(a.ac, 0) AS strength FROM (SELECT DISTINCT song_id FROM acs) s LEFT JOIN best b USING (song_id) LEFT JOIN acs a ON a.song_id = b.song_id AND a.lag = b.lag)"""
+ORACLES["bar_period"] = f"WITH {PERIODS} SELECT song_id, round(bar_s, 6) AS bar_s, round(strength, 6) AS strength FROM periods"
+
+_AROUND = "coalesce((SELECT max(accent) FROM acs WHERE acs.song_id = h.song_id AND acs.lag BETWEEN CAST(round_even(q * {0} / 0.2::DOUBLE * 0.97::DOUBLE, 0) AS INT) AND CAST(round_even(q * {0} / 0.2::DOUBLE * 1.03::DOUBLE, 0) AS INT)), 0)"
+#: The bars of build_bars against the periods; {0}: songs that may be rescued.
+HYPOTHESES = f"""{PHASE}, {PERIODS.removeprefix(EV).removeprefix(", ")}, lasts AS (SELECT song_id, max(beat) AS last FROM beats GROUP BY song_id),
+  starts AS (SELECT b.song_id, time AS start, least(b.beat + bpb, last) AS stop FROM beats b JOIN tempo USING (song_id) JOIN lasts USING (song_id) WHERE b.beat >= phase AND (b.beat - phase) % bpb = 0 AND b.beat < last),
+  tracked AS (SELECT s.song_id, quantile_cont(e.time - s.start, 0.5) AS tracked_s FROM starts s JOIN beats e ON e.song_id = s.song_id AND e.beat = s.stop GROUP BY s.song_id HAVING count(*) > 2),
+  odd AS (SELECT * FROM periods JOIN tracked USING (song_id) WHERE strength >= 0.18 AND bar_s IS NOT NULL AND list_min([abs(bar_s / tracked_s / t - 1) FOR t IN [1.0::DOUBLE, 2, 0.5, 4, 0.25]]) >= 0.07),
+  h AS (SELECT song_id, bar_s / 4 AS q, 4 AS bpb, '4/4' AS label FROM odd UNION ALL SELECT song_id, bar_s / 3, 3, '3/4' FROM odd),
+  guesses AS (SELECT song_id, bpb, label, 60 / q AS bpm, CASE bpb WHEN 4 THEN ({_AROUND.format(1)} + {_AROUND.format(2)} + {_AROUND.format(3)}) / 3 ELSE ({_AROUND.format(1)} + {_AROUND.format(2)}) / 2 * 0.85::DOUBLE END AS score FROM h WHERE q BETWEEN 0.40 AND 1.20),
+  hypotheses AS (SELECT song_id, label, bpb, bpm, score / total AS share FROM (SELECT *, sum(greatest(score, 1e-6::DOUBLE)) OVER (PARTITION BY song_id) AS total, row_number() OVER (PARTITION BY song_id ORDER BY score DESC, bpb DESC) AS nth FROM guesses) WHERE nth = 1)"""
+ORACLES["rescue_meter"] = f"WITH {HYPOTHESES} SELECT song_id, label, bpb, round(bpm, 6) AS bpm, round(share, 6) AS share FROM hypotheses WHERE song_id NOT IN (SELECT song_id FROM ev WHERE pos = 0 AND k % 5 = 0)"
+GRIDS = """grids AS (SELECT song_id, pos // n AS beat, pos AS frame, 60.0::DOUBLE + 40 * n + song_id % 7 AS bpm_hint FROM ev, (SELECT unnest([1, 2, 3]) AS n) WHERE pos % n = 0
+  UNION ALL SELECT song_id, pos // 5, pos, NULL FROM ev WHERE song_id % 2 = 0 AND pos % 5 = 0)"""
+ORACLES["usual_grids"] = f"WITH {EV}, {GRIDS} SELECT song_id, beat, frame, coalesce(bpm_hint, 0) AS bpm_hint FROM grids QUALIFY rank() OVER (PARTITION BY song_id ORDER BY bpm_hint IS NOT NULL, abs(bpm_hint - 100), bpm_hint) = 1"
+ORACLES["rescued_grids"] = f"WITH {HYPOTHESES}, {GRIDS} SELECT song_id, beat, frame, bpm_hint FROM grids JOIN hypotheses USING (song_id) WHERE abs(bpm_hint / bpm - 1) <= 0.07 QUALIFY rank() OVER (PARTITION BY song_id ORDER BY abs(bpm_hint / bpm - 1), bpm_hint) = 1"
+ORACLES["rejected_songs"] = f"""WITH {EV}, grid AS (SELECT song_id, count(*) AS beats, quantile_cont(gap, 0.5) AS median FROM (SELECT song_id, lead(f) OVER (PARTITION BY song_id ORDER BY pos) - f AS gap FROM (SELECT song_id, pos, CASE WHEN song_id % 4 = 1 THEN 7 ELSE pos END AS f FROM ev WHERE k % (1 + song_id % 11) = 0)) GROUP BY song_id),
+  rows AS (SELECT coalesce(f.song_id, g.song_id) AS song_id, coalesce(beats, 0) AS beats, CASE WHEN f.song_id IS NULL THEN 'no frames' WHEN coalesce(beats, 0) < 8 THEN 'no steady beat' WHEN median <= 0 THEN 'beats share a frame' END AS reason FROM (SELECT DISTINCT song_id FROM ev WHERE song_id % 9 > 0) f FULL JOIN grid g ON f.song_id = g.song_id)
+  SELECT song_id, reason, beats FROM rows WHERE reason IS NOT NULL"""
+
 _INTEGERS = {
     "maximal_patterns": ("length",), "repeated_patterns": ("length",), "key_chord_evidence": ("tonic",), "name_parts": ("cluster",), "name_vamps": ("cluster",), "sections": ("instance",), "key_candidates": ("tonic", "rank"), "key_windows": ("win", "pc"), "region_scores": ("win", "pc"), "key_runner_up": ("tonic",), "endpoint_evidence": ("tonic",), "refine_key_mode": ("tonic",),
     "beat_chroma": ("pc",), "tempo_fold": ("beat", "frame"), "extend_grid": ("beat",), "key_prior": ("key_tonic",), "chord_segments": ("bar",), "spell_chords": ("key_tonic",), "bar_vectors": ("bar",),

@@ -418,7 +418,12 @@ def downbeat_phase(spark, sf_dir):
 
 @query
 def build_bars(spark, sf_dir):
-    return rounded(B.build_bars(A.beat_series(spark, sf_dir), _tempo(spark, sf_dir)), "start", "end")
+    return rounded(B.build_bars(A.beat_series(spark, sf_dir).drop("frame"), _tempo(spark, sf_dir)), "start", "end")
+
+
+@query
+def bar_frames(spark, sf_dir):
+    return B.build_bars(A.beat_series(spark, sf_dir), _tempo(spark, sf_dir)).select("song_id", "index", "frame_start", "frame_end")
 
 
 @query
@@ -675,7 +680,35 @@ def bar_period(spark, sf_dir):
 def rescue_meter(spark, sf_dir):
     bars = B.build_bars(A.beat_series(spark, sf_dir), _tempo(spark, sf_dir))
     wish = A.song_events(spark, sf_dir).where("pos = 0 and k % 5 = 0").select("song_id", (F.col("k") + 60.0).alias("forced_bpm"))
-    return rounded(X.rescue_meter(_periods(spark, sf_dir), bars, 0.2, wish), "bpm", "share")
+    return rounded(X.rescue_meter(_periods(spark, sf_dir), bars, 0.2, wish).select("song_id", "label", "bpb", "bpm", "share"), "bpm", "share")
+
+
+def _grids(spark, sf_dir):
+    """Three tracked grids of every song, asked for at different tempos, and one without a wish for every second song."""
+    events = A.song_events(spark, sf_dir)
+    hinted = [events.where(F.col("pos") % n == 0).select("song_id", (F.col("pos") / n).cast("int").alias("beat"), F.col("pos").alias("frame"), (F.lit(60.0) + 40 * n + F.col("song_id") % 7).alias("bpm_hint")) for n in (1, 2, 3)]
+    plain = events.where("song_id % 2 = 0 and pos % 5 = 0").select("song_id", (F.col("pos") / 5).cast("int").alias("beat"), F.col("pos").alias("frame"), F.lit(None).cast("double").alias("bpm_hint"))
+    return hinted[0].unionByName(hinted[1]).unionByName(hinted[2]).unionByName(plain)
+
+
+@query
+def usual_grids(spark, sf_dir):
+    return X.usual_grids(_grids(spark, sf_dir)).withColumn("bpm_hint", F.coalesce("bpm_hint", F.lit(0.0)))
+
+
+@query
+def rescued_grids(spark, sf_dir):
+    """Grids of the second pass: those near the tempo that the accents would rather have."""
+    bars = B.build_bars(A.beat_series(spark, sf_dir), _tempo(spark, sf_dir))
+    return X.grids_at(_grids(spark, sf_dir), X.rescue_meter(_periods(spark, sf_dir), bars, 0.2))
+
+
+@query
+def rejected_songs(spark, sf_dir):
+    frames = A.frames(spark, sf_dir).where("song_id % 9 > 0")
+    beats = A.song_events(spark, sf_dir).where(F.col("k") % (1 + F.col("song_id") % 11) == 0)
+    at = F.when(F.col("song_id") % 4 == 1, 7).otherwise(F.col("pos"))
+    return X.rejected_songs(frames, beats.select("song_id", F.col("pos").alias("beat"), at.alias("frame")))
 
 
 @query
