@@ -26,7 +26,7 @@ BLOCK_BYTES = 6 << 20
 #: Most documents of a block: their numbers fit 16 bits.
 BLOCK_DOCS = 1 << 16
 #: A worker's memo starts anew beyond so many pieces of text or links of theirs.
-MEMO_PIECES, MEMO_LINKS = 300_000, 6_000_000
+MEMO_PIECES, MEMO_LINKS = 600_000, 6_000_000
 #: Ids of the second tokenizer are below this; a pair is one number.
 PAIR = 1 << 16
 #: Rows of bitmaps that are made or read at once.
@@ -62,7 +62,7 @@ class Aligner:
         size = self.first.get_vocab_size(with_added_tokens=True)
         self.first_bytes = [bytes(letters.get(c, 0) for c in self.first.id_to_token(k) or "") for k in range(size)]
         self.second_bytes = [self._second_bytes(k) for k in range(self.second.get_piece_size())]
-        self.widths = [np.array([len(b) for b in x], np.int64) for x in (self.first_bytes, self.second_bytes)]
+        self.widths = [[len(b) for b in x] for x in (self.first_bytes, self.second_bytes)]
         self.forget()
 
     def _second_bytes(self, k: int) -> bytes:
@@ -98,20 +98,22 @@ class Aligner:
             self.counts.extend((len(a), len(b), 1))
             self.ends.append(len(self.links))
             return
-        ids = np.array(a, np.int64), np.array(b, np.int64)
-        ends = [np.cumsum(w[x]) for w, x in zip(self.widths, ids)]
-        shared = np.intersect1d(*ends, assume_unique=True)
-        cuts = [np.searchsorted(e, shared, side="right") for e in ends]
-        written = []
-        low = (0, 0)
-        for high in zip(*(c.tolist() for c in cuts)):
-            mine, theirs = a[low[0] : high[0]], b[low[1] : high[1]]
-            written.append(f"{','.join(map(str, mine))}|{','.join(map(str, theirs))}")
-            if len(mine) * len(theirs) > 4096:
-                self.links.extend((ids[0][low[0] : high[0], None] * PAIR + ids[1][low[1] : high[1]]).ravel().tolist())
-            else:
-                self.links.extend([x * PAIR + y for x in mine for y in theirs])
-            low = high
+        first, second = self.widths
+        written: list[str] = []
+        end = other = at = low_a = low_b = 0
+        for high_a, token in enumerate(a, 1):
+            end += first[token]
+            while other < end:
+                other += second[b[at]]
+                at += 1
+            if other == end:  # both end here
+                mine, theirs = a[low_a:high_a], b[low_b:at]
+                written.append(f"{','.join(map(str, mine))}|{','.join(map(str, theirs))}")
+                if len(mine) * len(theirs) > 4096:
+                    self.links.frombytes((np.array(mine, np.int64)[:, None] * PAIR + np.array(theirs, np.int64)).tobytes())
+                else:
+                    self.links.extend([x * PAIR + y for x in mine for y in theirs])
+                low_a, low_b = high_a, at
         self.groups.append(";".join(written))
         self.counts.extend((len(a), len(b), len(written)))
         self.ends.append(len(self.links))
