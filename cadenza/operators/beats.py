@@ -50,18 +50,22 @@ def beat_intervals(beats: DataFrame, n_frames: DataFrame) -> DataFrame:
 
 
 def beat_chroma(frames: DataFrame, beats: DataFrame, column: str = "chroma") -> DataFrame:
-    """Twelve numbers per beat: the median of its frames if there are more than two, else the mean.
+    """Twelve numbers per beat: the median of its frames if there are more than two, else the mean."""
+    return beat_medians(frames, beats, (column,), frames.groupBy("song_id").agg((F.max("frame") + 1).alias("n")))
+
+
+def beat_medians(frames: DataFrame, beats: DataFrame, columns: tuple[str, ...], n_frames: DataFrame) -> DataFrame:
+    """The same for several columns in one pass over the frames (song_id, n: how many a song has).
 
     Intervals become frame numbers and join by equality, so a long song spreads over tasks. An empty one takes the frame it starts at,
     the song's last one if it starts beyond.
     """
-    n = frames.groupBy("song_id").agg((F.max("frame") + 1).alias("n"))
     first = F.greatest(F.lit(0), F.least(F.col("from"), F.col("n") - 1))
-    spans = beat_intervals(beats, n).withColumn("from", first).withColumn("to", F.greatest(F.col("from") + 1, F.least("to", "n")))
+    spans = beat_intervals(beats, n_frames).withColumn("from", first).withColumn("to", F.greatest(F.col("from") + 1, F.least("to", "n")))
     each = spans.select("song_id", "beat", F.explode(F.sequence("from", F.col("to") - 1)).alias("frame"))
-    rows = each.join(frames.select("song_id", "frame", column), ["song_id", "frame"])
-    pick = lambda i: F.when(F.count(F.lit(1)) > 2, F.percentile(F.col(column)[i], F.lit(0.5))).otherwise(F.avg(F.col(column)[i]))
-    return rows.groupBy("song_id", "beat").agg(F.array(*(pick(i) for i in range(12))).alias(column))
+    rows = each.join(frames.select("song_id", "frame", *columns), ["song_id", "frame"])
+    pick = lambda c, i: F.when(F.count(F.lit(1)) > 2, F.percentile(F.col(c)[i], F.lit(0.5))).otherwise(F.avg(F.col(c)[i]))
+    return rows.groupBy("song_id", "beat").agg(*(F.array(*(pick(c, i) for i in range(12))).alias(c) for c in columns))
 
 
 def cosine(a: Column, b: Column) -> Column:

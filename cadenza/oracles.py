@@ -482,6 +482,15 @@ ORACLES["song_document"] = f"""WITH {PATTERNS}, kept AS (SELECT * FROM patterns
   SELECT song_id, n_chords, coalesce(n, 0) AS n_patterns, chords FROM c LEFT JOIN n USING (song_id)"""
 
 #: Columns that the queries return as 32-bit integers.
+_SIDE = """SELECT song_id, arg_max(root_pc, {{'duration': duration, 'pos': pos}}) AS tonic, count(*) * 1.5::DOUBLE AS bpm, CASE WHEN count(*) FILTER (quality = 'minor') % 2 = 0 THEN '4/4' ELSE '3/4' END AS meter,
+  string_agg(root, ' - ' ORDER BY pos) FILTER (pos % 8 = 0) AS form, CAST(count(*) FILTER (pos % 8 = 0) AS INT) AS n_sections FROM {0} GROUP BY song_id"""
+ORACLES["regression_values"] = f"""WITH {chords()}, read AS (SELECT *, stop - start AS duration FROM chords), {chords(True).removeprefix(EV).removeprefix(", ").replace("raw AS", "wide_raw AS").replace("FROM raw", "FROM wide_raw").replace("chords AS", "wide_chords AS")},
+  played AS (SELECT *, stop - start AS duration FROM wide_chords), f AS ({_SIDE.format("read")}), t AS ({_SIDE.format("played")}),
+  laps AS (SELECT p.song_id, least(p.stop, r.stop) - greatest(p.start, r.start) AS d, p.root_pc = r.root_pc AND starts_with(p.quality, 'min') = starts_with(r.quality, 'min') AS ok FROM played p JOIN read r ON p.song_id = r.song_id AND r.start < p.stop AND p.start < r.stop),
+  acc AS (SELECT song_id, sum(d) FILTER (ok) / sum(d) AS accuracy FROM laps GROUP BY song_id HAVING sum(d) > 0)
+  SELECT t.song_id, coalesce(f.tonic = t.tonic, false) AS key_ok, coalesce(abs(f.bpm / t.bpm - 1) < 0.04, false) AS tempo_ok, coalesce(f.meter = t.meter, false) AS meter_ok, round(coalesce(accuracy, 0), 6) AS chord_accuracy,
+    f.tonic AS found_tonic, f.bpm AS found_bpm, f.meter AS found_meter, f.form AS found_form, f.n_sections AS found_n_sections, t.tonic AS true_tonic, t.bpm AS true_bpm, t.meter AS true_meter, t.form AS true_form, t.n_sections AS true_n_sections
+  FROM t LEFT JOIN f ON f.song_id = t.song_id AND f.song_id % 7 > 0 LEFT JOIN acc ON acc.song_id = t.song_id"""
 #: Bar lengths by a direct sum over all lags, frames of a fifth of a second: 59 of them.
 PERIODS = f"""{FRAMES}, u AS (SELECT song_id, frame, pc, raw / sqrt(sum(raw * raw) OVER (PARTITION BY song_id, frame)) AS x FROM tones),
   s AS (SELECT song_id, frame, pc, avg(x) OVER b AS b, avg(x) OVER a AS a, frame >= 2 AND frame < n - 2 AS whole FROM u JOIN sizes USING (song_id) WINDOW b AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),

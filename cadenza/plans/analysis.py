@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import tables as T
-from cadenza.functions.names import key_name
+from cadenza.functions.names import key_name, other_mode, relative_key, relative_tonic
 from cadenza.operators import beats as B
 from cadenza.operators import chords as C
 from cadenza.operators import key as K
@@ -17,6 +17,7 @@ from cadenza.plans.document import song_document
 
 FRAME_S = T.HOP / T.SAMPLE_RATE
 WINDOW_S, HOP_S, NOVELTY_S = 12.0, 3.0, 0.5
+RESCUE = "struct<tracker_bar_s:double,music_bar_s:double,tracker_tempo:double,tracker_meter:string,strength:double>"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -43,35 +44,63 @@ def find_key(frames: DataFrame, overrides: DataFrame, frame_s: float = FRAME_S)
     return checkpointed(song_key), checkpointed(timeline), candidates
 
 
-def find_beats(frames: DataFrame, tracked: DataFrame, overrides: DataFrame, frame_s: float = FRAME_S) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """beats (frame, time, chroma, bass), tempo (tempo, fold, regridded, meter, phase, stability, and what the accents would rather have)
-    and bars. Tracked beats of songs whose tempo the listener gave are kept as they are."""
-    forced = overrides.where("forced_bpm is not null").select("song_id")
-    free = tracked.join(forced, "song_id", "left_anti")
-    asked = tracked.join(forced, "song_id", "left_semi").select("song_id", "beat", "frame", F.lit(False).alias("regridded"), F.lit(True).alias("keep"))
-    pulse = X.refine_pulse(free, B.onset_peaks(frames)).select("song_id", "beat", "frame", "regridded", F.col("regridded").alias("keep"))
-    pulse = checkpointed(pulse.unionByName(asked))
+def settle_beats(frames: DataFrame, pulse: DataFrame, sizes: DataFrame, overrides: DataFrame, frame_s: float = FRAME_S) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """beats (frame, time, chroma, bass), tempo (tempo, fold, regridded, meter, phase, stability) and bars of songs whose pulse is known:
+    song_id, beat, frame, regridded and keep (leave this grid as it is)."""
     accents = B.beat_accents(frames, pulse).select("song_id", "beat", "frame", "keep", F.col("acc_low_env").alias("low"), F.col("acc_onset_env").alias("full"))
     folded = checkpointed(B.tempo_fold(accents, frame_s))
-    n_frames = frames.groupBy("song_id").agg((F.max("frame") + 1).alias("n"))
-    grid = checkpointed(B.extend_grid(folded, n_frames))
+    grid = checkpointed(B.extend_grid(folded, sizes))
     beats = B.beat_accents(frames, grid).withColumnRenamed("acc_low_env", "low").withColumnRenamed("acc_onset_env", "full")
-    for column in ("chroma", "bass"):
-        beats = beats.join(B.beat_chroma(frames, grid, column), ["song_id", "beat"])
+    beats = beats.join(B.beat_medians(frames, grid, ("chroma", "bass"), sizes), ["song_id", "beat"])
     beats = B.beat_novelty(beats).withColumn("time", F.col("frame") * frame_s)
     beats = checkpointed(B.zscore(beats, {"low": "low_z", "full": "full_z", "novelty": "nov_z"}))
     accent = beats.withColumn("accent", F.col("low_z") + 0.5 * F.col("full_z"))
-    meter = B.estimate_meter(B.autocorrelation(accent, "accent"), B.autocorrelation(accent, "nov_z"), B.triplet_feel(frames, grid))
+    triplet = checkpointed(B.triplet_feel(frames, grid))
+    meter = B.estimate_meter(B.autocorrelation(accent, "accent"), B.autocorrelation(accent, "nov_z"), triplet)
     meter = checkpointed(B.forced_meter(meter, overrides))
     phase = B.downbeat_phase(beats, meter).select("song_id", "phase")
-    tempo = meter.select("song_id", F.col("label").alias("meter"), "bpb", "confidence", "user_forced").join(phase, "song_id")
-    tempo = tempo.join(folded.groupBy("song_id").agg(F.first("tempo").alias("tempo"), F.first("fold").alias("fold")), "song_id").join(pulse.groupBy("song_id").agg(F.max("regridded").alias("regridded")), "song_id").join(B.tempo_stability(beats), "song_id")
+    tempo = meter.select("song_id", F.col("label").alias("meter"), "bpb", "confidence", "user_forced", "alternatives").join(phase, "song_id").join(triplet.withColumnRenamed("triplet", "triplet_feel"), "song_id")
+    measured = folded.groupBy("song_id").agg(*(F.first(c).alias(c) for c in ("tempo", "tempo_half", "tempo_double", "fold")))
+    tempo = tempo.join(measured, "song_id").join(pulse.groupBy("song_id").agg(F.max("regridded").alias("regridded")), "song_id").join(B.tempo_stability(beats), "song_id")
     tempo = checkpointed(tempo)
-    bars = checkpointed(B.build_bars(beats, tempo))
-    novel = frames.join(B.harmonic_novelty(frames, max(2, int(NOVELTY_S / frame_s))), ["song_id", "frame"])
-    better = X.rescue_meter(X.bar_period(novel, frame_s), bars, frame_s, overrides)
-    better = better.select("song_id", F.struct("label", "bpb", "bpm", "share").alias("retrack"))  # the tracker would have to run again at this tempo
-    return beats, tempo.join(better, "song_id", "left"), bars
+    return beats, tempo, checkpointed(B.build_bars(beats, tempo))
+
+
+def find_beats(frames: DataFrame, tracked: DataFrame, overrides: DataFrame, frame_s: float = FRAME_S) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """beats, tempo and bars in two passes. Tracked grids (song_id, beat, frame, and bpm_hint if the tracker ran more than once) of songs
+    whose tempo the listener gave are kept as they are, the one nearest to that tempo if there is one.
+
+    Where the accents contradict the bars of the first pass, the song goes through these steps again on the grid that was tracked near
+    the tempo that the accents say, in their meter, with their share as the confidence (bar_rescue tells what changed). Without
+    such a grid the song stays, with needs_retrack and what the tracker should be asked for (retrack).
+    """
+    if "bpm_hint" not in tracked.columns:
+        tracked = tracked.withColumn("bpm_hint", F.lit(None).cast("double"))
+    sizes = checkpointed(frames.groupBy("song_id").agg((F.max("frame") + 1).alias("n")))
+    usual = X.usual_grids(tracked)
+    forced = overrides.where("forced_bpm is not null").select("song_id", F.col("forced_bpm").alias("bpm"))
+    near = X.grids_at(tracked, forced)
+    asked = near.unionByName(usual.join(forced, "song_id", "left_semi").join(near.select("song_id").distinct(), "song_id", "left_anti"))
+    kept = lambda grid: grid.select("song_id", "beat", "frame", F.lit(False).alias("regridded"), F.lit(True).alias("keep"))
+    free = usual.join(forced, "song_id", "left_anti").select("song_id", "beat", "frame")
+    pulse = X.refine_pulse(free, B.onset_peaks(frames)).select("song_id", "beat", "frame", "regridded", F.col("regridded").alias("keep"))
+    beats, tempo, bars = settle_beats(frames, checkpointed(pulse.unionByName(kept(asked))), sizes, overrides, frame_s)
+
+    novel = frames.select("song_id", "frame", "low_env", "onset_env").join(B.harmonic_novelty(frames, max(2, int(NOVELTY_S / frame_s))), ["song_id", "frame"])
+    better = checkpointed(X.rescue_meter(X.bar_period(novel, frame_s), bars, frame_s, overrides))
+    again = checkpointed(kept(X.grids_at(tracked, better)))
+    chosen = checkpointed(again.select("song_id").distinct())
+    says = better.join(chosen, "song_id", "left_anti").select("song_id", F.struct("label", "bpb", "bpm", "share").alias("retrack"))
+    tempo = tempo.join(says, "song_id", "left").withColumn("needs_retrack", F.col("retrack").isNotNull())
+    if chosen.isEmpty():
+        return beats, tempo.withColumn("bar_rescue", F.lit(None).cast(RESCUE)), bars
+    was = tempo.select("song_id", F.col("tempo").alias("tracker_tempo"), F.col("meter").alias("tracker_meter"))
+    about = better.join(chosen, "song_id").join(was, "song_id").select("song_id", F.col("share").alias("confidence"), F.struct(F.col("tracked_s").alias("tracker_bar_s"), F.col("bar_s").alias("music_bar_s"), "tracker_tempo", "tracker_meter", "strength").alias("bar_rescue"))
+    wanted = better.select("song_id", F.col("label").alias("forced_meter"))
+    beats_2, tempo_2, bars_2 = settle_beats(frames.join(chosen, "song_id", "left_semi"), again, sizes, wanted, frame_s)
+    tempo_2 = tempo_2.drop("confidence").join(about, "song_id").withColumn("user_forced", F.lit(False)).withColumn("needs_retrack", F.lit(False))
+    first = lambda rows: rows.join(chosen, "song_id", "left_anti")
+    return checkpointed(first(beats).unionByName(beats_2)), first(tempo).unionByName(tempo_2, allowMissingColumns=True), checkpointed(first(bars).unionByName(bars_2))
 
 
 def find_chords(beats: DataFrame, tempo: DataFrame, timeline: DataFrame, song_key: DataFrame) -> DataFrame:
@@ -81,40 +110,58 @@ def find_chords(beats: DataFrame, tempo: DataFrame, timeline: DataFrame, song_ke
     return C.spell_chords(C.chord_segments(C.chord_path(heard), heard, tempo), timeline, song_key)
 
 
-def find_parts(frames: DataFrame, bars: DataFrame, timeline: DataFrame, song_key: DataFrame, sequence: DataFrame, frame_s: float = FRAME_S) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """sections, lines that come again and the form; songs of under eight bars or without repeats have none."""
+def find_parts(frames: DataFrame, bars: DataFrame, timeline: DataFrame, song_key: DataFrame, sequence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """sections, parts and lines that come again, and of each song the form and how many bars a block and a line have; songs of under
+    eight bars or without repeats have none. Bars are cut at the frames of their beats."""
     n = frames.groupBy("song_id").agg((F.max("frame") + 1).alias("n"))
-    first, last = F.least(F.floor(F.col("start") / frame_s), F.col("n") - 1), F.least(F.floor(F.col("end") / frame_s), F.col("n")) - 1
-    spans = bars.select("song_id", F.col("index").alias("bar"), "start", "end").join(n, "song_id").withColumn("first", first.cast("int")).withColumn("last", F.greatest("first", last.cast("int")))
+    spans = bars.select("song_id", F.col("index").alias("bar"), "start", "end", "frame_start", "frame_end").join(n, "song_id")
+    spans = spans.withColumn("first", F.least(F.col("frame_start"), F.col("n") - 1)).withColumn("last", F.greatest("first", F.least(F.col("frame_end"), F.col("n")) - 1))
     vectors = checkpointed(S.bar_vectors(S.bar_features(frames, spans, timeline, song_key)))
     times = spans.select("song_id", "bar", "start", "end")
     blocks = checkpointed(S.block_clusters(vectors))
     lines = checkpointed(S.line_clusters(vectors))
     parts = checkpointed(S.settle_parts(S.merge_parts(blocks), vectors, blocks))
     sections = checkpointed(S.sections(S.name_vamps(S.name_parts(parts, vectors), lines), sequence, times, lines))
-    return sections, S.line_repeats(lines, sections, sequence, times), S.form_string(sections)
+    length = blocks.groupBy("song_id").agg(F.first("length").alias("block_bars"))
+    form = S.form_string(sections).join(length.withColumn("line_bars", F.greatest(F.lit(2), (F.col("block_bars") / 2).cast("int"))), "song_id", "left")
+    return sections, S.structure_repeats(sections, vectors), S.line_repeats(lines, sections, sequence, times), form
 
 
 def analyze(frames: DataFrame, tracked: DataFrame, overrides: DataFrame, frame_s: float = FRAME_S) -> DataFrame:
-    """One document per song: key, tempo, meter, bars, chords, patterns, sections, lines and form.
+    """One document per song: key, tempo, meter, beats, bars, chords, patterns, sections, structure, lines and form.
 
-    frames: song_id, frame, chroma, bass, onset_env, low_env, rms, mfcc. tracked: song_id, beat, frame. overrides: song_id, forced_meter,
-    forced_bpm, forced_tonic, forced_mode (null for what the listener left open; songs may be missing). After the first decoding, a key
-    that the chords contradict gives way to its relative, and only those songs are decoded again.
+    frames: song_id, frame (numbered from 0 without gaps), chroma, bass, onset_env, low_env, rms, mfcc. tracked: song_id, beat, frame, and
+    bpm_hint where the tracker ran at several tempos. overrides: song_id, forced_meter, forced_bpm, forced_tonic, forced_mode (null
+    for what the listener left open; songs may be missing). After the first decoding, a key that the chords contradict gives way
+    to its relative, and only those songs are decoded again. Songs that can't be analysed (no frames, no steady beat) keep out of all
+    steps and have a row with the reason and nothing else.
     """
+    rejected = checkpointed(X.rejected_songs(frames, tracked))
+    good = lambda rows: rows.join(rejected.select("song_id"), "song_id", "left_anti")
+    frames, tracked, overrides = good(frames), good(tracked), good(overrides)
     song_key, timeline, candidates = find_key(frames, overrides, frame_s)
     beats, tempo, bars = find_beats(frames, tracked, overrides, frame_s)
     tempo = checkpointed(tempo)
     chords = checkpointed(find_chords(beats, tempo, timeline, song_key))
     refined = checkpointed(K.refine_key_mode(song_key, chords, frames, frame_s))
     flipped = refined.where("mode_corrected_by_chords").select("song_id")
+    both = song_key.select("song_id", F.explode(F.array(F.struct("tonic", "mode"), F.struct(relative_tonic(F.col("tonic"), F.col("mode")).cast("int").alias("tonic"), other_mode(F.col("mode")).alias("mode")))).alias("k")).select("song_id", "k.*")
+    evidence = K.key_chord_evidence(chords, both).join(K.endpoint_evidence(frames, both, frame_s), ["song_id", "tonic", "mode"])
     timeline = checkpointed(K.relabelled_timeline(timeline, refined))
     again = find_chords(beats.join(flipped, "song_id", "left_semi"), tempo, timeline, refined)
     chords = chords.join(flipped, "song_id", "left_anti").unionByName(again)
     sequence = checkpointed(P.add_nashville(P.chord_sequence(chords), refined))
     patterns = P.maximal_patterns(P.repeated_patterns(sequence))
-    sections, lines, form = find_parts(frames, bars, timeline, refined, sequence, frame_s)
-    key = refined.withColumn("key", key_name(F.col("tonic"), F.col("mode")))
-    songs = key.withColumnRenamed("confidence", "key_confidence").join(tempo.withColumnRenamed("confidence", "meter_confidence"), "song_id", "left").join(form, "song_id", "left")
-    children = {"key_timeline": (timeline, "seg"), "modulations": (K.modulations(timeline), "time"), "candidates": (candidates, "rank"), "bars": (bars, "index"), "chords": (sequence, "pos"), "patterns": (patterns, "first_pos"), "sections": (sections, "part"), "lines": (lines, "line")}
-    return song_document(songs, children)
+    sections, structure, lines, form = find_parts(frames, bars, timeline, refined, sequence)
+    key = refined.withColumn("key", key_name(F.col("tonic"), F.col("mode"))).withColumn("relative_key", relative_key(F.col("tonic"), F.col("mode")))
+    runner_up = K.key_runner_up(candidates, refined).select("song_id", F.struct("tonic", "mode", "score").alias("key_runner_up"))
+    wished = song_key.select("song_id", F.col("user_forced").alias("key_user_forced")).join(overrides.select("song_id", F.col("forced_bpm").isNotNull().alias("tempo_user_forced")), "song_id", "left").fillna(False, ["tempo_user_forced"])
+    length = frames.groupBy("song_id").agg(((F.max("frame") + 1) * frame_s).alias("duration"))
+    songs = key.withColumnRenamed("confidence", "key_confidence").withColumnRenamed("margin", "key_margin").join(tempo.withColumnRenamed("confidence", "meter_confidence"), "song_id", "left")
+    for more in (wished, runner_up, length, form):
+        songs = songs.join(more, "song_id", "left")
+    children = {
+        "key_timeline": (timeline, "seg"), "modulations": (K.modulations(timeline), "time"), "candidates": (candidates, "rank"), "key_evidence": (evidence, "tonic"), "beats": (beats.select("song_id", "beat", "frame", "time"), "beat"),
+        "bars": (bars, "index"), "chords": (sequence, "pos"), "patterns": (patterns, "first_pos"), "sections": (sections, "part"), "structure": (structure, "cluster"), "lines": (lines, "line"),
+    }
+    return song_document(songs, children).unionByName(rejected.select("song_id", "reason"), allowMissingColumns=True)

@@ -519,7 +519,21 @@ def regression_report(spark, sf_dir):
     meter = N.entry(("4/4", "3/4"), F.pmod("k", F.lit(2)))
     truth = first.select("song_id", F.pmod("k", F.lit(12)).alias("tonic"), (F.col("k") + 60.0).alias("bpm"), meter.alias("meter"))
     found = first.where("k % 7 > 0").select("song_id", F.pmod("k", F.lit(11)).alias("tonic"), (F.col("k") * 1.02 + 60).alias("bpm"), F.lit("4/4").alias("meter"))
-    return rounded(E.regression_report(found, truth, E.chord_accuracy(*_found_and_true(spark, sf_dir))), "chord_accuracy")
+    report = rounded(E.regression_report(found, truth, E.chord_accuracy(*_found_and_true(spark, sf_dir))), "chord_accuracy")
+    return report.select("song_id", "key_ok", "tempo_ok", "meter_ok", "chord_accuracy")
+
+
+@query
+def regression_values(spark, sf_dir):
+    """The report with both sides: chords as they are read against themselves stabilised, the sections of made parts against plain ones."""
+    sides = []
+    for song in (A.chords(spark, sf_dir), A.chords(spark, sf_dir, wide=True)):
+        counts = song.groupBy("song_id").agg(F.max_by("root_pc", F.struct("duration", "pos")).alias("tonic"), (F.count(F.lit(1)) * 1.5).alias("bpm"), F.when(F.count_if(F.col("quality") == "minor") % 2 == 0, "4/4").otherwise("3/4").alias("meter"))
+        parts = song.where("pos % 8 = 0").groupBy("song_id").agg(F.sort_array(F.collect_list(F.struct("pos", "root"))).alias("p"))
+        sides.append(counts.join(parts, "song_id").select("song_id", "tonic", "bpm", "meter", F.array_join(F.transform("p", lambda x: x["root"]), " - ").alias("form"), F.size("p").alias("n_sections")))
+    found, truth = sides[0].where("song_id % 7 > 0"), sides[1]
+    played = A.chords(spark, sf_dir, wide=True).select("song_id", F.col("start").alias("t0"), F.col("end").alias("t1"), F.col("root_pc").alias("root"), "quality")
+    return rounded(E.regression_report(found, truth, E.chord_accuracy(A.chords(spark, sf_dir), played)), "chord_accuracy")
 
 
 # structure: bars of one song per label, two seconds each

@@ -6,21 +6,22 @@ from pyspark.sql import functions as F
 from cadenza.functions import tables as T
 from cadenza.operators.evaluate import chord_accuracy, regression_report
 from cadenza.plans.analysis import FRAME_S, analyze
+from cadenza.plans.document import read_documents, song_document, write_documents
 
 PARTS = [
     ("Intro", 4, 1, [(0, "major"), (7, "major")], 1.0), ("Verse", 8, 2, [(0, "major"), (9, "minor"), (5, "major"), (7, "major")], 1.0), ("Chorus", 8, 2, [(5, "major"), (7, "major"), (0, "major"), (9, "minor")], 1.4),
     ("Verse", 8, 2, [(0, "major"), (9, "minor"), (5, "major"), (7, "major")], 1.0), ("Chorus", 8, 2, [(5, "major"), (7, "major"), (0, "major"), (9, "minor")], 1.4), ("Bridge", 8, 2, [(9, "minor"), (5, "major"), (2, "minor"), (7, "dominant7")], 1.1),
     ("Chorus", 8, 2, [(5, "major"), (7, "major"), (0, "major"), (9, "minor")], 1.4), ("Outro", 2, 1, [(0, "major")], 0.8),
 ]
-SONGS = {"44": (8, 100, "4/4", 4, 0), "34": (2, 90, "3/4", 3, 0), "mod": (8, 96, "4/4", 4, 1)}
+SONGS = {"44": (8, 100, "4/4", 4, 0), "34": (2, 90, "3/4", 3, 0), "68": (7, 60, "6/8", 2, 0), "mod": (8, 96, "4/4", 4, 1)}
 
 
-def song(name, tonic, bpm, meter, per_bar, up):
-    """Rows of frames, tracked beats and true chords of one song."""
+def song(name, tonic, bpm, meter, per_bar, up, hold=None):
+    """Rows of frames, tracked beats and true chords of one song; hold: bars of every chord."""
     rng = np.random.default_rng(len(name))
     beat = 60 / bpm
     bar_s = beat * per_bar
-    bars = [(part, chords[b // each % len(chords)], loud) for part, n, each, chords, loud in PARTS for b in range(n)]
+    bars = [(part, chords[b // (hold or each) % len(chords)], loud) for part, n, each, chords, loud in PARTS for b in range(n)]
     n = int(len(bars) * bar_s / FRAME_S)
     time = np.arange(n) * FRAME_S
     which = np.minimum((time / bar_s).astype(int), len(bars) - 1)
@@ -30,8 +31,8 @@ def song(name, tonic, bpm, meter, per_bar, up):
         first = k % per_bar == 0
         low[at] += (1.6 if first else 1.0 if per_bar == 4 and k % 4 == 2 else 0.2) * bars[which[at]][2]
         onset[at] += (1.2 if first else 1.0) * bars[which[at]][2]
-        half = min(n - 1, round((k + 0.5) * beat / FRAME_S))
-        onset[half] += 0.4
+        for part in (1 / 3, 2 / 3) if meter == "6/8" else (1 / 2,):
+            onset[min(n - 1, round((k + part) * beat / FRAME_S))] += 0.4
     frames, truth = [], []
     names = [p[0] for p in PARTS]
     for k in range(n):
@@ -46,12 +47,13 @@ def song(name, tonic, bpm, meter, per_bar, up):
         frames.append((name, k, chroma.tolist(), bass.tolist(), float(onset[k]), float(low[k]), float(loud + rng.random() * 0.01), [float(x) for x in mfcc]))
     for b, (_, (degree, quality), _) in enumerate(bars):
         truth.append((name, b * bar_s, (b + 1) * bar_s, (tonic + degree + (up if up and b >= len(bars) - 10 else 0)) % 12, quality))
-    tracked = [(name, k - 2, round(k * beat / FRAME_S)) for k in range(2, len(bars) * per_bar - 3)]
+    step = beat * (2 / 3 if meter == "6/8" else 1)  # trackers fall for the eighths of a compound pulse
+    tracked = [(name, k - 2, round(k * step / FRAME_S)) for k in range(2, int(n * FRAME_S / step) - 3)]
     return frames, tracked, truth
 
 
 def test_songs_with_known_answer(spark):
-    """Three songs as they are, and one of them again with wishes for everything."""
+    """Four songs as they are, and one of them again with wishes for everything."""
     made = [song(name, *about) for name, about in SONGS.items()]
     wished = [[("wished", *r[1:]) for r in rows] for rows in made[0]]
     frames = spark.createDataFrame([r for m in [*made, wished] for r in m[0]], "song_id string, frame int, chroma array<double>, bass array<double>, onset_env double, low_env double, rms double, mfcc array<double>").repartition(4).cache()
@@ -65,17 +67,64 @@ def test_songs_with_known_answer(spark):
     accuracy = chord_accuracy(chords, truth)
     known = spark.createDataFrame([(n, a[0], float(a[1]), a[2]) for n, a in SONGS.items()], "song_id string, tonic int, bpm double, meter string")
     report = {r["song_id"]: r for r in regression_report(found.select("song_id", "tonic", F.col("tempo").alias("bpm"), "meter", "form", F.size("sections").alias("n_sections")), known, accuracy).collect()}
-    for name in SONGS:
+    for name, about in SONGS.items():
         r = report[name]
-        assert r["key_ok"] and r["tempo_ok"] and r["meter_ok"] and r["chord_accuracy"] > 0.9, r
+        assert (r["true_tonic"], r["true_meter"], r["found_form"]) == (about[0], about[2], rows[name]["form"])
+        # two bars of a compound meter are as good a bar where every second one sounds alike
+        assert r["key_ok"] and r["tempo_ok"] and (r["meter_ok"] or (name == "68" and r["found_meter"] == "12/8")) and r["chord_accuracy"] > 0.9, r
     for name in ("44", "34"):
         assert rows[name]["mode"] == "major" and not rows[name]["modulations"]
-        assert rows[name]["form"].split(" - ").count("Chorus") == 3 and report[name]["n_sections"] >= 6, rows[name]["form"]
+        assert rows[name]["form"].split(" - ").count("Chorus") == 3 and report[name]["found_n_sections"] >= 6, rows[name]["form"]
         assert [b["index"] for b in rows[name]["bars"]] == list(range(len(rows[name]["bars"]))) and 53 <= len(rows[name]["bars"]) <= 55
+        at = {b["beat"]: b["frame"] for b in rows[name]["beats"]}
+        assert all((b["frame_start"], b["frame_end"]) == (at[b["beat_start"]], at[b["beat_end"]]) for b in rows[name]["bars"])
+        assert rows[name]["tempo_double"] == 2 * rows[name]["tempo"] == 4 * rows[name]["tempo_half"] and abs(rows[name]["duration"] - 54 * SONGS[name][3] * 60 / SONGS[name][1]) < 0.1
+        assert {x["name"] for x in rows[name]["structure"]} >= {"Chorus", "Verse"} and all(len(x["instances"]) == x["occurrences"] >= 2 and x["nashville"] for x in rows[name]["structure"])
+        assert rows[name]["line_bars"] == rows[name]["block_bars"] // 2 and len(rows[name]["key_evidence"]) == 2 and len(rows[name]["alternatives"]) == 3
+        assert not rows[name]["needs_retrack"] and rows[name]["bar_rescue"] is None and rows[name]["relative_key"] and rows[name]["reason"] is None
+    assert rows["68"]["regridded"] and rows["68"]["triplet_feel"] > 0.52 and rows["68"]["fold"] == 1.0
     changes = rows["mod"]["modulations"]
     assert [m["semitones"] for m in changes] == [1] and abs(changes[0]["time"] - 44 * 4 * 60 / 96) < 8
     assert rows["mod"]["form"].split(" - ").count("Chorus") == 3  # the last one is a semitone higher
     row = rows["wished"]
     assert (row["meter"], row["bpb"], row["user_forced"], row["retrack"], row["fold"], row["regridded"]) == ("3/4", 3, True, None, 1.0, False)
-    assert (row["tonic"], row["mode"], row["key_margin"] if "key_margin" in row else row["margin"]) == (5, "minor", None) and not row["mode_corrected_by_chords"]
+    assert (row["tonic"], row["mode"], row["key_margin"]) == (5, "minor", None) and not row["mode_corrected_by_chords"]
     assert not row["modulations"] and [(x["tonic"], x["start"]) for x in row["key_timeline"]] == [(5, 0.0)]
+
+
+def test_second_pass_and_rejected_songs(spark):
+    """A waltz that the listener took for 4/4: with a grid tracked near the accents' tempo it is analysed again, without one it says so."""
+    frames, tracked, _ = song("34", *SONGS["34"], hold=1)
+    named = lambda name, rows: [(name, *r[1:]) for r in rows]
+    grids = [(*r, None) for name in ("waltz", "alone") for r in named(name, tracked)]
+    grids += [("waltz", k, 20 * k, 129.0) for k in range(60)] + [(*r, 91.0) for r in named("waltz", tracked)] + [("alone", k, 20 * k, 129.0) for k in range(60)]
+    grids += [("few", k, 20 * k, None) for k in range(7)] + [("same", k, 5, None) for k in range(20)] + [("silent", k, 20 * k, None) for k in range(20)]
+    rows = [r for name in ("waltz", "alone") for r in named(name, frames)] + [r for name in ("few", "same", "lost") for r in named(name, frames[:200])]
+    made = spark.createDataFrame(rows, "song_id string, frame int, chroma array<double>, bass array<double>, onset_env double, low_env double, rms double, mfcc array<double>")
+    wishes = spark.createDataFrame([(n, "4/4", None, None, None) for n in ("waltz", "alone", "few")], "song_id string, forced_meter string, forced_bpm double, forced_tonic int, forced_mode string")
+    found = {r["song_id"]: r for r in analyze(made.repartition(4), spark.createDataFrame(grids, "song_id string, beat int, frame int, bpm_hint double"), wishes).collect()}
+    assert {n: r["reason"] for n, r in found.items()} == {"waltz": None, "alone": None, "few": "no steady beat", "lost": "no steady beat", "same": "beats share a frame", "silent": "no frames"}
+    row = found["waltz"]
+    assert (row["meter"], row["bpb"], row["user_forced"], row["needs_retrack"], row["retrack"]) == ("3/4", 3, False, False, None)
+    assert row["bar_rescue"]["tracker_meter"] == "4/4" and abs(row["bar_rescue"]["music_bar_s"] - 2.0) < 0.1 and abs(row["tempo"] - 90) < 2
+    assert 53 <= len(row["bars"]) <= 55 and 0 < row["meter_confidence"] <= 1
+    row = found["alone"]
+    assert (row["meter"], row["user_forced"], row["needs_retrack"], row["bar_rescue"]) == ("4/4", True, True, None)
+    assert row["retrack"]["label"] == "3/4" and abs(row["retrack"]["bpm"] - 90) < 5
+    assert found["lost"]["bars"] is None and found["lost"]["tempo"] is None
+
+
+def test_documents_are_replaced_song_by_song(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"v{k}") for k in range(40)], "song_id int, form string")
+    bars = spark.createDataFrame([(k, i, i * 2.0) for k in range(0, 40, 2) for i in range(3)], "song_id int, index int, start double")
+    path = f"{tmp_path}/documents"
+    first = song_document(rows, {"bars": (bars, "index")})
+    assert [len(r["bars"]) for r in first.orderBy("song_id").collect()] == [3, 0] * 20
+    write_documents(first, path, buckets=4)
+    again = song_document(rows.where("song_id % 10 = 1").withColumn("form", F.lit("new")), {"bars": (bars, "index")})
+    write_documents(again, path, schema=first.schema, buckets=4)
+    write_documents(spark.createDataFrame([(100, "more", 2.5)], "song_id int, form string, extra double"), path, buckets=4)
+    got = {r["song_id"]: r for r in read_documents(spark, path).collect()}
+    assert len(got) == 41 and {k for k, r in got.items() if r["form"] == "new"} == {1, 11, 21, 31}
+    assert got[100]["extra"] == 2.5 and got[100]["bars"] is None and got[4]["extra"] is None and len(got[4]["bars"]) == 3
+    assert all(got[k]["form"] == f"v{k}" for k in range(40) if k % 10 != 1) and read_documents(spark, f"{tmp_path}/none") is None
