@@ -154,7 +154,7 @@ def onset_peaks(frames: DataFrame) -> DataFrame:
                 at = at[x[at] >= 0.8 * np.sqrt(max(0.0, spread))]
                 frame = at + row["first"]
                 mine = (frame >= row["begin"]) & (frame < row["end"])
-                yield pd.DataFrame({"song_id": [row["song_id"]] * int(mine.sum()), "frame": frame[mine].astype(np.int32), "height": x[at[mine]]})
+                yield pd.DataFrame({"song_id": pd.Series([row["song_id"]] * int(mine.sum()), dtype=object), "frame": frame[mine].astype(np.int32), "height": x[at[mine]]})
 
     def strong(pdf: pd.DataFrame) -> pd.DataFrame:
         at, height = pdf["frame"].to_numpy(), pdf["height"].to_numpy()

@@ -16,6 +16,11 @@ def by(order: str = "pos") -> WindowSpec:
     return Window.partitionBy("song_id").orderBy(order)
 
 
+def plain(made: pd.DataFrame) -> pd.DataFrame:
+    """Rows whose song ids are Python objects: ids that were put together from several songs don't go to Arrow as one array."""
+    return made.assign(song_id=made["song_id"].astype(object))
+
+
 def song_by_song(rows: DataFrame, order: str, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A call for each song's rows in order: songs are dealt and sorted by Spark, and a task walks through its songs batch by batch, so
     that small songs cost no call of their own into Python; it holds one song and one batch at a time."""
@@ -34,10 +39,10 @@ def song_by_song(rows: DataFrame, order: str, call: Callable[[pd.DataFrame], pd.
                 if start < stop:
                     held.append(batch.iloc[start:stop])
             if done:
-                yield pd.concat(done)
+                yield plain(pd.concat(done))
             last = songs[-1] if songs else last
         if held:
-            yield call(pd.concat(held))
+            yield plain(call(pd.concat(held)))
 
     return rows.repartition("song_id").sortWithinPartitions("song_id", order).mapInPandas(walk, schema)
 

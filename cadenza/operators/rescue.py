@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import tables as T
 from cadenza.operators.beats import apart, frame_blocks, grid_coverage, median_gap, peaks_of, standard
-from cadenza.operators.progression import song_by_song
+from cadenza.operators.progression import plain, song_by_song
 
 LONGEST_LAG_S, SHORTEST_BAR_S, LONGEST_BAR_S, LEAST_GAP_S = 11.7, 1.4, 9.0, 0.15
 LEAST_STRENGTH, SAME_BAR, QUARTER_S = 0.18, 0.07, (0.40, 1.20)
@@ -60,7 +60,7 @@ def bar_period(frames: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> Dat
     def products(own: np.ndarray, behind: np.ndarray) -> list[float]:
         """Sums of own[t] * (own and behind)[t + lag]."""
         both = np.concatenate([own, behind])
-        size = 1 << int(len(own) + len(both)).bit_length()
+        size = 1 << int(len(own) + len(both) + lags).bit_length()
         return np.fft.irfft(np.fft.rfft(both, size) * np.fft.rfft(own, size).conj(), size)[:lags].tolist()
 
     def correlate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,7 +71,7 @@ def bar_period(frames: DataFrame, frame_s: float = T.HOP / T.SAMPLE_RATE) -> Dat
                 n = int(row["end"] - row["first"])
                 accent, every = low + onset, low + onset + 2 * novelty
                 rows.append((row["song_id"], row["block"], row["n"], products(every[:n], every[n : n + lags]), products(accent[:n], accent[n : n + lags])))
-            yield pd.DataFrame(rows, columns=["song_id", "block", "n", "every", "accent"])
+            yield plain(pd.DataFrame(rows, columns=["song_id", "block", "n", "every", "accent"]))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         some = min(lags, int(pdf["n"].iloc[0]))

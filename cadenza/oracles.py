@@ -491,6 +491,25 @@ ORACLES["regression_values"] = f"""WITH {chords()}, read AS (SELECT *, stop - st
   SELECT t.song_id, coalesce(f.tonic = t.tonic, false) AS key_ok, coalesce(abs(f.bpm / t.bpm - 1) < 0.04, false) AS tempo_ok, coalesce(f.meter = t.meter, false) AS meter_ok, round(coalesce(accuracy, 0), 6) AS chord_accuracy,
     f.tonic AS found_tonic, f.bpm AS found_bpm, f.meter AS found_meter, f.form AS found_form, f.n_sections AS found_n_sections, t.tonic AS true_tonic, t.bpm AS true_bpm, t.meter AS true_meter, t.form AS true_form, t.n_sections AS true_n_sections
   FROM t LEFT JOIN f ON f.song_id = t.song_id AND f.song_id % 7 > 0 LEFT JOIN acc ON acc.song_id = t.song_id"""
+#: All 28 tilings of every song's bars.
+TILINGS = f"""{BAR_VECTORS}, f AS (SELECT * FROM harmony UNION ALL SELECT * FROM timbre), dots AS (SELECT a.song_id, a.bar AS p, b.bar AS q, sum(a.x * b.x) AS d FROM f a JOIN f b ON a.song_id = b.song_id AND a.i = b.i GROUP BY ALL),
+  counts AS (SELECT song_id, max(bar) + 1 AS n FROM f GROUP BY song_id HAVING max(bar) >= 7),
+  blocks AS (SELECT song_id, len, o, unnest(range(o, n - len + 1, len)) AS s FROM counts, (SELECT len, unnest(range(len)) AS o FROM (SELECT unnest([8, 4, 16]) AS len))),
+  pairs AS (SELECT x.song_id, x.len, x.o, x.s, y.s AS t, sum(d) AS d FROM blocks x JOIN blocks y ON x.song_id = y.song_id AND x.len = y.len AND x.o = y.o JOIN dots ON dots.song_id = x.song_id AND p >= x.s AND p < x.s + x.len AND q = p - x.s + y.s GROUP BY ALL),
+  norms AS (SELECT song_id, len, o, s, sqrt(d) AS r FROM pairs WHERE s = t),
+  best_of AS (SELECT p.song_id, p.len, p.o, p.s, max(CASE WHEN p.s = p.t THEN -1 ELSE p.d / (a.r * b.r) END) AS m FROM pairs p JOIN norms a ON a.song_id = p.song_id AND a.len = p.len AND a.o = p.o AND a.s = p.s JOIN norms b ON b.song_id = p.song_id AND b.len = p.len AND b.o = p.o AND b.s = p.t GROUP BY ALL),
+  scores AS (SELECT song_id, len, o, avg(m) - 0.002::DOUBLE * o AS score FROM best_of GROUP BY song_id, len, o HAVING count(*) >= 3),
+  by_len AS (SELECT * FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY song_id, len ORDER BY score DESC, o) = 1),
+  tiling AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY song_id) AS top FROM by_len) QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY len = 8 AND score >= top - 0.05 DESC, score DESC, list_position([8, 4, 16], len)) = 1)"""
+ORACLES["choose_tiling"] = f"WITH {TILINGS} SELECT song_id, CAST(len AS INTEGER) AS length, CAST(o AS INTEGER) AS offset, round(score, 6) AS score FROM tiling"
+ORACLES["attach_fragments"] = f"""WITH {BAR_VECTORS}, w AS (SELECT * FROM harmony UNION ALL SELECT * FROM timbre UNION ALL SELECT song_id, bar, 36, z / 37 FROM z),
+  counts AS (SELECT song_id, max(bar) + 1 AS n FROM w GROUP BY song_id), full_ AS (SELECT song_id, unnest(range(song_id % 8, n - 7, 8)) AS a FROM counts), edge AS (SELECT song_id, min(a) AS lo, max(a) + 8 AS hi, max(a // 8) AS top, n FROM full_ JOIN counts USING (song_id) GROUP BY song_id, n),
+  ends AS (SELECT song_id, 0 AS a, lo AS b, top + 1 AS c, 1 AS nth FROM edge WHERE lo > 0 UNION ALL SELECT song_id, hi, n, top + 2, 2 FROM edge WHERE hi < n),
+  alike AS (SELECT e.song_id, e.nth, f.a, sum(x.x * y.x) / (sqrt(sum(x.x * x.x)) * sqrt(sum(y.x * y.x))) AS s FROM ends e JOIN full_ f USING (song_id) JOIN w x ON x.song_id = e.song_id AND x.bar >= e.a AND x.bar < e.b JOIN w y ON y.song_id = f.song_id AND y.bar = x.bar - e.a + f.a AND y.i = x.i WHERE e.b - e.a >= 6 GROUP BY ALL),
+  near AS (SELECT * FROM alike WHERE s >= 0.80 QUALIFY row_number() OVER (PARTITION BY song_id, nth ORDER BY s DESC, a) = 1),
+  everything AS (SELECT song_id, a, a + 8 AS b, a // 8 AS c FROM full_ UNION ALL SELECT e.song_id, e.a, e.b, coalesce(near.a // 8, e.c) FROM ends e LEFT JOIN near USING (song_id, nth)),
+  named AS (SELECT *, min(a) OVER (PARTITION BY song_id, c) AS begins FROM everything)
+  SELECT song_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(dense_rank() OVER (PARTITION BY song_id ORDER BY begins) - 1 AS INTEGER) AS cluster, 8 AS length FROM named"""
 #: Bar lengths by a direct sum over all lags, frames of a fifth of a second: 59 of them.
 PERIODS = f"""{FRAMES}, u AS (SELECT song_id, frame, pc, raw / sqrt(sum(raw * raw) OVER (PARTITION BY song_id, frame)) AS x FROM tones),
   s AS (SELECT song_id, frame, pc, avg(x) OVER b AS b, avg(x) OVER a AS a, frame >= 2 AND frame < n - 2 AS whole FROM u JOIN sizes USING (song_id) WINDOW b AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY song_id, pc ORDER BY frame ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),

@@ -1,6 +1,7 @@
 """Operators on hand-made songs with known answers."""
 
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -216,6 +217,64 @@ def test_linkage_against_definition():
     assert S.average_linkage(v[:1]) == [0]
 
 
+def plain_linkage(v, cut):
+    """Average linkage by looking at all pairs of groups every time; the lowest pair on ties."""
+    apart, groups = np.clip(1 - v @ v.T, 0, 2), [[k] for k in range(len(v))]
+    while len(groups) > 1:
+        d, a, b = min((round(float(apart[np.ix_(x, y)].mean()), 12), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+        if d > cut:
+            break
+        groups[a] += groups.pop(b)
+    names = {}
+    return [names.setdefault(next(c for c, g in enumerate(groups) if k in g), len(names)) for k in range(len(v))]
+
+
+def test_linkage_of_many_blocks():
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (2, 3, 9, 25):
+        for cut in (0.1, 0.4, 0.9):
+            v = unit(rng.normal(size=(n, 3)))
+            assert S.average_linkage(v, cut) == plain_linkage(v, cut)
+            copies = v[rng.integers(0, max(1, n // 3), n)]  # equal blocks: ties at distance 0
+            assert S.average_linkage(copies, 0.001) == [[tuple(x) for x in dict.fromkeys(map(tuple, copies))].index(tuple(r)) for r in copies]
+    start = time.time()
+    found = S.average_linkage(unit(rng.normal(size=(40, 24))[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 24)) * 0.05))
+    assert len(set(found)) == 40 and time.time() - start < 5
+
+
+def test_fragments_by_sets_and_by_song(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for song, offset, n in (("a", 7, 60), ("b", 3, 45), ("c", 0, 39), ("d", 6, 46), ("e", 0, 5)):
+        base = rng.normal(size=(3, 8, 5))
+        for bar in range(n):
+            block, k = divmod(bar - offset + 8, 8)
+            v = base[block % 3][k] + rng.normal(size=5) * 0.05
+            rows.append((song, bar, v.tolist(), [*v.tolist(), float(rng.normal() * 0.05)]))
+    bars = spark.createDataFrame(rows, "song_id string, bar int, v array<double>, w array<double>")
+    got = {tuple(r) for r in S.attach_fragments(S.full_blocks(bars), bars).collect()}
+    want = {tuple(r) for r in S.block_clusters(bars).collect()}
+    assert got == want and {r[0] for r in got} == set("abcd") and any(r[2] - r[1] < r[4] for r in got)
+
+
+def test_values_do_not_depend_on_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(song, k, rng.random(12).round(3).tolist(), float(rng.integers(0, 9)), float(rng.random())) for song, n in (("a", 400), ("b", 137), ("c", 3)) for k in range(n)]
+    frames = spark.createDataFrame(rows, "song_id string, frame int, chroma array<double>, low_env double, onset_env double")
+    beats = frames.where("frame % 9 = 4").selectExpr("song_id", "cast(frame / 9 as int) as beat", "frame")
+
+    def values():
+        novel = B.harmonic_novelty(frames, 7)
+        out = [B.beat_accents(frames, beats), B.triplet_feel(frames, beats), novel, B.onset_peaks(frames), X.bar_period(frames.join(novel, ["song_id", "frame"]), 0.1)]
+        flat = lambda x: [flat(y) for y in x] if isinstance(x, (list, tuple)) else round(x, 9) + 0.0 if isinstance(x, float) else x
+        return [sorted((flat(tuple(r)) for r in df.collect()), key=str) for df in out]
+
+    want = values()
+    monkeypatch.setattr(B, "RANGE", 50)
+    assert values() == want
+
+
 def as_parts(rows):
     return pd.DataFrame(rows, columns=["cluster", "a", "b", "blocks"])
 
