@@ -87,12 +87,15 @@ def change_probability(beats: DataFrame, tempo: DataFrame) -> DataFrame:
 def chord_path(beats: DataFrame) -> DataFrame:
     """State of every beat (emission, p_change) on the best path: staying costs the chance of no change, moving is shared among the others.
 
-    Staying wins ties, then the lower state; songs of under four beats have no chords. One row per beat reaches the call.
+    Staying wins ties, then the lower state; songs of under four beats have no chords. One row per beat reaches the call. Beats with time
+    and cosines keep their time, and of the cosines their state's own, so that nothing has to be looked up afterwards.
     """
+    carried = {"time", "cosines"} <= set(beats.columns)
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 4:
-            return pdf[["song_id", "beat"]].iloc[:0].assign(state=pd.Series(dtype="int32"))
+            none = pdf[["song_id", "beat"]].iloc[:0].assign(state=pd.Series(dtype="int32"))
+            return none.assign(time=pd.Series(dtype=float), own=pd.Series(dtype=float)) if carried else none
         emission, p = np.stack(pdf["emission"].to_numpy()), pdf["p_change"].to_numpy()
         n = emission.shape[1]
         total, back = emission[0], []
@@ -106,17 +109,21 @@ def chord_path(beats: DataFrame) -> DataFrame:
         state = [int(total.argmax())]
         for came in reversed(back):
             state.append(int(came[state[-1]]))
-        return pd.DataFrame({"song_id": pdf["song_id"], "beat": pdf["beat"], "state": state[::-1]})
+        path = pd.DataFrame({"song_id": pdf["song_id"], "beat": pdf["beat"], "state": state[::-1]})
+        return path.assign(time=pdf["time"], own=np.stack(pdf["cosines"].to_numpy())[np.arange(len(pdf)), state[::-1]]) if carried else path
 
     kind = beats.schema["song_id"].dataType.simpleString()
-    return song_by_song(beats.select("song_id", "beat", "emission", "p_change"), "beat", best, f"song_id {kind}, beat int, state int")
+    return song_by_song(beats.select("song_id", "beat", "emission", "p_change", *["time", "cosines"] * carried), "beat", best, f"song_id {kind}, beat int, state int" + ", time double, own double" * carried)
 
 
 def chord_segments(path: DataFrame, beats: DataFrame, tempo: DataFrame) -> DataFrame:
-    """Runs of equal state as chords: beats, times, mean cosine as confidence, bar. The last one lasts as long as the beat before it."""
-    rows = path.join(beats.select("song_id", "beat", "time", "cosines"), ["song_id", "beat"]).join(tempo.select("song_id", "phase", "bpb"), "song_id")
+    """Runs of equal state as chords: beats, times, mean cosine as confidence, bar. The last one lasts as long as the beat before it.
+    A path without time and own finds both in the beats."""
+    if "own" not in path.columns:
+        path = path.join(beats.select("song_id", "beat", "time", "cosines"), ["song_id", "beat"]).withColumn("own", F.get("cosines", F.col("state")))
+    rows = path.join(tempo.select("song_id", "phase", "bpb"), "song_id")
     gap = F.col("time") - F.lag("time").over(by("beat"))
-    rows = rows.withColumn("next", F.coalesce(F.lead("time").over(by("beat")), F.col("time") + F.coalesce(gap, F.lit(0.0)))).withColumn("own", F.get("cosines", F.col("state")))
+    rows = rows.withColumn("next", F.coalesce(F.lead("time").over(by("beat")), F.col("time") + F.coalesce(gap, F.lit(0.0))))
     rows = islands(rows, F.col("state") == F.lag("state").over(by("beat")), "beat")
     out = rows.groupBy("song_id", "island").agg(
         F.first("state").alias("state"), F.min("time").alias("start"), F.max_by("next", "beat").alias("end"), F.min("beat").alias("beat_start"), (F.max("beat") + 1).alias("beat_end"), F.avg("own").alias("confidence"), F.first("phase").alias("phase"), F.first("bpb").alias("bpb")

@@ -93,14 +93,14 @@ def repeated_patterns(sequence: DataFrame, shortest: int = 4, longest: int = 8,
 def maximal_patterns(patterns: DataFrame) -> DataFrame:
     """Repeated patterns that no longer repeated pattern contains. A contained one is the head or tail of one that is one longer.
 
-    Every pattern goes out once as itself and twice as what it contains, so one grouping decides and the patterns are made once.
+    Every pattern goes out once as itself and twice as what it contains, by a 64-bit hash, so one grouping of numbers decides.
     """
-    rest = [c for c in patterns.columns if c not in ("song_id", "pattern")]
-    own = F.struct(F.col("pattern").alias("p"), F.struct(*rest).alias("own"))
-    part = lambda first: F.struct(F.slice("pattern", F.lit(first), F.col("length") - 1).alias("p"), F.lit(None).cast(patterns.select(F.struct(*rest)).schema[0].dataType).alias("own"))
-    each = patterns.select("song_id", F.explode(F.array(own, part(1), part(2))).alias("e"))
-    found = each.groupBy("song_id", F.col("e.p").alias("pattern")).agg(F.first("e.own", ignorenulls=True).alias("own"), F.count(F.lit(1)).alias("n"))
-    return found.where("own is not null and n = 1").select("song_id", "pattern", "own.*")
+    own = F.struct("pattern", *(c for c in patterns.columns if c not in ("song_id", "pattern")))
+    kind = patterns.select(own.alias("own")).schema["own"].dataType
+    part = lambda first: F.struct(F.xxhash64(F.slice("pattern", F.lit(first), F.col("length") - 1)).alias("h"), F.lit(None).cast(kind).alias("own"))
+    each = patterns.select("song_id", F.explode(F.array(F.struct(F.xxhash64("pattern").alias("h"), own.alias("own")), part(1), part(2))).alias("e"))
+    found = each.groupBy("song_id", "e.h").agg(F.first("e.own", ignorenulls=True).alias("own"), F.count(F.lit(1)).alias("n"))
+    return found.where("own is not null and n = 1").select("song_id", "own.*")
 
 
 def stabilize_chords(sequence: DataFrame, shortest: float = 0.65) -> DataFrame:

@@ -485,7 +485,7 @@ def change_probability(spark, sf_dir):
 
 @query
 def chord_path(spark, sf_dir):
-    return C.chord_path(_heard(spark, sf_dir))
+    return C.chord_path(_heard(spark, sf_dir).select("song_id", "beat", "emission", "p_change"))
 
 
 @query
