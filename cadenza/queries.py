@@ -525,7 +525,7 @@ def regression_report(spark, sf_dir):
 
 @query
 def regression_values(spark, sf_dir):
-    """The report with both sides: chords as they are read against themselves stabilised, the sections of made parts against plain ones."""
+    """The report with both sides: the few chords stand for what was found, the many for the truth, every eighth chord begins a section."""
     sides = []
     for song in (A.chords(spark, sf_dir), A.chords(spark, sf_dir, wide=True)):
         counts = song.groupBy("song_id").agg(F.max_by("root_pc", F.struct("duration", "pos")).alias("tonic"), (F.count(F.lit(1)) * 1.5).alias("bpm"), F.when(F.count_if(F.col("quality") == "minor") % 2 == 0, "4/4").otherwise("3/4").alias("meter"))
