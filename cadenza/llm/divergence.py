@@ -46,13 +46,17 @@ def count_chunks(docs: DataFrame, text: str = "text", lang: str = "lang", source
         block = TaskContext.get().partitionId() << 32
         for part in steps(batches, "text", BLOCK_BYTES):
             cut = pc.ascii_split_whitespace(part.column("text"))
-            doc = np.repeat(np.arange(part.num_rows), pc.list_value_length(cut).to_numpy())
+            doc = np.repeat(np.arange(part.num_rows, dtype=np.int32), pc.list_value_length(cut).to_numpy())
             chunks = cut.flatten().dictionary_encode()
+            del cut  # a block's chunks one by one are larger than its text
             size = len(chunks.dictionary)
             order = pc.sort_indices(chunks.dictionary).to_numpy()  # neighbours are alike and compress well wherever they go
             rank = np.empty(size, np.int64)
             rank[order] = np.arange(size)
-            place = np.sort((rank[chunks.indices.to_numpy(zero_copy_only=False)] << 32) | doc)
+            place = rank[chunks.indices.to_numpy(zero_copy_only=False)]
+            place <<= 32
+            place |= doc
+            place.sort()
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
             owner, held = place[first] >> 32, place[first] & 0xFFFFFFFF
             step = np.diff(held, prepend=0)
