@@ -35,6 +35,9 @@ ROWS = 1 << 10
 #: Where a text may be cut without either tokenizer noticing: before a single space after something that isn't white space. No token of
 #: either spans such a place, and what a tokenizer does on one side depends on that side alone.
 CUT = re.compile(r"(?<=[^\s▁])(?= [^ ])")
+#: Pieces of which one may stand after another, one space between, and neither tokenizer notices.
+PLAIN = re.compile(r"[^ ](?:.*[^\s▁])?\Z(?<![\s▁])", re.DOTALL)
+IN_A_ROW = 64
 #: Texts without these are cut at every space.
 GLUED = re.compile(r"[\s▁] |^ | $")
 
@@ -62,7 +65,9 @@ class Aligner:
         size = self.first.get_vocab_size(with_added_tokens=True)
         self.first_bytes = [bytes(letters.get(c, 0) for c in self.first.id_to_token(k) or "") for k in range(size)]
         self.second_bytes = [self._second_bytes(k) for k in range(self.second.get_piece_size())]
-        self.widths = [[len(b) for b in x] for x in (self.first_bytes, self.second_bytes)]
+        self.widths = [np.array([len(b) for b in x], np.int64) for x in (self.first_bytes, self.second_bytes)]
+        # an id in writing, by what follows it: first ids in a group, at its end; second ids in a group, at its end, at a piece's end
+        self.written = [f"{k}{end}" for n, ends in ((size, ",|"), (len(self.second_bytes), ",;\n")) for end in ends for k in range(n)]
         self.forget()
 
     def _second_bytes(self, k: int) -> bytes:
@@ -77,46 +82,69 @@ class Aligner:
         self.ends = array("q", [0])  # of the links of each piece
 
     def learn(self, pieces: list[str]) -> None:
-        """Align new pieces of text, each standing after a space."""
-        firsts = [e.ids for e in self.first.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        seconds = self.second.encode(pieces, num_threads=1)
-        for piece, a, b in zip(pieces, firsts, seconds):
-            self.number[piece] = len(self.groups)
-            whole = b" " + piece.encode()
-            good = b"".join(map(self.first_bytes.__getitem__, a)) == whole and b"".join(map(self.second_bytes.__getitem__, b)) == whole
-            self._add(a, b) if good else self._leave_out()
-
-    def _leave_out(self) -> None:
+        """Align new pieces of text, each standing after a space. Those that may stand in a row are encoded by rows of them."""
+        plain = [p for p in pieces if PLAIN.match(p)]
+        self._learn([plain[at : at + IN_A_ROW] for at in range(0, len(plain), IN_A_ROW)] + [[p] for p in pieces if not PLAIN.match(p)])
+
+    def _learn(self, rows: list[list[str]]) -> None:
+        texts = [" ".join(row) for row in rows]
+        firsts = [e.ids for e in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        seconds = self.second.encode(texts, num_threads=1)
+        good, again = [], []
+        for row, text, a, b in zip(rows, texts, firsts, seconds):
+            if b"".join(map(self.first_bytes.__getitem__, a)) == b" " + text.encode() == b"".join(map(self.second_bytes.__getitem__, b)):
+                good.append((row, a, b))
+            elif len(row) > 1:
+                again.extend([p] for p in row)
+            else:
+                self._leave_out(row[0])
+        again.extend([p] for k in self._add(good) for p in good[k][0])
+        if again:
+            self._learn(again)
+
+    def _leave_out(self, piece: str) -> None:
+        self.number[piece] = len(self.groups)
         self.groups.append(None)
         self.counts.extend((0, 0, 0))
         self.ends.append(self.ends[-1])
 
-    def _add(self, a: list[int], b: list[int]) -> None:
-        if len(a) == 1 or len(b) == 1:  # one group
-            self.groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-            self.links.extend([x * PAIR + y for x in a for y in b])
-            self.counts.extend((len(a), len(b), 1))
-            self.ends.append(len(self.links))
-            return
-        first, second = self.widths
-        written: list[str] = []
-        end = other = at = low_a = low_b = 0
-        for high_a, token in enumerate(a, 1):
-            end += first[token]
-            while other < end:
-                other += second[b[at]]
-                at += 1
-            if other == end:  # both end here
-                mine, theirs = a[low_a:high_a], b[low_b:at]
-                written.append(f"{','.join(map(str, mine))}|{','.join(map(str, theirs))}")
-                if len(mine) * len(theirs) > 4096:
-                    self.links.frombytes((np.array(mine, np.int64)[:, None] * PAIR + np.array(theirs, np.int64)).tobytes())
-                else:
-                    self.links.extend([x * PAIR + y for x in mine for y in theirs])
-                low_a, low_b = high_a, at
-        self.groups.append(";".join(written))
-        self.counts.extend((len(a), len(b), len(written)))
-        self.ends.append(len(self.links))
+    def _add(self, rows: list[tuple[list[str], list[int], list[int]]]) -> list[int]:
+        """Take up the pieces of rows whose bytes agree with their tokens of both kinds. Returns the numbers of rows in which a piece
+        doesn't end with a token of either kind; of these nothing is taken up."""
+        if not rows:
+            return []
+        pieces = [p for row, _, _ in rows for p in row]
+        stops = np.cumsum([1 + len(p.encode()) for p in pieces])
+        a, b = (np.array([k for row in rows for k in row[kind]], np.int64) for kind in (1, 2))
+        end_a, end_b = np.cumsum(self.widths[0][a]), np.cumsum(self.widths[1][b])
+        ends = np.intersect1d(end_a, end_b)  # of groups
+        if len(open_ended := np.setdiff1d(stops, ends)):
+            owner = np.repeat(np.arange(len(rows)), [len(row) for row, _, _ in rows])
+            bad = np.unique(owner[np.searchsorted(stops, open_ended)]).tolist()
+            self._add([row for k, row in enumerate(rows) if k not in bad])
+            return bad
+        group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
+        size_a, size_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
+        upto_a, upto_b, last = np.cumsum(size_a), np.cumsum(size_b), np.searchsorted(ends, stops)
+        # in writing, a group is its first ids, then its second ids
+        code_a, code_b, n_a, n_b = a.copy(), b + 2 * len(self.first_bytes), len(self.first_bytes), len(self.second_bytes)
+        code_a[upto_a - 1] += n_a
+        code_b[upto_b - 1] += n_b
+        code_b[upto_b[last] - 1] += n_b
+        codes = np.zeros(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + (upto_b - size_b)[group_a]] = code_a
+        codes[np.arange(len(b)) + upto_a[group_b]] = code_b
+        # every first id of a group with every second id of it
+        times = size_b[group_a]
+        at = np.repeat((upto_b - size_b)[group_a] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        start = self.ends[-1]
+        self.number.update(zip(pieces, range(len(self.groups), len(self.groups) + len(pieces))))
+        self.groups.extend("".join(map(self.written.__getitem__, codes.tolist())).split("\n")[:-1])
+        self.links.frombytes((np.repeat(a, times) * PAIR + b[at]).tobytes())
+        counts = np.stack([upto_a[last], upto_b[last], last + 1], axis=1)
+        self.counts.frombytes(np.diff(counts, axis=0, prepend=0).astype(np.int64).tobytes())
+        self.ends.frombytes((start + np.cumsum(size_a * size_b)[last]).astype(np.int64).tobytes())
+        return []
 
     def align(self, texts: list[str]) -> tuple[list[tuple[int, int, int, int, str]], np.ndarray, np.ndarray, np.ndarray]:
         """For each text its tokens of either kind, groups, links and the digest of its groups; and for each different piece of a

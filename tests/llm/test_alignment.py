@@ -68,6 +68,28 @@ def test_pieces_join_to_the_whole_text(aligner):
         assert rows[0][4] == ("" if whole is None else hashlib.sha256(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in whole).encode()).hexdigest()), t
 
 
+def test_pieces_in_rows_are_as_pieces_alone(aligner):
+    texts = [*strange_texts(), "a▁b c", "x y ", " x y", "it 's n't", "1 2 3"]
+    aligner.forget()
+    alone = [aligner.align([t])[0][0] for t in texts]
+    aligner.forget()
+    rows, doc, piece, times = aligner.align(texts)
+    assert rows == alone
+    pair, number, many = aligner.postings(doc, piece, times)
+    for k, t in enumerate(texts):
+        links = Counter((a, b) for mine, theirs in groups_by_hand(aligner, t) or () for a in mine for b in theirs)
+        own = number == k
+        assert {(p // module.PAIR, p % module.PAIR): n for p, n in zip(pair[own].tolist(), many[own].tolist())} == links, t
+
+
+def test_rows_with_an_open_end_are_left(aligner):
+    aligner.forget()
+    a, b = aligner.first.encode(" alignment of words", add_special_tokens=False).ids, aligner.second.encode("alignment of words")
+    assert aligner._add([(["alignment", "of", "words"], a, b), (["ali", "nment of words"], a, b)]) == [1]
+    assert list(aligner.number) == ["alignment", "of", "words"] and len(aligner.groups) == 3
+    aligner.forget()
+
+
 def test_bitmaps():
     rng = np.random.default_rng(1)
     for n in (1, 7, 300, 65536):
