@@ -21,6 +21,8 @@ from cadenza.llm.common import materialize, steps, text_of
 NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text in a block of documents; a longer document is a block of its own.
 BLOCK_BYTES = 32 << 20
+#: Documents of terms of a block that are counted at once.
+STEP_HELD = 1 << 19
 #: Documents of a language that must hold a term for it to count.
 MIN_DOCS = 10
 #: Terms listed for each group.
@@ -58,14 +60,21 @@ def count_chunks(docs: DataFrame, text: str = "text", lang: str = "lang", source
             place |= doc
             place.sort()
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-            owner, held = place[first] >> 32, place[first] & 0xFFFFFFFF
-            step = np.diff(held, prepend=0)
+            times = squeeze(np.diff(np.append(first, len(place))))
+            place = place[first]
+            del first, doc
+            owner = place >> 32
             fresh = np.diff(owner, prepend=-1) != 0
-            step[fresh] = held[fresh]
-            packed = {"sizes": np.bincount(owner, minlength=size), "docs": step, "times": np.diff(np.append(first, len(place)))}
+            sizes = squeeze(np.bincount(owner, minlength=size))
+            del owner
+            place &= 0xFFFFFFFF
+            step = np.diff(place, prepend=0)
+            step[fresh] = place[fresh]
+            packed = {"sizes": sizes, "docs": squeeze(step), "times": times}
+            del place, step, fresh
             yield batch(size, block=pa.array(np.full(size, block)), row=pa.array(np.arange(size), pa.int32()), chunk=chunks.dictionary.take(pa.array(order)).cast(pa.string()))
             of = {f"{c}s": pa.array([part.column(c).to_pylist()], pa.list_(pa.string())) for c in ("lang", "source")}
-            yield batch(1, block=pa.array([block]), **{c: pa.array([squeeze(x)], pa.binary()) for c, x in packed.items()}, **of)
+            yield batch(1, block=pa.array([block]), **{c: pa.array([x], pa.binary()) for c, x in packed.items()}, **of)
             block += 1
 
     return rows.mapInArrow(postings, "block long, row int, chunk string, sizes binary, docs binary, times binary, langs array<string>, sources array<string>")
@@ -102,34 +111,55 @@ def chunk_terms(places: DataFrame) -> DataFrame:
     return places.select("block", "row", "chunk").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(cut, "block long, row int, terms string")
 
 
+def _ends_of_steps(term: np.ndarray, width: np.ndarray) -> list[int]:
+    """Where to cut ordered terms so that a step has whole terms and about STEP_HELD of their documents; more only by its first term."""
+    last = np.flatnonzero(np.append(term[1:] != term[:-1], True))
+    step = (np.cumsum(width)[last] - 1) // STEP_HELD
+    return (last[np.append(step[1:] != step[:-1], True)] + 1).tolist()
+
+
 def _sum_block(places: pa.Table, head: pa.Table) -> pa.Table:
     """Occurrences and distinct documents of every language, source and term of one block."""
     kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("documents", pa.int64())])
     if not places.num_rows:
         return kind.empty_table()
-    sizes, step, times = (unsqueeze(head.column(c)[0].as_py()) for c in ("sizes", "docs", "times"))
+    pa.default_memory_pool().release_unused()
+    sizes, step = (unsqueeze(head.column(c)[0].as_py()) for c in ("sizes", "docs"))
     begin = np.cumsum(sizes) - sizes
-    total = np.cumsum(step)
-    docs = total - np.repeat(total[begin] - step[begin], sizes)
+    docs = np.cumsum(step)
+    docs -= np.repeat(docs[begin] - step[begin], sizes)
+    docs = docs.astype(np.int32)
+    del step
+    times = unsqueeze(head.column("times")[0].as_py()).astype(np.int32)
     cut = pc.split_pattern(places.column("terms").combine_chunks(), " ")
     terms = cut.flatten().dictionary_encode()
     row = np.repeat(places.column("row").to_numpy(), pc.list_value_length(cut).to_numpy())  # of each term of a chunk
-    width = sizes[row]
-    at = np.repeat(begin[row] - (np.cumsum(width) - width), width) + np.arange(width.sum())  # its documents
-    key = (np.repeat(terms.indices.to_numpy().astype(np.int64), width) << 32) | docs[at]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.add.reduceat(times[at][order], first)
+    del cut
+    term = terms.indices.to_numpy().astype(np.int64)
+    order = np.argsort(term, kind="stable")
+    row, term = row[order], term[order]
     langs, sources = (head.column(c).combine_chunks().flatten().dictionary_encode() for c in ("langs", "sources"))
     n_sources = len(sources.dictionary)
     group = langs.indices.to_numpy().astype(np.int64) * n_sources + sources.indices.to_numpy()
     size = n_sources * len(langs.dictionary)
-    own, where = np.unique((key[first] >> 32) * size + group[key[first] & 0xFFFFFFFF], return_inverse=True)
-    total = np.zeros(len(own), np.int64)
-    np.add.at(total, where, count)
+    parts, low = [], 0
+    for high in _ends_of_steps(term, sizes[row]):
+        mine = row[low:high]
+        width = sizes[mine]
+        at = np.repeat(begin[mine] - (np.cumsum(width) - width), width) + np.arange(width.sum())  # its documents
+        key = (np.repeat(term[low:high], width) << 32) | docs[at]
+        order = np.argsort(key, kind="stable")
+        key, many = key[order], times[at][order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.add.reduceat(many, first, dtype=np.int64)
+        own, where = np.unique((key[first] >> 32) * size + group[key[first] & 0xFFFFFFFF], return_inverse=True)
+        total = np.zeros(len(own), np.int64)
+        np.add.at(total, where, count)
+        parts.append((own, total, np.bincount(where, minlength=len(own))))
+        low = high
+    own, total, documents = (np.concatenate(x) for x in zip(*parts))
     took = [langs.dictionary.take(pa.array(own % size // n_sources)), sources.dictionary.take(pa.array(own % n_sources)), terms.dictionary.take(pa.array(own // size))]
-    return pa.Table.from_arrays([*took, pa.array(total), pa.array(np.bincount(where, minlength=len(own)))], schema=kind)
+    return pa.Table.from_arrays([*took, pa.array(total), pa.array(documents)], schema=kind)
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import cadenza.llm.divergence as module
@@ -60,3 +62,18 @@ def test_empty_table(spark):
 def test_counts_beyond_64_bits(spark):
     row = spark.range(1).selectExpr("4000000000000L as c", "9000000000000L as t", "7L as v").select(module.share("c", "t", "v").alias("p")).first()
     assert row["p"] == 1 + 10**9 * (4 * 10**12 + 2) // (9 * 10**12 + 14)
+
+
+def test_steps_of_a_block_are_whole_terms(monkeypatch):
+    rng = random.Random(4)
+    texts = [[rng.choice(["a b", "b", "c a c", "d", "e b"]) for _ in range(rng.randrange(1, 9))] for _ in range(60)]
+    chunks = sorted({c for t in texts for c in t})
+    held = [(k, [t.count(c) for t in texts]) for k, c in enumerate(chunks)]
+    docs = [[d for d, n in enumerate(many) if n] for _, many in held]
+    packed = {"sizes": [len(d) for d in docs], "docs": [x for d in docs for x in np.diff(d, prepend=0)], "times": [many[d] for (_, many), own in zip(held, docs) for d in own]}
+    head = pa.table({**{c: pa.array([module.squeeze(np.array(x))], pa.binary()) for c, x in packed.items()}, "langs": pa.array([["en"] * 60]), "sources": pa.array([[f"s{d % 3}" for d in range(60)]])})
+    places = pa.table({"row": pa.array(range(len(chunks)), pa.int32()), "terms": pa.array(chunks)})
+    want = sorted(("en", f"s{s}", w, sum(" ".join(t).split().count(w) for t in texts[s::3]), sum(w in " ".join(t).split() for t in texts[s::3])) for s in range(3) for w in "abcde")
+    for size in (1, 20, 1 << 19):
+        monkeypatch.setattr(module, "STEP_HELD", size)
+        assert sorted(tuple(r.values()) for r in module._sum_block(places, head).to_pylist()) == [r for r in want if r[4]]
