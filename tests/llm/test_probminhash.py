@@ -10,6 +10,7 @@ import cadenza.llm.common as common
 import cadenza.llm.probminhash as module
 from cadenza.llm.components import connected_components
 from cadenza.llm.probminhash import keep_representatives, near_duplicates, probability_jaccard, signatures
+from cadenza.llm.queries import QUERIES
 
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 
@@ -141,3 +142,35 @@ def test_template_family(spark, monkeypatch):
     monkeypatch.setattr(module, "FEW_ROWS", 0)
     monkeypatch.setattr(module, "HOT_SHARE", 60)
     assert sorted((r["doc_id"], r["class_id"]) for r in near_duplicates(frame, rounds=1).collect()) == want
+
+
+def test_registered_query_against_all_pairs(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    bags = {d: bag(t) for d, t in docs}
+    holds = {}
+    for d, (_, shingles) in bags.items():
+        for e in shingles:
+            holds.setdefault(e, []).append(d)
+    links = []
+    for d, (words, shingles) in bags.items():
+        shared = Counter()
+        for e, n in shingles.items():
+            shared.update(dict.fromkeys((x for x in holds[e] if x < d), n))
+        # the weight of what two texts share is a bound of their similarity
+        total = sum(shingles.values())
+        links += [(x, d) for x, n in shared.items() if n >= 0.8 * total and (bags[x][0] == words or similarity(bags[x][1], shingles) >= 0.8)]
+    # no class reaches beyond a component of the links
+    root = {d: d for d in bags}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in links:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    found = {r["doc_id"]: r["class_id"] for r in QUERIES["op5_near_dedup"](spark, folder).collect()}
+    assert len(links) > 50 and len(found) == len(docs)
+    assert sum(found[a] == found[b] for a, b in links) >= 0.99 * len(links)
+    assert all(top(d) == top(c) for d, c in found.items())
