@@ -145,9 +145,9 @@ _DOTTED = """CASE WHEN regexp_matches({0}, '/\\.\\.?(/|$)') THEN (
 _URL_SQL = rf"""
 WITH RECURSIVE tags AS (
   SELECT DISTINCT url AS source, unnest(list_concat(
-    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical["''\s>/]')), lambda t:
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)|<style\b.*?(?:</style\b|\z)|<(?:link|meta)\b[^<>]*>'), lambda t: regexp_matches(t, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical["''\s>/]')), lambda t:
       regexp_extract(t, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(t, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(t, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)),
-    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh["''\s>/]')), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1))
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)|<style\b.*?(?:</style\b|\z)|<(?:link|meta)\b[^<>]*>'), lambda t: regexp_matches(t, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh["''\s>/]')), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1))
   )) AS t
   FROM pages WHERE html IS NOT NULL
 ), named AS (

@@ -13,9 +13,11 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Comments, scripts and styles, whose tags are none, and tags of links and of page data.
+TAGS = r"""(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)|<style\b.*?(?:</style\b|\z)|<(?:link|meta)\b[^<>]*>"""
 #: A page's own statement of where it really lives: canonical link or immediate redirect.
-CANONICAL_TAG = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical["'\s>/])[^>]*>"""
-REFRESH_TAG = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh["'\s>/])[^>]*>"""
+CANONICAL = r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical["'\s>/]"""
+REFRESH = r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh["'\s>/]"""
 HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'>\s]+)"""
 
@@ -85,13 +87,14 @@ def resolve(base: Column, to: Column) -> Column:
 def named_targets(pages: DataFrame, url: str, html: str) -> DataFrame:
     """source and target: every absolute address that a page names by a canonical link or a meta refresh, one row each.
 
-    Character references for ``&`` are decoded; addresses relative to the scheme, the host, the path or the query are resolved
+    Tags inside comments, scripts and styles don't count, nor those that don't end before the next ``<``; a page is read once from start
+    to end, whatever it leaves open. Character references for ``&`` are decoded; addresses relative to the scheme, the host, the path or the query are resolved
     against the page's own.
     """
     rows = pages.select(F.col(url).alias("u"), F.col(html).alias("h")).where(F.col("h").rlike(r"(?i)canonical|refresh"))
-    tags = lambda pattern: F.regexp_extract_all("h", F.lit(pattern), F.lit(0))
-    links = F.transform(tags(CANONICAL_TAG), lambda t: F.concat(*(F.regexp_extract(t, HREF, i) for i in (1, 2, 3))))
-    fresh = F.transform(tags(REFRESH_TAG), lambda t: F.regexp_extract(t, REFRESH_URL, 1))
+    rows = rows.select("u", F.regexp_extract_all("h", F.lit(TAGS), F.lit(0)).alias("tags"))
+    links = F.transform(F.filter("tags", lambda t: t.rlike(CANONICAL)), lambda t: F.concat(*(F.regexp_extract(t, HREF, i) for i in (1, 2, 3))))
+    fresh = F.transform(F.filter("tags", lambda t: t.rlike(REFRESH)), lambda t: F.regexp_extract(t, REFRESH_URL, 1))
     rows = rows.select("u", F.explode(F.concat(links, fresh)).alias("to"))
     rows = rows.select("u", F.replace(F.trim("to"), F.lit("&amp;"), F.lit("&")).alias("to")).where("instr(u, '://') > 0 or instr(to, '://') > 0")
     return rows.select(F.col("u").alias("source"), resolve(F.col("u"), F.col("to")).alias("target")).where("target is not null")

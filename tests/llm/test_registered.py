@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import time
 
 import duckdb
 import pytest
 
 from cadenza.llm.queries import ORACLES, QUERIES
+from cadenza.llm.urls import named_targets
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,6 +34,9 @@ def linked_pages():
     rows += [(f"http://chain.org/p/{k}", link.format(f"{k + 1}")) for k in range(40)] + [("http://chain.org/p/40#z", fresh.format("http://end.net/"))]
     rows += [(f"https://{host(k)}/{rng.choice(['en/', 'de/', 'fr/', ''])}{k}", rng.choice([link, fresh]).format(rng.choice(["../x", "./y/../z", "?q=1&amp;r=2", "/en/..", f"http://{host(k)}/de/", "#t", "mailto:x", "", "http://", ".."]))) for k in range(300)]
     rows += [("http://s.org/3?x", None)] * 5 + [(None, link.format("http://end.net/")), ("foo", fresh.format("/x")), ("", ""), ("x://", link.format("http://end.net/")), ("http://multi.org/1", link.format("/2") + fresh.format("http://end.net/"))]
+    hidden = ["<!-- {} -->", "<!-- > {}", "<script>'{}'</script>", "<STYLE a>{}", "<link {}", "<!-->{}<!-- -->"]
+    shown = ["<!-- x -->{}", "<script>1</SCRIPT >{}", "<style></style>{}", "<link {0}{0}", "<script></script {}>{}"]
+    rows += [(f"http://{name}.com/{k}", h.replace("{}", link.format("http://end.net/")).replace("{0}", fresh.format("http://end.net/"))) for name, pages in (("hidden", hidden), ("shown", shown)) for k, h in enumerate(pages)]
     return [(k, u, h) for k, (u, h) in enumerate(rows)]
 
 
@@ -40,10 +45,20 @@ def test_url_filters_against_sql(spark, tmp_path):
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     got = by_spark(spark, tmp_path, "op8_url_filters")
     assert got == by_sql(tmp_path, "op8_url_filters", "pages")
+    verdicts = {u: r[4] for r in got for k, u, _ in linked_pages() if k == r[1] and u and ("hidden.com" in u or "shown.com" in u)}
+    assert {u for u, v in verdicts.items() if v == "block"} >= {f"http://shown.com/{k}" for k in range(4)}
+    assert {u for u, v in verdicts.items() if v == "allow"} >= {f"http://hidden.com/{k}" for k in range(4)}
     inherited = {r[1] for r in got if r[3] is None and r[4] == "block"}
     assert {0, 2, 300, 339} & inherited == {300, 339}  # the chain ends at a blocked host, the hub says nothing
 
 
+def test_unclosed_tags_take_linear_time(spark):
+    rows = [("http://a.org/", f"{opened} canonical " * 100_000) for opened in ("<link", "<meta", "<!--", "<script", "<style", "<link rel=")]
+    start = time.time()
+    assert named_targets(spark.createDataFrame(rows, "u string, h string"), "u", "h").isEmpty()
+    assert time.time() - start < 20
+
+
 def test_chat_formatting_against_sql(spark, tmp_path):
     rng = random.Random(4)
     part = lambda: rng.choice(["### ", "</turn>", "\\", "\\s", "\n", ": ", "é", "plain words", "", "\\h\\e\\c", "assistant"])
